@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontaminate, quality
 
 QUERIES = {
+    "op3_decontamination": decontaminate.query,
     "op7_quality_rules": quality.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_decontamination": decontaminate.SQL,
+}
