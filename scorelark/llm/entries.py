@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, quality, token_counts
 
 QUERIES = {
     "op3_decontamination": decontaminate.query,
+    "op4_token_counts": token_counts.query,
     "op7_quality_rules": quality.query,
 }
 ORACLE: dict[str, str] = {
