@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, token_counts
+from . import decontaminate, licenses, quality, token_counts
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
     "op3_decontamination": decontaminate.query,
     "op4_token_counts": token_counts.query,
     "op7_quality_rules": quality.query,
