@@ -18,6 +18,8 @@ library takes it by default; repeated rows are counted each; an empty table give
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -32,6 +34,7 @@ TOKENIZER = "byte_bpe_50k.json"
 SPECIAL = b"<|endoftext|>"
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 _classes: np.ndarray | None = None
+_tokenizers: dict[str, object] = {}
 
 
 def classes() -> np.ndarray:
@@ -131,7 +134,7 @@ def pretokens(u8: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _distinct(batches):
     """Distinct pre-tokens of each piece with their bytes and frequency."""
     for batch in batches:
-        for _, _, u8, offsets in tk.pieces(batch.column(0), 4 * tk.PIECE):
+        for _, _, u8, offsets in tk.pieces(batch.column(0), 2 * tk.PIECE):
             starts, ends, _ = pretokens(u8, offsets)
             keys, first, n = np.unique(tk.spans_hash(tk.prefix_hash(u8), starts, ends), return_index=True, return_counts=True)
             s, e = starts[first], ends[first]
@@ -146,11 +149,14 @@ def _pieces(path: str):
     def run(batches):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # special strings were cut out before
+        if path not in _tokenizers:  # one a process, and no threads of its own
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            _tokenizers[path] = Tokenizer.from_file(path)
+            _tokenizers[path].encode_special_tokens = True  # special strings were cut out before
+        tokenizer = _tokenizers[path]
         for batch in batches:
             words = [w.decode() for w in batch.column(1).to_pylist()]
-            n = [len(e.ids) for i in range(0, len(words), 2000) for e in tokenizer.encode_batch_fast(words[i : i + 2000], add_special_tokens=False)]
+            n = [len(e.ids) for i in range(0, len(words), 500) for e in tokenizer.encode_batch_fast(words[i : i + 500], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], names=["key", "pieces", "freq"])
 
     return run
