@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, packing, quality, token_counts
+from . import decontaminate, language, licenses, lines, packing, quality, token_counts
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op2_language_id": language.query,
     "op3_decontamination": decontaminate.query,
     "op4_token_counts": token_counts.query,
+    "op5_line_dedup": lines.query,
     "op6_packing": packing.query,
     "op7_quality_rules": quality.query,
 }
 ORACLE: dict[str, str] = {
     "op2_language_id": language.query,
     "op3_decontamination": decontaminate.SQL,
+    "op5_line_dedup": lines.SQL,
 }
