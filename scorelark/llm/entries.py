@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, lines, packing, quality, token_counts
+from . import decontaminate, language, licenses, lines, near, packing, quality, token_counts
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_line_dedup": lines.query,
     "op6_packing": packing.query,
     "op7_quality_rules": quality.query,
+    "op10_jaccard_join": near.query,
 }
 ORACLE: dict[str, str] = {
     "op2_language_id": language.query,
