@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, lines, lm, near, packing, quality, token_counts
+from . import decontaminate, language, licenses, lines, lm, near, packing, quality, suffixes, token_counts
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_line_dedup": lines.query,
     "op6_packing": packing.query,
     "op7_quality_rules": quality.query,
+    "op8_suffix_dedup": suffixes.query,
     "op9_lm_scoring": lm.query,
     "op10_jaccard_join": near.query,
 }
