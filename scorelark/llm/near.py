@@ -37,7 +37,7 @@ from .storage import written
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
 HASHES, STEP, TOLERANCE = BANDS * ROWS, 32, 1e-7
-BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
+BLOCK, BLOCK_SHINGLES, PER_CALL = 4096, 1 << 20, 1 << 15
 _MULTIPLY = tk.mix(np.arange(1, HASHES + 1, dtype=tk.U)) | tk.U(1)
 _ADD = tk.mix(np.arange(1001, HASHES + 1001, dtype=tk.U))
 
@@ -166,19 +166,44 @@ def _roots(label: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return root
 
 
-def candidates(spark: SparkSession, once: DataFrame) -> DataFrame:
-    """(a, b) rows that join classes into families."""
-    banded = once.select("class", "sig", F.explode("bands").alias("band"))
+def bucket_edges(bucket: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) within each bucket; rows are grouped by ``bucket``."""
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    size = np.diff(np.append(first, len(bucket)))
+    two = first[size == 2]  # most buckets; all at once
+    alive = np.ones(len(two), bool)
+    matches = np.zeros(len(two), np.int64)
+    for k, least in enumerate(_LEAST):
+        part = slice(k * STEP, (k + 1) * STEP)
+        at = two[alive]
+        matches[alive] += (sig[at, part] == sig[at + 1, part]).sum(1)
+        alive &= matches >= least
+    pair = np.stack([ids[two[alive]], ids[two[alive] + 1]])
+    a, b = [pair.max(0)], [pair.min(0)]
+    for lo, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        own = ids[lo : lo + n]
+        root = _roots(families(sig[lo : lo + n]), own)
+        a.append(own[root != own])
+        b.append(root[root != own])
+    return np.concatenate(a), np.concatenate(b)
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("class")
-        ids = pdf["class"].to_numpy()
-        root = _roots(families(np.stack([np.frombuffer(x, np.uint8) for x in pdf["sig"]])), ids)
-        return pd.DataFrame({"a": ids[root != ids], "b": root[root != ids]})
 
-    # a bucket is known by its key alone before any signature is attached
-    shared = banded.groupBy("band").count().where("count > 1").select("band")
-    return dealt(banded.join(shared, "band"), "band").groupBy("band", "i", "j").applyInPandas(join, "a long, b long").distinct()
+def candidates(spark: SparkSession, once: DataFrame) -> DataFrame:
+    """(a, b) rows that join classes into families."""
+    # buckets are dealt out by their keys alone; signatures are attached only where a bucket has two classes
+    placed = dealt(once.select("class", F.explode("bands").alias("band")).distinct(), "band")
+    rows = placed.join(once.select("class", "sig"), "class").select("class", "sig", F.xxhash64("band", "i", "j").alias("bucket"))
+
+    def split(key, table):
+        bucket, ids = table["bucket"].to_numpy(), table["class"].to_numpy()
+        order = np.lexsort((ids, bucket))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        a, b = bucket_edges(bucket[order], ids[order], sig[order])
+        return pa.table({"a": a, "b": b})
+
+    # many small buckets share a call; the number of calls follows the number of rows
+    calls = max(1, -(-once.count() * BANDS // (8 * PER_CALL)))
+    return rows.withColumn("call", F.pmod("bucket", F.lit(calls))).groupBy("call").applyInArrow(split, "a long, b long").distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
