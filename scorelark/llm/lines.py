@@ -18,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .storage import written
 
-MIN_SITES, MIN_CHARS, LG_K, BAND = 10, 12, 10, 3
+MIN_SITES, MIN_CHARS, LG_K, BAND, SALTS = 10, 12, 10, 3, 32
 
 
 def _split(text: str | Column) -> Column:
@@ -54,9 +55,12 @@ def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES
 def removals(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """row and the sorted numbers of its removed lines, for documents that lose any."""
     known = boilerplate(spark, docs, min_sites, min_chars)
-    found = written(spark, long_lines(docs, min_chars).join(known, "h").select("h", F.struct("doc_id", "row", "pos").alias("at")), "occurrences")
-    first = found.groupBy("h").agg(F.min("at").alias("first"))
-    gone = found.join(first, "h").where(~F.col("at").eqNullSafe(F.col("first")))
+    # a line may be a third of all rows, so its rows are dealt out by a salt too
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    lines = long_lines(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int"))
+    found = written(spark, lines.join(known.select("h", salts), ["h", "salt"]).select("h", "salt", F.struct("doc_id", "row", "pos").alias("at")), "occurrences")
+    first = found.groupBy("h").agg(F.min("at").alias("first")).select("h", "first", salts)
+    gone = found.join(first, ["h", "salt"]).where(~F.col("at").eqNullSafe(F.col("first")))
     return gone.groupBy(F.col("at.row").alias("row")).agg(F.array_sort(F.collect_set("at.pos")).alias("gone"))
 
 
@@ -79,9 +83,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: boilerplate lines are gone; a document that consisted of nothing else goes too."""
-    columns = docs.columns
-    out = dedup(spark, docs).where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
-    return out.withColumns({"text": F.col("kept")} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in columns else {})).select(*columns)
+    out = dedup(spark, tk.whole(docs)).where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
+    lost = F.col("n_removed") > 0
+    new = {"text": F.col("kept"), "n_chars": F.when(lost, F.length("kept").cast("long")).otherwise(F.col("_doc.n_chars") if "n_chars" in docs.columns else None)}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns))
 
 
 #: ``kept``: doc_id, n_lines, n_removed, text that remains, for a table ``docs``.

@@ -17,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.types import StructField, StructType
 
 PIECE = 1 << 20
 U = np.uint64
@@ -166,7 +169,6 @@ def map_text(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: st
     the new columns; rows and their order stay.
     """
     new = [part.strip().split()[0] for part in schema.split(", ")]
-    kinds = df.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ") if keep else ""
     types = {name: kind for name, kind in (part.strip().split(None, 1) for part in schema.split(", "))}
 
     def run(batches):
@@ -178,11 +180,17 @@ def map_text(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: st
                 yield pa.RecordBatch.from_arrays(arrays + [_arrow(out[c], types[c]) for c in new], names=[*keep, *new])
 
     selected = df.select(*keep, *([text] if text not in keep else []))
-    return selected.mapInArrow(run, f"{kinds}, {schema}" if kinds else schema)
+    return selected.mapInArrow(run, StructType(selected.select(*keep).schema.fields + [StructField(c, _KINDS[types[c]]) for c in new]))
 
 
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "binary": T.BinaryType(), "array<long>": T.ArrayType(T.LongType()), "array<string>": T.ArrayType(T.StringType())}
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 
 def _arrow(values, kind: str) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, type=_ARROW[kind])
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """``text`` (and doc_id, source, if there) beside ``_doc``, a struct of all columns, so that no name can clash with new columns."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_doc"), *(c for c in ("doc_id", "source", "text") if c in docs.columns))
