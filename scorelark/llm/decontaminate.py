@@ -189,8 +189,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without any benchmark window, columns unchanged."""
-    found = find(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = find(spark, tk.whole(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["_doc"])
+    return found.where("n_hit = 0").select("_doc.*")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

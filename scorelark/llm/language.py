@@ -28,7 +28,7 @@ from . import textkit as tk
 from .token_counts import _LETTER, byte_classes
 
 BUCKETS, CLUSTERS, SAMPLE, GRAMS = 4096, 4, 400, (1, 2, 3, 4)
-SLACK = 0.5
+SLACK = 0.3
 _BLOCK = 128
 #: Lower case; everything that is not a letter is one kind of gap.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0x80 else 32 for b in range(256)], np.uint8)
@@ -163,4 +163,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that are near a known language, columns unchanged."""
     model = train(spark, docs.where(~F.coalesce(held_out(), F.lit(False))))
-    return predict(spark, docs, model, docs.columns).where("NOT rejected").select(*docs.columns)
+    return predict(spark, tk.whole(docs), model, ["_doc"]).where("NOT rejected").select("_doc.*")

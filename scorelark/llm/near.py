@@ -311,7 +311,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of linked documents the one with the smallest doc_id stays."""
     found = join(spark, docs)
-    stay = found.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select("t1", "t2", F.col("doc_id").alias("stay")).distinct()
-    marked = docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(7), "text")})
-    kept = marked.join(stay, (marked["_t1"] == stay["t1"]) & (marked["_t2"] == stay["t2"]) & marked["doc_id"].cast("long").eqNullSafe(stay["stay"]), "left_semi")
-    return kept.select(*docs.columns)
+    stay = found.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("doc_id").alias("_stay")).distinct()
+    marked = tk.whole(docs).withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(7), "text"), "_stay": F.col("doc_id").cast("long")})
+    same = [marked[c].eqNullSafe(stay[c]) for c in ("_t1", "_t2", "_stay")]
+    return marked.join(stay, same, "left_semi").select("_doc.*")
