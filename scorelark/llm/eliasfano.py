@@ -107,14 +107,14 @@ class EliasFano:
         high = np.minimum(values >> U(self.width), U(most)).astype(np.int64)
         at, end = self._below(high), self._below(high + 1)
         low = values & U((1 << self.width) - 1)
-        open_ = np.flatnonzero(at < end)
-        step = 0
-        while len(open_):
-            i = at[open_] + step
-            hit = _unpack(self.low, i, self.width) == low[open_]
-            out[open_[hit]] = i[hit]
-            step += 1
-            open_ = open_[~hit & (i + 1 < end[open_])]
+        asked = np.flatnonzero(at < end)
+        at, end, low = at[asked], end[asked] - 1, low[asked]
+        for _ in range(int((end - at).max(initial=0)).bit_length()):  # binary search among equal high parts
+            middle = (at + end) >> 1
+            less = _unpack(self.low, middle, self.width) < low
+            at, end = np.where(less, np.minimum(middle + 1, end), at), np.where(less, end, middle)
+        hit = _unpack(self.low, at, self.width) == low
+        out[asked[hit]] = at[hit]
         return out
 
 
