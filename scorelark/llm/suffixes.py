@@ -13,8 +13,8 @@ run of window starts, and the bytes that these windows cover, about one record p
 3. Each bucket sorts its suffixes by multikey quicksort: on one 8-byte key at a time, only runs that are equal so
    far go on.  Equal neighbours are repeats as a whole.  Where neighbours agree in part, the windows of the
    token's run are compared.
-4. A token at either end of a bucket may go on in the next one.  Its windows are compared across boundaries by one
-   aggregation over window hashes.
+4. A token at either end of a bucket may go on in the next one.  Its windows are compared across boundaries: each
+   bucket sends the hashes of those it could not decide, packed by ranges of the hash.
 
 Windows and tokens are compared by 64-bit hashes of their bytes.
 
@@ -103,7 +103,7 @@ class Tokens:
 
 
 RECORD = "t1 long, t2 long, token long, a int, lo long, hi long, many boolean, bytes binary"
-FOUND = "t1 long, t2 long, lo long, hi long, window long"
+FOUND = "t1 long, t2 long, lo long, hi long, shard int, windows binary"
 
 
 def _cut(docs: DataFrame, tokens: tuple[str, list[int]]) -> DataFrame:
@@ -210,18 +210,37 @@ def compare(t1, t2, token, a, lo, hi, many, raw: list[bytes]):
     return out, across
 
 
-def _bucket(batches):
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
-        return
-    col = lambda k: table[k].to_numpy()
-    inside, across = compare(col("t1"), col("t2"), col("token"), col("a").astype(np.int64), col("lo"), col("hi"), col("many"), table["bytes"].to_pylist())
-    names = [c.split()[0] for c in FOUND.split(", ")]
-    n, m = len(inside[0]), len(across[0])
-    if n:
-        yield pa.RecordBatch.from_arrays([*map(pa.array, inside), pa.nulls(n, pa.int64())], names=names)
-    if m:
-        yield pa.RecordBatch.from_arrays([pa.array(across[0]), pa.array(across[1]), pa.array(across[2]), pa.array(across[2]), pa.array(across[3].view(np.int64))], names=names)
+def _bucket(shards: int):
+    """Sorts a bucket.  Rows are repeats, or (with ``shard``) packed windows to compare across boundaries."""
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
+            return
+        col = lambda k: table[k].to_numpy()
+        inside, across = compare(col("t1"), col("t2"), col("token"), col("a").astype(np.int64), col("lo"), col("hi"), col("many"), table["bytes"].to_pylist())
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        if n := len(inside[0]):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, inside), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        if len(across[0]):
+            packed = np.stack([across[3].view(np.int64), *across[:3]])
+            shard = shard_of(across[3], shards)
+            blobs = {k: pa.compress(np.ascontiguousarray(packed[:, shard == k]).tobytes(), codec="zstd", asbytes=True) for k in np.unique(shard).tolist()}
+            size = {k: int((shard == k).sum()) for k in blobs}
+            none = pa.nulls(len(blobs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([size[k] for k in blobs], pa.int64()), pa.array(list(blobs), pa.int32()), pa.array(list(blobs.values()), pa.binary())], names=names)
+
+    return run
+
+
+def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Windows of a shard that stand in two buckets or more."""
+    parts = [np.frombuffer(pa.decompress(w, n * 32, codec="zstd", asbytes=True), np.int64).reshape(4, n) for w, n in zip(pdf["windows"], pdf["hi"].astype(int), strict=True)]
+    window, t1, t2, start = np.concatenate(parts, axis=1)
+    _, back, times = np.unique(window, return_inverse=True, return_counts=True)
+    at = np.flatnonzero((times[back] > 1) & (start >= 0))
+    at = at[np.lexsort((start[at], t2[at], t1[at]))]
+    return pd.DataFrame(dict(zip(("t1", "t2", "lo", "hi"), _runs(t1[at], t2[at], start[at]), strict=True)))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -231,12 +250,11 @@ def repeats(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUCKET_BYT
     size = sent.agg(F.sum(F.col("hi") - F.col("lo") + LENGTH)).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     dealt = sent.repartitionByRange(buckets, "token", F.xxhash64("t1", "lo"))
-    sorted_ = written(spark, dealt.mapInArrow(_bucket, FOUND), "repeats")
-    across = sorted_.where("window IS NOT NULL")
-    twice = across.groupBy("window").count().where("count > 1").select("window")
-    crossing = across.where("lo >= 0").join(twice, "window")
-    single = found.where("bytes IS NULL")
-    return sorted_.where("window IS NULL").select("t1", "t2", "lo", "hi").unionByName(crossing.select("t1", "t2", "lo", "hi")).unionByName(single.select("t1", "t2", "lo", "hi"))
+    # what crosses boundaries is packed: a bucket sends one row per shard of window hashes
+    sorted_ = written(spark, dealt.mapInArrow(_bucket(-(-buckets // 16)), FOUND), "repeats")
+    run = ["t1", "t2", "lo", "hi"]
+    crossing = sorted_.where("shard IS NOT NULL").select("shard", "hi", "windows").groupBy("shard").applyInPandas(_across, "t1 long, t2 long, lo long, hi long")
+    return sorted_.where("shard IS NULL").select(run).unionByName(crossing).unionByName(found.where("bytes IS NULL").select(run))
 
 
 def remove(spark: SparkSession, docs: DataFrame, keep: list[str]) -> DataFrame:
