@@ -61,8 +61,7 @@ def walk(probes: DataFrame, begin: int, limit: int = MISS_LIMIT) -> DataFrame:
     """
     hits = probes.where(F.col("hit") & (F.col("n") >= begin)).select("n").distinct()
     # one row per hit of one provider's numbering: thousands, not the data
-    gaps = hits.select("n", (F.coalesce(F.lead("n").over(W.orderBy("n")), F.lit(None).cast("long")) - F.col("n") - 1).alias("gap"))
-    start = hits.agg(F.coalesce(F.min("n"), F.lit(None).cast("long")).alias("first"))
-    stop = gaps.where(f"gap >= {limit} OR gap IS NULL").agg(F.min("n").alias("last"))
-    bound = start.crossJoin(stop).select(F.when((F.col("first") - begin >= limit) | F.col("first").isNull(), F.lit(begin + limit - 1)).otherwise(F.col("last") + limit).alias("end"))
+    gaps = hits.select("n", (F.lead("n").over(W.orderBy("n")) - F.col("n") - 1).alias("gap"))
+    found = gaps.agg(F.min("n").alias("first"), F.min(F.when((F.col("gap") >= limit) | F.col("gap").isNull(), F.col("n"))).alias("last"))
+    bound = found.select(F.when((F.col("first") - begin >= limit) | F.col("first").isNull(), F.lit(begin + limit - 1)).otherwise(F.col("last") + limit).alias("end"))
     return probes.where(F.col("n") >= begin).join(bound, F.col("n") <= F.col("end")).select("n", "hit")
