@@ -38,7 +38,7 @@ from .eliasfano import EliasFano, load, save
 from .lm import SHARD_BYTES, _blobs, from_blob, merged, shard_of
 from .storage import shared_dir, written
 
-LENGTH, TOKEN, BUCKET_BYTES = 400, 32, 8 << 20
+LENGTH, TOKEN, BUCKET_BYTES = 400, 32, 4 << 20
 U = tk.U
 
 
@@ -155,13 +155,16 @@ def _keys(flat: np.ndarray, start: np.ndarray, a: np.ndarray, end: np.ndarray) -
     """Per record its suffix from the token on, then what stands before it backwards, as big-endian 8-byte keys and lengths."""
     right, left = LENGTH, LENGTH - TOKEN
     pad = np.concatenate([np.zeros(left, np.uint8), flat, np.zeros(right, np.uint8)])
-    token = start + a + left
-    after = pad[token[:, None] + np.arange(right)]
-    after[np.arange(right) >= (end - start - a)[:, None]] = 0
-    before = pad[token[:, None] - 1 - np.arange(left)]
-    before[np.arange(left) >= a[:, None]] = 0
-    both = np.ascontiguousarray(np.concatenate([after, before], axis=1)).view(">u8").astype(U)
-    return np.concatenate([both, a[:, None].astype(U), (end - start)[:, None].astype(U)], axis=1)
+    token, out = start + a + left, np.empty((len(start), (right + left) // 8 + 2), U)
+    for i in range(0, len(start), 1024):  # a few rows at a time, since places take eight times the bytes
+        part = slice(i, i + 1024)
+        after = pad[token[part, None] + np.arange(right)]
+        after[np.arange(right) >= (end - start - a)[part, None]] = 0
+        before = pad[token[part, None] - 1 - np.arange(left)]
+        before[np.arange(left) >= a[part, None]] = 0
+        out[part, :-2] = np.ascontiguousarray(np.concatenate([after, before], axis=1)).view(">u8")
+    out[:, -2], out[:, -1] = a, end - start
+    return out
 
 
 def _runs(t1, t2, starts):
