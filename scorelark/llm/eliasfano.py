@@ -43,18 +43,20 @@ def _unpack(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return raw & U((1 << width) - 1)
 
 
-_BYTE_COUNT = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-_BYTE_SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
+_BYTE_SELECT = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8).ravel()
+_H55, _H33, _H0F, _H01, _H80 = (U(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
 
 
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) one in each 64-bit word."""
-    bytes_ = word.view(np.uint8).reshape(-1, 8)
-    total = np.cumsum(_BYTE_COUNT[bytes_], axis=1, dtype=np.int64)
-    which = (total <= k[:, None]).sum(1)
-    row = np.arange(len(word))
-    before = np.where(which > 0, total[row, np.maximum(which - 1, 0)], 0)
-    return which * 8 + _BYTE_SELECT[bytes_[row, which], k - before]
+    """Place of the k-th (from 0) one in each 64-bit word, by counting ones in all bytes of a word at once."""
+    k = k.astype(U)
+    s = word - ((word >> U(1)) & _H55)
+    s = (s & _H33) + ((s >> U(2)) & _H33)
+    s = ((s + (s >> U(4))) & _H0F) * _H01  # byte i: ones in bytes 0 .. i
+    byte = np.bitwise_count(((k * _H01 | _H80) - s) & _H80).astype(U) << U(3)
+    before = ((s << U(8)) >> byte) & U(255)
+    here = (word >> byte) & U(255)
+    return byte.astype(np.int64) + _BYTE_SELECT[((here << U(3)) + k - before).astype(np.int64)]
 
 
 class EliasFano:

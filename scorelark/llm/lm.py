@@ -90,6 +90,25 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(shards) >> U(32)).astype(np.int64)
 
 
+def _filter_slots(size: int, local: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = tk.mix((local.astype(U) << U(32)) ^ word ^ U(0x5851F42D4C957F2D)) & U(size * 8 - 1)
+    return (h >> U(3)).astype(np.int64), (h & U(7)).astype(np.uint8)
+
+
+def _filter(local: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A bit per n-gram, eight times as many as there are, so that most n-grams that aren't there need no search."""
+    size = 1 << max(len(local), 8).bit_length()
+    place, bit = _filter_slots(size, local, word)
+    out = np.zeros(size, np.uint8)
+    np.bitwise_or.at(out, place, np.uint8(1) << bit)
+    return out
+
+
+def _in_filter(bits: np.ndarray, local: np.ndarray, word: np.ndarray) -> np.ndarray:
+    place, bit = _filter_slots(len(bits), local, word)
+    return np.flatnonzero((bits[place] >> bit) & 1)
+
+
 class Trie:
     """Reads the levels that exist so far."""
 
@@ -116,8 +135,9 @@ class Trie:
         return self.files[key]
 
     def _by_shard(self, shard: np.ndarray):
+        shard = shard.astype(np.uint16 if self.shards < 1 << 16 else np.int64)  # sorted by radix
         order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        cut = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=self.shards))])
         for s in np.flatnonzero(np.diff(cut)).tolist():
             yield s, order[cut[s] : cut[s + 1]]
 
@@ -142,15 +162,6 @@ class Trie:
             out[at] = got if what == "count" else got * -(arrays[what + ".scale"][0])
         return out
 
-    def _range(self, arrays: dict, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Successors of nodes: first, end, and what their stored values are relative to."""
-        # pointers are kept strictly increasing by adding the node number
-        first, end = (arrays["pointers"].get(local + k).astype(np.int64) - local - k for k in (0, 1))
-        some = first > 0
-        base = np.zeros(len(local), U)
-        base[some] = arrays["values"].get(first[some] - 1) + U(1)
-        return first, end, base
-
     def child(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Node at ``level`` of successor ``word`` (id or rank) of nodes of level - 1; -1 where there is none."""
         out = np.full(len(parent), -1, np.int64)
@@ -158,11 +169,15 @@ class Trie:
         for s, at in self._by_shard(np.searchsorted(self.offsets[level - 2], parent[asked], "right") - 1):
             at = asked[at]
             arrays = self.file(level, s)
-            local = parent[at] - self.offsets[level - 2][s]
-            first, end, base = self._range(arrays, local)
-            some = np.flatnonzero(first < end)
-            i = arrays["values"].find(base[some] + word[at[some]].astype(U))
-            out[at[some]] = np.where((i >= first[some]) & (i < end[some]), i + self.offsets[level - 1][s], -1)
+            local, own = parent[at] - self.offsets[level - 2][s], word[at].astype(U)
+            maybe = _in_filter(arrays["filter"], local, own)
+            at, local, own = at[maybe], local[maybe], own[maybe]
+            # pointers are kept strictly increasing by adding the node number
+            first, end = (arrays["pointers"].get(local + k).astype(np.int64) - local - k for k in (0, 1))
+            base = np.zeros(len(at), U)
+            base[first > 0] = arrays["values"].get(first[first > 0] - 1) + U(1)
+            i = arrays["values"].find(base + own)
+            out[at] = np.where((i >= first) & (i < end), i + self.offsets[level - 1][s], -1)
         return out
 
     def first_child(self, level: int, parent: np.ndarray) -> np.ndarray:
@@ -198,10 +213,11 @@ class Trie:
 
     def unigram(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts, log10 probabilities) of word ids."""
+        ids, back = np.unique(ids, return_inverse=True)
         count = np.zeros(len(ids), np.int64)
         known = ids >= 0
         count[known] = self.gather(1, ids[known], "count")
-        return count, np.log10((count + ADD) / (self.total + ADD * (self.words + 1)))
+        return count[back], np.log10((count + ADD) / (self.total + ADD * (self.words + 1)))[back]
 
     def score(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(counts, unigram log10 probabilities, model log10 probabilities) of each token."""
@@ -350,7 +366,7 @@ def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.nda
     suffix = word if level == 2 else trie.first_child(level - 1, np.asarray(trie.file(level - 1, s)["suffix"])[parent]) + word
     save(
         f"{trie.path}/{level}-{s}.bin",
-        EliasFano.encode(value.astype(U), "v.") | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": count.astype(np.int64), "suffix": suffix.astype(np.int64)} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
+        EliasFano.encode(value.astype(U), "v.") | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": count.astype(np.int64), "suffix": suffix.astype(np.int64), "filter": _filter(parent, word.astype(U))} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
     )
     return pd.DataFrame({"shard": [s], "n": [len(code)], "total": [int(count.sum())]})
 
