@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .queries import catalog, fuzzy, scores, state, texts
+
+_AREAS = (scores, catalog, texts, fuzzy, state)
+QUERIES: dict = {k: v for area in _AREAS for k, v in area.query.queries.items()}
+ORACLE: dict[str, str] = {k: v for area in _AREAS for k, v in area.query.oracle.items()}

@@ -64,7 +64,8 @@ def merges(events: DataFrame, pairs: DataFrame) -> DataFrame:
         found = fold(n, list(zip(e["a"], e["b"], strict=True)))
         return pd.DataFrame([(k, d, i) for i, (k, d) in enumerate(found)], columns=["keep", "drop", "step"])
 
-    return nodes.groupBy("component").cogroup(own.groupBy("component")).applyInPandas(run, f"keep {kind}, drop {kind}, step int")
+    own = own.select(F.col("component").alias("of"), "a", "b")
+    return nodes.groupBy("component").cogroup(own.groupBy("of")).applyInPandas(run, f"keep {kind}, drop {kind}, step int")
 
 
 def final_targets(merged: DataFrame) -> DataFrame:

@@ -150,9 +150,9 @@ def identities(names: DataFrame, pairs: DataFrame, apart: DataFrame, overrides:
         found = resolve(nodes_, plain, {(a, b) for a, b, k in rows if k == "apart"}, forced)
         return pd.DataFrame(found)
 
-    grouped = nodes.groupBy("component").cogroup(links.groupBy("component")).applyInPandas(run, ALIASES)
+    grouped = nodes.groupBy("component").cogroup(links.withColumnRenamed("component", "of").groupBy("of")).applyInPandas(run, ALIASES)
     none = F.lit(None).cast("string")
-    alone = names.join(of("name"), "name", "left_anti").select(F.col("name").alias("alias_norm"), F.col("display").alias("alias_name"), F.col("name").alias("judge_key"), F.col("display").alias("judge_name"), F.lit("exact").alias("method"), F.lit("high").alias("confidence"), none.alias("reason"), none.cast("array<string>").alias("candidates"), "panels")
+    alone = names.join(of("name"), "name", "left_anti").select(F.col("name").alias("alias_norm"), F.col("display").alias("alias_name"), F.col("name").alias("judge_key"), F.col("display").alias("judge_name"), F.lit("exact").alias("method"), F.lit("high").alias("confidence"), none.alias("reason"), F.lit(None).cast("array<string>").alias("candidates"), "panels")
     return grouped.unionByName(alone)
 
 

@@ -60,7 +60,8 @@ def match_occurrences(rows: DataFrame, events: DataFrame, days: int = CALENDAR_D
     def run(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(fold(r, c) if len(c) else [], columns=["row_id", "id", "diff", "ambiguous"])
 
-    return rows.select("series_id", "row_id", "row_index").groupBy("series_id").cogroup(pairs.groupBy("series_id")).applyInPandas(run, f"row_id {row}, id {event}, diff int, ambiguous boolean")
+    mine = rows.select(F.col("series_id").alias("of"), F.col("row_id").alias("row_id"), "row_index")
+    return mine.groupBy("of").cogroup(pairs.groupBy("series_id")).applyInPandas(run, f"row_id {row}, id {event}, diff int, ambiguous boolean")
 
 
 def in_series_month(rows: DataFrame, events: DataFrame) -> DataFrame:
