@@ -37,7 +37,7 @@ from .eliasfano import EliasFano, load, save
 from .storage import shared_dir
 
 ORDER, KEEP, ADD, DISCOUNT = 3, (1, 2, 2), 0.1, 0.75
-SHARD_BYTES, FLUSH = 32 << 20, 1 << 20
+SHARD_BYTES, FLUSH, PIECE = 32 << 20, 1 << 20, 3 << 20
 END = tk.text_hash(" end ")  # no word has blanks
 U = tk.U
 
@@ -141,16 +141,19 @@ class Trie:
         for s in np.flatnonzero(np.diff(cut)).tolist():
             yield s, order[cut[s] : cut[s + 1]]
 
+    def find(self, different: np.ndarray) -> np.ndarray:
+        """Ids of distinct sorted word hashes, -1 for unknown."""
+        out = np.full(len(different), -1, np.int64)
+        for s, at in self._by_shard(shard_of(different, self.shards)):
+            if self.offsets[0][s + 1] > self.offsets[0][s]:
+                i = self.file(1, s)["values"].find(different[at])
+                out[at] = np.where(i >= 0, i + self.offsets[0][s], -1)
+        return out
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Word ids, -1 for unknown."""
         different, back = np.unique(hashes, return_inverse=True)
-        out = np.full(len(different), -1, np.int64)
-        for s, at in self._by_shard(shard_of(different, self.shards)):
-            if self.offsets[0][s + 1] == self.offsets[0][s]:
-                continue
-            i = self.file(1, s)["values"].find(different[at])
-            out[at] = np.where(i >= 0, i + self.offsets[0][s], -1)
-        return out[back]
+        return self.find(different)[back]
 
     def gather(self, level: int, node: np.ndarray, what: str) -> np.ndarray:
         """An array's entries at nodes of a level."""
@@ -171,22 +174,27 @@ class Trie:
             arrays = self.file(level, s)
             local, own = parent[at] - self.offsets[level - 2][s], word[at].astype(U)
             maybe = _in_filter(arrays["filter"], local, own)
-            at, local, own = at[maybe], local[maybe], own[maybe]
+            if not len(maybe):
+                continue
+            # each n-gram once and in order, which makes the searches below run through memory forwards
+            code, back = np.unique(local[maybe].astype(U) << U(32) | own[maybe], return_inverse=True)
+            local, own = (code >> U(32)).astype(np.int64), code & U(0xFFFFFFFF)
             # pointers are kept strictly increasing by adding the node number
             first, end = (arrays["pointers"].get(local + k).astype(np.int64) - local - k for k in (0, 1))
-            base = np.zeros(len(at), U)
+            base = np.zeros(len(code), U)
             base[first > 0] = arrays["values"].get(first[first > 0] - 1) + U(1)
             i = arrays["values"].find(base + own)
-            out[at] = np.where((i >= first) & (i < end), i + self.offsets[level - 1][s], -1)
+            out[at[maybe]] = np.where((i >= first) & (i < end), i + self.offsets[level - 1][s], -1)[back]
         return out
 
     def first_child(self, level: int, parent: np.ndarray) -> np.ndarray:
         """The node at ``level`` from which the successors of nodes of level - 1 begin."""
-        out = np.zeros(len(parent), np.int64)
-        for s, at in self._by_shard(np.searchsorted(self.offsets[level - 2], parent, "right") - 1):
-            local = parent[at] - self.offsets[level - 2][s]
+        node, back = np.unique(parent, return_inverse=True)
+        out = np.zeros(len(node), np.int64)
+        for s, at in self._by_shard(np.searchsorted(self.offsets[level - 2], node, "right") - 1):
+            local = node[at] - self.offsets[level - 2][s]
             out[at] = self.file(level, s)["pointers"].get(local).astype(np.int64) - local + self.offsets[level - 1][s]
-        return out
+        return out[back]
 
     def nodes(self, ids: np.ndarray, begins: np.ndarray, level: int) -> list[np.ndarray]:
         """For each token the node of the n-gram that ends in it, for orders 1 to ``level``; the end token stands before each text."""
@@ -213,28 +221,37 @@ class Trie:
 
     def unigram(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts, log10 probabilities) of word ids."""
-        ids, back = np.unique(ids, return_inverse=True)
         count = np.zeros(len(ids), np.int64)
         known = ids >= 0
         count[known] = self.gather(1, ids[known], "count")
-        return count[back], np.log10((count + ADD) / (self.total + ADD * (self.words + 1)))[back]
+        return count, np.log10((count + ADD) / (self.total + ADD * (self.words + 1)))
 
-    def score(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(counts, unigram log10 probabilities, model log10 probabilities) of each token."""
-        count, base = self.unigram(ids)
-        best = base.copy()
+        different, where = np.unique(hashes, return_inverse=True)
+        words = self.find(different)
+        count, base = self.unigram(words)
         order = len(self.offsets)
+        back = np.zeros(len(words) + 1)  # the last entry is for no context
+        known = np.flatnonzero(words >= 0)
+        if order > 1:
+            back[known] = self.gather(1, words[known], "back")
+        ids, count, base = words[where], count[where], base[where]
         found = self.nodes(ids, begins, order)
-        contexts = [np.concatenate([[-1], f[:-1]]) for f in found]
-        contexts[0][begins] = self.end_id
-        for c in contexts[1:]:
-            c[begins] = -1
+        best = base.copy()
         for k in range(2, order + 1):
-            context, node = contexts[k - 2], found[k - 1]
-            has = context >= 0
-            best[has] += self.gather(k - 1, context[has], "back")
-            hit = node >= 0
-            best[hit] = self.gather(k, node[hit], "prob")
+            if k == 2:
+                at = np.concatenate([[len(words)], where[:-1]])
+                end = np.searchsorted(different, U(END))
+                at[begins] = end if end < len(different) and different[end] == U(END) else len(words)
+                best += back[at]
+            else:
+                context = np.concatenate([[-1], found[k - 2][:-1]])
+                context[begins] = -1
+                has = np.flatnonzero(context >= 0)
+                best[has] += self.gather(k - 1, context[has], "back")
+            hit = np.flatnonzero(found[k - 1] >= 0)
+            best[hit] = self.gather(k, found[k - 1][hit], "prob")
         return count, base, best
 
 
@@ -253,7 +270,7 @@ def _blobs(rows: DataFrame, encode, shards: int) -> DataFrame:
             yield from _emit(shard[first], code[first], np.add.reduceat(count, first))
 
         for batch in batches:
-            for _, _, u8, offsets in tk.pieces(batch.column(0)):
+            for _, _, u8, offsets in tk.pieces(batch.column(0), PIECE):
                 shard, code = encode(u8, offsets)
                 order = np.lexsort((code, shard))
                 shard, code = shard[order], code[order]
@@ -380,10 +397,10 @@ def score(docs: DataFrame, trie: Trie, keep: list[str]) -> DataFrame:
 
     def one(u8, offsets):
         hashes, doc = tokens(u8, offsets)
-        count, base, best = trie.score(trie.ids(hashes), doc[:-1])
+        count, base, best = trie.score(hashes, doc[:-1])
         return {"n_tokens": np.diff(doc), "n_known": np.add.reduceat(count > 0, doc[:-1], dtype=np.int64), "base_score": np.add.reduceat(base, doc[:-1]), "score": np.add.reduceat(best, doc[:-1])}
 
-    return tk.map_text(docs, keep, "text", one, "n_tokens long, n_known long, base_score double, score double")
+    return tk.map_text(docs, keep, "text", one, "n_tokens long, n_known long, base_score double, score double", PIECE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,7 @@ def cover(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def map_text(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: str) -> DataFrame:
+def map_text(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: str, piece: int = PIECE) -> DataFrame:
     """Apply ``fn(bytes, offsets) -> {column: array}`` to every document, in Arrow batches without a shuffle.
 
     Only ``keep`` and ``text`` are read, so other columns and their names don't matter.  ``schema`` lists
@@ -174,7 +174,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: st
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            for lo, hi, u8, offsets in pieces(column):
+            for lo, hi, u8, offsets in pieces(column, piece):
                 out = fn(u8, offsets)
                 arrays = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(arrays + [_arrow(out[c], types[c]) for c in new], names=[*keep, *new])
