@@ -17,7 +17,6 @@ QUERIES = {
     "op10_jaccard_join": near.query,
 }
 ORACLE: dict[str, str] = {
-    "op2_language_id": language.query,
     "op3_decontamination": decontaminate.SQL,
     "op5_line_dedup": lines.SQL,
 }

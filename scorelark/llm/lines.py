@@ -65,7 +65,8 @@ def removals(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, m
 
 
 def dedup(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All documents with ``kept`` (their remaining text), ``n_lines`` and ``n_removed`` added."""
+    """doc_id, source, text (and ``_doc``, if there) of all documents with ``kept`` (the remaining text), ``n_lines`` and ``n_removed``."""
+    docs = docs.select(*(c for c in ("_doc", "doc_id", "source", "text") if c in docs.columns))
     marked = docs.withColumn("_row", _row())
     gone = removals(spark, docs, min_sites, min_chars).withColumnsRenamed({"row": "_row", "gone": "_gone"})
     joined = marked.join(gone, "_row", "left")

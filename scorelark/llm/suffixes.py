@@ -217,9 +217,10 @@ def _bucket(shards: int):
     """Sorts a bucket.  Rows are repeats, or (with ``shard``) packed windows to compare across boundaries."""
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         col = lambda k: table[k].to_numpy()
         inside, across = compare(col("t1"), col("t2"), col("token"), col("a").astype(np.int64), col("lo"), col("hi"), col("many"), table["bytes"].to_pylist())
         names = [c.split()[0] for c in FOUND.split(", ")]
@@ -254,7 +255,7 @@ def repeats(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUCKET_BYT
     buckets = max(1, -(-size // bucket_bytes))
     dealt = sent.repartitionByRange(buckets, "token", F.xxhash64("t1", "lo"))
     # what crosses boundaries is packed: a bucket sends one row per shard of window hashes
-    sorted_ = written(spark, dealt.mapInArrow(_bucket(-(-buckets // 16)), FOUND), "repeats")
+    sorted_ = written(spark, dealt.mapInArrow(_bucket(max(64, -(-buckets // 4))), FOUND), "repeats")
     run = ["t1", "t2", "lo", "hi"]
     crossing = sorted_.where("shard IS NOT NULL").select("shard", "hi", "windows").groupBy("shard").applyInPandas(_across, "t1 long, t2 long, lo long, hi long")
     return sorted_.where("shard IS NULL").select(run).unionByName(crossing).unionByName(found.where("bytes IS NULL").select(run))
