@@ -44,7 +44,13 @@ class Snapshots:
 
     def current(self) -> str | None:
         pointer = self._path(f"{self.path}/_current")
-        return self.spark.read.text(f"{self.path}/_current").first()[0] if self.fs.exists(pointer) else None
+        if not self.fs.exists(pointer):
+            return None
+        stream = self.fs.open(pointer)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def read(self) -> DataFrame | None:
         name = self.current()
