@@ -76,7 +76,7 @@ def rarity(docs: DataFrame, shingles: dict[int, np.ndarray]) -> dict[tuple[int,
         return np.concatenate(sizes), np.concatenate(found)
 
     def run(batches):
-        for batch in batches:
+        for batch in tk.steady(batches):
             for _, _, u8, offsets in tk.pieces(batch.column(0)):
                 size, found = count(u8, offsets)
                 both, n = np.unique(np.stack([size.astype(tk.U), found]), axis=1, return_counts=True)

@@ -92,7 +92,7 @@ def train(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE) -> Model:
 
     def document_frequency(batches):
         total, n = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
+        for batch in tk.steady(batches):
             for _, _, u8, offsets in tk.pieces(batch.column(0)):
                 for _, count in counts(u8, offsets):
                     total += (count > 0).sum(0)
@@ -109,7 +109,7 @@ def train(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE) -> Model:
     picked = rows.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def to_vectors(batches):
-        for batch in batches:
+        for batch in tk.steady(batches):
             for lo, hi, u8, offsets in tk.pieces(batch.column(0)):
                 lang = batch.column(1).slice(lo, hi - lo)
                 for first, count in counts(u8, offsets):

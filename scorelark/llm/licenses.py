@@ -136,7 +136,7 @@ def frequencies(docs: DataFrame) -> dict[int, int]:
     index = Index()
 
     def run(batches):
-        for batch in batches:
+        for batch in tk.steady(batches):
             for _, _, u8, offsets in tk.pieces(batch.column(0)):
                 words = tk.Words(tk.LOWER[u8], offsets, tk.ALNUM)
                 at, code = index.look.find(words.hashes())

@@ -269,7 +269,7 @@ def _blobs(rows: DataFrame, encode, shards: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])]))
             yield from _emit(shard[first], code[first], np.add.reduceat(count, first))
 
-        for batch in batches:
+        for batch in tk.steady(batches):
             for _, _, u8, offsets in tk.pieces(batch.column(0), PIECE):
                 shard, code = encode(u8, offsets)
                 order = np.lexsort((code, shard))

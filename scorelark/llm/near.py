@@ -125,7 +125,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """class (a hash of the shingle set), n shingles, sig, doc_id and text hashes of each document; class is null without words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tk.steady(batches):
             for lo, hi, u8, offsets in tk.pieces(batch.column(3)):
                 values, cut = shingles(u8, offsets)
                 sig, n = signatures(values, cut), np.diff(cut)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textkit as tk
 from .token_counts import SPECIAL
 
 LENGTH, OPEN, END = 1024, 4096, 2
@@ -88,7 +89,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, most:
             _tokenizers[path] = tokenizer(path)
         encode = _tokenizers[path].encode_to_numpy
         base, bins = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, Bins(length, most)
-        for batch in batches:
+        for batch in tk.steady(batches):
             ids_of = batch.column(0)
             for lo in range(0, len(batch), 2000):
                 row, start, raw = [], [], []

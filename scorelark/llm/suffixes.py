@@ -111,7 +111,7 @@ def _cut(docs: DataFrame, tokens: tuple[str, list[int]]) -> DataFrame:
 
     def run(batches):
         known = Tokens(*tokens)
-        for batch in batches:
+        for batch in tk.steady(batches):
             for row, _, u8, offsets in tk.pieces(batch.column(2)):
                 prefix, place, lo, hi, token = records(u8, offsets)
                 keep = known.has(token)
@@ -269,7 +269,7 @@ def remove(spark: SparkSession, docs: DataFrame, keep: list[str]) -> DataFrame:
     joined = text.join(flat, ["_t1", "_t2"], "left").select(*keep, "_text", "_lo", "_hi")
 
     def run(batches):
-        for batch in batches:
+        for batch in tk.steady(batches):
             k = len(keep)
             raw, los, his = batch.column(k).cast(pa.binary()), batch.column(k + 1), batch.column(k + 2)
             out = []

@@ -11,6 +11,7 @@ every executor and in every run.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,24 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_libc = None
+
+
+def steady(batches: Iterator) -> Iterator:
+    """The batches; between them memory that is free goes back to the system, since workers live long and share a machine."""
+    global _libc
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):  # another C library
+            _libc = int
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        _libc(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -172,7 +191,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: st
     types = {name: kind for name, kind in (part.strip().split(None, 1) for part in schema.split(", "))}
 
     def run(batches):
-        for batch in batches:
+        for batch in steady(batches):
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi, u8, offsets in pieces(column, piece):
                 out = fn(u8, offsets)

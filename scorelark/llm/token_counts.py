@@ -133,7 +133,7 @@ def pretokens(u8: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _distinct(batches):
     """Distinct pre-tokens of each piece with their bytes and frequency."""
-    for batch in batches:
+    for batch in tk.steady(batches):
         for _, _, u8, offsets in tk.pieces(batch.column(0), 2 * tk.PIECE):
             starts, ends, _ = pretokens(u8, offsets)
             keys, first, n = np.unique(tk.spans_hash(tk.prefix_hash(u8), starts, ends), return_index=True, return_counts=True)
@@ -154,7 +154,7 @@ def _pieces(path: str):
             _tokenizers[path] = Tokenizer.from_file(path)
             _tokenizers[path].encode_special_tokens = True  # special strings were cut out before
         tokenizer = _tokenizers[path]
-        for batch in batches:
+        for batch in tk.steady(batches):
             words = [w.decode() for w in batch.column(1).to_pylist()]
             n = [len(e.ids) for i in range(0, len(words), 500) for e in tokenizer.encode_batch_fast(words[i : i + 500], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], names=["key", "pieces", "freq"])
@@ -179,7 +179,7 @@ def counts(spark: SparkSession, docs: DataFrame, path: str, hot: int = HOT) -> D
 
     def run(batches):
         keys, pieces = known.value
-        for batch in batches:
+        for batch in tk.steady(batches):
             for lo, hi, u8, offsets in tk.pieces(batch.column(2)):
                 starts, ends, special = pretokens(u8, offsets)
                 hashes = tk.spans_hash(tk.prefix_hash(u8), starts, ends).view(np.int64)
