@@ -15,13 +15,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
+    first = True
     while True:
-        label = written(label, "labels")
+        label = written(label, "labels") if first else label
+        first = False
         of = label.select(F.col("node").alias("b"), F.col("component").alias("near"))
         spread = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         nearer = label.join(spread, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        jump = nearer.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        # a label's own label is nearer still
+        jump = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = written(nearer.join(jump, "component").select("node", F.least("component", "further").alias("component"), "old"), "labels")
-        if new.where("component <> old").isEmpty():
-            return new.select("node", "component")
         label = new.select("node", "component")
+        if new.where("component <> old").isEmpty():
+            return label

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .components import components
 from .matching import PRECISION_RANK, SOURCE_RANK, rank_of, related_pairs
 
@@ -55,6 +56,7 @@ def fold(nodes: pd.DataFrame, pairs: list[tuple]) -> list[tuple]:
 def merges(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """ER3: keep, drop, in the order of ``step``.  Decisions only meet inside a component of the edges, so each component is one small group."""
     kind = events.schema["id"].dataType.simpleString()
+    pairs = written(pairs, "pairs")
     label = components(pairs)
     ranked = events.select("id", F.col("start_date").cast("string").alias("start_date"), F.col("created_at").cast("string").alias("created_at"), rank_of(PRECISION_RANK, F.col("date_precision")).alias("precision_rank"), rank_of(SOURCE_RANK, F.col("source")).alias("source_rank"))
     nodes = ranked.join(label.withColumnRenamed("node", "id"), "id")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_compatible, normalize_text
+from ..session import written
 from .components import components
 
 REASONS = {
@@ -136,6 +137,7 @@ def identities(names: DataFrame, pairs: DataFrame, apart: DataFrame, overrides:
         apart = apart.unionByName(o.where("action = 'separate'").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
         forced = o.where("action = 'merge'").select("a", "b", F.concat(F.lit("forced:"), F.lpad(F.col("id").cast("string"), 20, "0")).alias("kind"))
         pairs = pairs.unionByName(forced)
+    pairs = written(pairs, "pairs")
     label = components(pairs.select("a", "b"))
     of = lambda c: label.select(F.col("node").alias(c), "component")
     links = pairs.join(of("a"), "a").select("component", "a", "b", "kind")
@@ -159,7 +161,7 @@ def identities(names: DataFrame, pairs: DataFrame, apart: DataFrame, overrides:
 def rebuild(marks: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """ER10, ER11 from marks (sheet_url, section, judge): judge_aliases anew; after an override is appended this is run again."""
     shown = panels(marks)
-    names = judges(shown)
+    names = written(judges(shown), "judges")
     return identities(names, candidates(names), together(shown), overrides)
 
 
