@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import is_fresh
@@ -56,12 +55,15 @@ def numbers_to_recheck(known: DataFrame, pending: DataFrame, now: Column) -> Dat
 def walk(probes: DataFrame, begin: int, limit: int = MISS_LIMIT) -> DataFrame:
     """ST7, W9, J25: the probed numbers that a walk from ``begin`` visits: it ends with the ``limit``-th miss in a row.
 
-    probes (n, hit); a number without a probe is a miss.  The run of misses before a number is the distance to the last
-    hit before it, which is a gap between hits and needs no walk: the first gap of ``limit`` ends it.
+    probes (n, hit); a number without a probe is a miss.  The walk ends after the first hit that has no other within
+    ``limit`` after it, which a join over buckets finds without walking.
     """
     hits = probes.where(F.col("hit") & (F.col("n") >= begin)).select("n").distinct()
-    # one row per hit of one provider's numbering: thousands, not the data
-    gaps = hits.select("n", (F.lead("n").over(W.orderBy("n")) - F.col("n") - 1).alias("gap"))
-    found = gaps.agg(F.min("n").alias("first"), F.min(F.when((F.col("gap") >= limit) | F.col("gap").isNull(), F.col("n"))).alias("last"))
+    # a hit goes on if another lies within ``limit`` after it: such hits share a bucket of that width or lie in the next
+    bucket = F.floor(F.col("n") / limit)
+    near = hits.select(F.col("n").alias("m"), bucket.alias("b"))
+    goes_on = hits.withColumn("b", F.explode(F.array(bucket, bucket + 1))).join(near, "b").where((F.col("m") > F.col("n")) & (F.col("m") <= F.col("n") + limit)).select("n")
+    ends = hits.join(goes_on, "n", "left_anti").select("n", F.lit(True).alias("end"))
+    found = hits.select("n", F.lit(False).alias("end")).unionByName(ends).agg(F.min("n").alias("first"), F.min(F.when(F.col("end"), F.col("n"))).alias("last"))
     bound = found.select(F.when((F.col("first") - begin >= limit) | F.col("first").isNull(), F.lit(begin + limit - 1)).otherwise(F.col("last") + limit).alias("end"))
     return probes.where(F.col("n") >= begin).join(bound, F.col("n") <= F.col("end")).select("n", "hit")
