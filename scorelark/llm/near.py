@@ -269,7 +269,7 @@ def verify(ids: np.ndarray, sets: list[np.ndarray], size: np.ndarray, part: np.n
 def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, t1, t2 (hashes of its text), class_id (smallest doc_id of its component), n_links, n_copies."""
     rows = written(spark, classes(docs), "signatures")
-    once = rows.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("size"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands"), F.min(F.struct("t1", "t2", "doc_id")).alias("at"))
+    once = rows.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("size"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands"), F.min(F.struct("t1", "t2", "doc_id")).alias("at"), F.min("doc_id").alias("first"))
     once = written(spark, once, "classes")
     family = components(spark, candidates(spark, once))
     members = once.join(family.withColumnRenamed("node", "class"), "class").select("class", "size", "n", "root", "at.t1", "at.t2", F.col("at.doc_id").alias("rep"))
@@ -296,12 +296,14 @@ def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFr
     found = written(spark, found, "links")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     true = components(spark, found.select(F.col("class").alias("a"), F.col("link_root").alias("b")))
-    joined = rows.select("doc_id", "t1", "t2", "class").join(once.select("class", "size"), "class", "left").join(links, "class", "left").join(true.withColumnsRenamed({"node": "class", "root": "true"}), "class", "left")
-    # documents without words stand alone
-    component = F.coalesce("true", "class")
-    least = joined.where("class IS NOT NULL").groupBy(component.alias("component")).agg(F.min("doc_id").alias("class_id"))
-    out = joined.withColumn("component", component).join(least, "component", "left")
-    return out.select("doc_id", "t1", "t2", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("size"), F.lit(1)) - 1).alias("n_links"), (F.coalesce("size", F.lit(1))).alias("n_copies"))
+    # everything is decided per class; documents, of which one class may hold a third, only look their class up
+    per = once.select("class", "size", "first").join(links, "class", "left").join(true.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = per.groupBy("root").agg(F.min("first").alias("class_id"))
+    per = per.join(least, "root").select("class", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("size").alias("n_copies"))
+    documents = rows.select("doc_id", "t1", "t2", "class")
+    alone = documents.where("class IS NULL").select("doc_id", "t1", "t2", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    found = documents.where("class IS NOT NULL").join(per, "class").select("doc_id", "t1", "t2", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", "n_copies")
+    return found.unionByName(alone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
