@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import call_count, written
 from .components import components
 from .matching import PRECISION_RANK, SOURCE_RANK, rank_of, related_pairs
 
@@ -28,29 +30,29 @@ def edges(events: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def fold(nodes: pd.DataFrame, pairs: list[tuple]) -> list[tuple]:
+def fold(nodes: list[tuple], pairs: list[tuple]) -> list[tuple]:
     """(kept, dropped) of one component, in the published order.
 
-    Events are visited by start date; each is compared with the later ones it has an edge to, as long as both are
-    still there; the better ranked one stays.
+    nodes: (id, start_date, precision rank, source rank, created_at).  Events are visited by start date; each is
+    compared with the later ones it has an edge to, as long as both are still there; the better ranked one stays.
     """
-    order = {row.id: i for i, row in enumerate(nodes.sort_values(["start_date", "id"]).itertuples())}
-    rank = {row.id: (row.precision_rank, row.source_rank, row.created_at, row.id) for row in nodes.itertuples()}
+    order = {n[0]: i for i, n in enumerate(sorted(nodes, key=lambda n: (n[1], n[0])))}
+    rank = {n[0]: (*n[2:], n[0]) for n in nodes}
     later: dict = {}
     for a, b in pairs:
         first, second = sorted((a, b), key=order.__getitem__)
         later.setdefault(first, []).append(second)
-    gone, merges = set(), []
-    for a in sorted(order, key=order.__getitem__):
-        for b in sorted(later.get(a, []), key=order.__getitem__):
+    gone, merges_ = set(), []
+    for a in sorted(later, key=order.__getitem__):
+        for b in sorted(later[a], key=order.__getitem__):
             if a in gone:
                 break
             if b in gone:
                 continue
             keep, drop = sorted((a, b), key=rank.__getitem__)
             gone.add(drop)
-            merges.append((keep, drop))
-    return merges
+            merges_.append((keep, drop))
+    return merges_
 
 
 def merges(events: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -58,16 +60,21 @@ def merges(events: DataFrame, pairs: DataFrame) -> DataFrame:
     kind = events.schema["id"].dataType.simpleString()
     pairs = written(pairs, "pairs")
     label = components(pairs)
-    ranked = events.select("id", F.col("start_date").cast("string").alias("start_date"), F.col("created_at").cast("string").alias("created_at"), rank_of(PRECISION_RANK, F.col("date_precision")).alias("precision_rank"), rank_of(SOURCE_RANK, F.col("source")).alias("source_rank"))
-    nodes = ranked.join(label.withColumnRenamed("node", "id"), "id")
-    own = pairs.join(label.select(F.col("node").alias("a"), "component"), "a")
+    calls = call_count(events.sparkSession)
+    ranked = events.select("id", F.col("start_date").cast("string").alias("start_date"), rank_of(PRECISION_RANK, F.col("date_precision")).alias("precision_rank"), rank_of(SOURCE_RANK, F.col("source")).alias("source_rank"), F.col("created_at").cast("string").alias("created_at"))
+    call = F.pmod(F.xxhash64("component"), F.lit(calls))
+    nodes = ranked.join(label.withColumnRenamed("node", "id"), "id").withColumn("call", call)
+    own = pairs.join(label.select(F.col("node").alias("a"), "component"), "a").select(call.alias("of"), F.col("component").alias("c"), "a", "b")
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        found = fold(n, list(zip(e["a"], e["b"], strict=True)))
-        return pd.DataFrame([(k, d, i) for i, (k, d) in enumerate(found)], columns=["keep", "drop", "step"])
-
-    own = own.select(F.col("component").alias("of"), "a", "b")
-    return nodes.groupBy("component").cogroup(own.groupBy("of")).applyInPandas(run, f"keep {kind}, drop {kind}, step int")
+        links, members = defaultdict(list), defaultdict(list)
+        for c, a, b in zip(e["c"], e["a"], e["b"], strict=True):
+            links[c].append((a, b))
+        for c, *row in zip(*(n[k] for k in ("component", "id", "start_date", "precision_rank", "source_rank", "created_at")), strict=True):
+            members[c].append(tuple(row))
+        return pd.DataFrame([(k, d, i) for c in sorted(members) for i, (k, d) in enumerate(fold(members[c], links[c]))], columns=["keep", "drop", "step"])
+
+    return nodes.groupBy("call").cogroup(own.groupBy("of")).applyInPandas(run, f"keep {kind}, drop {kind}, step int")
 
 
 def final_targets(merged: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_compatible, normalize_text
-from ..session import written
+from ..session import call_count, written
 from .components import components
 
 REASONS = {
@@ -145,14 +145,20 @@ def identities(names: DataFrame, pairs: DataFrame, apart: DataFrame, overrides:
     nodes = names.join(of("name"), "name")
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        rows = list(e[["a", "b", "kind"]].itertuples(index=False, name=None))
-        forced = [(a, b) for a, b, k in sorted(rows, key=lambda r: r[2]) if k.startswith("forced:")]
-        nodes_ = {a: (int(p), d) for a, p, d in zip(n["name"], n["panels"], n["display"], strict=True)}
-        plain = [r for r in rows if r[2] != "apart" and not r[2].startswith("forced:")]
-        found = resolve(nodes_, plain, {(a, b) for a, b, k in rows if k == "apart"}, forced)
-        return pd.DataFrame(found)
-
-    grouped = nodes.groupBy("component").cogroup(links.withColumnRenamed("component", "of").groupBy("of")).applyInPandas(run, ALIASES)
+        members, links = defaultdict(dict), defaultdict(list)
+        for c, name, count, display in zip(n["component"], n["name"], n["panels"], n["display"], strict=True):
+            members[c][name] = (int(count), display)
+        for c, a, b, kind in zip(e["c"], e["a"], e["b"], e["kind"], strict=True):
+            links[c].append((a, b, kind))
+        found = []
+        for c in sorted(members):
+            forced = [(a, b) for a, b, k in sorted(links[c], key=lambda r: r[2]) if k.startswith("forced:")]
+            plain = [r for r in links[c] if r[2] != "apart" and not r[2].startswith("forced:")]
+            found += resolve(members[c], plain, {(a, b) for a, b, k in links[c] if k == "apart"}, forced)
+        return pd.DataFrame(found, columns=[c.split()[0] for c in ALIASES.split(", ")])
+
+    call = F.pmod(F.xxhash64("component"), F.lit(call_count(names.sparkSession)))
+    grouped = nodes.withColumn("call", call).groupBy("call").cogroup(links.select(call.alias("of"), F.col("component").alias("c"), "a", "b", "kind").groupBy("of")).applyInPandas(run, ALIASES)
     none = F.lit(None).cast("string")
     alone = names.join(of("name"), "name", "left_anti").select(F.col("name").alias("alias_norm"), F.col("display").alias("alias_name"), F.col("name").alias("judge_key"), F.col("display").alias("judge_name"), F.lit("exact").alias("method"), F.lit("high").alias("confidence"), none.alias("reason"), F.lit(None).cast("array<string>").alias("candidates"), "panels")
     return grouped.unionByName(alone)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsons import opaque_id
 from ..functions.text import is_short_alias, normalize_text
+from ..session import call_count
 from .filters import compatible_countries, in_month
 from .matching import PRECISION_RANK, find_related, first_by, rank_of
 
@@ -30,17 +33,21 @@ def find_series(rows: DataFrame, series: DataFrame, aliases: DataFrame, key: str
     return out.select(*rows.columns, F.coalesce("_exact", "_alias").alias("series_id"), F.when(F.col("_exact").isNull(), F.col("n_series")).alias("n_series"))
 
 
-def fold(rows: pd.DataFrame, candidates: pd.DataFrame) -> list[tuple]:
-    """(row, event, difference, ambiguous) of one series, in listing order; an event is taken once."""
-    mine: dict = {}
-    for c in candidates.sort_values(["row_id", "diff", "created_at", "id"]).itertuples():
-        mine.setdefault(c.row_id, []).append(c)
+def fold(rows: list[tuple], candidates: list[tuple]) -> list[tuple]:
+    """(row, event, difference, ambiguous) of one series, in listing order; an event is taken once.
+
+    rows: (row_index, row_id); candidates: (row_id, diff, created_at, id).
+    """
+    mine = defaultdict(list)
+    for row, *rest in sorted(candidates):
+        mine[row].append(rest)
     taken, out = set(), []
-    for row in rows.sort_values(["row_index", "row_id"]).itertuples():
-        free = [c for c in mine.get(row.row_id, []) if c.id not in taken]
+    for _, row in sorted(rows):
+        free = [c for c in mine[row] if c[2] not in taken]
         if free:
-            taken.add(free[0].id)
-            out.append((row.row_id, free[0].id, int(free[0].diff), free[0].diff > 0 and len(free) > 1 and free[0].diff == free[1].diff))
+            diff, _, event = free[0]
+            taken.add(event)
+            out.append((row, event, int(diff), bool(diff > 0 and len(free) > 1 and free[1][0] == diff)))
     return out
 
 
@@ -58,10 +65,16 @@ def match_occurrences(rows: DataFrame, events: DataFrame, days: int = CALENDAR_D
     row, event = (f.schema[c].dataType.simpleString() for f, c in ((rows, "row_id"), (events, "id")))
 
     def run(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(r, c) if len(c) else [], columns=["row_id", "id", "diff", "ambiguous"])
-
-    mine = rows.select(F.col("series_id").alias("of"), F.col("row_id").alias("row_id"), "row_index")
-    return mine.groupBy("of").cogroup(pairs.groupBy("series_id")).applyInPandas(run, f"row_id {row}, id {event}, diff int, ambiguous boolean")
+        listed, found = defaultdict(list), defaultdict(list)
+        for series, *row in zip(r["s"], r["i"], r["r"], strict=True):
+            listed[series].append(tuple(row))
+        for series, *row in zip(c["series_id"], c["row_id"], c["diff"], c["created_at"], c["id"], strict=True):
+            found[series].append(tuple(row))
+        return pd.DataFrame([x for s in sorted(found) for x in fold(listed[s], found[s])], columns=["row_id", "id", "diff", "ambiguous"])
+
+    call = F.pmod(F.xxhash64("series_id"), F.lit(call_count(rows.sparkSession)))
+    mine = rows.select(F.col("series_id").alias("s"), F.col("row_id").alias("r"), F.col("row_index").alias("i"), call.alias("of"))
+    return mine.groupBy("of").cogroup(pairs.withColumn("call", call).groupBy("call")).applyInPandas(run, f"row_id {row}, id {event}, diff int, ambiguous boolean")
 
 
 def in_series_month(rows: DataFrame, events: DataFrame) -> DataFrame:

@@ -45,3 +45,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def call_count(spark: SparkSession) -> int:
+    """Into how many calls small groups are gathered, so that each call handles many; follows the number of partitions."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

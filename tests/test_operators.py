@@ -4,7 +4,6 @@ import datetime
 import itertools
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,10 +72,10 @@ def test_fold_is_the_sequential_scan():
     rng = random.Random(4)
     for _ in range(200):
         n = rng.randint(2, 8)
-        nodes = pd.DataFrame({"id": list(range(n)), "start_date": [str(rng.randint(1, 4)) for _ in range(n)], "precision_rank": [rng.randint(0, 2) for _ in range(n)], "source_rank": [rng.randint(0, 2) for _ in range(n)], "created_at": [str(rng.randint(1, 3)) for _ in range(n)]})
+        nodes = [(i, str(rng.randint(1, 4)), rng.randint(0, 2), rng.randint(0, 2), str(rng.randint(1, 3))) for i in range(n)]
         edges = [(a, b) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.4]
-        order = nodes.sort_values(["start_date", "id"])["id"].tolist()
-        rank = {r.id: (r.precision_rank, r.source_rank, r.created_at, r.id) for r in nodes.itertuples()}
+        order = [x[0] for x in sorted(nodes, key=lambda x: (x[1], x[0]))]
+        rank = {x[0]: (*x[2:], x[0]) for x in nodes}
         gone, plain = set(), []
         for i, a in enumerate(order):
             for b in order[i + 1 :]:
