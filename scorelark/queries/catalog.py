@@ -113,13 +113,13 @@ def tristate_left(t):
 
 
 @query("q_event_info_fallback", """
-SELECT l.l_orderkey AS event_id, coalesce(CASE WHEN e.id % 3 = 0 THEN e.name END, s_name) AS event_name, count(*) AS n
-FROM lineitem l LEFT JOIN events_view e ON e.id = l.l_orderkey AND e.id % 3 = 0 LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+SELECT l.l_orderkey AS event_id, coalesce(e.name, s_name) AS event_name, count(*) AS n
+FROM lineitem l LEFT JOIN events_view e ON e.id = l.l_orderkey AND e.lifecycle_status = 'listed' LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
 def event_info_fallback(t):
     from ..operators.matching import event_info
 
     entries = t["lineitem"].select(F.col("l_orderkey").alias("event_id"), F.lit("p").alias("provider"), F.col("l_suppkey").cast("string").alias("provider_event_key"))
-    e = view(t, "events_view").where("id % 3 = 0").select("id", "name", "start_date", "end_date", "date_precision", F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("region"), "country")
+    e = view(t, "events_view").where("lifecycle_status = 'listed'").select("id", "name", "start_date", "end_date", "date_precision", F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("region"), "country")
     pe = t["supplier"].select(F.lit("p").alias("provider"), F.col("s_suppkey").cast("string").alias("provider_key"), F.col("s_name").alias("name"), F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"))
     return event_info(entries, e, pe).groupBy("event_id", "event_name").agg(F.count("*").alias("n"))
 

@@ -170,7 +170,7 @@ def q_result_label(t):
 
 
 @query("q_panel_pairs", """
-WITH s AS (SELECT DISTINCT l_orderkey, lower(s_name) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 7),
+WITH s AS (SELECT DISTINCT l_orderkey, lower(s_name) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
 n AS (SELECT l_orderkey, regexp_replace(n, '[^a-z0-9]+', ' ', 'g') AS n FROM s)
 SELECT DISTINCT x.n AS a, y.n AS b FROM n x JOIN n y ON x.l_orderkey = y.l_orderkey AND x.n < y.n""")
 def panel_pairs(t):
@@ -178,12 +178,12 @@ def panel_pairs(t):
 
 
 def _panel(t):
-    l = t["lineitem"].where("l_linenumber = 7").join(t["supplier"], F.col("s_suppkey") == F.col("l_suppkey"))  # noqa: E741
-    return l.select(F.col("l_orderkey").alias("sheet_url"), F.lit("7").alias("section"), F.col("s_name").alias("judge"))
+    l = t["lineitem"].join(t["supplier"], F.col("s_suppkey") == F.col("l_suppkey"))  # noqa: E741
+    return l.select(F.col("l_orderkey").alias("sheet_url"), F.lit("all").alias("section"), F.col("s_name").alias("judge"))
 
 
 @query("q_panel_counts", """
-SELECT regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g') AS name, s_name AS display, count(DISTINCT l_orderkey) AS panels FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 7 GROUP BY ALL""")
+SELECT regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g') AS name, s_name AS display, count(DISTINCT l_orderkey) AS panels FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL""")
 def panel_counts(t):
     return jd.judges(jd.panels(_panel(t)))
 

@@ -16,15 +16,15 @@ from ..views import Registry, view
 
 query = Registry()
 _TRACKED = ["name", "start_date", "status"]
-_NEW = "SELECT o_orderkey AS id, 'n' || CAST(o_custkey AS STRING) AS name, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderdate AS DATE) + 1 ELSE CAST(o_orderdate AS DATE) END AS start_date, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 10 <> 3"
-_OLD = "SELECT o_orderkey AS id, 'n' || CAST(o_custkey AS STRING) AS name, CAST(o_orderdate AS DATE) AS start_date, o_orderstatus AS status, o_orderkey % 7 <> 2 AS active FROM orders WHERE o_orderkey % 10 <> 4"
+_NEW = "SELECT o_orderkey AS id, 'n' || CAST(o_custkey AS STRING) AS name, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderdate AS DATE) + 1 ELSE CAST(o_orderdate AS DATE) END AS start_date, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS status FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'"
+_OLD = "SELECT o_orderkey AS id, 'n' || CAST(o_custkey AS STRING) AS name, CAST(o_orderdate AS DATE) AS start_date, o_orderstatus AS status, o_orderkey % 7 <> 2 AS active FROM orders WHERE o_orderdate < TIMESTAMP '2000-06-01'"
 
 
 def _old_new(t):
     o, k = t["orders"], F.col("o_orderkey")
     name, d = F.concat(F.lit("n"), F.col("o_custkey").cast("string")).alias("name"), F.to_date("o_orderdate")
-    new = o.where(k % 10 != 3).select(k.alias("id"), name, F.when(k % 6 == 0, F.date_add(d, 1)).otherwise(d).alias("start_date"), F.when(k % 9 != 0, F.col("o_orderstatus")).alias("status"))
-    old = o.where(k % 10 != 4).select(k.alias("id"), name, d.alias("start_date"), F.col("o_orderstatus").alias("status"), (k % 7 != 2).alias("active"))
+    new = o.where(F.col("o_orderdate") >= "1996-01-01").select(k.alias("id"), name, F.when(k % 6 == 0, F.date_add(d, 1)).otherwise(d).alias("start_date"), F.when(k % 9 != 0, F.col("o_orderstatus")).alias("status"))
+    old = o.where(F.col("o_orderdate") < "2000-06-01").select(k.alias("id"), name, d.alias("start_date"), F.col("o_orderstatus").alias("status"), (k % 7 != 2).alias("active"))
     return old, new
 
 
@@ -86,10 +86,11 @@ def insert_ignore(t):
     return tables.insert_ignore(old.select("id", "start_date"), new.select("id", "start_date"), ["id"], ["start_date"])
 
 
-@query("q_replace_sheets", "SELECT o_orderkey AS sheet_url, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS v, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
+@query("q_replace_sheets", "SELECT o_orderkey AS sheet_url, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS v, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
 def replace_sheets(t):
     e = t["lineitem"].select(F.col("l_orderkey").alias("sheet_url"), F.lit("old").alias("v"))
-    out = tables.replace_sheets(e, e.where("sheet_url % 4 = 0").withColumn("v", F.lit("new")))
+    read = t["orders"].where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("sheet_url"))
+    out = tables.replace_sheets(e, e.join(read, "sheet_url", "left_semi").withColumn("v", F.lit("new")))
     return out.groupBy("sheet_url", "v").agg(F.count("*").alias("n"))
 
 
@@ -101,10 +102,10 @@ def scd2(t):
 
 
 @query("q_confirmed", """
-SELECT id, CASE WHEN id % 3 = 0 THEN 'confirmed' ELSE 'unconfirmed' END AS confirmation_status FROM events_view""")
+SELECT id, CASE WHEN lifecycle_status = 'listed' THEN 'confirmed' ELSE 'unconfirmed' END AS confirmation_status FROM events_view""")
 def confirmed(t):
-    e = view(t, "events_view").select("id", F.col("id").cast("string").alias("normalized_name"), "start_date", F.when(F.col("id") % 2 == 0, F.col("country")).alias("country"))
-    return matching.confirmed(e, e.where("id % 3 = 0")).select("id", "confirmation_status")
+    e = view(t, "events_view").select("id", F.col("id").cast("string").alias("normalized_name"), "start_date", F.when(F.col("id") % 2 == 0, F.col("country")).alias("country"), "lifecycle_status")
+    return matching.confirmed(e, e.where("lifecycle_status = 'listed'")).select("id", "confirmation_status")
 
 
 @query("q_latest_run", """
@@ -125,12 +126,12 @@ def freshness(t):
 
 
 @query("q_recheck_due", """
-SELECT id, start_date FROM events_view e LEFT JOIN (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 3 DAY AS checked_at FROM orders WHERE o_orderkey % 2 = 0) w ON w.o_orderkey = e.id
+SELECT id, start_date FROM events_view e LEFT JOIN (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 3 DAY AS checked_at FROM orders WHERE o_orderstatus <> 'P') w ON w.o_orderkey = e.id
 WHERE start_date <= DATE '1998-01-01' AND (checked_at IS NULL OR checked_at < CASE WHEN end_date >= DATE '1997-12-11' THEN TIMESTAMP '1998-01-01' - INTERVAL 20 HOUR ELSE TIMESTAMP '1998-01-01' - INTERVAL 7 DAY END)
 ORDER BY start_date DESC, id LIMIT 25""")
 def recheck_due(t):
     e = view(t, "events_view").withColumns({"website_url": F.lit("https://a.example"), "merged_into": F.lit(None).cast("long")})
-    checks = t["orders"].where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("event_id"), (F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")).alias("checked_at"))
+    checks = t["orders"].where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("event_id"), (F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")).alias("checked_at"))
     return scans.websites_due(e, checks, F.lit("1998-01-01").cast("timestamp_ntz")).select("id", "start_date")
 
 
@@ -143,11 +144,11 @@ def scan_gaps(t):
 
 
 @query("q_known_numbers", """
-SELECT n FROM (SELECT DISTINCT event_id AS n FROM events WHERE ts >= TIMESTAMP '2023-12-31' AND event_id < (SELECT max(event_id) - 30 FROM events)) WHERE n % 5 = 0""")
+SELECT DISTINCT event_id AS n FROM events WHERE event_type = 'signup' AND event_id < (SELECT max(event_id) - 30 FROM events)""")
 def known_numbers(t):
     e = t["events"]
-    known = e.select(F.col("event_id").alias("n"), F.when(F.col("event_id") % 5 == 0, F.lit("2024-01-25").cast("date")).alias("start_date"))
-    pending = e.limit(0).select(F.col("event_id").alias("n"), F.lit("").alias("status"), F.col("ts").alias("first_seen_at"), F.col("ts").alias("last_checked_at"))
+    known = e.select(F.col("event_id").alias("n"), F.when(F.col("event_type") == "signup", F.lit("2024-01-25").cast("date")).alias("start_date"))
+    pending = e.select(F.col("event_id").alias("n"), F.col("event_type").alias("status"), F.col("ts").alias("first_seen_at"), F.col("ts").alias("last_checked_at"))
     return scans.numbers_to_recheck(known, pending, F.lit("2024-01-30").cast("timestamp_ntz"))
 
 
