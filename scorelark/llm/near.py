@@ -311,7 +311,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of linked documents the one with the smallest doc_id stays."""
+    """Pipeline stage: of each component of linked documents the one with the smallest doc_id stays.
+
+    Rows that repeat a document, id and text, are that document, and stay or go together.
+    """
     found = join(spark, docs)
     stay = found.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("doc_id").alias("_stay")).distinct()
     marked = tk.whole(docs).withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(7), "text"), "_stay": F.col("doc_id").cast("long")})
