@@ -12,10 +12,7 @@ def half_even_div(numerator: Column, denominator: Column) -> Column:
     Null if the denominator is null or zero.  Both sides must not be negative.
     """
     safe = F.when(denominator != 0, denominator)
-    whole = F.floor(numerator / safe).cast("long")
-    # the quotient of large longs may be off by one as a double; the remainder tells
-    whole = whole - F.when(whole * safe > numerator, 1).otherwise(0)
-    rest = numerator - whole * safe
+    whole, rest = F.call_function("div", numerator, safe), numerator % safe
     up = (2 * rest > safe) | ((2 * rest == safe) & (whole % 2 != 0))
     return whole + F.when(up, 1).otherwise(0)
 

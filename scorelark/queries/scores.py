@@ -48,12 +48,13 @@ a AS (SELECT competitor, year, role, count(*) AS callback_rounds, ({_div("sum(pc
 b AS (SELECT competitor, year, role, min(place) AS best_place FROM f GROUP BY ALL)
 SELECT competitor, year, role, callback_rounds, avg_callback_pct, yes, alt, no, best_place FROM a LEFT JOIN b USING (competitor, year, role)""")
 def callback_summary(t):
-    """The flagship: one pass over the marks for rounds, one small join for finals."""
-    owner = ["competitor", "year", "role"]
-    a = _rounds(t).groupBy(*owner).agg(F.count("*").alias("callback_rounds"), F.sum("pct_tenths").alias("p"), *(F.sum(c).alias(c) for c in ("yes", "alt", "no")))
-    b = _finals(t).groupBy(*owner).agg(F.min("place").alias("best_place"))
-    out = a.withColumn("avg_callback_pct", half_even_div(F.col("p"), F.col("callback_rounds")) / 10).drop("p")
-    return out.join(b, owner, "left").select(*owner, "callback_rounds", "avg_callback_pct", "yes", "alt", "no", "best_place")
+    """The flagship: one pass over the marks; rounds and finals come out of the same two aggregations."""
+    owner, final = ["competitor", "year", "role"], F.col("round") == "finals"
+    m = view(t, "marks_view").groupBy(*_KEY).agg(*mk.callback_aggregates(F.col("mark")), F.min(F.when(final, F.col("place"))).alias("place"))
+    m = m.withColumn("pct", F.when(~final, mk.callback_tenths(F.col("points_tenths"), F.col("judges_marking"))))
+    kinds = [F.sum(F.when(~final, F.col(c))).alias(c) for c in ("yes", "alt", "no")]
+    out = m.groupBy(*owner).agg(F.count_if(~final).alias("callback_rounds"), F.sum("pct").alias("p"), *kinds, F.min("place").alias("best_place")).where("callback_rounds > 0")
+    return out.select(*owner, "callback_rounds", (half_even_div(F.col("p"), F.col("callback_rounds")) / 10).alias("avg_callback_pct"), "yes", "alt", "no", "best_place")
 
 
 @query("q_callback_rounds", f"""
