@@ -255,7 +255,7 @@ class Trie:
         return count, base, best
 
 
-def _blobs(rows: DataFrame, encode, shards: int) -> DataFrame:
+def _blobs(rows: DataFrame, encode, shards: int, piece: int = PIECE) -> DataFrame:
     """Sorted distinct codes with counts per shard, of what ``encode(bytes, offsets) -> (shard, code)`` finds."""
 
     def run(batches):
@@ -270,7 +270,7 @@ def _blobs(rows: DataFrame, encode, shards: int) -> DataFrame:
             yield from _emit(shard[first], code[first], np.add.reduceat(count, first))
 
         for batch in tk.steady(batches):
-            for _, _, u8, offsets in tk.pieces(batch.column(0), PIECE):
+            for _, _, u8, offsets in tk.pieces(batch.column(0), piece):
                 shard, code = encode(u8, offsets)
                 order = np.lexsort((code, shard))
                 shard, code = shard[order], code[order]

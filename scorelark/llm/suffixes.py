@@ -82,7 +82,7 @@ def repeated_tokens(spark: SparkSession, docs: DataFrame) -> tuple[str, list[int
         return pd.DataFrame({"shard": [key[0]], "n": [len(code)]})
 
     sizes = [0] * shards
-    for r in _blobs(docs, encode, shards).groupBy("shard").applyInPandas(write, "shard int, n long").collect():  # a row per shard
+    for r in _blobs(docs, encode, shards, tk.PIECE).groupBy("shard").applyInPandas(write, "shard int, n long").collect():  # a row per shard
         sizes[r["shard"]] = r["n"]
     return path, sizes
 
@@ -194,12 +194,17 @@ def compare(t1, t2, token, a, lo, hi, many, raw: list[bytes]):
     ends = np.isin(token, [token.min(), token.max()])
     _, group, members = np.unique(token[one], return_inverse=True, return_counts=True)
     some = np.flatnonzero(one)[(members[group] > 1) | ends[one]]  # others have nobody to compare with
-    prefix = tk.prefix_hash(flat)
     n = (hi - lo + 1)[some]
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    owner = np.repeat(some, n)
-    begin = start[owner] + step
-    window = tk.mix(tk.spans_hash(prefix, begin, begin + LENGTH) + a[owner].astype(U) - step.astype(U))
+    first = np.concatenate([[0], np.cumsum(n)])
+    step = np.arange(first[-1]) - np.repeat(first[:-1], n)
+    owner, window = np.repeat(some, n), np.empty(first[-1], U)
+    i = 0
+    while i < len(some):  # prefix hashes of a piece at a time
+        j = max(i + 1, int(np.searchsorted(end[some], start[some[i]] + tk.PIECE, "right")))
+        base, part = start[some[i]], slice(first[i], first[j])
+        begin = start[owner[part]] + step[part] - base
+        window[part] = tk.mix(tk.spans_hash(tk.prefix_hash(flat[base : end[some[j - 1]]]), begin, begin + LENGTH) + a[owner[part]].astype(U) - step[part].astype(U))
+        i = j
     _, back, times = np.unique(window, return_inverse=True, return_counts=True)
     repeated = times[back] > 1
     part = repeated & ~whole[owner]
