@@ -5,9 +5,10 @@ up to CLUSTERS centroids, found by spherical k-means, because one language holds
 nearest centroid by cosine names the language; a text farther from it than the language's own texts ever are
 (``floor``) is rejected.
 
-Document frequencies cover all training rows.  Only the clustering looks at a sample, of about SAMPLE rows per
-language, picked by a hash of the text so that it is the same in every run; that bound is a parameter.  The
-model has languages x CLUSTERS x BUCKETS numbers whatever the corpus size.
+Document frequencies cover all training rows.  Only the clustering looks at a sample, of the SAMPLE distinct texts
+per language with the smallest hashes (all texts, if there are fewer), each weighted by its number of rows, so it is
+the same in every run and no language is lost; that bound is a parameter.  The model has languages x CLUSTERS x
+BUCKETS numbers whatever the corpus size.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; repeated rows
 get the same result; rows with a null language are not learned from; without any training row all is ``und``;
@@ -71,9 +72,10 @@ class Model:
     floor: np.ndarray  # lowest accepted cosine of each language
 
 
-def kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+def kmeans(v: np.ndarray, k: int, weight: np.ndarray | None = None, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; starts from the farthest points, so it needs no chance."""
-    centre = [v.mean(0)]
+    weight = np.ones(len(v)) if weight is None else weight
+    centre = [np.average(v, axis=0, weights=weight)]
     near = v @ centre[0]
     centres = [v[int(near.argmax())]]
     while len(centres) < min(k, len(v)):
@@ -81,7 +83,7 @@ def kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     c = np.array(centres)
     for _ in range(rounds):
         which = (v @ c.T).argmax(1)
-        c = np.array([v[which == j].mean(0) if (which == j).any() else c[j] for j in range(len(c))])
+        c = np.array([np.average(v[which == j], axis=0, weights=weight[which == j]) if (which == j).any() else c[j] for j in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 
@@ -102,26 +104,29 @@ def train(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE) -> Model:
     df = {r["slot"]: r["n"] for r in rows.select("text").mapInArrow(document_frequency, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     seen = df.get(-1, 0)
     idf = np.array([np.log((seen + 1) / (df.get(i, 0) + 1)) + 0.1 for i in range(BUCKETS)], np.float32)
-    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(5)))
+    size = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # one row per language
     if not size:
         return Model(idf, [], np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
-    share = F.create_map(*(F.lit(x) for lang, n in size.items() for x in (lang, min(1.0, sample / n))))
-    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    # twice as many texts as are wanted, so that the estimate can't leave too few; then the smallest hashes
+    share = F.create_map(*(F.lit(x) for lang, n in size.items() for x in (lang, min(1.0, 2 * sample / max(n, 1)))))
+    picked = hashed.where(F.pmod("h", F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40)).groupBy("lang", "h", "text").count().withColumn("h", F.pmod("h", F.lit(1 << 40)))
 
     def to_vectors(batches):
         for batch in tk.steady(batches):
-            for lo, hi, u8, offsets in tk.pieces(batch.column(0)):
-                lang = batch.column(1).slice(lo, hi - lo)
+            for lo, hi, u8, offsets in tk.pieces(batch.column(2)):
                 for first, count in counts(u8, offsets):
-                    yield pa.RecordBatch.from_arrays([lang.slice(first, len(count)), pa.array([x.tobytes() for x in vectors(count, idf)], pa.binary())], names=["lang", "vector"])
+                    lang, h, rows = (batch.column(i).slice(lo + first, len(count)) for i in (0, 1, 3))
+                    yield pa.RecordBatch.from_arrays([lang, h, rows, pa.array([x.tobytes() for x in vectors(count, idf)], pa.binary())], names=["lang", "h", "rows", "vector"])
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack([np.frombuffer(x, np.float32) for x in sorted(pdf["vector"])[: 4 * sample]])
-        c = kmeans(v, CLUSTERS)
+        pdf = pdf.sort_values(["h", "vector"])[:sample]
+        v = np.stack([np.frombuffer(x, np.float32) for x in pdf["vector"]])
+        c = kmeans(v, CLUSTERS, pdf["rows"].to_numpy(np.float64))
         nearest = np.sort((v @ c.T).max(1))
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.astype(np.float32).tobytes() for x in c], "floor": float(nearest[len(nearest) // 100])})
 
-    found = picked.mapInArrow(to_vectors, "lang string, vector binary").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, floor double").orderBy("lang", "centroid").collect()
+    found = picked.mapInArrow(to_vectors, "lang string, h long, rows long, vector binary").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, floor double").orderBy("lang", "centroid").collect()
     languages = sorted({r["lang"] for r in found})
     floor = {r["lang"]: r["floor"] for r in found}
     return Model(idf, languages, np.array([languages.index(r["lang"]) for r in found]), np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]), np.array([SLACK * floor[x] for x in languages]))

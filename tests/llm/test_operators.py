@@ -55,6 +55,19 @@ def test_language_without_training_rows(spark, make, edge):
     assert {r.lang_pred for r in got} == {"und"} and len(got) == len(edge)
 
 
+def test_language_of_repeated_rows(spark, make, words):
+    """However often few texts are repeated, each language keeps its sample of distinct texts."""
+    kinds = {lang: [f"{' '.join(words[a : a + 30])} {i}" for i in range(n)] for lang, a, n in (("aa", 0, 1), ("bb", 100, 1), ("cc", 200, 2), ("dd", 300, 1))}
+    for lang, texts in kinds.items():
+        alone = language.train(spark, make([(i, texts[i % len(texts)], lang) for i in range(1000)]), sample=1)
+        assert alone.languages == [lang] and len(alone.owner) == 1
+    rows = [(i, texts[i % len(texts)], lang) for lang, texts in kinds.items() for i in range(1000)]
+    model = language.train(spark, make(rows))
+    assert model.languages == list(kinds) and np.bincount(model.owner).tolist() == [1, 1, 2, 1]
+    got = language.predict(spark, make([(i, texts[0]) for i, texts in enumerate(kinds.values())]), model, ["doc_id"]).collect()
+    assert [r.lang_pred for r in sorted(got)] == list(kinds)
+
+
 @pytest.mark.parametrize("block", [8 << 20, 300])
 def test_decontamination(spark, make, edge, block):
     body = edge[11][1].split()
