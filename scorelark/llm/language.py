@@ -2,8 +2,13 @@
 
 A text becomes a normalised TF-IDF vector of byte n-grams of its letters, hashed into BUCKETS.  Each language has
 up to CLUSTERS centroids, found by spherical k-means, because one language holds several kinds of text.  The
-nearest centroid by cosine names the language; a text farther from it than the language's own texts ever are
-(``floor``) is rejected.
+nearest centroid by cosine names the language; a text farther from it than the ``floor`` of its length is rejected.
+
+Cosines grow with the length of a text, be it of the language or not.  So a language's floor is a line over
+lengths: beginnings of its sampled texts, cut at LENGTHS bytes, are held against centroids of the other half of the
+sample (own), and so are texts of random letters of four scripts and of the language's own letters dealt anew
+(strangers).  The floor is the middle of the LOW quantile of own and the HIGH quantile of strangers, and never
+above the former, so that where the two overlap no more than about LOW of a language's texts are lost.
 
 Document frequencies cover all training rows.  Only the clustering looks at a sample, of the SAMPLE distinct texts
 per language with the smallest hashes (all texts, if there are fewer), each weighted by its number of rows, so it is
@@ -29,7 +34,8 @@ from . import textkit as tk
 from .token_counts import _LETTER, byte_classes
 
 BUCKETS, CLUSTERS, SAMPLE, GRAMS = 4096, 4, 400, (1, 2, 3, 4)
-SLACK = 0.3
+LENGTHS, LOW, HIGH, STRANGERS = tuple(1 << k for k in range(2, 15)), 0.05, 0.99, 10
+_SCRIPTS = [[chr(c) for c in range(a, b)] for a, b in ((0x61, 0x7B), (0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x5E00))]
 _BLOCK = 128
 #: Lower case; everything that is not a letter is one kind of gap.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0x80 else 32 for b in range(256)], np.uint8)
@@ -69,7 +75,17 @@ class Model:
     languages: list[str]
     owner: np.ndarray  # language of each centroid
     centroids: np.ndarray
-    floor: np.ndarray  # lowest accepted cosine of each language
+    floor: np.ndarray  # lowest accepted cosine of each language at LENGTHS
+
+    def floors(self, language: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Lowest accepted cosines of texts with so many n-grams; nothing is asked of an empty text."""
+        at = np.log2(1 + len(GRAMS) * np.array([0, *LENGTHS]))
+        x = np.log2(1 + grams)
+        out = np.zeros(len(x))
+        for k in np.unique(language).tolist():
+            mine = language == k
+            out[mine] = np.interp(x[mine], at, np.append(0.0, self.floor[k]))
+        return out
 
 
 def kmeans(v: np.ndarray, k: int, weight: np.ndarray | None = None, rounds: int = 12) -> np.ndarray:
@@ -88,6 +104,46 @@ def kmeans(v: np.ndarray, k: int, weight: np.ndarray | None = None, rounds: int
     return c
 
 
+def _cosines(texts: list[bytes], idf: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cosine of each text with its nearest centroid."""
+    if not texts:
+        return np.zeros(0)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    return np.concatenate([(vectors(count, idf) @ c.T).max(1) for _, count in counts(np.frombuffer(b"".join(texts), np.uint8), offsets)])
+
+
+def strangers(heads: list[bytes], size: int) -> list[bytes]:
+    """Texts of ``size`` bytes of random letters, the same in every run."""
+    rng = np.random.default_rng(size)
+    out = []
+    for letters in _SCRIPTS:
+        for _ in range(STRANGERS):
+            chars = rng.choice(letters, size)
+            chars[np.cumsum(rng.integers(3, 9, size)).clip(max=size - 1)] = " "
+            out.append("".join(chars).encode()[:size])
+    for head in heads[: 2 * STRANGERS]:
+        chars = np.array(list(head.decode(errors="ignore")) or [" "])
+        letter = np.flatnonzero(np.char.isalpha(chars))
+        chars[letter] = chars[rng.permutation(letter)]
+        out.append("".join(chars).encode())
+    return out
+
+
+def floor_line(heads: list[bytes], v: np.ndarray, weight: np.ndarray, idf: np.ndarray) -> list[float]:
+    """The floor at each of LENGTHS of a language with these beginnings, vectors and weights of sampled texts."""
+    halves = [np.arange(len(v)) % 2 == i for i in (0, 1)] if len(v) > 1 else [np.ones(1, bool)]
+    c = [kmeans(v[half], CLUSTERS, weight[half]) for half in halves]
+    line, low = [], None
+    for size in LENGTHS:
+        cut = [[x[:size] for x, inside in zip(heads, half, strict=True) if len(x) >= size] for half in halves]
+        own = np.concatenate([_cosines(cut[i], idf, c[1 - i]) for i in (0, 1)]) if len(c) > 1 else np.zeros(0)
+        far = np.quantile(_cosines(strangers([x for part in cut for x in part], size), idf, np.concatenate(c)), HIGH)
+        if len(own):
+            low = np.quantile(own, LOW, method="lower")
+        line.append(float(far if low is None else low if low < far else (low + far) / 2))
+    return line
+
+
 def train(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the columns ``text`` and ``lang`` of ``rows``."""
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
@@ -107,7 +163,7 @@ def train(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE) -> Model:
     hashed = rows.withColumn("h", F.xxhash64("text", F.lit(5)))
     size = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # one row per language
     if not size:
-        return Model(idf, [], np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+        return Model(idf, [], np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), np.zeros((0, len(LENGTHS))))
     # twice as many texts as are wanted, so that the estimate can't leave too few; then the smallest hashes
     share = F.create_map(*(F.lit(x) for lang, n in size.items() for x in (lang, min(1.0, 2 * sample / max(n, 1)))))
     picked = hashed.where(F.pmod("h", F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40)).groupBy("lang", "h", "text").count().withColumn("h", F.pmod("h", F.lit(1 << 40)))
@@ -117,19 +173,21 @@ def train(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE) -> Model:
             for lo, hi, u8, offsets in tk.pieces(batch.column(2)):
                 for first, count in counts(u8, offsets):
                     lang, h, rows = (batch.column(i).slice(lo + first, len(count)) for i in (0, 1, 3))
-                    yield pa.RecordBatch.from_arrays([lang, h, rows, pa.array([x.tobytes() for x in vectors(count, idf)], pa.binary())], names=["lang", "h", "rows", "vector"])
+                    heads = [u8[a : min(a + LENGTHS[-1], b)].tobytes() for a, b in zip(offsets[first:], offsets[first + 1 : first + len(count) + 1], strict=False)]
+                    yield pa.RecordBatch.from_arrays([lang, h, rows, pa.array([x.tobytes() for x in vectors(count, idf)], pa.binary()), pa.array(heads, pa.binary())], names=["lang", "h", "rows", "vector", "head"])
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "vector"])[:sample]
         v = np.stack([np.frombuffer(x, np.float32) for x in pdf["vector"]])
-        c = kmeans(v, CLUSTERS, pdf["rows"].to_numpy(np.float64))
-        nearest = np.sort((v @ c.T).max(1))
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.astype(np.float32).tobytes() for x in c], "floor": float(nearest[len(nearest) // 100])})
+        weight = pdf["rows"].to_numpy(np.float64)
+        c = kmeans(v, CLUSTERS, weight)
+        line = floor_line(pdf["head"].tolist(), v, weight, idf)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.astype(np.float32).tobytes() for x in c], "floor": [line] * len(c)})
 
-    found = picked.mapInArrow(to_vectors, "lang string, h long, rows long, vector binary").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, floor double").orderBy("lang", "centroid").collect()
+    found = picked.mapInArrow(to_vectors, "lang string, h long, rows long, vector binary, head binary").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, floor array<double>").orderBy("lang", "centroid").collect()
     languages = sorted({r["lang"] for r in found})
     floor = {r["lang"]: r["floor"] for r in found}
-    return Model(idf, languages, np.array([languages.index(r["lang"]) for r in found]), np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]), np.array([SLACK * floor[x] for x in languages]))
+    return Model(idf, languages, np.array([languages.index(r["lang"]) for r in found]), np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]), np.array([floor[x] for x in languages]))
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -141,15 +199,16 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str])
         n = len(offsets) - 1
         kind, _ = byte_classes(u8)
         letters = tk.per_doc(kind == _LETTER, offsets) > 0
-        best, which = np.zeros(n), np.zeros(n, np.int64)
+        best, which, grams = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         if m.languages:
             for lo, count in counts(u8, offsets):
                 cosine = vectors(count, m.idf) @ m.centroids.T
                 top = cosine.argmax(1)
+                grams[lo : lo + len(top)] = count.sum(1)
                 best[lo : lo + len(top)], which[lo : lo + len(top)] = cosine[np.arange(len(top)), top], m.owner[top]
         known = letters & bool(m.languages)
         best = np.where(known, np.clip(best, 0.0, 1.0), 0.0)
-        far = ~known | (best < (m.floor[which] if m.languages else 1.0))
+        far = ~known | (best < (m.floors(which, grams) if m.languages else 1.0))
         return {"lang_pred": [m.languages[w] if k else "und" for w, k in zip(which.tolist(), known.tolist(), strict=True)], "score": best, "rejected": far}
 
     return tk.map_text(docs, keep, "text", one, "lang_pred string, score double, rejected boolean")

@@ -55,6 +55,23 @@ def test_language_without_training_rows(spark, make, edge):
     assert {r.lang_pred for r in got} == {"und"} and len(got) == len(edge)
 
 
+def test_language_rejects_other_languages(spark, make, words):
+    """Unseen languages and random letters are rejected at several lengths, own texts aren't."""
+    rng = random.Random(9)
+    prose = lambda w, n: " ".join(rng.choice(w) for _ in range(n))
+    rows = [(i, prose(words[:60] if i % 2 else words[100:160], rng.choice((5, 30, 120, 500))), "ab"[i % 2]) for i in range(240)]
+    model = language.train(spark, make(rows))
+    latin, cyrillic, greek, han = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x5E00)))
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 8)))
+    strange = [" ".join(word(a) for _ in range(n)) for a in (latin, cyrillic, greek, han) for n in (20, 100, 500) for _ in range(10)]
+    unseen = [prose([word(a) for _ in range(60)], n) for a in (latin, cyrillic) for n in (20, 100, 500) for _ in range(10)]
+    own = [prose(words[:60], n) for n in (20, 100, 500) for _ in range(20)]
+    got = {r.doc_id: r.rejected for r in language.predict(spark, make(list(enumerate(strange + unseen + own))), model, ["doc_id"]).collect()}
+    n, k = len(strange), len(strange) + len(unseen)
+    assert np.mean([got[i] for i in range(n)]) > 0.95 and np.mean([got[i] for i in range(n, k)]) > 0.95
+    assert np.mean([got[i] for i in range(k, k + len(own))]) < 0.05
+
+
 def test_language_of_repeated_rows(spark, make, words):
     """However often few texts are repeated, each language keeps its sample of distinct texts."""
     kinds = {lang: [f"{' '.join(words[a : a + 30])} {i}" for i in range(n)] for lang, a, n in (("aa", 0, 1), ("bb", 100, 1), ("cc", 200, 2), ("dd", 300, 1))}
