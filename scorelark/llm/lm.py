@@ -1,7 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie (operator 9).
 
 Tokens are words (A-Z lower-cased) and one end per text.  The model interpolates orders 1 to ORDER with absolute
-discounting over an add-ADD unigram model; n-grams of order k are kept from KEEP[k - 1] occurrences on.
+discounting over an add-ADD unigram model; the query keeps every n-gram
+(ALL).  ``build`` can also keep those of order k from keep[k - 1] occurrences on only, KEEP by default.
 
 The trie has a level per order, cut into shards by ranges of the word hash of the n-gram's first word:
 
@@ -37,6 +38,7 @@ from .eliasfano import EliasFano, load, save
 from .storage import shared_dir
 
 ORDER, KEEP, ADD, DISCOUNT = 3, (1, 2, 2), 0.1, 0.75
+ALL = (1,) * ORDER
 SHARD_BYTES, FLUSH, PIECE = 32 << 20, 1 << 20, 3 << 20
 END = tk.text_hash(" end ")  # no word has blanks
 U = tk.U
@@ -291,6 +293,11 @@ def _quantised(name: str, log10: np.ndarray) -> dict[str, np.ndarray]:
     return {name: np.clip(np.rint(-log10 / scale), 0, 255).astype(np.uint8), name + ".scale": np.array([scale])}
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
 def build(spark: SparkSession, rows: DataFrame, order: int = ORDER, keep: tuple[int, ...] = KEEP, shard_bytes: int = SHARD_BYTES) -> Trie:
     """Count ``text`` of all ``rows`` and write the trie into the shared folder."""
     path = f"{shared_dir(spark)}/scorelark/trie-{uuid.uuid4().hex}"
@@ -318,10 +325,10 @@ def build(spark: SparkSession, rows: DataFrame, order: int = ORDER, keep: tuple[
     for level in range(2, order + 1):
         trie = Trie(path, shards, levels, total)
 
-        sizes, _ = run(level, _grams(trie, level, keep), _writer(trie, level, keep))
+        sizes, _ = run(level, _grams(trie, level, keep), _writer(trie, level, keep, level == order))
         # shards without n-grams have files too
         for s in [i for i, n in enumerate(sizes) if not n and levels[-1][i]]:
-            _write_level(trie, level, s, np.zeros(0, U), np.zeros(0, np.int64))
+            _write_level(trie, level, s, np.zeros(0, U), np.zeros(0, np.int64), level == order)
         levels.append(sizes)
     return Trie(path, shards, levels, total)
 
@@ -356,34 +363,35 @@ def _grams(trie: Trie, level: int, keep: tuple[int, ...]):
     return grams
 
 
-def _writer(trie: Trie, level: int, keep: tuple[int, ...]):
+def _writer(trie: Trie, level: int, keep: tuple[int, ...], top: bool):
     def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
         code, count = merged(*zip(*(from_blob(*r) for r in pdf[["n", "codes", "counts"]].itertuples(index=False)), strict=True))
-        return _write_level(trie, level, int(key[0]), code[count >= keep[level - 1]], count[count >= keep[level - 1]])
+        return _write_level(trie, level, int(key[0]), code[count >= keep[level - 1]], count[count >= keep[level - 1]], top)
 
     return write
 
 
-def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.ndarray, top: bool) -> pd.DataFrame:
     parents = int(trie.offsets[level - 2][s + 1] - trie.offsets[level - 2][s])
     parent, word = (code >> U(32)).astype(np.int64), (code & U(0xFFFFFFFF)).astype(np.int64)
     pointer = np.searchsorted(parent, np.arange(parents + 1))
     last = pointer[1:][pointer[1:] > pointer[:-1]] - 1  # last successor of each parent that has any
     value = word + np.concatenate([[0], np.cumsum(word[last] + 1)[:-1]]).repeat(np.diff(np.concatenate([[-1], last]))) if len(code) else word
-    context = np.asarray(trie.file(level - 1, s)["count"])
+    context = np.asarray(trie.file(level - 1, s)["count"]).astype(np.int64)
     gone = np.bincount(parent, weights=count - DISCOUNT, minlength=parents) if len(code) else np.zeros(parents)
     left = np.clip(1 - gone / np.maximum(context, 1), 1e-9, 1.0)
     if level == 2:
         _, lower = trie.unigram(word)
     else:
         # the suffix's node: the parent's last word leads to its successors, in which ``word`` is the rank
-        suffix = np.asarray(trie.file(level - 1, s)["suffix"])[parent]
+        suffix = np.asarray(trie.file(level - 1, s)["suffix"])[parent].astype(np.int64)
         lower = trie.gather(level - 1, trie.first_child(level - 1, suffix) + word, "prob")
     prob = np.log10((count - DISCOUNT) / context[parent] + left[parent] * 10.0**lower) if len(code) else np.zeros(0)
-    suffix = word if level == 2 else trie.first_child(level - 1, np.asarray(trie.file(level - 1, s)["suffix"])[parent]) + word
+    # counts and suffixes serve to build the next level only
+    suffix = np.zeros(0, np.int64) if top else word if level == 2 else trie.first_child(level - 1, np.asarray(trie.file(level - 1, s)["suffix"])[parent].astype(np.int64)) + word
     save(
         f"{trie.path}/{level}-{s}.bin",
-        EliasFano.encode(value.astype(U), "v.") | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": count.astype(np.int64), "suffix": suffix.astype(np.int64), "filter": _filter(parent, word.astype(U))} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
+        EliasFano.encode(value.astype(U), "v.") | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": _narrow(count[:0] if top else count), "suffix": _narrow(suffix), "filter": _filter(parent, word.astype(U))} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
     )
     return pd.DataFrame({"shard": [s], "n": [len(code)], "total": [int(count.sum())]})
 
@@ -405,6 +413,6 @@ def score(docs: DataFrame, trie: Trie, keep: list[str]) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    trie = build(spark, docs.where(~held_out()))
+    trie = build(spark, docs.where(~held_out()), keep=ALL)
     found = score(docs, trie, ["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -233,6 +233,17 @@ def test_lm(spark, make, edge):
     assert {round(r.score, 9) for r in lm.score(docs, none, ["doc_id"]).collect()} == {0.0}
 
 
+def test_lm_query_keeps_ngrams_that_occur_once(spark, make, tmp_path):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0][0]
+    learned = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10)
+    make([(learned, "one two three"), (held, "one two three")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in lm.query(spark, str(tmp_path)).collect()}
+    uni = 1.1 / (4 + 0.1 * 5)
+    bi = 0.25 + 0.75 * uni
+    exact = math.log10(bi) + 3 * math.log10(0.25 + 0.75 * bi)
+    assert got[held].held_out and all(abs(r.score - exact) < 0.02 * 4 for r in got.values())
+
+
 def test_near(spark, make, edge):
     got = near.join(spark, make(edge)).collect()
     texts = [t for _, t, *_ in edge]
