@@ -3,12 +3,12 @@
 TEMPLATES hold the words of known license notices.  The index maps each of their words to postings (template,
 position).  A document is scanned in three steps:
 
-1. look-up: of the license words in a document only the rarest are looked up, where rarity is the inverse
-   document frequency over the whole corpus: per template its ANCHORS rarest distinct words that the document has;
-2. intersection: a word at place p with a posting at position q proposes that the template begins at p - q; the
-   template is a candidate at places on which enough of the looked-up words agree;
-3. verification: the template's mandatory key phrases must stand there word by word, and the share of its words
-   found in their places is the score.
+1. look-up: per template whose mandatory key phrases have all their words in the document, only the rarest word of
+   the first key phrase is looked up, where rarity is the inverse document frequency over the whole corpus;
+2. intersection: the key phrase is compared word by word at the places that the word's positions in it propose;
+3. verification: the other mandatory key phrases must stand word by word within a template's length.  They decide;
+   the share of the template's words found within BAND words of their places is the score only, so that inserted or
+   left out words drop no notice.
 
 The three base phrases are templates too, with the phrase itself as the key phrase.  A phrase can't occur
 without its rarest word, so looking that word up at every place it has finds every place of the phrase.
@@ -19,8 +19,6 @@ and score 0; repeated rows are scanned each; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +53,7 @@ TEMPLATES = [
     ("apache", "spdx license identifier apache 2 0", ("spdx license identifier apache 2 0",)),
     ("gpl", "gnu gpl", ("gnu gpl",)),
 ]
-ANCHORS, AGREE, COVER = 8, 0.5, 0.7
+BAND = 8
 SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double"
 
 
@@ -77,54 +75,42 @@ class Index:
         code = {w: int(np.searchsorted(self.look.sorted, h)) for w, h in zip(vocabulary, hashes, strict=True)}
         self.frequency = np.array([(frequency or {}).get(c, 0) for c in range(len(code))], np.int64)
         self.templates = [(label, np.array([code[w] for w in words]), [np.array([code[w] for w in k]) for k in keys], base) for label, words, keys, base in entries]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.by_rarity = []
-        for t, (_, words, _, _) in enumerate(self.templates):
-            for q, w in enumerate(words.tolist()):
-                self.postings[w].append((t, q))
-            self.by_rarity.append(sorted(set(words.tolist()), key=lambda w: (self.frequency[w], w)))
-
-    def anchors(self, present: set[int]) -> dict[int, set[int]]:
-        """Template -> the words to look up in a document that has the words ``present``."""
-        out = {}
-        for t, (_, words, _, base) in enumerate(self.templates):
-            order = self.by_rarity[t]
-            mine = [w for w in order if w in present]
-            if base or len(words) <= 6:
-                if len(mine) == len(order):  # a phrase needs all of its words; its rarest is enough
-                    out[t] = {mine[0]}
-            elif len(mine) >= AGREE * len(order):
-                out[t] = set(mine[:ANCHORS])
-        return out
+        #: Per template: the words that it needs, the rarest word of its first key phrase, and where the phrase has it.
+        self.needs = []
+        for _, _, keys, _ in self.templates:
+            rarest = min(keys[0].tolist(), key=lambda w: (self.frequency[w], w))
+            self.needs.append(({w for k in keys for w in k.tolist()}, rarest, np.flatnonzero(keys[0] == rarest)))
 
     def scan(self, place: np.ndarray, word: np.ndarray, n: int) -> tuple[list[tuple[int, int]], list[tuple[int, float, int]]]:
         """Base places (template, first word) and matches (template, score, first word) of one document.
 
         ``place`` and ``word`` are the document's license words; it has n words.
         """
-        wanted = self.anchors(set(word.tolist()))
+        present = set(word.tolist())
+        wanted = [t for t, (needed, _, _) in enumerate(self.needs) if needed <= present]
         if not wanted:
             return [], []
         ids = np.full(n, -1)
         ids[place] = word
         base, matches = [], []
-        where = {w: place[word == w] for w in set().union(*wanted.values())}
-        for t, words in wanted.items():
+        for t in wanted:
             _, template, keys, is_base = self.templates[t]
-            proposed = np.concatenate([where[w] - q for w in words for u, q in self.postings[w] if u == t])
-            begins, votes = np.unique(proposed, return_counts=True)
-            begins = begins[votes >= max(1, AGREE * len(words))]
+            _, rarest, at = self.needs[t]
+            found = find_phrase(ids, keys[0], np.unique((place[word == rarest][:, None] - at).ravel()))
             if is_base:
-                base += [(t, int(p)) for p in find_phrase(ids, template, begins)]
+                base += [(t, int(p)) for p in found]
                 continue
+            size = len(template)
+            lead = int(find_phrase(template, keys[0], np.arange(size))[0])
+            others = [find_phrase(ids, k, np.arange(n)) for k in keys[1:]] if len(found) else []
             best = None
-            for p in begins.tolist():
-                lo, hi = max(p - 3, 0), min(p + len(template) + 3, n)
-                if not all(len(find_phrase(ids, k, np.arange(lo, hi - len(k) + 1))) for k in keys):
+            for p in (found - lead).tolist():
+                if not all(np.searchsorted(o, p - size) < np.searchsorted(o, p + 2 * size) for o in others):
                     continue
-                q = np.arange(max(-p, 0), min(len(template), n - p))
-                score = float((ids[p + q] == template[q]).mean() * len(q) / len(template))
-                if score >= COVER and (best is None or score > best[1]):
+                q = p + np.arange(size)[:, None] + np.arange(-BAND, BAND + 1)
+                inside = (q >= 0) & (q < n)
+                score = float((inside & (ids[np.where(inside, q, 0)] == template[:, None])).any(1).mean())
+                if best is None or score > best[1]:
                     best = (t, score, p)
             if best:
                 matches.append(best)

@@ -34,6 +34,17 @@ def test_license_templates_need_their_key_phrases(make):
     assert got[2].labels == [] and got[3].labels == []
 
 
+def test_license_notices_with_inserted_words(make):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    rows = [(1, bsd), (2, "Copyright\n" + bsd)]
+    for i, (_, text, keys) in enumerate(licenses.TEMPLATES[:9]):
+        last = max(text.index(k) + len(k) for k in keys)
+        rows.append((10 + i, text[:last] + " really" + text[last:] if last < len(text) else "really " + text))
+    got = {r.doc_id: r for r in licenses.scan(make(rows)).collect()}
+    assert all("bsd" in got[i].labels and got[i].score > 0.95 for i in (1, 2))
+    assert all(label in got[10 + i].labels for i, (label, *_) in enumerate(licenses.TEMPLATES[:9]))
+
+
 def test_language(spark, make, words):
     rng = random.Random(3)
     kinds = {"aa": words[:60], "bb": words[100:160], "cc": words[200:260]}
