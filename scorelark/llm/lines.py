@@ -6,8 +6,8 @@ so a line that a third of all rows share costs one small sketch per task.  Estim
 decide; lines near it, within BAND standard errors, get an exact distinct count.  Of a boilerplate line the first
 occurrence (smallest doc_id, then line number) stays and all others are removed.
 
-Only lines of MIN_CHARS characters or more count, compared without surrounding blanks, so that one-word lines and
-brackets, which stand everywhere, are left alone.
+Lines are compared without surrounding blanks.  In the pipeline all lines count that aren't blank; the query, like its
+SQL, counts those of MIN_CHARS characters or more.
 
 Defined results: a null text stays null and has no lines; a null source is one site of its own; rows equal in
 doc_id, source and text are the same document and keep the same lines; an empty table gives an empty result.
@@ -34,10 +34,11 @@ def _row() -> Column:
 
 
 def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, row, site, pos, line hash of each line that counts."""
+    """doc_id, row, site, pos, line hash of each line that counts; without ``min_chars`` these are all but blank lines."""
     each = docs.select("doc_id", _row().alias("row"), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(_split("text")).alias("pos", "line"))
     line = F.trim("line")
-    return each.where(F.char_length(line) >= min_chars).select("doc_id", "row", "site", "pos", F.xxhash64(line).alias("h"))
+    counts = F.char_length(line) >= min_chars if min_chars else F.col("line").rlike(r"\S")
+    return each.where(counts).select("doc_id", "row", "site", "pos", F.xxhash64(line).alias("h"))
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -84,7 +85,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: boilerplate lines are gone; a document that consisted of nothing else goes too."""
-    out = dedup(spark, tk.whole(docs)).where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
+    out = dedup(spark, tk.whole(docs), min_chars=0).where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
     lost = F.col("n_removed") > 0
     new = {"text": F.col("kept"), "n_chars": F.when(lost, F.length("kept").cast("long")).otherwise(F.col("_doc.n_chars") if "n_chars" in docs.columns else None)}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns))

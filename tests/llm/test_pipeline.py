@@ -34,6 +34,12 @@ def test_stages(spark, make, edge, pipeline, tmp_path):
         assert stage[name](spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_short_lines_go_in_the_pipeline(spark, make, pipeline):
+    rows = [(i, f"line number {i} of its own\nLes.\n\n\t\r\nEnd {i}", "fr", f"s{i}") for i in range(12)]
+    got = {r.doc_id: r.text for r in dict(pipeline.STAGES)["line_dedup"](spark, make(rows), "").collect()}
+    assert got == {i: t if i == 0 else t.replace("Les.\n", "") for i, t, *_ in rows}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 def test_run(spark, pipeline):
     out = pipeline.run(spark, DATA)
