@@ -56,7 +56,7 @@ def _repeats(words: tk.Words, hashes: np.ndarray) -> np.ndarray:
     return tk.per_doc(tk.cover(len(words.starts), at[count[where] > 1], WINDOW), words.doc)
 
 
-def _duplicate_lines(words: tk.Words, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _duplicate_lines(words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word, and those equal to an earlier line, of each document."""
     u8, offsets = words.u8, words.offsets
     # a line begins at each document's start and after each newline that is followed by more of it
@@ -70,7 +70,7 @@ def _duplicate_lines(words: tk.Words, prefix: np.ndarray) -> tuple[np.ndarray, n
     has = np.concatenate([first[1:], [len(words.starts)]]) > first
     starts, ends, doc = starts[has], np.maximum(ends, starts)[has], doc[has]
     lines = np.bincount(doc, minlength=len(offsets) - 1)
-    key = tk.mix(tk.spans_hash(prefix, starts, ends) + tk.mix(doc.astype(tk.U) + tk.U(7)))
+    key = tk.mix(tk.spans_hash(u8, starts, ends) + tk.mix(doc.astype(tk.U) + tk.U(7)))
     _, kept = np.unique(key, return_index=True)
     return lines, lines - np.bincount(doc[kept], minlength=len(lines))
 
@@ -82,12 +82,11 @@ def _vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
 def measure(u8: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Features and the vote pattern of each document of a piece."""
     words = tk.Words(u8, offsets, tk.NONSPACE)
-    prefix = tk.prefix_hash(u8)
-    hashes = tk.spans_hash(prefix, words.starts, words.ends)
+    hashes = words.hashes()
     n = words.counts
     chars = tk.per_doc(words.inside & _head[u8], offsets)
     symbols = tk.per_doc(SYMBOLS[u8], offsets)
-    lines, dup = _duplicate_lines(words, prefix)
+    lines, dup = _duplicate_lines(words)
     repeat = _repeats(words, hashes)
     low = tk.Words(tk.LOWER[u8], offsets, tk.ALNUM)
     low_hash = low.hashes()

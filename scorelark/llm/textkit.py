@@ -5,13 +5,14 @@ with numpy, so a batch of documents costs a fixed number of array passes instead
 word.  Batches are cut into pieces of about PIECE bytes (a longer document is a piece of its own), which
 bounds the temporary arrays by the longest document.
 
-Hashes are 64-bit polynomials over random byte values, finished with a mixing step.  They are the same on
-every executor and in every run.
+Hashes of strings mix eight bytes at a time (``spans_hash``), long ones are BLAKE2b.  They are the same on every
+executor and in every run.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-PIECE = 1 << 20
+PIECE, LONG = 1 << 20, 64
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 _libc = None
@@ -123,28 +125,51 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        return spans_hash(prefix_hash(self.u8), self.starts, self.ends)
+        return spans_hash(self.u8, self.starts, self.ends)
 
     def strings(self, i: int, j: int) -> list[bytes]:
         return [self.u8[a:b].tobytes() for a, b in zip(self.starts[i:j], self.ends[i:j], strict=True)]
 
 
 def prefix_hash(u8: np.ndarray) -> np.ndarray:
+    """Running polynomial of the bytes, for ``rolling_hash``."""
     power, _ = _powers(len(u8) + 1)
     out = np.zeros(len(u8) + 1, U)
     np.cumsum(_BYTE[u8] * power[: len(u8)], out=out[1:])
     return out
 
 
-def spans_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def rolling_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A cheap hash of spans at every place.  Chosen bytes can collide, so it only orders or filters; it never decides that spans are equal."""
     _, inverse = _powers(len(prefix))
     return mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
+def spans_hash(u8: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span of bytes.
+
+    Up to LONG bytes: eight bytes at a time are mixed into the state, so spans of eight bytes or less and one length
+    can't collide.  Longer ones: BLAKE2b.  Other ``seed``s give independent hashes.
+    """
+    padded = np.concatenate([u8, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(u8) + 1,), "<u8", padded.data, 0, (1,))
+    size = ends - starts
+    out = mix((eight[starts] & _MASK[np.minimum(size, 8)]) ^ (size.astype(U) * U(_BASE) + U(seed * 0xD6E8FEB86659FD93 & (1 << 64) - 1)))
+    at, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(at):
+        out[at] = mix(out[at] * U(0xD1342543DE82EF95) + ((eight[starts[at] + k] & _MASK[np.minimum(size[at] - k, 8)]) ^ U(k)))
+        k += 8
+        at = at[size[at] > k]
+    salt = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].data, digest_size=8, salt=salt).digest(), "little")
+    return out
+
+
 def text_hash(text: str | bytes) -> int:
     """What spans_hash gives for a span with these bytes."""
     raw = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
-    return int(spans_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0])
+    return int(spans_hash(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
 def runs_hash(h: np.ndarray, n: int) -> np.ndarray:

@@ -38,4 +38,7 @@ def edge(words):
     boiler = "Subscribe to our newsletter today, dear reader!"
     rows += [(100 + i, prose(25) + "\n" + boiler + ("\n" + boiler if i == 3 else "") + "\n" + prose(15), ["en", "de", "fr"][i % 3], f"site{i}") for i in range(14)]
     rows += [(200 + i, prose(rng.randint(1, 80)), ["en", "de", "fr"][i % 3], "z") for i in range(40)]
+    # words that polynomial hashes confuse
+    mixed = ["".join(pair[bin(i).count("1") % 2] for i in range(1024)) for pair in ("ab", "ba")]
+    rows += [(300, mixed[0]), (301, mixed[1]), (302, "\n".join(mixed)), (303, " ".join([mixed[0], mixed[1], mixed[0]]))]
     return rows

@@ -1,8 +1,12 @@
 """Text primitives, pre-tokens and Elias-Fano sequences."""
 
+import itertools
+import random
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,3 +61,34 @@ def test_files_are_mapped(tmp_path):
     eliasfano.save(f"file://{tmp_path}/a/b.bin", {"x": np.arange(5), "y": np.array([1, 2, 3], np.uint8)})
     back = eliasfano.load(f"file://{tmp_path}/a/b.bin")
     assert back["x"].tolist() == [0, 1, 2, 3, 4] and back["y"].tolist() == [1, 2, 3]
+
+
+def thue_morse(size, pair):
+    """Two strings of two letters that any polynomial hash modulo a power of two confuses."""
+    a = "".join(pair[bin(i).count("1") % 2] for i in range(size))
+    return a, a.translate(str.maketrans(pair, pair[::-1]))
+
+
+@pytest.mark.parametrize("size", [8, 9, 16, 64, 65, 1024])
+def test_hashes_of_strings_that_confuse_polynomials(size):
+    strings = [s.encode() for pair in ("ab", "Ga") for s in thue_morse(size, pair)]
+    assert len({textkit.text_hash(s) for s in strings}) == 4
+    few = [bytes(x) for n in range(4) for x in itertools.product(b"\0ab", repeat=n)]
+    assert len({textkit.text_hash(s) for s in few}) == len(few)
+    both = np.frombuffer(b"".join(strings), np.uint8)
+    cut = np.arange(5) * size
+    got = textkit.spans_hash(both, cut[:-1], cut[1:])
+    assert got.tolist() == [textkit.text_hash(s) for s in strings] and not set(got) & set(textkit.spans_hash(both, cut[:-1], cut[1:], 1))
+
+
+def test_classes_are_those_of_the_tokenizer():
+    path, rng = public_tokenizers.path(token_counts.TOKENIZER), random.Random(4)
+    table = token_counts.classes(path)
+    odd = np.flatnonzero(table != token_counts.classes())
+    pool = [chr(c) for c in odd.tolist() if not 0xD800 <= c < 0xE000] + list(" '\n\t12smtdrevl　\x85!aß日")
+    cut = token_counts._tokenizer(path).pre_tokenizer.pre_tokenize_str
+    for _ in range(500):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 40)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, _ = token_counts.pretokens(raw, np.array([0, len(raw)]), table)
+        assert [raw[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)] == [text[a:b] for _, (a, b) in cut(text)]
