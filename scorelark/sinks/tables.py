@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def upsert(current: DataFrame, new: DataFrame, key: list[str], newest: str | None = None, keep_if_null: tuple[str, ...] = ()) -> DataFrame:
@@ -33,37 +36,97 @@ def replace_sheets(entries: DataFrame, new: DataFrame) -> DataFrame:
     return entries.join(new.select("sheet_url").distinct(), "sheet_url", "left_anti").select(*new.columns).unionByName(new)
 
 
+class Conflict(RuntimeError):
+    """Another writer has published the version that this one was about to publish."""
+
+
 class Snapshots:
-    """A table as folders of which a pointer names the current one (U14): readers see the old or the new state, never half."""
+    """A table as versions (U14): readers see the old or the new state, never half, and never none.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    Data go to a folder of their own.  A version is a numbered file in ``_log`` that lists the folders it consists of, and
+    the highest readable one is the table.  Nothing that a version needs is moved or deleted when the next one is
+    published, so a writer may stop at any point.  The file is created only if there is none of its number: of two
+    writers one gets a Conflict.  ``merge`` deals rows to a fixed number of buckets by key and rewrites only the buckets
+    that new rows fall into; the other folders stay part of the table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, kept: int = 5):
+        self.spark, self.path, self.buckets, self.kept = spark, path.rstrip("/"), buckets, kept
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
-        pointer = self._path(f"{self.path}/_current")
-        if not self.fs.exists(pointer):
-            return None
-        stream = self.fs.open(pointer)
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def _version(self, name: str) -> dict | None:
+        stream = self.fs.open(self._path(f"{self.path}/_log/{name}"))
         try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:  # its writer stopped while writing it
+            return None
         finally:
             stream.close()
 
+    def current(self) -> dict | None:
+        """The newest version: number, schema and folders by bucket."""
+        versions = (self._version(name) for name in reversed(self._names(f"{self.path}/_log")))
+        return next((v for v in versions if v), None)
+
     def read(self) -> DataFrame | None:
-        name = self.current()
-        return self.spark.read.parquet(f"{self.path}/{name}") if name else None
-
-    def commit(self, df: DataFrame) -> str:
-        """Write a new folder, then move the pointer; if the write fails nothing has changed."""
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
-        fresh, pointer = self._path(f"{self.path}/_next-{name}"), self._path(f"{self.path}/_current")
-        out = self.fs.create(fresh, True)
-        out.write(bytearray(name.encode()))
+        version = self.current()
+        return self._rows(version, list(version["folders"].values())) if version else None
+
+    def _rows(self, version: dict, folders: list[str]) -> DataFrame:
+        schema = StructType.fromJson(version["schema"])
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
+
+    def commit(self, df: DataFrame) -> int:
+        """The table is ``df`` from now on."""
+        number, folder = self._next(), f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        return self._publish(number, df.schema, {"all": folder})
+
+    def merge(self, new: DataFrame, key: list[str], newest: str | None = None, keep_if_null: tuple[str, ...] = ()) -> int:
+        """Upsert ``new``; only buckets that it has rows for are read and written."""
+        number, version = self._next(), self.current()
+        bucket = F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
+        touched = [str(r[0]) for r in new.select(bucket).distinct().collect()]  # at most ``buckets``
+        folders = version["folders"] if version else {}
+        known = [f for b, f in folders.items() if b in touched or b == "all"]
+        old = self._rows(version, known) if version else new.limit(0)
+        rows = upsert(old, new, key, newest, keep_if_null)
+        folder = f"v-{uuid.uuid4().hex}"
+        # one task per bucket; what a whole-table commit left is dealt to buckets now
+        rows.withColumn("_bucket", bucket).repartition(self.buckets, "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        made = {n.partition("=")[2]: f"{folder}/{n}" for n in self._names(f"{self.path}/{folder}") if n.startswith("_bucket=")}
+        return self._publish(number, old.schema, {b: f for b, f in folders.items() if b != "all"} | made)
+
+    def _next(self) -> int:
+        return max((int(n) for n in self._names(f"{self.path}/_log")), default=0) + 1
+
+    def _publish(self, number: int, schema: StructType, folders: dict[str, str]) -> int:
+        try:
+            out = self.fs.create(self._path(f"{self.path}/_log/{number:012d}"), False)
+        except Py4JJavaError as e:
+            raise Conflict(f"version {number} of {self.path}") from e
+        out.write(bytearray(json.dumps({"number": number, "schema": json.loads(schema.json()), "folders": folders}).encode()))
         out.close()
-        self.fs.delete(pointer, False)
-        self.fs.rename(fresh, pointer)
-        return name
+        return number
+
+    def vacuum(self) -> list[str]:
+        """Delete all but the newest ``kept`` versions and the folders that none of those needs; returns these folders."""
+        names = self._names(f"{self.path}/_log")
+        stay = names[-self.kept :]
+        needed = {f.partition("/")[0] for v in map(self._version, stay) if v for f in v["folders"].values()}
+        newest = self.current()
+        if newest:
+            needed |= {f.partition("/")[0] for f in newest["folders"].values()}
+            stay.append(f"{newest['number']:012d}")
+        gone = [n for v in names if v not in stay and (old := self._version(v)) for n in {f.partition("/")[0] for f in old["folders"].values()} if n not in needed]
+        for folder in dict.fromkeys(gone):
+            self.fs.delete(self._path(f"{self.path}/{folder}"), True)
+        for name in names:
+            if name not in stay:
+                self.fs.delete(self._path(f"{self.path}/_log/{name}"), False)
+        return list(dict.fromkeys(gone))
