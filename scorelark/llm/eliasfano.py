@@ -8,7 +8,6 @@ All queries take arrays.
 from __future__ import annotations
 
 import json
-import os
 import tempfile
 import uuid
 
@@ -59,6 +58,12 @@ def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     return byte.astype(np.int64) + _BYTE_SELECT[((here << U(3)) + k - before).astype(np.int64)]
 
 
+def _ones_below_first_zero(x: np.ndarray) -> np.ndarray:
+    """How many ones each word ends with."""
+    flipped = ~x
+    return np.bitwise_count((flipped & (~flipped + _ONE)) - _ONE).astype(np.int64)
+
+
 class EliasFano:
     """Values are strictly increasing unsigned 64-bit numbers."""
 
@@ -66,6 +71,7 @@ class EliasFano:
         get = lambda k: arrays[prefix + k]
         self.n, self.width = (int(x) for x in get("meta"))
         self.low, self.high, self.ones = get("low"), get("high"), get("ones")
+        self._zeros: np.ndarray | None = None
 
     @staticmethod
     def encode(values: np.ndarray, prefix: str = "") -> dict[str, np.ndarray]:
@@ -82,23 +88,48 @@ class EliasFano:
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         return {prefix + "meta": np.array([n, width], np.int64), prefix + "low": _pack(values & U((1 << width) - 1), width), prefix + "high": high, prefix + "ones": ones}
 
-    def get(self, i: np.ndarray) -> np.ndarray:
+    def _place(self, i: np.ndarray) -> np.ndarray:
+        """Where the i-th one stands among the high bits."""
         word = np.searchsorted(self.ones, i, "right") - 1
-        place = (word << 6) + _select_in_word(np.ascontiguousarray(self.high[word]), i - self.ones[word])
+        return (word << 6) + _select_in_word(np.ascontiguousarray(self.high[word]), i - self.ones[word])
+
+    def _value(self, i: np.ndarray, place: np.ndarray) -> np.ndarray:
         return (place - i).astype(U) << U(self.width) | _unpack(self.low, i, self.width)
 
-    def _below(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a high part below ``high``."""
-        zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return self._value(i, self._place(i))
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th values and those after them; the next one is nearly always within 64 bits."""
+        place = self._place(i)
+        window = self._window(place + 1)
+        after = place + 1 + _ones_below_first_zero(~window)
+        far = np.flatnonzero(window == 0)
+        if len(far):
+            after[far] = self._place(i[far] + 1)
+        return self._value(i, place), self._value(i + 1, after)
+
+    def _window(self, bit: np.ndarray) -> np.ndarray:
+        """64 high bits from a place on."""
+        word, shift = bit >> 6, (bit & 63).astype(U)
+        last = len(self.high) - 1
+        out = np.where(word <= last, self.high[np.minimum(word, last)], U(0)) >> shift
+        more = (shift > 0) & (word < last)
+        return out | np.where(more, self.high[np.minimum(word + 1, last)] << ((U(64) - shift) & U(63)), U(0))
+
+    def _begin(self, high: np.ndarray) -> np.ndarray:
+        """Where the values with this high part begin among the high bits; beyond the end if there can't be any."""
+        if self._zeros is None:
+            self._zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        zeros = self._zeros
         want = high - 1  # the zero after which values with this high part begin
         word = np.minimum(np.searchsorted(zeros, want, "right") - 1, len(self.high) - 1)
         inside = np.maximum(want - zeros[word], 0)
         ok = (want >= 0) & (inside < zeros[word + 1] - zeros[word])
-        safe = np.where(ok, inside, 0)
         flipped = ~np.ascontiguousarray(self.high[word])
         flipped[~ok] = ~U(0)
-        place = (word << 6) + _select_in_word(flipped, safe)
-        return np.where(want < 0, 0, np.where(ok, place - want, self.n))
+        place = (word << 6) + _select_in_word(flipped, np.where(ok, inside, 0)) + 1
+        return np.where(want < 0, 0, np.where(ok, place, len(self.high) << 6))
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, or -1."""
@@ -107,24 +138,32 @@ class EliasFano:
             return out
         most = (int(self.high.size) << 6) - self.n + 1
         high = np.minimum(values >> U(self.width), U(most)).astype(np.int64)
-        at, end = self._below(high), self._below(high + 1)
-        low = values & U((1 << self.width) - 1)
-        asked = np.flatnonzero(at < end)
-        at, end, low = at[asked], end[asked] - 1, low[asked]
-        for _ in range(int((end - at).max(initial=0)).bit_length()):  # binary search among equal high parts
+        begin = self._begin(high)
+        size = _ones_below_first_zero(self._window(begin))
+        at = begin - high
+        long = np.flatnonzero(size == 64)
+        if len(long):
+            size[long] = self._begin(high[long] + 1) - 1 - begin[long]
+        asked = np.flatnonzero((size > 0) & (at < self.n))
+        low = values[asked] & U((1 << self.width) - 1)
+        at, end = at[asked], np.minimum((at + size)[asked], self.n) - 1
+        while len(asked):  # binary search among equal high parts; what is decided leaves
             middle = (at + end) >> 1
-            less = _unpack(self.low, middle, self.width) < low
-            at, end = np.where(less, np.minimum(middle + 1, end), at), np.where(less, end, middle)
-        hit = _unpack(self.low, at, self.width) == low
-        out[asked[hit]] = at[hit]
+            seen = _unpack(self.low, middle, self.width)
+            hit = seen == low
+            out[asked[hit]] = middle[hit]
+            less = seen < low
+            at, end = np.where(less, middle + 1, at), np.where(less, end, middle - 1)
+            go = np.flatnonzero(~hit & (at <= end))
+            asked, low, at, end = asked[go], low[go], at[go], end[go]
         return out
 
 
 def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
-    """Write arrays to one flat file; it appears under its name only when it is complete."""
+    """Write arrays to one flat file; it appears under its name only when it is complete.  ``uri`` has a scheme."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    system, path = fs.FileSystem.from_uri(uri)
     path_dir = path.rpartition("/")[0]
     system.create_dir(path_dir, recursive=True)
     index, at = {}, 0
@@ -141,26 +180,23 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
     system.move(temporary, path)
 
 
-def _local(uri: str) -> str:
-    """A path that can be memory-mapped: the file itself, or a copy that this machine makes once."""
+def _mapped(uri: str) -> np.ndarray:
+    """The bytes of a file, mapped.  Of a remote one a copy is mapped that has no name any more, so it goes with the process."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    system, path = fs.FileSystem.from_uri(uri)
     if isinstance(system, fs.LocalFileSystem):
-        return path
-    copy = os.path.join(tempfile.gettempdir(), "scorelark-" + path.strip("/").replace("/", "_"))
-    if not os.path.exists(copy):
-        own = f"{copy}.{uuid.uuid4().hex}"
-        with system.open_input_stream(path) as src, open(own, "wb") as out:
-            while block := src.read(1 << 20):
-                out.write(block)
-        os.replace(own, copy)
-    return copy
+        return np.memmap(path, np.uint8, "r")
+    with tempfile.TemporaryFile() as out, system.open_input_stream(path) as src:
+        while block := src.read(1 << 20):
+            out.write(block)
+        out.flush()
+        return np.memmap(out, np.uint8, "r")
 
 
 def load(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped."""
-    raw = np.memmap(_local(uri), np.uint8, "r")
+    raw = _mapped(uri)
     size = int.from_bytes(raw[:8].tobytes(), "little")
     base = 8 + size
     out = {}

@@ -1,45 +1,55 @@
 """Language-model scoring with an Elias-Fano n-gram trie (operator 9).
 
 Tokens are words (A-Z lower-cased) and one end per text.  The model interpolates orders 1 to ORDER with absolute
-discounting over an add-ADD unigram model; the query keeps every n-gram
-(ALL).  ``build`` can also keep those of order k from keep[k - 1] occurrences on only, KEEP by default.
+discounting over an add-ADD unigram model.  It has every n-gram of the training rows (``cut`` can leave out those of
+order k with fewer than cut[k - 1] occurrences; the query does not).
 
-The trie has a level per order, cut into shards by ranges of the word hash of the n-gram's first word:
+The trie has a level per order:
 
 * level 1: word hashes as an Elias-Fano sequence, so a word's place is its id; exact counts;
 * level k > 1: monotone pointers from each node of level k - 1 to its successors, an Elias-Fano sequence of the
   successors, and probabilities quantised to 8 bits.  From level 3 on a successor is not stored as a word id but
   relative to its context: its rank among the successors of the shorter context, a small number.
 
-Each shard is a flat file in the shared folder that every worker memory-maps, so the model takes page cache, not
-heap, and its size may follow the corpus.
+A level is cut into shards: level 1 by ranges of the word hash, the others by ranges of the contexts, chosen by the
+counts of the level before so that each shard has about the same number of occurrences.  So the n-grams of a
+frequent word are dealt to many shards; only those of one and the same context stay together, which are no more than there are
+words.  Each shard is a flat file in the shared folder that workers memory-map: the model takes page cache, not heap,
+and grows with the input.  The driver holds three numbers for each shard.
 
-Counting: each task reduces its n-grams to sorted distinct codes with counts and ships them as compressed blobs,
-one per shard, which are merged by the shard's task.  The number of shards follows the input, so a shard's size
-does not; a frequent n-gram is one entry per task.  An order is counted only where its prefix and suffix were
-kept (counts can only fall), which loses nothing.
+Texts are turned into word ids once, and into the nodes of each level once; both are written as a table, from which
+the next level is counted and the texts are scored.
 
-Defined results: a null text is empty and has one token, its end; repeated rows count each; without training
-rows every token has the probability of the unigram formula; other columns are ignored.
+Counting: each task reduces its n-grams to sorted distinct codes with counts and ships them as compressed blobs.  A
+blob goes to one of at most FAN groups of shards; where there are more shards than that the groups are merged and
+dealt out again, so the number of blobs follows the input and not its square.  A frequent n-gram is one entry per task.
+
+Defined results: a null text is empty and has one token, its end; repeated rows count each; words that tie in anything
+are told apart by their hashes; a text is held by one task as some forty bytes per byte; without training rows every
+token has the probability of the unigram formula, and an empty table gives an empty result; other columns are ignored
+and doc_id keeps its type.  Words are known by 64-bit hashes (``textkit``): of 10^9 distinct ones longer than eight
+bytes two share one with a chance of 3 %, and count as one word then.
 """
 
 from __future__ import annotations
 
-import uuid
+import functools
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import textkit as tk
 from .eliasfano import EliasFano, load, save
-from .storage import shared_dir
+from .storage import new_folder, written
 
-ORDER, KEEP, ADD, DISCOUNT = 3, (1, 2, 2), 0.1, 0.75
-ALL = (1,) * ORDER
-SHARD_BYTES, FLUSH, PIECE = 32 << 20, 1 << 20, 3 << 20
+ORDER, ADD, DISCOUNT = 3, 0.1, 0.75
+SHARD_BYTES, FLUSH, PIECE, NODE_PIECE, FAN, MERGE = 32 << 20, 3 << 19, 3 << 20, 2 << 20, 256, 1 << 22
+#: Bits of a successor in a code; the rest is for the context within its shard.
+WORD_BITS = 40
 END = tk.text_hash(" end ")  # no word has blanks
 U = tk.U
 
@@ -53,79 +63,153 @@ def tokens(u8: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, words.doc + np.arange(n + 1)
 
 
-def _shuffle_bytes(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True)
-
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, index of each value among them)."""
+    order = np.argsort(x)
+    ranked = x[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    return ranked[fresh], back
 
-def to_blob(codes: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes]:
-    return len(codes), _shuffle_bytes(np.diff(codes, prepend=U(0))), _shuffle_bytes(counts.astype(np.uint32))
 
+def counted(context: np.ndarray, word: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Sorted distinct (context, word) pairs and how often each occurs; without words, of the contexts alone."""
+    bits = int(word.max()).bit_length() if word is not None and len(word) else 0
+    if word is None or int(context.max(initial=0)).bit_length() + bits <= 64:
+        code = np.sort(context if word is None else context << U(bits) | word)
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        code, count = code[first], np.diff(np.append(first, len(code)))
+        return (code, None, count) if word is None else (code >> U(bits), code & U((1 << bits) - 1), count)
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
+    return context[first], word[first], np.diff(np.append(first, len(context)))
 
-def from_blob(n: int, codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    def back(raw, width, kind):
-        flat = np.frombuffer(pa.decompress(raw, n * width, codec="zstd", asbytes=True), np.uint8)
-        return np.ascontiguousarray(flat.reshape(width, n).T).reshape(-1).view(kind)
 
-    return np.cumsum(back(codes, 8, U)), back(counts, 4, np.uint32).astype(np.int64)
+# ---------------------------------------------------------------- blobs of sorted codes with counts
+BLOB = "unit long, n long, shards binary, codes binary, counts binary"
 
 
-def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, count = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(code, kind="stable")
-    code, count = code[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-    return code[first], np.add.reduceat(count, first) if len(first) else count
+def _packed(values: np.ndarray) -> bytes:
+    """The same byte of all values side by side, compressed."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True)
 
 
-BLOB = "shard int, n long, codes binary, counts binary"
+def _unpacked(raw: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(raw, n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, n).T).reshape(-1).view(kind)
 
 
-def _emit(shard: np.ndarray, code: np.ndarray, count: np.ndarray):
-    """Blobs of each shard; entries are sorted by shard, then code."""
-    cut = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-    rows = [(int(shard[a]), *to_blob(code[a:b], count[a:b])) for a, b in zip(cut, cut[1:], strict=False)]
+def _emit(shard: np.ndarray, code: np.ndarray, count: np.ndarray, unit: int):
+    """A blob for every ``unit`` shards; entries are sorted by shard, then code."""
+    cut = np.flatnonzero(np.diff(shard // unit, prepend=-1, append=-1))
+    rows = [(int(shard[a]) // unit, int(b - a), _packed(np.diff(shard[a:b], prepend=0)), _packed(np.diff(code[a:b], prepend=U(0))), _packed(count[a:b].astype(np.uint32))) for a, b in zip(cut, cut[1:], strict=False)]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "n", "codes", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in BLOB.split(", ")])
+
+
+def merged(blobs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, code, count) of all entries of some blobs, sorted, each code once."""
+    parts = [(np.cumsum(_unpacked(s, n, np.int64)), np.cumsum(_unpacked(c, n, U)), _unpacked(k, n, np.uint32).astype(np.int64)) for n, s, c, k in zip(blobs["n"], blobs["shards"], blobs["codes"], blobs["counts"], strict=True)]
+    shard, code, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(code) if shard[0] == shard.max() == shard.min() else np.lexsort((code, shard))
+    shard, code, count = shard[order], code[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])]))
+    return shard[first], code[first], np.add.reduceat(count, first)
+
+
+def _again(unit: int):
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([b.to_pandas() for b in _emit(*merged(pdf), unit)])
+
+    return again
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(shards) >> U(32)).astype(np.int64)
 
 
-def _filter_slots(size: int, local: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = tk.mix((local.astype(U) << U(32)) ^ word ^ U(0x5851F42D4C957F2D)) & U(size * 8 - 1)
-    return (h >> U(3)).astype(np.int64), (h & U(7)).astype(np.uint8)
+def by_hash(shards: int):
+    """Deals hashes to shards by ranges."""
+    return lambda context, word: (shard_of(context, shards), context)
+
 
+def by_context(bounds: np.ndarray):
+    """Deals (context, word) pairs to shards by ranges of the context."""
 
-def _filter(local: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A bit per n-gram, eight times as many as there are, so that most n-grams that aren't there need no search."""
-    size = 1 << max(len(local), 8).bit_length()
-    place, bit = _filter_slots(size, local, word)
-    out = np.zeros(size, np.uint8)
-    np.bitwise_or.at(out, place, np.uint8(1) << bit)
-    return out
+    def deal(context, word):
+        shard = np.searchsorted(bounds, context.astype(np.int64), "right") - 1
+        own = context - bounds[shard].astype(U)
+        if len(own) and (int(own.max()) >> 64 - WORD_BITS or int(word.max()) >> WORD_BITS):
+            raise OverflowError("a shard has too many contexts or a level too many words for one code; use smaller shards")
+        return shard, own << U(WORD_BITS) | word
 
+    return deal
 
-def _in_filter(bits: np.ndarray, local: np.ndarray, word: np.ndarray) -> np.ndarray:
-    place, bit = _filter_slots(len(bits), local, word)
-    return np.flatnonzero((bits[place] >> bit) & 1)
 
+def blobs(rows: DataFrame, encode, deal, shards: int, size: int, fan: int | None = None) -> DataFrame:
+    """Rows (unit = shard, blobs) of what ``encode(batch)`` yields as (context, word), dealt to shards by ``deal``.
+
+    Tasks write at most ``fan`` blobs at a time.  With more shards than that a unit is a range of shards first, whose
+    blobs are merged some at a time and cut again, until a unit is one shard.
+    """
+    fan = fan or FAN
+    unit = -(-shards // fan)
+
+    def run(batches):
+        held, n = [], 0
 
+        def flush():
+            context = np.concatenate([c for c, _ in held])
+            word = None if held[0][1] is None else np.concatenate([w for _, w in held])
+            context, word, count = counted(context, word)
+            yield from _emit(*deal(context, word), count, first)
+
+        for batch in tk.steady(batches):
+            for context, word in encode(batch):
+                if len(context):
+                    held.append((context, word))
+                    n += len(context)
+                if n >= FLUSH:
+                    yield from flush()
+                    held, n = [], 0
+        if n:
+            yield from flush()
+
+    first = unit
+    found = rows.mapInArrow(run, BLOB)
+    while unit > 1:
+        calls, unit = max(1, -(-size // (fan * MERGE))), -(-unit // fan)
+        dealt = found.withColumn("call", F.pmod(F.xxhash64("codes"), F.lit(calls)))
+        found = dealt.groupBy("unit", "call").applyInPandas(_again(unit), BLOB)
+    return found
+
+
+# ---------------------------------------------------------------- the trie
 class Trie:
-    """Reads the levels that exist so far."""
+    """Reads the levels that exist so far.
+
+    ``bounds`` has the first context of each shard per level (none for level 1), ``offsets`` the first node of each.
+    """
 
-    def __init__(self, path: str, shards: int, sizes: list[list[int]], total: int = 0):
-        self.path, self.shards, self.total = path, shards, total
-        self.offsets = [np.concatenate([[0], np.cumsum(s)]) for s in sizes]  # first node of each shard, per level
+    def __init__(self, path: str, total: int, bounds: list[np.ndarray], offsets: list[np.ndarray]):
+        self.path, self.total, self.bounds, self.offsets = path, total, bounds, offsets
         self.files: dict[tuple[int, int], dict] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"files": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "_end"} | {"files": {}}
 
     @property
     def words(self) -> int:
         return int(self.offsets[0][-1])
 
+    def size(self, level: int, shard: int) -> int:
+        return int(self.offsets[level - 1][shard + 1] - self.offsets[level - 1][shard])
+
     def file(self, level: int, shard: int) -> dict:
         key = (level, shard)
         if key not in self.files:
@@ -136,283 +220,359 @@ class Trie:
             self.files[key] = arrays
         return self.files[key]
 
-    def _by_shard(self, shard: np.ndarray):
-        shard = shard.astype(np.uint16 if self.shards < 1 << 16 else np.int64)  # sorted by radix
+    def _parts(self, starts: np.ndarray, ids: np.ndarray, level: int):
+        """(shard, places in ``ids``) of each shard of ``level`` that has nodes; shards begin at ``starts``."""
+        shard = np.searchsorted(starts, ids, "right") - 1
+        if len(starts) < 1 << 16:
+            shard = shard.astype(np.uint16)  # sorted by radix
         order = np.argsort(shard, kind="stable")
-        cut = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=self.shards))])
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            yield s, order[cut[s] : cut[s + 1]]
+        cut = np.flatnonzero(np.diff(shard[order].astype(np.int64), prepend=-1, append=-1))
+        for a, b in zip(cut, cut[1:], strict=False):
+            s = int(shard[order[a]])
+            if self.size(level, s):
+                yield s, order[a:b]
 
     def find(self, different: np.ndarray) -> np.ndarray:
         """Ids of distinct sorted word hashes, -1 for unknown."""
         out = np.full(len(different), -1, np.int64)
-        for s, at in self._by_shard(shard_of(different, self.shards)):
-            if self.offsets[0][s + 1] > self.offsets[0][s]:
-                i = self.file(1, s)["values"].find(different[at])
-                out[at] = np.where(i >= 0, i + self.offsets[0][s], -1)
+        shards = len(self.offsets[0]) - 1
+        shard = shard_of(different, shards)
+        cut = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+        for a, b in zip(cut, cut[1:], strict=False):
+            if self.size(1, s := int(shard[a])):
+                i = self.file(1, s)["values"].find(different[a:b])
+                out[a:b] = np.where(i >= 0, i + self.offsets[0][s], -1)
         return out
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Word ids, -1 for unknown."""
-        different, back = np.unique(hashes, return_inverse=True)
+        different, back = distinct(hashes)
         return self.find(different)[back]
 
-    def gather(self, level: int, node: np.ndarray, what: str) -> np.ndarray:
-        """An array's entries at nodes of a level."""
-        out = np.zeros(len(node), np.float64 if what in ("prob", "back") else np.int64)
-        for s, at in self._by_shard(np.searchsorted(self.offsets[level - 1], node, "right") - 1):
-            local = node[at] - self.offsets[level - 1][s]
-            arrays = self.file(level + (what == "back"), s)
-            got = arrays[what][local]
-            out[at] = got if what == "count" else got * -(arrays[what + ".scale"][0])
+    def own(self, level: int, node: np.ndarray, what: str) -> np.ndarray:
+        """``count`` or ``prob`` (log10) at nodes of a level."""
+        out = np.zeros(len(node), np.int64 if what == "count" else np.float64)
+        for s, at in self._parts(self.offsets[level - 1][:-1], node, level):
+            arrays = self.file(level, s)
+            got = arrays[what][node[at] - self.offsets[level - 1][s]]
+            out[at] = got if what == "count" else got * -arrays["prob.scale"][0]
+        return out
+
+    def back(self, level: int, context: np.ndarray) -> np.ndarray:
+        """Log10 weight that contexts leave to the shorter context at ``level``."""
+        out = np.zeros(len(context))
+        for s, at in self._parts(self.bounds[level - 1], context, level):
+            arrays = self.file(level, s)
+            out[at] = arrays["back"][context[at] - self.bounds[level - 1][s]] * -arrays["back.scale"][0]
         return out
 
     def child(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Node at ``level`` of successor ``word`` (id or rank) of nodes of level - 1; -1 where there is none."""
         out = np.full(len(parent), -1, np.int64)
         asked = np.flatnonzero((parent >= 0) & (word >= 0))
-        for s, at in self._by_shard(np.searchsorted(self.offsets[level - 2], parent[asked], "right") - 1):
+        for s, at in self._parts(self.bounds[level - 1], parent[asked], level):
             at = asked[at]
             arrays = self.file(level, s)
-            local, own = parent[at] - self.offsets[level - 2][s], word[at].astype(U)
-            maybe = _in_filter(arrays["filter"], local, own)
-            if not len(maybe):
-                continue
             # each n-gram once and in order, which makes the searches below run through memory forwards
-            code, back = np.unique(local[maybe].astype(U) << U(32) | own[maybe], return_inverse=True)
-            local, own = (code >> U(32)).astype(np.int64), code & U(0xFFFFFFFF)
+            code, back = distinct((parent[at] - self.bounds[level - 1][s]).astype(U) << U(WORD_BITS) | word[at].astype(U))
+            local, own = (code >> U(WORD_BITS)).astype(np.int64), code & U((1 << WORD_BITS) - 1)
+            context = np.flatnonzero(np.diff(local, prepend=-1))
+            some = local[context]
             # pointers are kept strictly increasing by adding the node number
-            first, end = (arrays["pointers"].get(local + k).astype(np.int64) - local - k for k in (0, 1))
-            base = np.zeros(len(code), U)
+            first, end = (x.astype(np.int64) - some - k for k, x in enumerate(arrays["pointers"].pair(some)))
+            base = np.zeros(len(some), U)
             base[first > 0] = arrays["values"].get(first[first > 0] - 1) + U(1)
-            i = arrays["values"].find(base + own)
-            out[at[maybe]] = np.where((i >= first) & (i < end), i + self.offsets[level - 1][s], -1)[back]
+            times = np.diff(np.append(context, len(local)))
+            i = arrays["values"].find(np.repeat(base, times) + own)
+            out[at] = np.where((i >= np.repeat(first, times)) & (i < np.repeat(end, times)), i + self.offsets[level - 1][s], -1)[back]
         return out
 
     def first_child(self, level: int, parent: np.ndarray) -> np.ndarray:
         """The node at ``level`` from which the successors of nodes of level - 1 begin."""
-        node, back = np.unique(parent, return_inverse=True)
+        node, back = distinct(parent)
         out = np.zeros(len(node), np.int64)
-        for s, at in self._by_shard(np.searchsorted(self.offsets[level - 2], node, "right") - 1):
-            local = node[at] - self.offsets[level - 2][s]
+        for s, at in self._parts(self.bounds[level - 1], node, level):
+            local = node[at] - self.bounds[level - 1][s]
             out[at] = self.file(level, s)["pointers"].get(local).astype(np.int64) - local + self.offsets[level - 1][s]
         return out[back]
 
-    def nodes(self, ids: np.ndarray, begins: np.ndarray, level: int) -> list[np.ndarray]:
-        """For each token the node of the n-gram that ends in it, for orders 1 to ``level``; the end token stands before each text."""
-        before = np.concatenate([[-1], ids[:-1]])
-        before[begins] = self.end_id
-        found = [ids]
-        if level >= 2:
-            found.append(self.child(2, before, ids))
-        for k in range(3, level + 1):
-            context = np.concatenate([[-1], found[-1][:-1]])
-            context[begins] = -1  # the end token is the only context before a text
-            usable = (context >= 0) & (found[-1] >= 0)
-            rank = np.full(len(ids), -1, np.int64)
-            suffix = found[k - 3][np.flatnonzero(usable) - 1] if k > 3 else before[usable]
-            rank[usable] = found[-1][usable] - self.first_child(k - 1, suffix)
-            found.append(self.child(k, context, rank))
-        return found
+    def contexts(self, nodes: np.ndarray, begins: np.ndarray, level: int) -> np.ndarray:
+        """The nodes before each token; at level 1 the end token stands before each text, longer contexts don't reach over it."""
+        before = np.concatenate([[-1], nodes[:-1]])[: len(nodes)]
+        before[begins] = self.end_id if level == 1 else -1
+        return before
+
+    def grams(self, nodes: list[np.ndarray], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(context, word id or rank) of the n-gram that ends in each token, one order longer than the last of ``nodes``.
+
+        ``nodes`` has per level the node of the n-gram that ends in each token.  Either is -1 where the context or
+        the n-gram without its first word is unknown.
+        """
+        k = len(nodes) + 1
+        context = self.contexts(nodes[-1], begins, k - 1)
+        if k == 2:
+            return context, nodes[0]
+        word = np.full(len(context), -1, np.int64)
+        at = np.flatnonzero((context >= 0) & (nodes[-1] >= 0))
+        word[at] = nodes[-1][at] - self.first_child(k - 1, self.contexts(nodes[-2], begins, k - 2)[at])
+        return context, word
+
+    @functools.cached_property
+    def _end(self) -> int:
+        return int(self.find(np.array([END], U))[0])
 
     @property
     def end_id(self) -> int:
-        if not hasattr(self, "_end"):
-            self._end = int(self.ids(np.array([END], U))[0])
         return self._end
 
     def unigram(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts, log10 probabilities) of word ids."""
         count = np.zeros(len(ids), np.int64)
         known = ids >= 0
-        count[known] = self.gather(1, ids[known], "count")
+        count[known] = self.own(1, ids[known], "count")
         return count, np.log10((count + ADD) / (self.total + ADD * (self.words + 1)))
 
-    def score(self, hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(counts, unigram log10 probabilities, model log10 probabilities) of each token."""
-        different, where = np.unique(hashes, return_inverse=True)
-        words = self.find(different)
-        count, base = self.unigram(words)
-        order = len(self.offsets)
-        back = np.zeros(len(words) + 1)  # the last entry is for no context
-        known = np.flatnonzero(words >= 0)
-        if order > 1:
-            back[known] = self.gather(1, words[known], "back")
-        ids, count, base = words[where], count[where], base[where]
-        found = self.nodes(ids, begins, order)
+    def score(self, nodes: list[np.ndarray], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unigram log10 probability, model log10 probability) of each token; ``nodes`` may lack the last levels."""
+        nodes = list(nodes)
+        while len(nodes) < len(self.offsets):
+            nodes.append(self.child(len(nodes) + 1, *self.grams(nodes, begins)))
+        different, where = distinct(nodes[0])
+        base = self.unigram(different)[1][where]
         best = base.copy()
-        for k in range(2, order + 1):
-            if k == 2:
-                at = np.concatenate([[len(words)], where[:-1]])
-                end = np.searchsorted(different, U(END))
-                at[begins] = end if end < len(different) and different[end] == U(END) else len(words)
-                best += back[at]
+        for k in range(2, len(nodes) + 1):
+            context = self.contexts(nodes[k - 2], begins, k - 1)
+            # the longest n-gram that is there has the probability, contexts of longer ones pass it on
+            hit = nodes[k - 1] >= 0
+            at = np.flatnonzero(~hit & (context >= 0))
+            best[at] += self.back(k, context[at])
+            if k == len(nodes):
+                at = np.flatnonzero(hit)
             else:
-                context = np.concatenate([[-1], found[k - 2][:-1]])
-                context[begins] = -1
-                has = np.flatnonzero(context >= 0)
-                best[has] += self.gather(k - 1, context[has], "back")
-            hit = np.flatnonzero(found[k - 1] >= 0)
-            best[hit] = self.gather(k, found[k - 1][hit], "prob")
-        return count, base, best
+                at = np.flatnonzero(hit & (nodes[k] < 0))
+            best[at] = self.own(k, nodes[k - 1][at], "prob")
+        return base, best
 
 
-def _blobs(rows: DataFrame, encode, shards: int, piece: int = PIECE) -> DataFrame:
-    """Sorted distinct codes with counts per shard, of what ``encode(bytes, offsets) -> (shard, code)`` finds."""
+def _quantised(name: str, log10: np.ndarray) -> dict[str, np.ndarray]:
+    scale = max(float(-log10.min()) if len(log10) else 0.0, 1e-9) / 255
+    return {name: np.clip(np.rint(-log10 / scale), 0, 255).astype(np.uint8), name + ".scale": np.array([scale])}
 
-    def run(batches):
-        held, size = [], 0
 
-        def flush():
-            shard, code = (np.concatenate(x) for x in zip(*((s, c) for s, c, _ in held), strict=True))
-            count = np.concatenate([n for _, _, n in held])
-            order = np.lexsort((code, shard))
-            shard, code, count = shard[order], code[order], count[order]
-            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])]))
-            yield from _emit(shard[first], code[first], np.add.reduceat(count, first))
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
+MADE = "shard long, n long, total long, cuts array<long>"
+
 
+def _made(shard: int, count: np.ndarray, share: int) -> pd.DataFrame:
+    """What the driver needs of a shard: nodes, occurrences, and nodes at which its contexts may be cut for the next level."""
+    running = np.cumsum(count)
+    total = int(running[-1]) if len(running) else 0
+    cuts = np.unique(np.searchsorted(running, np.arange(share, total, share), "right")) if share else np.zeros(0, np.int64)
+    return pd.DataFrame({"shard": [shard], "n": [len(count)], "total": [total], "cuts": [cuts[(cuts > 0) & (cuts < len(count))].tolist()]})
+
+
+def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.ndarray, top: bool, share: int) -> pd.DataFrame:
+    if not len(code):  # a shard without nodes has no file
+        return _made(s, count, share)
+    lo = int(trie.bounds[level - 1][s])
+    ends = np.append(trie.bounds[level - 1][1:], trie.offsets[level - 2][-1])
+    parents = int(ends[s]) - lo
+    # a shard's contexts lie in one shard of the level before
+    of = int(np.searchsorted(trie.offsets[level - 2], lo, "right")) - 1
+    part = slice(lo - int(trie.offsets[level - 2][of]), lo - int(trie.offsets[level - 2][of]) + parents)
+    before = trie.file(level - 1, of)
+    parent, word = (code >> U(WORD_BITS)).astype(np.int64), (code & U((1 << WORD_BITS) - 1)).astype(np.int64)
+    pointer = np.searchsorted(parent, np.arange(parents + 1))
+    last = pointer[1:][pointer[1:] > pointer[:-1]] - 1  # last successor of each parent that has any
+    value = word + np.concatenate([[0], np.cumsum(word[last] + 1)[:-1]]).repeat(np.diff(np.concatenate([[-1], last])))
+    context = np.asarray(before["count"][part]).astype(np.int64)
+    gone = np.bincount(parent, weights=count - DISCOUNT, minlength=parents)
+    left = np.clip(1 - gone / np.maximum(context, 1), 1e-9, 1.0)
+    if level == 2:
+        different, where = distinct(word)
+        lower, suffix = trie.unigram(different)[1][where], word
+    else:
+        # the suffix's node: the parent's last word leads to its successors, in which ``word`` is the rank
+        suffix = trie.first_child(level - 1, np.asarray(before["suffix"][part]).astype(np.int64)[parent]) + word
+        lower = trie.own(level - 1, suffix, "prob")
+    prob = np.log10((count - DISCOUNT) / context[parent] + left[parent] * 10.0**lower)
+    # counts and suffixes serve to build the next level only
+    save(
+        f"{trie.path}/{level}-{s}.bin",
+        EliasFano.encode(value.astype(U), "v.") | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": _narrow(count[:0] if top else count), "suffix": _narrow(suffix[:0] if top else suffix)} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
+    )
+    return _made(s, count, share)
+
+
+# ---------------------------------------------------------------- from texts to nodes
+def _texts(batch: pa.RecordBatch, i: int):
+    """(first row, end row, token hashes, offsets) of pieces of a text column."""
+    for lo, hi, u8, offsets in tk.pieces(batch.column(i), PIECE):
+        yield lo, hi, *tokens(u8, offsets)
+
+
+def _kind(most: int):
+    return np.dtype("<i4" if most < 1 << 31 else "<i8")
+
+
+def _node_pieces(batch: pa.RecordBatch, first: int, trie: Trie, levels: int):
+    """(first row, end row, nodes per level, offsets) of pieces of the columns of nodes."""
+    kinds = [_kind(int(trie.offsets[k][-1])) for k in range(levels)]
+    columns = [tk._buffers(batch.column(first + k)) for k in range(levels)]
+    for lo, hi, _, offsets in tk.pieces(batch.column(first), NODE_PIECE):
+        nodes = [data[at[lo] : at[hi]].view(kind).astype(np.int64) for (data, at), kind in zip(columns, kinds, strict=True)]
+        yield lo, hi, nodes, offsets // kinds[0].itemsize
+
+
+def _binary(nodes: np.ndarray, cut: np.ndarray, kind: np.dtype) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer((cut * kind.itemsize).astype(np.int64)), pa.py_buffer(nodes.astype(kind))]).cast(pa.binary())
+
+
+def _with_schema(df: DataFrame, level: int) -> StructType:
+    return StructType([*df.schema.fields, StructField(f"_n{level}", BinaryType())])
+
+
+def with_words(rows: DataFrame, trie: Trie) -> DataFrame:
+    """``keep`` and ``train`` with the word ids of ``text`` as little-endian numbers."""
+    kind = _kind(trie.words)
+
+    def run(batches):
         for batch in tk.steady(batches):
-            for _, _, u8, offsets in tk.pieces(batch.column(0), piece):
-                shard, code = encode(u8, offsets)
-                order = np.lexsort((code, shard))
-                shard, code = shard[order], code[order]
-                first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])])) if len(code) else np.zeros(0, np.int64)
-                held.append((shard[first], code[first], np.diff(np.append(first, len(code)))))
-                size += len(first)
-                if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
+            for lo, hi, hashes, cut in _texts(batch, 2):
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), _binary(trie.ids(hashes), cut, kind)], names=["keep", "train", "_n1"])
 
-    return rows.select("text").mapInArrow(run, BLOB)
+    return rows.select("keep", "train", "text").mapInArrow(run, _with_schema(rows.select("keep", "train"), 1))
 
 
-def _quantised(name: str, log10: np.ndarray) -> dict[str, np.ndarray]:
-    scale = max(float(-log10.min()) if len(log10) else 0.0, 1e-9) / 255
-    return {name: np.clip(np.rint(-log10 / scale), 0, 255).astype(np.uint8), name + ".scale": np.array([scale])}
+def with_nodes(table: DataFrame, trie: Trie, level: int) -> DataFrame:
+    """The nodes of one more level."""
+    kind = _kind(int(trie.offsets[level - 1][-1]))
 
+    def run(batches):
+        for batch in tk.steady(batches):
+            for lo, hi, nodes, cut in _node_pieces(batch, 2, trie, level - 1):
+                new = trie.child(level, *trie.grams(nodes, cut[:-1]))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), _binary(new, cut, kind)], names=[*batch.schema.names, f"_n{level}"])
+
+    return table.mapInArrow(run, _with_schema(table, level))
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    """The same numbers in the smallest unsigned type that holds them."""
-    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
 
+def fit(spark: SparkSession, docs: DataFrame, keep: list[str], train: Column, order: int = ORDER, cut: tuple[int, ...] | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[Trie, DataFrame]:
+    """Learn from the rows of ``docs`` where ``train`` holds.
 
-def build(spark: SparkSession, rows: DataFrame, order: int = ORDER, keep: tuple[int, ...] = KEEP, shard_bytes: int = SHARD_BYTES) -> Trie:
-    """Count ``text`` of all ``rows`` and write the trie into the shared folder."""
-    path = f"{shared_dir(spark)}/scorelark/trie-{uuid.uuid4().hex}"
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    Gives the trie in the shared folder, and a table of all rows (keep, train, nodes of all levels but the last).
+    """
+    cut = cut or (1,) * order
+    rows = docs.select((F.struct(*(docs[f"`{c}`"] for c in keep)) if keep else F.lit(True)).alias("keep"), F.coalesce(train, F.lit(False)).alias("train"), docs["text"].alias("text"))
+    learned = rows.where("train").select("text")
+    path = new_folder(spark, "trie")
+    size = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // shard_bytes))
+    share = max(1, size // shards // 6)  # occurrences that a shard of a later level may have, about
 
-    def words(u8, offsets):
-        hashes, _ = tokens(u8, offsets)
-        return shard_of(hashes, shards), hashes
+    def words(batch):
+        for _, _, hashes, _ in _texts(batch, 0):
+            yield hashes, None
 
     def write_words(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        code, count = merged(*zip(*(from_blob(*r) for r in pdf[["n", "codes", "counts"]].itertuples(index=False)), strict=True))
-        save(f"{path}/1-{key[0]}.bin", EliasFano.encode(code, "v.") | {"count": count})
-        return pd.DataFrame({"shard": [key[0]], "n": [len(code)], "total": [int(count.sum())]})
-
-    def run(level: int, encode, write) -> tuple[list[int], int]:
-        made = _blobs(rows, encode, shards).groupBy("shard").applyInPandas(write, "shard int, n long, total long").collect()  # a row per shard
-        sizes = [0] * shards
-        for r in made:
-            sizes[r["shard"]] = r["n"]
-        return sizes, sum(r["total"] for r in made)
-
-    sizes, total = run(1, words, write_words)
-    levels = [sizes]
+        _, code, count = merged(pdf)
+        save(f"{path}/1-{key[0]}.bin", EliasFano.encode(code, "v.") | {"count": _narrow(count)})
+        return _made(int(key[0]), count, share)
+
+    def offsets(found, of: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(first node of each shard, first contexts of the next level's shards, occurrences)."""
+        n, begins, total = np.zeros(of, np.int64), [], 0
+        for r in found.collect():  # a row per shard
+            n[r["shard"]] = r["n"]
+            total += r["total"]
+            begins += [(r["shard"], c) for c in [0, *r["cuts"]] if r["n"]]
+        first = np.concatenate([[0], np.cumsum(n)])
+        return first, np.unique(np.array([0, *(first[s] + c for s, c in begins)], np.int64)), total
+
+    made = blobs(learned, words, by_hash(shards), shards, size).groupBy("unit").applyInPandas(write_words, MADE)
+    first, bounds, total = offsets(made, shards)
+    trie = Trie(path, total, [np.zeros(0, np.int64)], [first])
+    table = written(spark, with_words(rows, trie), "words")
     for level in range(2, order + 1):
-        trie = Trie(path, shards, levels, total)
-
-        sizes, _ = run(level, _grams(trie, level, keep), _writer(trie, level, keep, level == order))
-        # shards without n-grams have files too
-        for s in [i for i, n in enumerate(sizes) if not n and levels[-1][i]]:
-            _write_level(trie, level, s, np.zeros(0, U), np.zeros(0, np.int64), level == order)
-        levels.append(sizes)
-    return Trie(path, shards, levels, total)
-
-
-def _grams(trie: Trie, level: int, keep: tuple[int, ...]):
-    """Codes (node of the context in its shard, word or rank) of the n-grams of a piece whose parts were kept."""
-
-    def grams(u8, offsets):
-        hashes, doc = tokens(u8, offsets)
-        begins = doc[:-1]
-        found = trie.nodes(trie.ids(hashes), begins, level - 1)
-        context = np.concatenate([[-1], found[-1][:-1]])
-        if level == 2:
-            context[begins] = trie.end_id
-            word = found[0]
-            count, seen = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-            count[word >= 0] = trie.gather(1, word[word >= 0], "count")
-            seen[context >= 0] = trie.gather(1, context[context >= 0], "count")
-            good = (count >= keep[1]) & (seen >= keep[1])
-        else:
-            context[begins] = -1
-            good = (context >= 0) & (found[-1] >= 0)
-            before = np.concatenate([[-1], found[level - 3][:-1]])
-            if level == 3:
-                before[begins] = trie.end_id
-            word = np.zeros(len(hashes), np.int64)
-            word[good] = found[-1][good] - trie.first_child(level - 1, before[good])
-        context, word = context[good], word[good]
-        shard = np.searchsorted(trie.offsets[level - 2], context, "right") - 1
-        return shard, ((context - trie.offsets[level - 2][shard]).astype(U) << U(32)) | word.astype(U)
+        trie = Trie(path, total, [*trie.bounds, bounds], trie.offsets)
+        grams = blobs(table.where("train"), _grams(trie, level, cut), by_context(bounds), len(bounds), size)
+        made = grams.groupBy("unit").applyInPandas(_writer(trie, level, cut[level - 1], level == order, share), MADE)
+        first, bounds, _ = offsets(made, len(bounds))
+        trie = Trie(path, total, trie.bounds, [*trie.offsets, first])
+        if level < order:
+            table = written(spark, with_nodes(table, trie, level), "nodes")
+    return trie, table
+
+
+def _grams(trie: Trie, level: int, cut: tuple[int, ...]):
+    def grams(batch):
+        for _, _, nodes, offsets in _node_pieces(batch, 2, trie, level - 1):
+            context, word = trie.grams(nodes, offsets[:-1])
+            good = (context >= 0) & (word >= 0)
+            if level == 2 and cut[1] > 1:
+                for part in (context, word):
+                    at = np.flatnonzero(good)
+                    good[at] = trie.own(1, part[at], "count") >= cut[1]
+            yield context[good].astype(U), word[good].astype(U)
 
     return grams
 
 
-def _writer(trie: Trie, level: int, keep: tuple[int, ...], top: bool):
+def _writer(trie: Trie, level: int, least: int, top: bool, share: int):
     def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        code, count = merged(*zip(*(from_blob(*r) for r in pdf[["n", "codes", "counts"]].itertuples(index=False)), strict=True))
-        return _write_level(trie, level, int(key[0]), code[count >= keep[level - 1]], count[count >= keep[level - 1]], top)
+        _, code, count = merged(pdf)
+        return _write_level(trie, level, int(key[0]), code[count >= least], count[count >= least], top, 0 if top else share)
 
     return write
 
 
-def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.ndarray, top: bool) -> pd.DataFrame:
-    parents = int(trie.offsets[level - 2][s + 1] - trie.offsets[level - 2][s])
-    parent, word = (code >> U(32)).astype(np.int64), (code & U(0xFFFFFFFF)).astype(np.int64)
-    pointer = np.searchsorted(parent, np.arange(parents + 1))
-    last = pointer[1:][pointer[1:] > pointer[:-1]] - 1  # last successor of each parent that has any
-    value = word + np.concatenate([[0], np.cumsum(word[last] + 1)[:-1]]).repeat(np.diff(np.concatenate([[-1], last]))) if len(code) else word
-    context = np.asarray(trie.file(level - 1, s)["count"]).astype(np.int64)
-    gone = np.bincount(parent, weights=count - DISCOUNT, minlength=parents) if len(code) else np.zeros(parents)
-    left = np.clip(1 - gone / np.maximum(context, 1), 1e-9, 1.0)
-    if level == 2:
-        _, lower = trie.unigram(word)
-    else:
-        # the suffix's node: the parent's last word leads to its successors, in which ``word`` is the rank
-        suffix = np.asarray(trie.file(level - 1, s)["suffix"])[parent].astype(np.int64)
-        lower = trie.gather(level - 1, trie.first_child(level - 1, suffix) + word, "prob")
-    prob = np.log10((count - DISCOUNT) / context[parent] + left[parent] * 10.0**lower) if len(code) else np.zeros(0)
-    # counts and suffixes serve to build the next level only
-    suffix = np.zeros(0, np.int64) if top else word if level == 2 else trie.first_child(level - 1, np.asarray(trie.file(level - 1, s)["suffix"])[parent].astype(np.int64)) + word
-    save(
-        f"{trie.path}/{level}-{s}.bin",
-        EliasFano.encode(value.astype(U), "v.") | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": _narrow(count[:0] if top else count), "suffix": _narrow(suffix), "filter": _filter(parent, word.astype(U))} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
-    )
-    return pd.DataFrame({"shard": [s], "n": [len(code)], "total": [int(count.sum())]})
+def build(spark: SparkSession, rows: DataFrame, order: int = ORDER, cut: tuple[int, ...] | None = None, shard_bytes: int = SHARD_BYTES) -> Trie:
+    """The trie of ``text`` of all ``rows``."""
+    return fit(spark, rows, [], F.lit(True), order, cut, shard_bytes)[0]
 
 
-def held_out(doc_id: str = "doc_id") -> Column:
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(False))
+SCORES = "n_tokens long, n_known long, base_score double, score double"
+
+
+def _totals(trie: Trie, nodes: list[np.ndarray], cut: np.ndarray) -> list[pa.Array]:
+    base, best = trie.score(nodes, cut[:-1])
+    add = lambda x: pa.array(np.add.reduceat(x, cut[:-1]) if len(x) else x)
+    return [pa.array(np.diff(cut)), add((nodes[0] >= 0).astype(np.int64)), add(base), add(best)]
 
 
 def score(docs: DataFrame, trie: Trie, keep: list[str]) -> DataFrame:
     """``keep`` columns of each document with n_tokens, n_known, base_score and score."""
 
     def one(u8, offsets):
-        hashes, doc = tokens(u8, offsets)
-        count, base, best = trie.score(hashes, doc[:-1])
-        return {"n_tokens": np.diff(doc), "n_known": np.add.reduceat(count > 0, doc[:-1], dtype=np.int64), "base_score": np.add.reduceat(base, doc[:-1]), "score": np.add.reduceat(best, doc[:-1])}
+        hashes, cut = tokens(u8, offsets)
+        return dict(zip((c.split()[0] for c in SCORES.split(", ")), _totals(trie, [trie.ids(hashes)], cut), strict=True))
+
+    return tk.map_text(docs, keep, "text", one, SCORES, PIECE)
+
+
+def score_table(table: DataFrame, trie: Trie) -> DataFrame:
+    """The same for a table of ``fit``: columns of keep, train and scores."""
+    levels = len(table.columns) - 2
+
+    def run(batches):
+        for batch in tk.steady(batches):
+            for lo, hi, nodes, cut in _node_pieces(batch, 2, trie, levels):
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), *_totals(trie, nodes, cut)], names=["keep", "train", *(c.split()[0] for c in SCORES.split(", "))])
+
+    new = StructType.fromDDL(SCORES)
+    return table.mapInArrow(run, StructType([*table.select("keep", "train").schema.fields, *new.fields])).select("keep.*", "train", *new.names)
 
-    return tk.map_text(docs, keep, "text", one, "n_tokens long, n_known long, base_score double, score double", PIECE)
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    trie = build(spark, docs.where(~held_out()), keep=ALL)
-    found = score(docs, trie, ["doc_id"])
-    return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")
+    trie, table = fit(spark, docs, ["doc_id"], ~held_out())
+    found = score_table(table, trie)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")

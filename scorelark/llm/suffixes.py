@@ -30,7 +30,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -40,8 +39,8 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .eliasfano import EliasFano, load, save
-from .lm import SHARD_BYTES, _blobs, from_blob, merged, shard_of
-from .storage import shared_dir, written
+from .lm import SHARD_BYTES, blobs, by_hash, merged, shard_of
+from .storage import new_folder, written
 
 LENGTH, TOKEN, KEY, STEP, BUCKET_BYTES = 400, 32, 96, 32, 8 << 20
 U = tk.U
@@ -72,22 +71,22 @@ def records(u8: np.ndarray, offsets: np.ndarray, length: int = LENGTH, token: in
 
 def repeated_tokens(spark: SparkSession, docs: DataFrame) -> tuple[str, list[int]]:
     """(folder, tokens per shard) of the leading tokens with two or more records."""
-    path = f"{shared_dir(spark)}/scorelark/tokens-{uuid.uuid4().hex}"
+    path = new_folder(spark, "tokens")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // (2 * SHARD_BYTES)))
 
-    def encode(u8, offsets):
-        hashes = records(u8, offsets)[3]
-        return shard_of(hashes, shards), hashes
+    def encode(batch):
+        for _, _, u8, offsets in tk.pieces(batch.column(0)):
+            yield records(u8, offsets)[3], None
 
     def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        code, count = merged(*zip(*(from_blob(*r) for r in pdf[["n", "codes", "counts"]].itertuples(index=False)), strict=True))
+        _, code, count = merged(pdf)
         code = code[count > 1]
         save(f"{path}/{key[0]}.bin", EliasFano.encode(code))
         return pd.DataFrame({"shard": [key[0]], "n": [len(code)]})
 
     sizes = [0] * shards
-    for r in _blobs(docs, encode, shards, tk.PIECE).groupBy("shard").applyInPandas(write, "shard int, n long").collect():  # a row per shard
+    for r in blobs(docs.select("text"), encode, by_hash(shards), shards, size).groupBy("unit").applyInPandas(write, "shard long, n long").collect():  # a row per shard
         sizes[r["shard"]] = r["n"]
     return path, sizes
 
@@ -285,9 +284,9 @@ def _bucket(shards: int):
             by = np.argsort(shard, kind="stable")
             packed, cut = np.stack(across)[:, by], np.flatnonzero(np.diff(shard[by], prepend=-1, append=-1))
             size = {int(shard[by[x]]): int(y - x) for x, y in zip(cut, cut[1:], strict=False)}
-            blobs = {k: pa.compress(np.ascontiguousarray(packed[:, x : x + size[k]]).tobytes(), codec="zstd", asbytes=True) for k, x in zip(size, cut, strict=False)}
-            none = pa.nulls(len(blobs), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([size[k] for k in blobs], pa.int64()), pa.array(list(blobs), pa.int32()), pa.array(list(blobs.values()), pa.binary())], names=names)
+            packs = {k: pa.compress(np.ascontiguousarray(packed[:, x : x + size[k]]).tobytes(), codec="zstd", asbytes=True) for k, x in zip(size, cut, strict=False)}
+            none = pa.nulls(len(packs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([size[k] for k in packs], pa.int64()), pa.array(list(packs), pa.int32()), pa.array(list(packs.values()), pa.binary())], names=names)
 
     return run
 

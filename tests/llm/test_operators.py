@@ -215,11 +215,18 @@ def test_multikey_sort_orders_like_sorting_whole_rows():
     assert rows == sorted(rows) and same.tolist() == [False] + [a == b for a, b in zip(rows, rows[1:], strict=False)]
 
 
-def test_lm(spark, make, edge):
+@pytest.mark.parametrize(("cut", "shard_bytes", "fan"), [((1, 2, 2), 32 << 20, 256), (None, 20000, 2)])
+def test_lm(spark, make, edge, cut, shard_bytes, fan, monkeypatch):
+    """Against plain interpolated discounting; with many shards also over several passes of blobs."""
+    monkeypatch.setattr(lm, "FAN", fan)
+    least = (cut or (1, 1, 1))[1]
     rows = [(i, t) for i, (_, t, *_) in enumerate(edge)] + [(1000 + i, "the cat sat on the mat and the dog sat on the cat") for i in range(12)]
     docs = make(rows)
-    trie = lm.build(spark, docs.where(~lm.held_out()))
+    trie, table = lm.fit(spark, docs, ["doc_id"], ~lm.held_out(), cut=cut, shard_bytes=shard_bytes)
     got = {r.doc_id: r for r in lm.score(docs, trie, ["doc_id"]).collect()}
+    again = {r.doc_id: r for r in lm.score_table(table, trie).collect()}
+    assert all(again[i][c] == r[c] or math.isclose(again[i][c], r[c]) for i, r in got.items() for c in ("n_tokens", "n_known", "base_score", "score"))
+    assert shard_bytes > 20000 or len(trie.bounds[2]) > len(trie.offsets[0]) > 8
     end, held = " end ", {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
     tokens = {i: [*brute.SPACED.findall((t or "").translate(brute.LOWER)), end] for i, t in rows}
     uni, bi, tri = collections.Counter(), collections.Counter(), collections.Counter()
@@ -230,7 +237,7 @@ def test_lm(spark, make, edge):
             bi.update(zip(x, x[1:], strict=False))
             tri.update(zip(x, x[1:], x[2:], strict=False))
     total, size = sum(uni.values()), len(uni)
-    bi, tri = ({k: n for k, n in c.items() if n >= 2} for c in (bi, tri))
+    bi, tri = ({k: n for k, n in c.items() if n >= least} for c in (bi, tri))
     assert trie.total == total and trie.words == size
     gone = collections.Counter()
     for k, n in [*bi.items(), *tri.items()]:

@@ -92,3 +92,20 @@ def test_classes_are_those_of_the_tokenizer():
         raw = np.frombuffer(text.encode(), np.uint8)
         starts, ends, _ = token_counts.pretokens(raw, np.array([0, len(raw)]), table)
         assert [raw[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)] == [text[a:b] for _, (a, b) in cut(text)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 2) | st.integers(0, 3000) | st.integers(0, 50).map(lambda i: i * 2**50), min_size=2, max_size=200))
+def test_neighbours_in_elias_fano(values):
+    v = np.array(sorted(values), np.uint64)
+    one, two = eliasfano.EliasFano(eliasfano.EliasFano.encode(v)).pair(np.arange(len(v) - 1))
+    assert (one == v[:-1]).all() and (two == v[1:]).all()
+
+
+def test_equal_high_parts_over_many_words():
+    """A run of values with one high part that is longer than 64 bits."""
+    v = np.concatenate([np.arange(300), [2**40, 2**40 + 1], 2**41 + np.arange(500) * 3]).astype(np.uint64)
+    ef = eliasfano.EliasFano(eliasfano.EliasFano.encode(v))
+    assert (ef.find(v) == np.arange(len(v))).all() and (ef.find(v + np.uint64(1))[-400:] == -1).all()
+    one, two = ef.pair(np.arange(len(v) - 1))
+    assert (one == v[:-1]).all() and (two == v[1:]).all()
