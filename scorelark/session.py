@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -41,12 +42,44 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/scorelark/{name}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Address, with its scheme, of a folder in the shared one that isn't there yet.
+
+    All such folders of an application lie in one that is deleted when its driver program ends.
+    """
+    jvm = spark.sparkContext._jvm
+    base = f"{shared_dir(spark)}/scorelark/{spark.sparkContext.applicationId}"
+    if base not in _bases:
+        _bases.add(base)
+        atexit.register(_delete, spark.sparkContext, base)
+    path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+
+
+_bases: set[str] = set()
+
+
+def _delete(context, path: str) -> None:
+    try:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the gateway may be gone at the end, then the folder stays
+        return
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: a loss of executors costs no recomputation."""
+    path = new_folder(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``written`` gave and that nothing needs any more."""
+    _delete(df.sparkSession.sparkContext, df.written_at)
 
 
 def call_count(spark: SparkSession) -> int:
