@@ -88,6 +88,13 @@ class EliasFano:
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         return {prefix + "meta": np.array([n, width], np.int64), prefix + "low": _pack(values & U((1 << width) - 1), width), prefix + "high": high, prefix + "ones": ones}
 
+    def all(self) -> np.ndarray:
+        """All values, in one pass."""
+        bits = np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little")
+        place = np.flatnonzero(bits)
+        i = np.arange(self.n)
+        return (place - i).astype(U) << U(self.width) | _unpack(self.low, i, self.width)
+
     def _place(self, i: np.ndarray) -> np.ndarray:
         """Where the i-th one stands among the high bits."""
         word = np.searchsorted(self.ones, i, "right") - 1

@@ -44,7 +44,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import textkit as tk
 from .eliasfano import EliasFano, load, save
-from .storage import new_folder, written
+from .storage import discard, new_folder, written
 
 ORDER, ADD, DISCOUNT = 3, 0.1, 0.75
 SHARD_BYTES, FLUSH, PIECE, NODE_PIECE, FAN, MERGE = 32 << 20, 3 << 19, 3 << 20, 2 << 20, 256, 1 << 22
@@ -375,6 +375,15 @@ def _made(shard: int, count: np.ndarray, share: int) -> pd.DataFrame:
     return pd.DataFrame({"shard": [shard], "n": [len(count)], "total": [total], "cuts": [cuts[(cuts > 0) & (cuts < len(count))].tolist()]})
 
 
+def _last_words(arrays: dict) -> np.ndarray:
+    """The successor in each node of a shard."""
+    value = arrays["values"].all().astype(np.int64)
+    pointer = arrays["pointers"].all().astype(np.int64)
+    pointer -= np.arange(len(pointer))
+    first = np.repeat(pointer[:-1], np.diff(pointer))
+    return value - np.where(first > 0, value[first - 1] + 1, 0)
+
+
 def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.ndarray, top: bool, share: int) -> pd.DataFrame:
     if not len(code):  # a shard without nodes has no file
         return _made(s, count, share)
@@ -397,13 +406,14 @@ def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.nda
         lower, suffix = trie.unigram(different)[1][where], word
     else:
         # the suffix's node: the parent's last word leads to its successors, in which ``word`` is the rank
-        suffix = trie.first_child(level - 1, np.asarray(before["suffix"][part]).astype(np.int64)[parent]) + word
+        inner = np.asarray(before["suffix"][part]).astype(np.int64) if level > 3 else _last_words(before)[part]
+        suffix = trie.first_child(level - 1, inner[parent]) + word
         lower = trie.own(level - 1, suffix, "prob")
     prob = np.log10((count - DISCOUNT) / context[parent] + left[parent] * 10.0**lower)
-    # counts and suffixes serve to build the next level only
+    # counts and suffixes serve to build the next level only; at level 2 the suffix is the word, which the values tell
     save(
         f"{trie.path}/{level}-{s}.bin",
-        EliasFano.encode(value.astype(U), "v.") | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": _narrow(count[:0] if top else count), "suffix": _narrow(suffix[:0] if top else suffix)} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
+        EliasFano.encode(value.astype(U), "v.") | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": _narrow(count[:0] if top else count), "suffix": _narrow(suffix[:0] if top or level == 2 else suffix)} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
     )
     return _made(s, count, share)
 
@@ -496,7 +506,7 @@ def fit(spark: SparkSession, docs: DataFrame, keep: list[str], train: Column, or
     made = blobs(learned, words, by_hash(shards), shards, size).groupBy("unit").applyInPandas(write_words, MADE)
     first, bounds, total = offsets(made, shards)
     trie = Trie(path, total, [np.zeros(0, np.int64)], [first])
-    table = written(spark, with_words(rows, trie), "words")
+    table = written(spark, with_words(rows, trie), "words", compression="zstd")
     for level in range(2, order + 1):
         trie = Trie(path, total, [*trie.bounds, bounds], trie.offsets)
         grams = blobs(table.where("train"), _grams(trie, level, cut), by_context(bounds), len(bounds), size)
@@ -504,7 +514,8 @@ def fit(spark: SparkSession, docs: DataFrame, keep: list[str], train: Column, or
         first, bounds, _ = offsets(made, len(bounds))
         trie = Trie(path, total, trie.bounds, [*trie.offsets, first])
         if level < order:
-            table = written(spark, with_nodes(table, trie, level), "nodes")
+            before, table = table, written(spark, with_nodes(table, trie, level), "nodes", compression="zstd")
+            discard(before)
     return trie, table
 
 

@@ -2,43 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import session
+from ..session import discard, new_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and Spark runs on this machine alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    own = tempfile.mkdtemp(prefix="scorelark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+__all__ = ["discard", "new_folder", "written"]
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a loss of executors costs no recomputation."""
-    path = f"{shared_dir(spark)}/scorelark/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """Address, with its scheme, of a folder in the shared one that isn't there yet."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scorelark/{name}-{uuid.uuid4().hex}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
-
-
-def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Reliable checkpoint(), whose files Spark removes when the frame is no longer used."""
-    shared_dir(spark)
-    return df.checkpoint()
+    return session.written(df, name, **options)

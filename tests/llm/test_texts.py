@@ -100,6 +100,7 @@ def test_neighbours_in_elias_fano(values):
     v = np.array(sorted(values), np.uint64)
     one, two = eliasfano.EliasFano(eliasfano.EliasFano.encode(v)).pair(np.arange(len(v) - 1))
     assert (one == v[:-1]).all() and (two == v[1:]).all()
+    assert (eliasfano.EliasFano(eliasfano.EliasFano.encode(v)).all() == v).all()
 
 
 def test_equal_high_parts_over_many_words():
