@@ -4,14 +4,18 @@ Documents become token ids with the end id appended; longer ones are cut into fu
 piece taking the odd rest.  Full pieces are sequences of their own.  All others go to the open bin that they fill
 best.  At most OPEN bins are open at a time: a bitset over free space has one bit per number of free tokens, so
 the best bin for a piece is the lowest set bit from its length on, and when a new bin is needed the fullest one,
-the lowest set bit of all, is closed.  Pieces of one Arrow batch are placed longest first, which only reorders
-what a task holds anyway.
+the lowest set bit of all, is closed.  It looks AHEAD bytes of text ahead:
+of these the longest pieces are placed first, which saves most of the room that strict arrival order leaves.
 
-Every task packs the documents it reads: nothing is shuffled, memory is the open bins and one batch, and a lost
-task is simply run again with the same result.  Sequence numbers begin with the task's partition number.
+Ids are those of the tokenizers library.  A byte-level tokenizer splits each pre-token on its own, so a task sends
+every distinct pre-token through the library once and puts the ids of texts together from those.
 
-Defined results: null is empty text and gives one piece with the end id; repeated rows are packed each; an empty
-table gives an empty result; other columns are ignored.
+Every task packs the documents it reads: nothing is shuffled, memory is the open bins, CACHE pre-tokens and a piece of
+a batch, and a lost task is simply run again with the same result.  Sequence numbers begin with the task's partition number.
+
+Defined results: null is empty text and gives one piece with the end id; repeated rows are packed each; of bins with the
+same free space the one that got it last is taken; a text of any length is encoded by one task, as some fifty bytes per
+byte; an empty table gives an empty result; other columns are ignored and doc_id keeps its type.
 """
 
 from __future__ import annotations
@@ -23,13 +27,13 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from . import textkit as tk
-from .token_counts import SPECIAL
+from .token_counts import SPECIAL, TOKENIZER, _tokenizer, class_runs, grouped, keys, pretokens
 
-LENGTH, OPEN, END = 1024, 4096, 2
-RANKS = "byte_bpe_50k.tiktoken"
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+LENGTH, OPEN, END, CACHE, AHEAD = 1024, 4096, 2, 1 << 18, 2 << 20
+NEW = StructType([StructField("piece", IntegerType()), *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "sequence_id", "offset"))])
 
 
 class Bins:
@@ -67,56 +71,87 @@ class Bins:
         return bin_, self.length - free
 
 
-def tokenizer(path: str):
-    """The tokenizer's vocabulary as ranks; gives the same ids as the library of the .json file, special strings included."""
-    import base64
-
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL.decode(): len(ranks)})
-
-
-_tokenizers: dict[str, object] = {}
+class Encoder:
+    """Ids of the library of the .json file; each distinct pre-token goes through it once, until CACHE of them are held."""
+
+    def __init__(self, path: str, table: np.ndarray):
+        self.tokenizer, self.table = _tokenizer(path), table
+        self.special = self.tokenizer.token_to_id(SPECIAL.decode())
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """Places of pre-tokens among the known ones."""
+        new = [w for w in words if w not in self.known]
+        if new:
+            found = [e.ids for i in range(0, len(new), 500) for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[i : i + 500]], add_special_tokens=False)]
+            self.known |= {w: len(self.first) - 1 + i for i, w in enumerate(new)}
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
+            self.ids = np.concatenate([self.ids, np.concatenate([np.array(x, np.uint32) for x in found])])
+        return np.array([self.known[w] for w in words], np.int64)
+
+    def encode(self, u8: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents with ``end`` after each, offsets of the documents into them)."""
+        starts, ends, special = pretokens(u8, offsets, self.table)
+        key, check = keys(u8, starts, ends)
+        order, first, n = grouped(key, check)
+        if len(self.known) + len(first) > CACHE:
+            self._reset()
+        words = [u8[a:b].tobytes() for a, b in zip(starts[order[first]].tolist(), ends[order[first]].tolist(), strict=True)]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.repeat(self._numbers(words), n)
+        # special tokens and ends take part as if they were pre-tokens of one id, in the order of the text
+        documents = len(offsets) - 1
+        at = np.concatenate([starts, special, offsets[1:]])
+        kind = np.repeat([1, 1, 0], [len(starts), len(special), documents])  # an end comes before what begins where it stands
+        begin = np.concatenate([self.first[which], np.full(len(special), len(self.ids)), np.full(documents, len(self.ids) + 1)])
+        size = np.concatenate([self.first[which + 1] - self.first[which], np.ones(len(special) + documents, np.int64)])
+        by = np.lexsort((kind, at))
+        begin, size, kind = begin[by], size[by], kind[by]
+        out = np.cumsum(size)
+        flat = np.append(self.ids, np.array([self.special, end], np.uint32))[np.repeat(begin - out + size, size) + np.arange(out[-1] if len(out) else 0)]
+        return flat, np.concatenate([[0], out[kind == 0]])
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, most: int = OPEN, with_ids: bool = False) -> DataFrame:
     """One row per piece; with ``with_ids`` also its ids as little-endian 32-bit numbers."""
+    runs = class_runs(path)
 
     def run(batches):
-        if path not in _tokenizers:
-            _tokenizers[path] = tokenizer(path)
-        encode = _tokenizers[path].encode_to_numpy
+        if path not in _encoders:
+            _encoders[path] = Encoder(path, np.repeat(runs[1], runs[0]))
         base, bins = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, Bins(length, most)
         for batch in tk.steady(batches):
-            ids_of = batch.column(0)
-            for lo in range(0, len(batch), 2000):
-                row, start, raw = [], [], []
-                for i, text in enumerate(batch.column(1).slice(lo, 2000).to_pylist(), lo):
-                    ids = np.append(encode(text or "", allowed_special="all", disallowed_special=()), end).astype("<u4")
-                    cuts = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
-                    for a, b in zip(cuts, cuts[1:], strict=False):
-                        row.append(i)
-                        start.append(a)
-                        raw.append(ids[a:b].tobytes())
-                size = np.array([len(r) // 4 for r in raw], np.int64)
-                row, start = np.array(row, np.int64), np.array(start, np.int64)
-                piece = np.where(start > 0, -(-start // length), 0)
-                sequence, offset = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+            for lo, hi, u8, offsets in tk.pieces(batch.column(1), AHEAD):
+                ids, cut = _encoders[path].encode(u8, offsets, end)
+                total = np.diff(cut)
+                many = -(-total // length)
+                row = np.repeat(np.arange(hi - lo), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                odd = (total - 1) % length + 1  # the first piece takes the rest
+                start = np.where(piece > 0, odd[row] + (piece - 1) * length, 0)
+                size = np.where(piece > 0, length, odd[row])
+                raw = [ids[a : a + n].astype("<u4", copy=False).data for a, n in zip((cut[row] + start).tolist(), size.tolist(), strict=True)]
+                placed = np.empty((len(size), 2), np.int64)
                 for k in np.argsort(-size, kind="stable").tolist():
-                    sequence[k], offset[k] = bins.place(int(size[k]))
-                columns = [ids_of.take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(base + sequence), pa.array(offset)]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_ids, names=[c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids)
+                    placed[k] = bins.place(int(size[k]))
+                columns = [batch.column(0).take(pa.array(lo + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(base + placed[:, 0]), pa.array(placed[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array([r.tobytes() for r in raw], pa.binary())] if with_ids else []), names=["doc_id", *NEW.names, *(["ids"] if with_ids else [])])
 
-    frame = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return frame.mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
+    frame = docs.select("doc_id", "text")
+    return frame.mapInArrow(run, StructType([frame.schema["doc_id"], *NEW.fields, *([StructField("ids", BinaryType())] if with_ids else [])]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(RANKS))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(TOKENIZER))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the packed pieces with their ids."""
-    return pack(docs, public_tokenizers.path(RANKS), with_ids=True)
+    return pack(docs, public_tokenizers.path(TOKENIZER), with_ids=True)
