@@ -170,17 +170,6 @@ def url_parts(t):
     return t["pages"].select("page_id", pg.host(F.col("url")).alias("host"), F.try_parse_url("url", F.lit("QUERY"), F.lit("page")).alias("page"))
 
 
-@query("q_page_titles")
-def page_titles(t):
-    return lateral(t["pages"], "page_text", "html", keep=["page_id"]).select("page_id", F.array_join("titles", "|").alias("titles"), F.length("body").alias("n_chars"))
-
-
-@query("q_crawl")
-def crawl(t):
-    p = t["pages"].select("url", "html")
-    return pg.crawl(p.select("url"), p)
-
-
 @query("q_provider_links", """
 SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'eepro' WHEN 1 THEN 'scoring_dance' END AS provider, CASE p_partkey % 3 WHEN 0 THEN 'e' || p_partkey WHEN 1 THEN CAST(p_partkey AS STRING) END AS key FROM part""")
 def provider_links(t):
@@ -190,22 +179,8 @@ def provider_links(t):
     return t["part"].select(k.alias("id"), provider_of(url).alias("p")).select("id", "p.provider", "p.key")
 
 
-@query("q_forward_fill", """
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS last_user FROM conversations""")
-def forward_fill(t):
-    w = W.partitionBy("conv_id").orderBy("turn")
-    return t["conversations"].select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.length("text").cast("long")), ignorenulls=True).over(w).alias("last_user"))
-
-
-@query("q_round_ordinal", """
-SELECT conv_id, turn, CASE WHEN total >= 2 AND turn = total THEN 'semis' WHEN total >= 3 AND turn = total - 1 THEN 'quarters' ELSE 'prelims' END AS round FROM (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS total FROM conversations)""")
-def round_ordinal(t):
-    total = F.max("turn").over(W.partitionBy("conv_id"))
-    turn = F.col("turn")
-    return t["conversations"].withColumn("total", total).select("conv_id", "turn", F.when((F.col("total") >= 2) & (turn == F.col("total")), "semis").when((F.col("total") >= 3) & (turn == F.col("total") - 1), "quarters").otherwise("prelims").alias("round"))
-
-
-@query("q_registry_flatten")
+@query("q_registry_flatten", """
+SELECT CAST(user_id AS VARCHAR) AS query, 'Leader' AS role, 'Style' AS style, event_type AS division, upper(event_type) AS division_abbr, strftime(ts, '%Y-%m') AS month, count(*) AS n, CAST(sum(CAST(floor(value) AS INT) % 16) AS BIGINT) AS points FROM events GROUP BY ALL""")
 def registry_flatten(t):
     """Registry records built from the events table: one per user, one competition per event."""
     e = t["events"].withColumn("month", F.date_format("ts", "MMMM yyyy"))
