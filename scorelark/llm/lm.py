@@ -89,7 +89,7 @@ def counted(context: np.ndarray, word: np.ndarray | None) -> tuple[np.ndarray, n
 
 
 # ---------------------------------------------------------------- blobs of sorted codes with counts
-BLOB = "unit long, n long, shards binary, codes binary, counts binary"
+BLOB = "unit long, n long, shards binary, steps binary, codes binary, counts binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -103,18 +103,40 @@ def _unpacked(raw: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(width, n).T).reshape(-1).view(kind)
 
 
+def _split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes as steps of their upper part, and of their lower part among those with one upper part: small numbers.
+
+    Where a blob has several shards codes begin anew, which arithmetic modulo 2^64 undoes.
+    """
+    high, low = codes >> U(WORD_BITS), codes & U((1 << WORD_BITS) - 1)
+    step = np.diff(high, prepend=U(0))
+    same = step == 0
+    same[:1] = False
+    low[1:] -= np.where(same[1:], low[:-1] + U(1), U(0))
+    return step, low
+
+
+def _joined(step: np.ndarray, low: np.ndarray) -> np.ndarray:
+    high = np.cumsum(step, dtype=U)
+    same = step == 0
+    same[:1] = False
+    total = np.cumsum(low + same)
+    first = np.flatnonzero(~same)
+    return high << U(WORD_BITS) | total - np.repeat((total - low)[first], np.diff(np.append(first, len(low))))
+
+
 def _emit(shard: np.ndarray, code: np.ndarray, count: np.ndarray, unit: int):
     """A blob for every ``unit`` shards; entries are sorted by shard, then code."""
     cut = np.flatnonzero(np.diff(shard // unit, prepend=-1, append=-1))
-    rows = [(int(shard[a]) // unit, int(b - a), _packed(np.diff(shard[a:b], prepend=0)), _packed(np.diff(code[a:b], prepend=U(0))), _packed(count[a:b].astype(np.uint32))) for a, b in zip(cut, cut[1:], strict=False)]
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    rows = [(int(shard[a]) // unit, int(b - a), _packed(np.diff(shard[a:b], prepend=0)), *map(_packed, _split(code[a:b])), _packed(count[a:b].astype(np.uint32))) for a, b in zip(cut, cut[1:], strict=False)]
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in BLOB.split(", ")])
 
 
 def merged(blobs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, code, count) of all entries of some blobs, sorted, each code once."""
-    parts = [(np.cumsum(_unpacked(s, n, np.int64)), np.cumsum(_unpacked(c, n, U)), _unpacked(k, n, np.uint32).astype(np.int64)) for n, s, c, k in zip(blobs["n"], blobs["shards"], blobs["codes"], blobs["counts"], strict=True)]
+    parts = [(np.cumsum(_unpacked(s, n, np.int64)), _joined(_unpacked(d, n, U), _unpacked(c, n, U)), _unpacked(k, n, np.uint32).astype(np.int64)) for n, s, d, c, k in zip(*(blobs[x] for x in ("n", "shards", "steps", "codes", "counts")), strict=True)]
     shard, code, count = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(code) if shard[0] == shard.max() == shard.min() else np.lexsort((code, shard))
     shard, code, count = shard[order], code[order], count[order]
