@@ -51,13 +51,33 @@ def related_pairs(t):
     return dedupe.edges(_events(t))
 
 
-@query("q_dedupe")
+#: Merging in order as a recursion: step k of a series takes its k-th edge, unless either end is gone.
+_MERGES = f"""
+g AS ({_EDGE_SQL}),
+n AS (SELECT id, series_id, start_date, end_date, date_precision, CASE date_precision WHEN 'day' THEN 0 WHEN 'month' THEN 1 ELSE 2 END AS p FROM events_view),
+o AS (SELECT x.series_id AS s, a, b, CASE WHEN (x.p, CAST(a AS VARCHAR), a) < (y.p, CAST(b AS VARCHAR), b) THEN a ELSE b END AS k_, CASE WHEN (x.p, CAST(a AS VARCHAR), a) < (y.p, CAST(b AS VARCHAR), b) THEN b ELSE a END AS d_,
+             row_number() OVER (PARTITION BY x.series_id ORDER BY x.start_date, a, y.start_date, b) AS k FROM g JOIN n x ON x.id = a JOIN n y ON y.id = b),
+r AS (SELECT DISTINCT s, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS keep, CAST(NULL AS BIGINT) AS "drop" FROM o
+      UNION ALL
+      SELECT s, k, CASE WHEN hit THEN list_append(gone, d_) ELSE gone END, CASE WHEN hit THEN k_ END, CASE WHEN hit THEN d_ END
+      FROM (SELECT r.s, o.k, r.gone, o.k_, o.d_, NOT list_contains(r.gone, o.a) AND NOT list_contains(r.gone, o.b) AS hit FROM r JOIN o ON o.s = r.s AND o.k = r.k + 1)),
+m AS (SELECT keep, "drop" FROM r WHERE "drop" IS NOT NULL)"""
+
+
+@query("q_dedupe", f'WITH RECURSIVE {_MERGES} SELECT keep, "drop" FROM m')
 def q_dedupe(t):
     e = _events(t)
     return dedupe.merges(e, dedupe.edges(e)).select("keep", "drop")
 
 
-@query("q_dedupe_events")
+@query("q_dedupe_events", f"""
+WITH RECURSIVE {_MERGES},
+t AS (SELECT "drop" AS old, keep AS new, 1 AS h FROM m UNION ALL SELECT t.old, m.keep, h + 1 FROM t JOIN m ON m."drop" = t.new WHERE h < 5),
+f AS (SELECT old, arg_max(new, h) AS new FROM t GROUP BY old),
+d AS (SELECT new AS id, min(p) AS p, arg_min(start_date, (p, id)) AS start_date, arg_min(date_precision, (p, id)) AS date_precision, max(CASE WHEN id % 2 = 0 THEN 'x' END) AS city FROM f JOIN n ON n.id = f.old GROUP BY new)
+SELECT n.id, CASE WHEN d.p < n.p THEN d.start_date ELSE n.start_date END AS start_date, CASE WHEN d.p < n.p THEN d.date_precision ELSE n.date_precision END AS date_precision, coalesce(CASE WHEN n.id % 2 = 0 THEN 'x' END, d.city) AS city, TRUE AS active, CAST(NULL AS BIGINT) AS merged_into
+FROM n LEFT JOIN d USING (id) WHERE n.id NOT IN (SELECT old FROM f)
+UNION ALL SELECT n.id, start_date, date_precision, CASE WHEN n.id % 2 = 0 THEN 'x' END, FALSE, new FROM n JOIN f ON f.old = n.id""")
 def dedupe_events(t):
     e = _events(t).withColumns({"active": F.lit(True), "website_url": F.lit(None).cast("string"), "city": F.when(F.col("id") % 2 == 0, "x"), "region": F.lit(None).cast("string")})
     return dedupe.merge_events(e, dedupe.merges(e, dedupe.edges(e))).select("id", "start_date", "date_precision", "city", "active", "merged_into")
@@ -132,25 +152,76 @@ def judge_candidates(t):
     return judges.candidates(judges.judges(judges.panels(_judge_marks(t))))
 
 
-@query("q_judge_clusters")
+def _judged(t):
+    """Marks and corrections by hand with known identities: per customer k two forms of one first name, and a third name.
+
+    The forms share a panel if k is a multiple of 3, and are told apart by hand if it is one of 5; the third name is merged
+    with the first by hand if k is a multiple of 7.
+    """
+    k = F.col("c_custkey")
+    name = lambda first, last: F.concat(F.lit(first + " " + last), k.cast("string"))
+    seat = lambda sheet, judge: F.struct(F.concat(F.lit(sheet), k.cast("string")).alias("sheet_url"), F.lit(0).alias("section"), judge.alias("judge"))
+    michael, mike, solo = name("Michael", "S"), name("MIKE", "S"), name("Solo", "Z")
+    seats = F.array(seat("a", michael), seat("b", michael), seat("c", mike), seat("d", solo))
+    marks = t["customer"].select(F.inline(F.when(k % 3 == 0, F.array_append(seats, seat("a", mike))).otherwise(seats)))
+    order = lambda n, action, other: F.struct((2 * k + n).alias("id"), F.lit(action).alias("action"), michael.alias("name_a"), other.alias("name_b"))
+    orders = F.filter(F.array(F.when(k % 5 == 0, order(0, "separate", mike)), F.when(k % 7 == 0, order(1, "merge", solo))), lambda x: x.isNotNull())
+    return judges.rebuild(marks, t["customer"].select(F.inline(orders)))
+
+
+_JUDGED = """
+j AS (SELECT c_custkey AS k, c_custkey % 3 = 0 OR c_custkey % 5 = 0 AS apart, c_custkey % 7 = 0 AS forced, 'michael s' || c_custkey AS m, 'mike s' || c_custkey AS n, 'solo z' || c_custkey AS o FROM customer),
+a AS (SELECT m AS alias_norm, m AS judge_key, CASE WHEN forced THEN 'manual' WHEN apart THEN 'exact' ELSE 'nickname' END AS method, CAST(2 AS BIGINT) AS panels FROM j
+      UNION ALL SELECT n, CASE WHEN apart THEN n ELSE m END, CASE WHEN apart THEN 'exact' ELSE 'nickname' END, CAST(CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) FROM j
+      UNION ALL SELECT o, CASE WHEN forced THEN m ELSE o END, CASE WHEN forced THEN 'manual' ELSE 'exact' END, CAST(1 AS BIGINT) FROM j)"""
+
+
+@query("q_judge_clusters", f"WITH {_JUDGED} SELECT alias_norm, judge_key, method, panels FROM a")
 def judge_clusters(t):
-    a = judges.rebuild(_judge_marks(t))
-    return a.select("alias_norm", "judge_key", "method", "confidence", "panels", F.array_join("candidates", "|").alias("candidates"))
+    return _judged(t).select("alias_norm", "judge_key", "method", "panels")
 
 
-@query("q_judge_list")
+@query("q_judge_list", f"WITH {_JUDGED} SELECT judge_key, CAST(sum(panels) AS BIGINT) AS panels, CAST(count(*) AS INT) AS n_names, FALSE AS needs_review FROM a GROUP BY 1")
 def judge_list(t):
-    return judges.judge_list(judges.rebuild(_judge_marks(t))).select("judge_key", "judge", "panels", F.size("names").alias("n_names"), "needs_review")
+    return judges.judge_list(_judged(t)).select("judge_key", "panels", F.size("names").alias("n_names"), "needs_review")
+
+
+@query("q_judge_review", "SELECT 'Chris' AS name, 'Chris Low|Chris Z' AS candidates")
+def judge_review(t):
+    """A lone first name that fits two judges is left to people; every other panel has one of the two."""
+    low, z = F.lit("Chris Low"), F.lit("Chris Z")
+    marks = t["customer"].select(F.col("c_custkey").cast("string").alias("sheet_url"), F.lit(0).alias("section"), F.when(F.col("c_custkey") % 3 == 0, low).when(F.col("c_custkey") % 3 == 1, z).otherwise("Chris").alias("judge"))
+    return judges.review_list(judges.rebuild(marks)).select("name", F.array_join("candidates", "|").alias("candidates"))
 
 
-@query("q_occurrence_match")
+@query("q_occurrence_match", """
+WITH RECURSIVE p AS (SELECT l.id AS row_id, l.series_id AS s, e.id, CAST(abs(date_diff('day', l.start_date + 4, e.start_date)) AS INT) AS diff FROM events_view l JOIN events_view e USING (series_id) WHERE abs(date_diff('day', l.start_date + 4, e.start_date)) <= 21),
+c AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY row_id) AS k FROM (SELECT s, row_id, list({'diff': diff, 'id': id} ORDER BY diff, CAST(id AS VARCHAR), id) AS cand FROM p GROUP BY s, row_id)),
+r AS (SELECT DISTINCT s, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS row_id, CAST(NULL AS BIGINT) AS id, CAST(NULL AS INT) AS diff, FALSE AS ambiguous FROM c
+      UNION ALL
+      SELECT s, k, CASE WHEN len(free) > 0 THEN list_append(taken, free[1].id) ELSE taken END, row_id, free[1].id, free[1].diff, free[1].diff > 0 AND len(free) > 1 AND coalesce(free[2].diff = free[1].diff, FALSE)
+      FROM (SELECT r.s, c.k, r.taken, c.row_id, list_filter(c.cand, lambda x: NOT list_contains(r.taken, x.id)) AS free FROM r JOIN c ON c.s = r.s AND c.k = r.k + 1))
+SELECT row_id, id, diff, ambiguous FROM r WHERE id IS NOT NULL""")
 def occurrence_match(t):
     e = _events(t)
     rows = e.select(F.col("id").alias("row_id"), F.col("id").alias("row_index"), "series_id", F.date_add("start_date", 4).alias("start_date"), "country")
     return occurrences.match_occurrences(rows, e)
 
 
-@query("q_import_events")
+@query("q_import_events", """
+WITH RECURSIVE w AS (SELECT o_orderkey AS row_id, o_custkey AS s, CAST(o_orderdate AS DATE) + 3 AS d, o_orderkey % 4 <> 0 AS exact FROM orders),
+e AS (SELECT id, 'e' || id AS eid, series_id AS s, start_date, date_precision AS p FROM events_view),
+p AS (SELECT row_id, s, id, eid, abs(date_diff('day', d, start_date)) AS diff FROM w JOIN e USING (s) WHERE exact AND abs(date_diff('day', d, start_date)) <= 7),
+c AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY row_id) AS k FROM (SELECT s, row_id, list(eid ORDER BY diff, CAST(id AS VARCHAR), eid) AS cand FROM p GROUP BY s, row_id)),
+r AS (SELECT DISTINCT s, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS row_id, CAST(NULL AS VARCHAR) AS eid FROM c
+      UNION ALL
+      SELECT s, k, CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END, row_id, free[1]
+      FROM (SELECT r.s, c.k, r.taken, c.row_id, list_filter(c.cand, lambda x: NOT list_contains(r.taken, x)) AS free FROM r JOIN c ON c.s = r.s AND c.k = r.k + 1)),
+mo AS (SELECT row_id, arg_min(eid, id) AS eid FROM w JOIN e ON e.s = w.s AND e.p = 'month' AND date_trunc('month', d) = date_trunc('month', start_date) WHERE exact GROUP BY 1),
+ye AS (SELECT row_id, arg_min(eid, (CASE e.p WHEN 'day' THEN 0 WHEN 'month' THEN 1 ELSE 2 END, id)) AS eid FROM w JOIN e ON e.s = w.s AND year(d) = year(start_date) WHERE NOT exact GROUP BY 1),
+f AS (SELECT w.*, coalesce(r.eid, mo.eid, ye.eid) AS hit FROM w LEFT JOIN (SELECT row_id, eid FROM r WHERE eid IS NOT NULL) r USING (row_id) LEFT JOIN mo USING (row_id) LEFT JOIN ye USING (row_id))
+SELECT f.row_id, 's' || f.s AS series_id, 'known' AS series_status, coalesce(hit, 'evt_' || substr(sha256('{"series_id":"s' || f.s || '","start_date":"' || d || '"}'), 1, 16)) AS event_id, CASE WHEN hit IS NULL THEN 'created' ELSE 'matched' END AS status, coalesce(e.p = 'month' AND exact, FALSE) AS upgrade
+FROM f LEFT JOIN e ON e.eid = hit""")
 def import_events(t):
     e = _events(t).withColumn("series_id", F.concat(F.lit("s"), F.col("series_id").cast("string"))).withColumn("id", F.concat(F.lit("e"), F.col("id").cast("string")))
     series = t["customer"].select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("id"), normalize_text(F.col("c_name")).alias("normalized_name"), F.col("c_custkey").alias("created_at"))
