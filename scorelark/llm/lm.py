@@ -47,7 +47,7 @@ from .eliasfano import EliasFano, load, save
 from .storage import discard, new_folder, written
 
 ORDER, ADD, DISCOUNT = 3, 0.1, 0.75
-SHARD_BYTES, FLUSH, PIECE, NODE_PIECE, FAN, MERGE = 32 << 20, 3 << 19, 3 << 20, 2 << 20, 256, 1 << 22
+SHARD_BYTES, FLUSH, PIECE, NODE_PIECE, FAN, MERGE = 16 << 20, 3 << 19, 3 << 20, 3 << 19, 2048, 1 << 21
 #: Bits of a successor in a code; the rest is for the context within its shard.
 WORD_BITS = 40
 END = tk.text_hash(" end ")  # no word has blanks
@@ -135,18 +135,29 @@ def _emit(shard: np.ndarray, code: np.ndarray, count: np.ndarray, unit: int):
 
 
 def merged(blobs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, code, count) of all entries of some blobs, sorted, each code once."""
-    parts = [(np.cumsum(_unpacked(s, n, np.int64)), _joined(_unpacked(d, n, U), _unpacked(c, n, U)), _unpacked(k, n, np.uint32).astype(np.int64)) for n, s, d, c, k in zip(*(blobs[x] for x in ("n", "shards", "steps", "codes", "counts")), strict=True)]
-    shard, code, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(code) if shard[0] == shard.max() == shard.min() else np.lexsort((code, shard))
-    shard, code, count = shard[order], code[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])]))
-    return shard[first], code[first], np.add.reduceat(count, first)
+    """(shard, code, count) of all entries of some blobs, sorted, each code once; one shard for all if there is only one."""
+    get = lambda *names: zip(blobs["n"], *(blobs[x] for x in names), strict=True)
+    code = np.concatenate([_joined(_unpacked(d, n, U), _unpacked(c, n, U)) for n, d, c in get("steps", "codes")])
+    count = np.concatenate([_unpacked(k, n, np.uint32) for n, k in get("counts")])
+    shard = [np.cumsum(_unpacked(s, n, np.int64)) for n, s in get("shards")]
+    first, last = min(s[0] for s in shard), max(s[-1] for s in shard)
+    shard = np.concatenate(shard) if first < last else None
+    order = np.argsort(code) if shard is None else np.lexsort((code, shard))
+    code, count = code[order], count[order]
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = code[1:] != code[:-1]
+    if shard is not None:
+        shard = shard[order]
+        fresh[1:] |= shard[1:] != shard[:-1]
+    del order
+    at = np.flatnonzero(fresh)
+    return np.full(1, first) if shard is None else shard[at], code[at], np.add.reduceat(count, at, dtype=np.int64)
 
 
 def _again(unit: int):
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([b.to_pandas() for b in _emit(*merged(pdf), unit)])
+        shard, code, count = merged(pdf)
+        return pd.concat([b.to_pandas() for b in _emit(np.broadcast_to(shard, len(code)), code, count, unit)])
 
     return again
 
@@ -419,7 +430,9 @@ def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.nda
     parent, word = (code >> U(WORD_BITS)).astype(np.int64), (code & U((1 << WORD_BITS) - 1)).astype(np.int64)
     pointer = np.searchsorted(parent, np.arange(parents + 1))
     last = pointer[1:][pointer[1:] > pointer[:-1]] - 1  # last successor of each parent that has any
-    value = word + np.concatenate([[0], np.cumsum(word[last] + 1)[:-1]]).repeat(np.diff(np.concatenate([[-1], last])))
+    value = (word + np.concatenate([[0], np.cumsum(word[last] + 1)[:-1]]).repeat(np.diff(np.concatenate([[-1], last])))).astype(U)
+    values = EliasFano.encode(value, "v.")
+    del value
     context = np.asarray(before["count"][part]).astype(np.int64)
     gone = np.bincount(parent, weights=count - DISCOUNT, minlength=parents)
     left = np.clip(1 - gone / np.maximum(context, 1), 1e-9, 1.0)
@@ -435,7 +448,7 @@ def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.nda
     # counts and suffixes serve to build the next level only; at level 2 the suffix is the word, which the values tell
     save(
         f"{trie.path}/{level}-{s}.bin",
-        EliasFano.encode(value.astype(U), "v.") | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": _narrow(count[:0] if top else count), "suffix": _narrow(suffix[:0] if top or level == 2 else suffix)} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
+        values | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": _narrow(count[:0] if top else count), "suffix": _narrow(suffix[:0] if top or level == 2 else suffix)} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
     )
     return _made(s, count, share)
 
@@ -504,7 +517,7 @@ def fit(spark: SparkSession, docs: DataFrame, keep: list[str], train: Column, or
     path = new_folder(spark, "trie")
     size = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // shard_bytes))
-    share = max(1, size // shards // 6)  # occurrences that a shard of a later level may have, about
+    share = max(1, size // shards // 6)  # occurrences that a shard of a later level may have, about: as many as tokens in a shard's bytes
 
     def words(batch):
         for _, _, hashes, _ in _texts(batch, 0):
