@@ -21,6 +21,7 @@ byte; an empty table gives an empty result; other columns are ignored and doc_id
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +33,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from . import textkit as tk
 from .token_counts import SPECIAL, TOKENIZER, _tokenizer, class_runs, grouped, keys, pretokens
 
-LENGTH, OPEN, END, CACHE, AHEAD = 1024, 4096, 2, 1 << 18, 2 << 20
+LENGTH, OPEN, END, CACHE, AHEAD = 1024, 4096, 2, 1 << 20, 2 << 20
 NEW = StructType([StructField("piece", IntegerType()), *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "sequence_id", "offset"))])
 
 
@@ -87,11 +88,12 @@ class Encoder:
         """Places of pre-tokens among the known ones."""
         new = [w for w in words if w not in self.known]
         if new:
-            found = [e.ids for i in range(0, len(new), 500) for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[i : i + 500]], add_special_tokens=False)]
-            self.known |= {w: len(self.first) - 1 + i for i, w in enumerate(new)}
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
-            self.ids = np.concatenate([self.ids, np.concatenate([np.array(x, np.uint32) for x in found])])
-        return np.array([self.known[w] for w in words], np.int64)
+            found = [e.ids for i in range(0, len(new), 2000) for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[i : i + 2000]], add_special_tokens=False)]
+            self.known.update(zip(new, range(len(self.first) - 1, len(self.first) - 1 + len(new)), strict=True))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def encode(self, u8: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents with ``end`` after each, offsets of the documents into them)."""
