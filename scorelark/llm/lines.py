@@ -7,7 +7,12 @@ decide; lines near it, within BAND standard errors, get an exact distinct count.
 occurrence (smallest doc_id, then line number) stays and all others are removed.
 
 Lines are compared without surrounding blanks.  In the pipeline all lines count that aren't blank; the query, like its
-SQL, counts those of MIN_CHARS characters or more.
+SQL, counts those of MIN_CHARS characters or more.  A text of any length is split in one row's array.  Of occurrences
+that tie in doc_id the smaller hashes of the row, then the line number decide.
+
+A line is known by two 64-bit hashes (xxhash64 with two seeds), a row too.  The HOT most frequent boilerplate lines, a
+proven bound, are broadcast; of any other line there is at most one in HOT of all, so joins on the hashes are even
+without salts, however frequent a line is.
 
 Defined results: a null text stays null and has no lines; a null source is one site of its own; rows equal in
 doc_id, source and text are the same document and keep the same lines; an empty table gives an empty result.
@@ -21,61 +26,71 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .storage import written
 
-MIN_SITES, MIN_CHARS, LG_K, BAND, SALTS = 10, 12, 10, 3, 32
+MIN_SITES, MIN_CHARS, LG_K, BAND, HOT = 10, 12, 10, 3, 1000
+_LINE, _ROW = ["h", "g"], ["row", "row2"]
 
 
 def _split(text: str | Column) -> Column:
     return F.split(text, "\n")
 
 
-def _row() -> Column:
+def _row() -> dict[str, Column]:
     """Tells documents apart even where doc_id is null or repeated."""
-    return F.xxhash64("doc_id", "source", "text")
+    return {"row": F.xxhash64("doc_id", "source", "text"), "row2": F.xxhash64(F.lit(7), "doc_id", "source", "text")}
 
 
 def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, row, site, pos, line hash of each line that counts; without ``min_chars`` these are all but blank lines."""
-    each = docs.select("doc_id", _row().alias("row"), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(_split("text")).alias("pos", "line"))
+    """doc_id, row, row2, site, pos and the line's hashes h, g of each line that counts; without ``min_chars`` these are all but blank lines."""
+    each = docs.select("doc_id", *(c.alias(k) for k, c in _row().items()), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(_split("text")).alias("pos", "line"))
     line = F.trim("line")
     counts = F.char_length(line) >= min_chars if min_chars else F.col("line").rlike(r"\S")
-    return each.where(counts).select("doc_id", "row", "site", "pos", F.xxhash64(line).alias("h"))
+    return each.where(counts).select("doc_id", *_ROW, "site", "pos", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(7), line).alias("g"))
+
+
+def _of(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``lines`` whose line is ``known`` (h, g, n): the most frequent ones by a broadcast, the others by a shuffle."""
+    hot = F.broadcast(known.orderBy(F.desc("n"), *_LINE).limit(HOT).select(*_LINE))
+    rest = lines.join(hot, _LINE, "left_anti").join(known.select(*_LINE), _LINE, "left_semi")
+    return lines.join(hot, _LINE, "left_semi").unionByName(rest)
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Hashes of the lines on ``min_sites`` sites or more."""
+    """Hashes h, g of the lines on ``min_sites`` sites or more, and how often each stands there (n)."""
     lines = long_lines(docs, min_chars)
     error = BAND * 1.04 / 2 ** (LG_K / 2)
-    sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch")).select("h", F.hll_sketch_estimate("sketch").alias("sites"))
+    sketched = lines.groupBy(*_LINE).agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count("*").alias("n")).select(*_LINE, "n", F.hll_sketch_estimate("sketch").alias("sites"))
     near = written(spark, sketched.where(F.col("sites") >= min_sites * (1 - error) - 1), "lines")
     sure = F.col("sites") > min_sites * (1 + error) + 1
-    pairs = lines.join(near.where(~sure), "h", "left_semi").select("h", "site").distinct()
-    exact = pairs.groupBy("h").count().where(F.col("count") >= min_sites)
-    return near.where(sure).select("h").unionByName(exact.select("h"))
+    unsure = near.where(~sure)
+    pairs = _of(lines.select(*_LINE, "site"), unsure).distinct()
+    exact = pairs.groupBy(*_LINE).count().where(F.col("count") >= min_sites)
+    return near.where(sure).select(*_LINE, "n").unionByName(unsure.join(exact, _LINE, "left_semi").select(*_LINE, "n"))
 
 
 def removals(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """row and the sorted numbers of its removed lines, for documents that lose any."""
-    known = boilerplate(spark, docs, min_sites, min_chars)
-    # a line may be a third of all rows, so its rows are dealt out by a salt too
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    lines = long_lines(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int"))
-    found = written(spark, lines.join(known.select("h", salts), ["h", "salt"]).select("h", "salt", F.struct("doc_id", "row", "pos").alias("at")), "occurrences")
-    first = found.groupBy("h").agg(F.min("at").alias("first")).select("h", "first", salts)
-    gone = found.join(first, ["h", "salt"]).where(~F.col("at").eqNullSafe(F.col("first")))
-    return gone.groupBy(F.col("at.row").alias("row")).agg(F.array_sort(F.collect_set("at.pos")).alias("gone"))
+    """row, row2 and the sorted numbers of its removed lines, for documents that lose any."""
+    known = written(spark, boilerplate(spark, docs, min_sites, min_chars), "boilerplate")
+    lines = long_lines(docs, min_chars).select(*_LINE, F.struct("doc_id", *_ROW, "pos").alias("at"))
+    found = written(spark, _of(lines, known), "occurrences")
+    first = found.groupBy(*_LINE).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    hot = F.broadcast(known.orderBy(F.desc("n"), *_LINE).limit(HOT).select(*_LINE))
+    some = F.broadcast(first.join(hot, _LINE, "left_semi").select(*_LINE, "first"))
+    rest = found.join(hot, _LINE, "left_anti").join(first.select(*_LINE, "first"), _LINE)
+    gone = found.join(some, _LINE).unionByName(rest).where(~F.col("at").eqNullSafe(F.col("first")))
+    return gone.groupBy(*(F.col(f"at.{c}").alias(c) for c in _ROW)).agg(F.array_sort(F.collect_set("at.pos")).alias("gone"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, source, text (and ``_doc``, if there) of all documents with ``kept`` (the remaining text), ``n_lines`` and ``n_removed``."""
     docs = docs.select(*(c for c in ("_doc", "doc_id", "source", "text") if c in docs.columns))
-    marked = docs.withColumn("_row", _row())
-    gone = removals(spark, docs, min_sites, min_chars).withColumnsRenamed({"row": "_row", "gone": "_gone"})
-    joined = marked.join(gone, "_row", "left")
+    marked = docs.withColumns({"_" + k: c for k, c in _row().items()})
+    gone = removals(spark, docs, min_sites, min_chars).withColumnsRenamed({"row": "_row", "row2": "_row2", "gone": "_gone"})
+    joined = marked.join(gone, ["_row", "_row2"], "left")
     split = _split("text")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split))
-    return joined.withColumns({"kept": kept, "n_lines": lines.cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_row", "_gone")
+    return joined.withColumns({"kept": kept, "n_lines": lines.cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_row", "_row2", "_gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
