@@ -13,12 +13,13 @@ classes, so copies cost nothing.
    more members share.  A task returns per class the number of its links, and (member, root) rows of what is truly
    linked.
 
-Large buckets and families are dealt out as pairs of blocks of at most BLOCK classes, so no task holds more than
-two blocks, whatever the size of a group; nothing is capped.  Connected components are found by alternating large-
+Large buckets and families are dealt out as pairs of blocks of about BLOCK classes, so no task holds more than
+two blocks, of BLOCK classes on average, whatever the size of a group; nothing is capped.  Connected components are found by alternating large-
 and small-star steps, each written to the shared folder.
 
-Defined results: a null text, or one without a word, is linked to nothing; equal rows are copies of each other; an
-empty table gives an empty result; other columns are ignored.  The number of links counts documents, copies included.
+Defined results: a null text, or one without a word, is linked to nothing; equal rows are copies of each other; of
+documents that tie the smallest id speaks for a component; a text of any length is one task's, as some sixty bytes per
+byte; an empty table gives an empty result; other columns are ignored, and doc_id keeps its type.  The number of links counts documents, copies included.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .storage import written
+from .storage import discard, written
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
 HASHES, STEP, TOLERANCE = BANDS * ROWS, 32, 1e-7
-BLOCK, BLOCK_SHINGLES, PER_CALL = 4096, 1 << 20, 1 << 15
+BLOCK, BLOCK_SHINGLES, PER_CALL, HUBS = 4096, 1 << 20, 1 << 15, 500
 _MULTIPLY = tk.mix(np.arange(1, HASHES + 1, dtype=tk.U)) | tk.U(1)
 _ADD = tk.mix(np.arange(1001, HASHES + 1001, dtype=tk.U))
 
@@ -139,8 +140,8 @@ def classes(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "t1", "t2", "class", "n", "sig", "bands"],
                 )
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), "text")
-    return keyed.mapInArrow(run, "doc_id long, t1 long, t2 long, class long, n long, sig binary, bands array<long>")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), "text")
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, class long, n long, sig binary, bands array<long>")
 
 
 def dealt(df: DataFrame, key: str, cost: str | None = None) -> DataFrame:
@@ -207,16 +208,23 @@ def candidates(spark: SparkSession, once: DataFrame) -> DataFrame:
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """node, root for every node of ``edges`` (a, b), by large-star and small-star steps."""
+    """node, root for every node of ``edges`` (a, b), by large-star and small-star steps.
+
+    The HUBS nodes with most edges, a proven bound, are broadcast; any other node has at most one in HUBS of all edges.
+    """
     edges = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = written(spark, both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least")
+        hubs = F.broadcast(least.orderBy(F.desc("n"), "a").limit(HUBS).select("a", "m"))
+        rest = both.join(hubs.select("a"), "a", "left_anti").join(least.select("a", "m"), "a")
+        met = both.join(hubs, "a").select("a", "b", "m").unionByName(rest.select("a", "b", "m"))
+        large = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "a", "m")
         new = written(spark, small.select("a", F.col("m").alias("b")).unionByName(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         same = [f.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first() for f in (edges, new)]
+        discard(least)
         edges = new
         if same[0] == same[1]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -274,7 +282,7 @@ def join(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFr
     family = components(spark, candidates(spark, once))
     members = once.join(family.withColumnRenamed("node", "class"), "class").select("class", "size", "n", "root", "at.t1", "at.t2", F.col("at.doc_id").alias("rep"))
     placed = dealt(members, "root", "n")
-    texts = docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), F.col("doc_id").cast("long").alias("rep0"), "text")
+    texts = docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), F.col("doc_id").alias("rep0"), "text")
     wanted = members.select("class", "t1", "t2", F.col("rep").alias("rep1"))
     chosen = texts.join(wanted, ["t1", "t2"]).where(F.col("rep0").eqNullSafe(F.col("rep1"))).select("class", "text")
 
@@ -317,6 +325,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = join(spark, docs)
     stay = found.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("doc_id").alias("_stay")).distinct()
-    marked = tk.whole(docs).withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(7), "text"), "_stay": F.col("doc_id").cast("long")})
+    marked = tk.whole(docs).withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(7), "text"), "_stay": F.col("doc_id")})
     same = [marked[c].eqNullSafe(stay[c]) for c in ("_t1", "_t2", "_stay")]
     return marked.join(stay, same, "left_semi").select("_doc.*")
