@@ -21,7 +21,7 @@ def test_stages(spark, make, edge, pipeline, tmp_path):
     docs = make(rows)
     kept = stage["language"](spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and kept.count() < docs.count()
-    assert {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)} - {r.doc_id for r in kept.collect()} <= {14}
+    assert {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)} - {r.doc_id for r in kept.collect()} <= {14, 300, 301, 302, 303}
     deduped = stage["line_dedup"](spark, docs, str(tmp_path))
     assert deduped.columns == docs.columns and deduped.count() == docs.count()
     single = stage["near_duplicates"](spark, docs, str(tmp_path))
