@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.text import provider_of
 from .html import lateral
 
-# Words that point to results, pages followed, retry policy of the fetcher that lands pages.
+# Words that point to results and pages followed.
 RESULT_WORDS = r"(?i)\b(results?|scores?|scoring|score ?sheets?|standings|placements)\b"
 OTHER_RESULTS = r"(?i)(results?|scores?|scoring|score ?sheets?)"
 MAX_PAGES, MAX_OTHER_LINKS = 3, 20
-FETCH = {"timeout_s": 30, "retries": 2, "backoff_s": [2, 4]}
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:
@@ -22,7 +21,7 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land(spark: SparkSession, fetched: list[tuple[str, str, str, str]]) -> DataFrame:
-    """SRC1, SRC2: what a fetcher outside Spark brought: (run_id, kind, url, html); kind tells full and second list apart."""
+    """Pages that someone else brought: (run_id, kind, url, html); kind tells full and second list apart.  ``fetch`` is the source for others."""
     return spark.createDataFrame(fetched, "run_id string, kind string, url string, html string")
 
 
@@ -35,17 +34,26 @@ def links(pages: DataFrame) -> DataFrame:
     return lateral(pages, "html_links", "html", "url", keep=["url"])
 
 
+def _home(starts: DataFrame, pages: DataFrame) -> DataFrame:
+    return links(pages.join(starts.select("url").distinct(), "url", "left_semi")).withColumn("start", F.col("url"))
+
+
+def followed(pages: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, href, n: of each start page at most MAX_PAGES pages of the same host whose link or path speaks of results, in page order."""
+    home = _home(starts, pages)
+    same = (host(F.col("href")) == host(F.col("start"))) & ~F.lower("href").endswith(".pdf")
+    speaks = F.col("text").rlike(RESULT_WORDS) | F.coalesce(F.try_parse_url("href", F.lit("PATH")), F.lit("")).rlike(RESULT_WORDS)
+    once = home.where(same & speaks).groupBy("start", "href").agg(F.min("ord").alias("ord"))
+    return once.withColumn("n", F.row_number().over(W.partitionBy("start").orderBy("ord"))).where(F.col("n") <= MAX_PAGES)
+
+
 def crawl(starts: DataFrame, pages: DataFrame) -> DataFrame:
     """SRC15: provider links and other result links found on sites.
 
     ``starts`` has the sites' addresses; ``pages`` are landed pages.  From a start page at most MAX_PAGES pages of
     the same host whose link or path speaks of results are followed, in page order.
     """
-    home = links(pages.join(starts.select("url").distinct(), "url", "left_semi")).withColumn("start", F.col("url"))
-    same = (host(F.col("href")) == host(F.col("start"))) & ~F.lower("href").endswith(".pdf")
-    speaks = F.col("text").rlike(RESULT_WORDS) | F.coalesce(F.try_parse_url("href", F.lit("PATH")), F.lit("")).rlike(RESULT_WORDS)
-    once = home.where(same & speaks).groupBy("start", "href").agg(F.min("ord").alias("ord"))
-    chosen = once.withColumn("n", F.row_number().over(W.partitionBy("start").orderBy("ord"))).where(F.col("n") <= MAX_PAGES)
+    home, chosen = _home(starts, pages), followed(pages, starts)
     inner = links(pages).join(chosen.select("start", F.col("href").alias("url"), "n").distinct(), "url")
     found = home.withColumn("n", F.lit(0)).unionByName(inner)
     scanned = chosen.select("start", "href").unionByName(starts.select(F.col("url").alias("start"), F.col("url").alias("href"))).distinct()

@@ -120,3 +120,52 @@ def test_registry(spark):
     assert (who.registry_id, who.primary_role, who.level_required, who.secondary_rule) == (5, "Leader", None, "rule")
     got = registry.newest_first(registry.placements(found)).collect()
     assert [(r.role, r.result, r.points, r.month) for r in got] == [("leader", "F", 1, "2026-05"), ("leader", "2", 3, "2025-06")]
+
+
+def test_fetching(spark):
+    """Against a server of this test: cookies, charsets, errors that go away, refusals, forms, and nobody there."""
+    import http.server
+    import threading
+
+    from scorelark.sources import fetch
+
+    seen: dict[str, int] = {}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen[self.path] = seen.get(self.path, 0) + 1
+            code = 503 if self.path == "/late" and seen[self.path] < 3 or self.path == "/down" else 404 if self.path == "/none" else 200
+            body = {"/latin": "é".encode("latin-1"), "/cookie": str(self.headers.get("Cookie")).encode(), "/": b'<a href="/results">Results</a>', "/results": b'<a href="https://eepro.com/results/x26/">x</a>'}.get(self.path, "ü �".encode())
+            self.send_response(code)
+            self.send_header("Content-Type", "text/html; charset=iso-8859-1" if self.path == "/latin" else "text/html; charset=unheard-of")
+            self.send_header("Set-Cookie", "a=1")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_POST(self):
+            sent = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"<html>" if "q=bad" in sent else f'{{"sent": "{sent}"}}'.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        asked = spark.createDataFrame([(f"{base}{p}",) for p in ("/latin", "/cookie", "/late", "/down", "/none")] + [("http://127.0.0.1:9/x",), ("no address",)], "url string").coalesce(1)
+        got = {r.url.removeprefix(base): (r.body, r.status, r.attempts, r.error) for r in fetch.fetch(asked, 5, (0.01, 0.01)).collect()}
+        assert got["/latin"] == ("é", 200, 1, None) and got["/cookie"][0] == "a=1" and got["/late"] == ("ü �", 200, 3, None)
+        assert got["/down"] == (None, 503, 3, "http 503") and got["/none"] == (None, 404, 1, "http 404")
+        assert got["http://127.0.0.1:9/x"][1:3] == (None, 3) and got["http://127.0.0.1:9/x"][3].startswith("network") and got["no address"][3].startswith("network")
+        forms = spark.createDataFrame([("5", f"{base}/find", {"q": "5"}), ("b", f"{base}/find", {"q": "bad"})], "query string, url string, form map<string,string>")
+        found = {r.query: (r.payload, r.error) for r in fetch.registry(fetch.fetch(forms, 5, ())).collect()}
+        assert found == {"5": ('{"sent": "q=5"}', None), "b": (None, "registry did not answer with JSON")}
+        lists = spark.createDataFrame([("r1", "full", f"{base}/ok"), ("r1", "second", f"{base}/none"), ("r2", "full", f"{base}/none")], "run_id string, kind string, url string")
+        both = {r.run_id: (r.full, r.second, r.error) for r in fetch.calendar(fetch.fetch(lists, 5, ())).collect()}
+        assert both == {"r1": ("ü �", None, None), "r2": (None, None, "http 404")}
+        assert [(r.provider, r.key) for r in fetch.crawl(spark.createDataFrame([(f"{base}/",)], "url string"), timeout=5, pauses=()).collect()] == [("eepro", "x26")]
+    finally:
+        server.shutdown()
