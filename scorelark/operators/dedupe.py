@@ -60,7 +60,7 @@ def merges(events: DataFrame, pairs: DataFrame) -> DataFrame:
     kind = events.schema["id"].dataType.simpleString()
     pairs = written(pairs, "pairs")
     label = components(pairs)
-    calls = call_count(events.sparkSession)
+    calls = call_count(label)
     ranked = events.select("id", F.col("start_date").cast("string").alias("start_date"), rank_of(PRECISION_RANK, F.col("date_precision")).alias("precision_rank"), rank_of(SOURCE_RANK, F.col("source")).alias("source_rank"), F.col("created_at").cast("string").alias("created_at"))
     call = F.pmod(F.xxhash64("component"), F.lit(calls))
     nodes = ranked.join(label.withColumnRenamed("node", "id"), "id").withColumn("call", call)

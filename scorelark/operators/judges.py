@@ -157,7 +157,7 @@ def identities(names: DataFrame, pairs: DataFrame, apart: DataFrame, overrides:
             found += resolve(members[c], plain, {(a, b) for a, b, k in links[c] if k == "apart"}, forced)
         return pd.DataFrame(found, columns=[c.split()[0] for c in ALIASES.split(", ")])
 
-    call = F.pmod(F.xxhash64("component"), F.lit(call_count(names.sparkSession)))
+    call = F.pmod(F.xxhash64("component"), F.lit(call_count(label)))
     grouped = nodes.withColumn("call", call).groupBy("call").cogroup(links.select(call.alias("of"), F.col("component").alias("c"), "a", "b", "kind").groupBy("of")).applyInPandas(run, ALIASES)
     none = F.lit(None).cast("string")
     alone = names.join(of("name"), "name", "left_anti").select(F.col("name").alias("alias_norm"), F.col("display").alias("alias_name"), F.col("name").alias("judge_key"), F.col("display").alias("judge_name"), F.lit("exact").alias("method"), F.lit("high").alias("confidence"), none.alias("reason"), F.lit(None).cast("array<string>").alias("candidates"), "panels")

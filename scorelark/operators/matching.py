@@ -36,10 +36,13 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_date: str, ri
     return ranked.where("_n = 1").withColumn("ambiguous", F.coalesce(F.col("diff") == F.col("_next"), F.lit(False))).drop("_n", "_next")
 
 
-def near_in_time(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int) -> DataFrame:
-    """J14, J16 without a common key: the right side stands in the buckets of all days around it, so it is an equi-join."""
+def near_in_time(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """The right side stands in the buckets of all days around it, so it is an equi-join, on ``on`` too.
+
+    Without ``on`` everything of a day meets: only for sides of which one is small on any day.
+    """
     spread = right.withColumn("_day", F.explode(F.sequence(F.date_sub(right_date, days), F.date_add(right_date, days))))
-    return left.withColumn("_day", F.col(left_date)).join(spread, "_day").drop("_day")
+    return left.withColumn("_day", F.col(left_date)).join(spread, ["_day", *on]).drop("_day")
 
 
 def pages_for_events(events: DataFrame, names: DataFrame, provider_events: DataFrame) -> DataFrame:
@@ -50,8 +53,10 @@ def pages_for_events(events: DataFrame, names: DataFrame, provider_events: DataF
     linked = provider_events.where("event_id IS NOT NULL").select(F.col("event_id").alias("id"), "provider", "provider_key")
     open_ = events.join(linked.select("id").distinct(), "id", "left_anti").where("start_date IS NOT NULL").select("id", "start_date").join(names, "id")
     pages = provider_events.select("provider", "provider_key", F.col("start_date").alias("page_date"), normalize_text(F.col("name")).alias("page_name")).where("page_date IS NOT NULL")
-    close = near_in_time(open_, pages, "start_date", "page_date", PAGE_DAYS)
-    similar = close.where(jaccard(tokens(F.col("name_norm")), tokens(F.col("page_name"))) >= PAGE_SIMILARITY)
+    # names that are half the same share a word
+    word = lambda df, c: df.withColumn("_word", F.explode(tokens(F.col(c))))
+    close = near_in_time(word(open_, "name_norm"), word(pages, "page_name"), "start_date", "page_date", PAGE_DAYS, ("_word",))
+    similar = close.drop("_word").distinct().where(jaccard(tokens(F.col("name_norm")), tokens(F.col("page_name"))) >= PAGE_SIMILARITY)
     return linked.unionByName(similar.select("id", "provider", "provider_key").distinct())
 
 
@@ -64,7 +69,7 @@ def related_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of events of different sources in one year whose names are related and whose dates fit.
 
     Both sides: id, name, source, start_date, end_date, date_precision.  A smaller word set can only lie in a
-    larger one that has its first word, so pairs meet on (year, word) instead of all against all.
+    larger one that has its rarest word, so pairs meet on (year, that word) instead of all against all.
     """
 
     def prepared(df: DataFrame, p: str) -> DataFrame:
@@ -72,7 +77,11 @@ def related_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
     left, right = prepared(a, "a_"), prepared(b, "b_")
     word = lambda df, p: df.withColumn("word", F.explode(p + "words"))
-    lead = lambda df, p: df.withColumn("word", F.get(p + "words", F.lit(0))).where("word IS NOT NULL")
+    count = word(left, "a_").select("word").unionByName(word(right, "b_").select("word")).groupBy("word").agg(F.count("*").alias("_n"))
+
+    def lead(df: DataFrame, p: str) -> DataFrame:
+        return word(df, p).join(count, "word").groupBy(*df.columns).agg(F.min_by("word", F.struct("_n", "word")).alias("word"))
+
     met = lead(left, "a_").join(word(right, "b_"), ["year", "word"]).unionByName(word(left, "a_").join(lead(right, "b_"), ["year", "word"])).drop("word")
     fits = dates_compatible(*(F.col(f"{p}_{c}") for p in "ab" for c in ("start_date", "end_date", "date_precision")))
     pairs = met.where((F.col("a_id") != F.col("b_id")) & (F.col("a_source") != F.col("b_source")) & fits & subset_either_way(F.col("a_words"), F.col("b_words")))

@@ -72,7 +72,7 @@ def match_occurrences(rows: DataFrame, events: DataFrame, days: int = CALENDAR_D
             found[series].append(tuple(row))
         return pd.DataFrame([x for s in sorted(found) for x in fold(listed[s], found[s])], columns=["row_id", "id", "diff", "ambiguous"])
 
-    call = F.pmod(F.xxhash64("series_id"), F.lit(call_count(rows.sparkSession)))
+    call = F.pmod(F.xxhash64("series_id"), F.lit(call_count(rows)))
     mine = rows.select(F.col("series_id").alias("s"), F.col("row_id").alias("r"), F.col("row_index").alias("i"), call.alias("of"))
     return mine.groupBy("of").cogroup(pairs.withColumn("call", call).groupBy("call")).applyInPandas(run, f"row_id {row}, id {event}, diff int, ambiguous boolean")
 

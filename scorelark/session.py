@@ -82,6 +82,6 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession.sparkContext, df.written_at)
 
 
-def call_count(spark: SparkSession) -> int:
-    """Into how many calls small groups are gathered, so that each call handles many; follows the number of partitions."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def call_count(rows: DataFrame, each: int = 4096) -> int:
+    """Into how many calls the small groups of ``rows`` are gathered, so that a call handles about ``each`` rows, however many there are."""
+    return max(1, -(-rows.count() // each))
