@@ -81,30 +81,37 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.key, self.check, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        """Places of pre-tokens among the known ones."""
-        new = [w for w in words if w not in self.known]
-        if new:
-            found = [e.ids for i in range(0, len(new), 2000) for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[i : i + 2000]], add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.first) - 1, len(self.first) - 1 + len(new)), strict=True))
+    def _numbers(self, u8: np.ndarray, key: np.ndarray, check: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of distinct pre-tokens, sorted by key, among the known ones, which stand sorted by key too."""
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        hit = (self.key[at] == key) & (self.check[at] == check) if len(self.key) else np.zeros(len(key), bool)
+        out = np.empty(len(key), np.int64)
+        out[hit] = self.place[at[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            words = [u8[a:b].tobytes().decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            found = [e.ids for i in range(0, len(words), 2000) for e in self.tokenizer.encode_batch_fast(words[i : i + 2000], add_special_tokens=False)]
+            out[new] = len(self.first) - 1 + np.arange(len(new))
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            into = np.searchsorted(self.key, key[new])
+            self.key, self.check, self.place = (np.insert(old, into, more) for old, more in ((self.key, key[new]), (self.check, check[new]), (self.place, out[new])))
+        return out
 
     def encode(self, u8: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents with ``end`` after each, offsets of the documents into them)."""
         starts, ends, special = pretokens(u8, offsets, self.table)
         key, check = keys(u8, starts, ends)
         order, first, n = grouped(key, check)
-        if len(self.known) + len(first) > CACHE:
+        if len(self.key) + len(first) > CACHE:
             self._reset()
-        words = [u8[a:b].tobytes() for a, b in zip(starts[order[first]].tolist(), ends[order[first]].tolist(), strict=True)]
+        one = order[first]
         which = np.empty(len(order), np.int64)
-        which[order] = np.repeat(self._numbers(words), n)
+        which[order] = np.repeat(self._numbers(u8, key[one], check[one], starts[one], ends[one]), n)
         # special tokens and ends take part as if they were pre-tokens of one id, in the order of the text
         documents = len(offsets) - 1
         at = np.concatenate([starts, special, offsets[1:]])

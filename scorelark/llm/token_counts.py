@@ -190,7 +190,7 @@ def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Rows that differ in the last column alone may make several runs each, which a later aggregation joins.
     """
-    order = np.lexsort(columns[-2::-1])
+    order = np.argsort(columns[0]) if len(columns) == 2 else np.lexsort(columns[-2::-1])
     fresh = np.zeros(len(order), bool)
     fresh[:1] = True
     for c in columns:
