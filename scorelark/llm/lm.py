@@ -17,8 +17,8 @@ frequent word are dealt to many shards; only those of one and the same context s
 words.  Each shard is a flat file in the shared folder that workers memory-map: the model takes page cache, not heap,
 and grows with the input.  The driver holds three numbers for each shard.
 
-Texts are turned into word ids once, and into the nodes of each level once; both are written as a table, from which
-the next level is counted and the texts are scored.
+Texts are turned into word ids once, which are written as a table; from it the levels are counted and the texts are
+scored.
 
 Counting: each task reduces its n-grams to sorted distinct codes with counts and ships them as compressed blobs.  A
 blob goes to one of at most FAN groups of shards; where there are more shards than that the groups are merged and
@@ -44,10 +44,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import textkit as tk
 from .eliasfano import EliasFano, load, save
-from .storage import discard, new_folder, written
+from .storage import new_folder, written
 
 ORDER, ADD, DISCOUNT = 3, 0.1, 0.75
-SHARD_BYTES, FLUSH, PIECE, NODE_PIECE, FAN, MERGE = 16 << 20, 3 << 19, 3 << 20, 3 << 19, 2048, 1 << 21
+SHARD_BYTES, FLUSH, PIECE, ID_PIECE, FAN, MERGE = 16 << 20, 3 << 19, 3 << 20, 3 << 19, 2048, 1 << 21
 #: Bits of a successor in a code; the rest is for the context within its shard.
 WORD_BITS = 40
 END = tk.text_hash(" end ")  # no word has blanks
@@ -287,8 +287,8 @@ class Trie:
         out = np.zeros(len(node), np.int64 if what == "count" else np.float64)
         for s, at in self._parts(self.offsets[level - 1][:-1], node, level):
             arrays = self.file(level, s)
-            got = arrays[what][node[at] - self.offsets[level - 1][s]]
-            out[at] = got if what == "count" else got * -arrays["prob.scale"][0]
+            local = node[at] - self.offsets[level - 1][s]
+            out[at] = _count_at(arrays, local) if what == "count" else arrays["prob"][local] * -arrays["prob.scale"][0]
         return out
 
     def back(self, level: int, context: np.ndarray) -> np.ndarray:
@@ -365,11 +365,16 @@ class Trie:
         count[known] = self.own(1, ids[known], "count")
         return count, np.log10((count + ADD) / (self.total + ADD * (self.words + 1)))
 
-    def score(self, nodes: list[np.ndarray], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(unigram log10 probability, model log10 probability) of each token; ``nodes`` may lack the last levels."""
-        nodes = list(nodes)
-        while len(nodes) < len(self.offsets):
-            nodes.append(self.child(len(nodes) + 1, *self.grams(nodes, begins)))
+    def nodes(self, ids: np.ndarray, begins: np.ndarray, level: int) -> list[np.ndarray]:
+        """Per level up to ``level`` the node of the n-gram that ends in each token."""
+        found = [ids]
+        while len(found) < level:
+            found.append(self.child(len(found) + 1, *self.grams(found, begins)))
+        return found
+
+    def score(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unigram log10 probability, model log10 probability) of each token."""
+        nodes = self.nodes(ids, begins, len(self.offsets))
         different, where = distinct(nodes[0])
         base = self.unigram(different)[1][where]
         best = base.copy()
@@ -392,6 +397,20 @@ def _quantised(name: str, log10: np.ndarray) -> dict[str, np.ndarray]:
     return {name: np.clip(np.rint(-log10 / scale), 0, 255).astype(np.uint8), name + ".scale": np.array([scale])}
 
 
+def _counts(count: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as a byte each; those of 255 or more stand apart."""
+    many = np.flatnonzero(count >= 255)
+    return {"count": np.minimum(count, 255).astype(np.uint8), "count.at": _narrow(many), "count.many": _narrow(count[many])}
+
+
+def _count_at(arrays: dict, node: np.ndarray) -> np.ndarray:
+    """Counts at nodes of a shard."""
+    out = arrays["count"][node].astype(np.int64)
+    many = np.flatnonzero(out == 255)
+    out[many] = arrays["count.many"][np.searchsorted(arrays["count.at"], node[many])]
+    return out
+
+
 def _narrow(values: np.ndarray) -> np.ndarray:
     """The same numbers in the smallest unsigned type that holds them."""
     return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
@@ -433,7 +452,7 @@ def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.nda
     value = (word + np.concatenate([[0], np.cumsum(word[last] + 1)[:-1]]).repeat(np.diff(np.concatenate([[-1], last])))).astype(U)
     values = EliasFano.encode(value, "v.")
     del value
-    context = np.asarray(before["count"][part]).astype(np.int64)
+    context = _count_at(before, np.arange(part.start, part.stop))
     gone = np.bincount(parent, weights=count - DISCOUNT, minlength=parents)
     left = np.clip(1 - gone / np.maximum(context, 1), 1e-9, 1.0)
     if level == 2:
@@ -448,7 +467,7 @@ def _write_level(trie: Trie, level: int, s: int, code: np.ndarray, count: np.nda
     # counts and suffixes serve to build the next level only; at level 2 the suffix is the word, which the values tell
     save(
         f"{trie.path}/{level}-{s}.bin",
-        values | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | {"count": _narrow(count[:0] if top else count), "suffix": _narrow(suffix[:0] if top or level == 2 else suffix)} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
+        values | EliasFano.encode((pointer + np.arange(parents + 1)).astype(U), "p.") | _counts(count[:0] if top else count) | {"suffix": _narrow(suffix[:0] if top or level == 2 else suffix)} | _quantised("prob", np.minimum(prob, 0)) | _quantised("back", np.log10(left)),
     )
     return _made(s, count, share)
 
@@ -464,21 +483,15 @@ def _kind(most: int):
     return np.dtype("<i4" if most < 1 << 31 else "<i8")
 
 
-def _node_pieces(batch: pa.RecordBatch, first: int, trie: Trie, levels: int):
-    """(first row, end row, nodes per level, offsets) of pieces of the columns of nodes."""
-    kinds = [_kind(int(trie.offsets[k][-1])) for k in range(levels)]
-    columns = [tk._buffers(batch.column(first + k)) for k in range(levels)]
-    for lo, hi, _, offsets in tk.pieces(batch.column(first), NODE_PIECE):
-        nodes = [data[at[lo] : at[hi]].view(kind).astype(np.int64) for (data, at), kind in zip(columns, kinds, strict=True)]
-        yield lo, hi, nodes, offsets // kinds[0].itemsize
-
-
-def _binary(nodes: np.ndarray, cut: np.ndarray, kind: np.dtype) -> pa.Array:
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer((cut * kind.itemsize).astype(np.int64)), pa.py_buffer(nodes.astype(kind))]).cast(pa.binary())
+def _id_pieces(batch: pa.RecordBatch, column: int, trie: Trie):
+    """(first row, end row, word ids, offsets) of pieces of the column of word ids."""
+    kind = _kind(trie.words)
+    for lo, hi, u8, offsets in tk.pieces(batch.column(column), ID_PIECE):
+        yield lo, hi, u8.view(kind).astype(np.int64), offsets // kind.itemsize
 
 
-def _with_schema(df: DataFrame, level: int) -> StructType:
-    return StructType([*df.schema.fields, StructField(f"_n{level}", BinaryType())])
+def _binary(ids: np.ndarray, cut: np.ndarray, kind: np.dtype) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer((cut * kind.itemsize).astype(np.int64)), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
 
 
 def with_words(rows: DataFrame, trie: Trie) -> DataFrame:
@@ -488,28 +501,15 @@ def with_words(rows: DataFrame, trie: Trie) -> DataFrame:
     def run(batches):
         for batch in tk.steady(batches):
             for lo, hi, hashes, cut in _texts(batch, 2):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), _binary(trie.ids(hashes), cut, kind)], names=["keep", "train", "_n1"])
-
-    return rows.select("keep", "train", "text").mapInArrow(run, _with_schema(rows.select("keep", "train"), 1))
-
-
-def with_nodes(table: DataFrame, trie: Trie, level: int) -> DataFrame:
-    """The nodes of one more level."""
-    kind = _kind(int(trie.offsets[level - 1][-1]))
-
-    def run(batches):
-        for batch in tk.steady(batches):
-            for lo, hi, nodes, cut in _node_pieces(batch, 2, trie, level - 1):
-                new = trie.child(level, *trie.grams(nodes, cut[:-1]))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), _binary(new, cut, kind)], names=[*batch.schema.names, f"_n{level}"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), _binary(trie.ids(hashes), cut, kind)], names=["keep", "train", "ids"])
 
-    return table.mapInArrow(run, _with_schema(table, level))
+    return rows.select("keep", "train", "text").mapInArrow(run, StructType([*rows.select("keep", "train").schema.fields, StructField("ids", BinaryType())]))
 
 
 def fit(spark: SparkSession, docs: DataFrame, keep: list[str], train: Column, order: int = ORDER, cut: tuple[int, ...] | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[Trie, DataFrame]:
     """Learn from the rows of ``docs`` where ``train`` holds.
 
-    Gives the trie in the shared folder, and a table of all rows (keep, train, nodes of all levels but the last).
+    Gives the trie in the shared folder, and a table of all rows (keep, train, word ids).
     """
     cut = cut or (1,) * order
     rows = docs.select((F.struct(*(docs[f"`{c}`"] for c in keep)) if keep else F.lit(True)).alias("keep"), F.coalesce(train, F.lit(False)).alias("train"), docs["text"].alias("text"))
@@ -525,7 +525,7 @@ def fit(spark: SparkSession, docs: DataFrame, keep: list[str], train: Column, or
 
     def write_words(key, pdf: pd.DataFrame) -> pd.DataFrame:
         _, code, count = merged(pdf)
-        save(f"{path}/1-{key[0]}.bin", EliasFano.encode(code, "v.") | {"count": _narrow(count)})
+        save(f"{path}/1-{key[0]}.bin", EliasFano.encode(code, "v.") | _counts(count))
         return _made(int(key[0]), count, share)
 
     def offsets(found, of: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -548,15 +548,13 @@ def fit(spark: SparkSession, docs: DataFrame, keep: list[str], train: Column, or
         made = grams.groupBy("unit").applyInPandas(_writer(trie, level, cut[level - 1], level == order, share), MADE)
         first, bounds, _ = offsets(made, len(bounds))
         trie = Trie(path, total, trie.bounds, [*trie.offsets, first])
-        if level < order:
-            before, table = table, written(spark, with_nodes(table, trie, level), "nodes", compression="zstd")
-            discard(before)
     return trie, table
 
 
 def _grams(trie: Trie, level: int, cut: tuple[int, ...]):
     def grams(batch):
-        for _, _, nodes, offsets in _node_pieces(batch, 2, trie, level - 1):
+        for _, _, ids, offsets in _id_pieces(batch, 2, trie):
+            nodes = trie.nodes(ids, offsets[:-1], level - 1)
             context, word = trie.grams(nodes, offsets[:-1])
             good = (context >= 0) & (word >= 0)
             if level == 2 and cut[1] > 1:
@@ -584,10 +582,10 @@ def build(spark: SparkSession, rows: DataFrame, order: int = ORDER, cut: tuple[i
 SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 
-def _totals(trie: Trie, nodes: list[np.ndarray], cut: np.ndarray) -> list[pa.Array]:
-    base, best = trie.score(nodes, cut[:-1])
+def _totals(trie: Trie, ids: np.ndarray, cut: np.ndarray) -> list[pa.Array]:
+    base, best = trie.score(ids, cut[:-1])
     add = lambda x: pa.array(np.add.reduceat(x, cut[:-1]) if len(x) else x)
-    return [pa.array(np.diff(cut)), add((nodes[0] >= 0).astype(np.int64)), add(base), add(best)]
+    return [pa.array(np.diff(cut)), add((ids >= 0).astype(np.int64)), add(base), add(best)]
 
 
 def score(docs: DataFrame, trie: Trie, keep: list[str]) -> DataFrame:
@@ -595,19 +593,18 @@ def score(docs: DataFrame, trie: Trie, keep: list[str]) -> DataFrame:
 
     def one(u8, offsets):
         hashes, cut = tokens(u8, offsets)
-        return dict(zip((c.split()[0] for c in SCORES.split(", ")), _totals(trie, [trie.ids(hashes)], cut), strict=True))
+        return dict(zip((c.split()[0] for c in SCORES.split(", ")), _totals(trie, trie.ids(hashes), cut), strict=True))
 
     return tk.map_text(docs, keep, "text", one, SCORES, PIECE)
 
 
 def score_table(table: DataFrame, trie: Trie) -> DataFrame:
     """The same for a table of ``fit``: columns of keep, train and scores."""
-    levels = len(table.columns) - 2
 
     def run(batches):
         for batch in tk.steady(batches):
-            for lo, hi, nodes, cut in _node_pieces(batch, 2, trie, levels):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), *_totals(trie, nodes, cut)], names=["keep", "train", *(c.split()[0] for c in SCORES.split(", "))])
+            for lo, hi, ids, cut in _id_pieces(batch, 2, trie):
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), *_totals(trie, ids, cut)], names=["keep", "train", *(c.split()[0] for c in SCORES.split(", "))])
 
     new = StructType.fromDDL(SCORES)
     return table.mapInArrow(run, StructType([*table.select("keep", "train").schema.fields, *new.fields])).select("keep.*", "train", *new.names)
