@@ -15,7 +15,8 @@ per language with the smallest hashes (all texts, if there are fewer), each weig
 the same in every run and no language is lost; that bound is a parameter.  The model has languages x CLUSTERS x
 BUCKETS numbers whatever the corpus size.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; repeated rows
+Defined results: of languages whose centroids are equally near the first in the alphabet is named; a text of any length is
+one task's, as some sixty bytes per byte; a null text, or one without a letter, is ``und`` with score 0 and is rejected; repeated rows
 get the same result; rows with a null language are not learned from; without any training row all is ``und``;
 other columns are ignored.
 """
@@ -46,6 +47,7 @@ def counts(u8: np.ndarray, offsets: np.ndarray):
     text = _FOLD[u8].astype(np.uint32)
     keep = np.ones(len(text), bool)
     keep[1:] = (text[1:] != 32) | (text[:-1] != 32)  # runs of gaps count as one
+    keep[offsets[:-1][offsets[:-1] < len(text)]] = True  # whatever the text before ends with
     sizes = tk.per_doc(keep, offsets)
     text = text[keep]
     offsets = np.concatenate([[0], np.cumsum(sizes)])

@@ -40,5 +40,5 @@ def edge(words):
     rows += [(200 + i, prose(rng.randint(1, 80)), ["en", "de", "fr"][i % 3], "z") for i in range(40)]
     # words that polynomial hashes confuse
     mixed = ["".join(pair[bin(i).count("1") % 2] for i in range(1024)) for pair in ("ab", "ba")]
-    rows += [(300, mixed[0]), (301, mixed[1]), (302, "\n".join(mixed)), (303, " ".join([mixed[0], mixed[1], mixed[0]]))]
+    rows += [(300 + i, t, None, "z") for i, t in enumerate((mixed[0], mixed[1], "\n".join(mixed), " ".join([mixed[0], mixed[1], mixed[0]])))]
     return rows

@@ -83,6 +83,39 @@ def test_language_rejects_other_languages(spark, make, words):
     assert np.mean([got[i] for i in range(k, k + len(own))]) < 0.05
 
 
+def test_language_against_plain_nearest_centroids(spark, make, edge, words):
+    """N-grams, cosines and the nearest centroid, one text at a time."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(words[100 * (i % 3) : 100 * (i % 3) + 60]) for _ in range(rng.randint(5, 60))), "abc"[i % 3]) for i in range(90)]
+    model = language.train(spark, make(rows))
+    texts = [t for _, t, *_ in edge if t and len(t) < 20000] + [" a", "b ", " 1 é "]
+
+    def plain(text):
+        folded = []
+        for b in text.encode():
+            c = b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+            if c != 32 or not folded or folded[-1] != 32:
+                folded.append(c)
+        count = np.zeros(language.BUCKETS, np.int64)
+        for n in language.GRAMS:
+            for i in range(len(folded) - n + 1):
+                h = 0
+                for c in folded[i : i + n]:
+                    h = (h * 0x01000193 + c * 0x9E3779B1) & 0xFFFFFFFF
+                count[((h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 20] += 1
+        v = np.log1p(count) * model.idf
+        return (v / max(np.linalg.norm(v), 1e-12)) @ model.centroids.T
+
+    got = {r.doc_id: r for r in language.predict(spark, make(list(enumerate(texts))), model, ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        if any(c.isalpha() for c in text):
+            cosines = plain(text)
+            near = {model.languages[model.owner[k]] for k in np.flatnonzero(cosines > cosines.max() - 1e-5)}
+            assert got[i].lang_pred in near and abs(got[i].score - np.clip(cosines.max(), 0, 1)) < 1e-4
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+
+
 def test_language_of_repeated_rows(spark, make, words):
     """However often few texts are repeated, each language keeps its sample of distinct texts."""
     kinds = {lang: [f"{' '.join(words[a : a + 30])} {i}" for i in range(n)] for lang, a, n in (("aa", 0, 1), ("bb", 100, 1), ("cc", 200, 2), ("dd", 300, 1))}
