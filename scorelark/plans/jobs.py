@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import SparkSession
+
 STALE = {"calendar": timedelta(hours=2), "index": timedelta(hours=3), "daily": timedelta(hours=12)}
 MAX_ERRORS = 200
 
@@ -50,6 +55,78 @@ class Runs:
         return not good or max(good) + interval <= now
 
 
+_TIMES = ("started_at", "finished_at")
+
+
+class StoredRuns(Runs):
+    """Run records and locks in a folder that all programs share, so they outlive the program (U10, ST10).
+
+    A lock is a file that only one program can create.  A stale one is taken over by whoever manages to move it away.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__()
+        self.path, self._jvm = path.rstrip("/"), spark.sparkContext._jvm
+        self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.load()
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _read(self, name: str) -> dict | None:
+        stream = self.fs.open(self._at(name))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:  # its writer stopped while writing it
+            return None
+        finally:
+            stream.close()
+
+    def _write(self, name: str, value: dict, replace: bool) -> bool:
+        try:
+            out = self.fs.create(self._at(name), replace)
+        except Py4JJavaError:
+            return False
+        out.write(bytearray(json.dumps(value, default=lambda t: t.isoformat()).encode()))
+        out.close()
+        return True
+
+    def load(self) -> None:
+        """The records of all programs, oldest first."""
+        folder = self._at("runs")
+        names = [f.getPath().getName() for f in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        rows = [r for n in names if (r := self._read(f"runs/{n}"))]
+        self.rows = sorted((r | {c: r[c] and datetime.fromisoformat(r[c]) for c in _TIMES} for r in rows), key=lambda r: r["id"])
+
+    def begin(self, source: str, now: datetime, stale: timedelta | None = None) -> dict:
+        lock = f"locks/{source}"
+        if not self._write(lock, {"at": now}, False):
+            held = self._read(lock)
+            if held and now - datetime.fromisoformat(held["at"]) < (stale or STALE.get(source, STALE["daily"])):
+                raise AlreadyRunning(source)
+            away = self._at(f"stale-{uuid.uuid4().hex}")
+            if not self.fs.rename(self._at(lock), away) or not self._write(lock, {"at": now}, False):
+                raise AlreadyRunning(source)  # another program was quicker
+            self.fs.delete(away, False)
+        self.load()
+        for row in self.rows:
+            if row["source"] == source and row["status"] == "running":
+                self._save(super().end(row, now, "failed", errors=[*row["errors"], "stale run taken over"]))
+        row = super().begin(source, now, stale)
+        while not self._write(f"runs/{row['id']:012d}.json", row, False):  # another source's program took the number
+            row["id"] += 1
+        return row
+
+    def _save(self, row: dict) -> dict:
+        self._write(f"runs/{row['id']:012d}.json", row, True)
+        return row
+
+    def end(self, row: dict, now: datetime, status: str, **fields) -> dict:
+        self._save(super().end(row, now, status, **fields))
+        self.fs.delete(self._at(f"locks/{row['source']}"), False)
+        return row
+
+
 def run_steps(runs: Runs, source: str, steps: list[tuple[str, Callable[[], object]]], clock: Callable[[], datetime]) -> dict:
     """ST1, A28: the steps in order; one that fails is noted and the others still run."""
     row = runs.begin(source, clock())

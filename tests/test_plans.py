@@ -177,3 +177,21 @@ def test_stream_corrects_what_came_before(spark, tmp_path):
     assert run() == {"a": "old", "b": "x"}
     put([("a", "new", t(2026, 1, 3)), ("c", "y", t(2026, 1, 2))])
     assert run() == {"a": "new", "b": "x", "c": "y"} == run()
+
+
+def test_stored_runs_outlive_the_program(spark, tmp_path):
+    t = datetime.datetime
+    one, two = jobs.StoredRuns(spark, f"{tmp_path}/runs"), jobs.StoredRuns(spark, f"{tmp_path}/runs")
+    first = one.begin("calendar", t(2026, 1, 1, 8))
+    with pytest.raises(jobs.AlreadyRunning):
+        two.begin("calendar", t(2026, 1, 1, 9))
+    other = two.begin("index", t(2026, 1, 1, 9))
+    assert {first["id"], other["id"]} == {1, 2}
+    taken = two.begin("calendar", t(2026, 1, 1, 10, 1))  # the first program never came back
+    two.end(taken, t(2026, 1, 1, 11), "success", steps={"a": 1})
+    later = jobs.StoredRuns(spark, f"{tmp_path}/runs")
+    assert [(r["id"], r["source"], r["status"]) for r in later.rows] == [(1, "calendar", "failed"), (2, "index", "running"), (3, "calendar", "success")]
+    assert later.interrupted(t(2026, 1, 2)) == 1 and not later.due("calendar", datetime.timedelta(days=1), t(2026, 1, 1, 12))
+    again = jobs.StoredRuns(spark, f"{tmp_path}/runs")
+    assert [r["status"] for r in again.rows] == ["failed", "failed", "success"]
+    again.end(again.begin("index", t(2026, 1, 2, 1)), t(2026, 1, 2, 2), "success")
