@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, lines, lm, near, packing, quality, suffixes, token_counts
+from . import decontaminate, language, licenses, lines, lm, near, packing, pivots, quality, resampling, suffixes, token_counts, whitening
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -15,17 +15,24 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.query,
     "op9_lm_scoring": lm.query,
     "op10_jaccard_join": near.query,
+    "op11_whitening": whitening.query,
+    "op12_embedding_dedup": pivots.query,
+    "op13_resampling": resampling.query,
 }
 #: Of operators whose own columns SQL can't give: those columns that it can.
 QUERIES |= {
     "llm_license_places": lambda spark, path: licenses.query(spark, path).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
     "llm_text_bytes": lambda spark, path: token_counts.query(spark, path).select("doc_id", "n_bytes"),
     "llm_quality_counts": lambda spark, path: quality.query(spark, path).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
+    "llm_deviations": lambda spark, path: whitening.query(spark, path).where("component = 1").select("vec_id", "n", "deviation"),
 }
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE: dict[str, str] = {
     "op3_decontamination": decontaminate.SQL,
     "op5_line_dedup": lines.SQL,
+    "op12_embedding_dedup": pivots.SQL,
+    "op13_resampling": resampling.SQL,
+    "llm_deviations": whitening.DEVIATION_SQL,
     "llm_license_places": f"""
 WITH d AS (SELECT doc_id, {decontaminate._WORDS} AS w FROM documents),
 v AS (SELECT * FROM (VALUES {", ".join(f"('{phrase}', {len(phrase.split())}, '{label}')" for phrase, label in licenses.BASE.items())}) v(phrase, n, label)),
