@@ -4,13 +4,14 @@ Documents are bags of hashed n-grams.  A bucket's gain is the logarithm of how m
 than in the corpus; a document's weight is the mean gain of its features, and documents are drawn by weight plus Gumbel
 noise, which samples without replacement.
 
-1. ``dictionary``: the distinct words of corpus and target get integer ids; a word is spelled out here only.
-2. ``encoded``: documents become arrays of ids.  The HOT most frequent words (a fixed number of 24-byte rows) are
-   broadcast; a place that holds another word carries the word's hashes and is filled by a join with the dictionary.
-3. ``hashed``: n-grams are tuples of ids.  Each distinct tuple's bytes are put together from the dictionary and hashed
-   once; the table holds the tuple's bucket beside its counts in corpus and target.
+1. ``dictionary``: the distinct words of corpus and target get integer ids, with their counts in both; a word is spelled out
+   here only.
+2. ``hashed``: n-grams are tuples of ids.  Each distinct tuple's bytes are put together from the dictionary and hashed
+   once; the table holds the tuple's bucket beside its counts in corpus and target.  A tuple of one id is its dictionary row.
+3. ``encoded``, for runs of two words and more: documents become arrays of ids.  The HOT most frequent words (a fixed number of
+   24-byte rows) are broadcast; a place that holds another word carries the word's hashes and is filled by a join.
 4. ``weighted``: per-document counts of tuples meet the gains: the HOT most frequent tuples by a broadcast, the others by
-   a join.  Tuples are pre-aggregated per document and per piece of text before anything is shuffled.
+   a join.  Tuples are counted per document before anything is shuffled.
 5. ``ranked``: one range sort by score; a row's rank is its place in its range and the sizes of the ranges before.
 
 Words and tuples are known by two 64-bit hashes; a tuple of one word can't collide.
@@ -41,7 +42,7 @@ _KEY = ["h", "g"]
 def _spelled(batches):
     """Distinct words of each piece: hashes, bytes, frequency."""
     for batch in tk.steady(batches):
-        for _, _, u8, offsets in tk.pieces(batch.column(0)):
+        for _, _, u8, offsets in tk.pieces(batch.column(0), 4 * tk.PIECE):
             words = tk.Words(tk.LOWER[u8], offsets, tk.ALNUM)
             key, check = keys(words.u8, words.starts, words.ends)
             order, first, n = grouped(key, check)
@@ -50,17 +51,16 @@ def _spelled(batches):
             off = np.concatenate([[0], np.cumsum(size)])
             data = words.u8[np.repeat(start - off[:-1], size) + np.arange(off[-1])]
             spelled = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(check[at]), spelled, pa.array(n)], names=["h", "g", "word", "freq"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(check[at]), spelled, pa.array(n)], names=["h", "g", "word", "n"])
 
 
-def dictionary(spark: SparkSession, *tables: DataFrame) -> DataFrame:
-    """id, h, g, word, freq of each distinct word of the tables' texts, written in the shared folder."""
-    found = None
-    for table in tables:
-        own = table.select("text").mapInArrow(_spelled, "h long, g long, word binary, freq long")
-        found = own if found is None else found.unionByName(own)
-    once = found.groupBy(*_KEY).agg(F.first("word").alias("word"), F.sum("freq").alias("freq"))
-    return written(spark, once.select(F.monotonically_increasing_id().alias("id"), *_KEY, "word", "freq"), "words")
+def dictionary(spark: SparkSession, corpus: DataFrame, target: DataFrame) -> DataFrame:
+    """id, h, g, word, freq (in the corpus) and wanted (in the target) of each distinct word, written in the shared folder."""
+    spelled = lambda df: df.select("text").mapInArrow(_spelled, "h long, g long, word binary, n long")
+    none = F.lit(0).cast("long")
+    both = spelled(corpus).select(*_KEY, "word", F.col("n").alias("freq"), none.alias("wanted")).unionByName(spelled(target).select(*_KEY, "word", none.alias("freq"), F.col("n").alias("wanted")))
+    once = both.groupBy(*_KEY).agg(F.first("word").alias("word"), F.sum("freq").alias("freq"), F.sum("wanted").alias("wanted"))
+    return written(spark, once.select(F.monotonically_increasing_id().alias("id"), *_KEY, "word", "freq", "wanted"), "words")
 
 
 class Known:
@@ -116,7 +116,7 @@ def _fill(batches):
 
 def encoded(spark: SparkSession, docs: DataFrame, words: DataFrame, hot: int = HOT, name: str = "encoded") -> DataFrame:
     """row (a number of its own), doc_id and the ids of its words in order, written in the shared folder."""
-    known = spark.sparkContext.broadcast(Known(words, "id", hot))
+    known = spark.sparkContext.broadcast(Known(words.withColumn("freq", F.col("freq") + F.col("wanted")), "id", hot))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     longs = ArrayType(LongType())
     head = StructType([StructField("row", LongType()), rows.schema["doc_id"], StructField("ids", longs)])
@@ -175,20 +175,20 @@ def tuples(rows: DataFrame, n: int = WORDS) -> DataFrame:
     return found.groupBy(*_KEY).agg(F.first("tuple").alias("tuple"), F.sum("freq").alias("freq"))
 
 
-def hashed(spark: SparkSession, words: DataFrame, corpus: DataFrame, target: DataFrame, n: int = WORDS, buckets: int = BUCKETS) -> DataFrame:
-    """h, g, bucket, freq (in the corpus), wanted (in the target) of each distinct tuple, written in the shared folder.
+def hashed(spark: SparkSession, words: DataFrame, corpus: DataFrame | None = None, target: DataFrame | None = None, n: int = WORDS, buckets: int = BUCKETS) -> DataFrame:
+    """h, g, bucket, freq (in the corpus), wanted (in the target) of each distinct tuple.
 
-    A tuple's bytes are put together and hashed here and nowhere else.
+    A tuple's bytes are put together and hashed here and nowhere else.  Tuples of two ids and more come from ``encoded`` texts.
     """
+    bucket = lambda text: F.pmod(F.crc32(text.cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
+    if n == 1:
+        return words.select(*_KEY, bucket(F.col("word")), "freq", "wanted")
     both = tuples(corpus, n).withColumn("wanted", F.lit(0).cast("long")).unionByName(tuples(target, n).withColumnsRenamed({"freq": "wanted"}).withColumn("freq", F.lit(0).cast("long")))
     once = both.groupBy(*_KEY).agg(F.first("tuple").alias("tuple"), F.sum("freq").alias("freq"), F.sum("wanted").alias("wanted"))
     parts = once.select(*_KEY, "freq", "wanted", F.posexplode("tuple").alias("pos", "id")).join(words.select("id", F.col("word").cast("string").alias("word")), "id")
-    if n == 1:
-        bytes_ = parts.select(*_KEY, "freq", "wanted", "word")
-    else:
-        spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
-        bytes_ = parts.groupBy(*_KEY).agg(F.first("freq").alias("freq"), F.first("wanted").alias("wanted"), spelled.alias("word"))
-    return written(spark, bytes_.select(*_KEY, F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(buckets)).cast("int").alias("bucket"), "freq", "wanted"), "tuples")
+    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    whole = parts.groupBy(*_KEY).agg(F.first("freq").alias("freq"), F.first("wanted").alias("wanted"), spelled.alias("word"))
+    return written(spark, whole.select(*_KEY, bucket(F.col("word")), "freq", "wanted"), "tuples")
 
 
 def gains(found: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -199,33 +199,46 @@ def gains(found: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return np.floor(1000 * np.log((t + 1) * (s.sum() + buckets) / ((s + 1) * (t.sum() + buckets)))).astype(np.int64)
 
 
-def weighted(spark: SparkSession, corpus: DataFrame, found: DataFrame, gain: np.ndarray, n: int = WORDS, hot: int = HOT) -> DataFrame:
-    """row, doc_id, n_words, n_features, weight of every document."""
+def _of_texts(batch: pa.RecordBatch):
+    """(first row, end row, words per document, document, h, g) of the single words of each piece."""
+    for lo, hi, u8, offsets in tk.pieces(batch.column(2)):
+        words = tk.Words(tk.LOWER[u8], offsets, tk.ALNUM)
+        yield lo, hi, words.counts, words.owner, *keys(words.u8, words.starts, words.ends)
+
+
+def _of_ids(n: int):
+    def each(batch: pa.RecordBatch):
+        """The same of the runs of 1 to ``n`` ids."""
+        for lo, hi, ids, counts in _pieces(batch, 2):
+            start, _, h, g = _runs(ids, counts, n)
+            yield lo, hi, counts, np.searchsorted(np.cumsum(counts), start, "right"), h, g
+
+    return each
+
+
+def weighted(spark: SparkSession, rows: DataFrame, runs, found: DataFrame, gain: np.ndarray, hot: int = HOT) -> DataFrame:
+    """row, doc_id, n_words, n_features, weight of every document; ``runs`` cuts batches of ``rows`` (row, doc_id, text or ids) into keys of tuples."""
     each = F.broadcast(spark.createDataFrame(pa.table({"bucket": pa.array(np.arange(len(gain)), pa.int32()), "gain": gain})))  # ``buckets`` rows
     valued = written(spark, found.where("freq > 0").join(each, "bucket").select(*_KEY, "freq", "gain"), "gains")
     known = spark.sparkContext.broadcast(Known(valued, "gain", hot))
 
     def run(batches):
         for batch in tk.steady(batches):
-            for lo, hi, ids, counts in _pieces(batch, 2):
+            for lo, hi, counts, doc, h, g in runs(batch):
                 m = hi - lo
-                start, size, h, g = _runs(ids, counts, n)
-                doc = np.searchsorted(np.cumsum(counts), start, "right")
                 hit, value = known.value.find(h, g)
                 base = np.bincount(doc[hit], weights=value[hit], minlength=m).astype(np.int64)
-                total = np.bincount(doc, minlength=m)
-                rows = batch.column(0).slice(lo, m)
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([rows, batch.column(1).slice(lo, m), pa.array(counts, pa.int64()), pa.array(total), pa.array(base), none, none, none], names=_ROW)
+                own, none = batch.column(0).slice(lo, m), pa.nulls(m, pa.int64())
+                yield pa.RecordBatch.from_arrays([own, batch.column(1).slice(lo, m), pa.array(counts, pa.int64()), pa.array(np.bincount(doc, minlength=m)), pa.array(base), none, none, none], names=_ROW)
                 rare = np.flatnonzero(~hit)
                 if len(rare):
                     by, first, freq = grouped(doc[rare], h[rare], g[rare])
                     at = rare[by[first]]
                     none = pa.nulls(len(at), pa.int64())
-                    yield pa.RecordBatch.from_arrays([rows.take(pa.array(doc[at])), pa.nulls(len(at), batch.column(1).type), none, none, none, pa.array(h[at]), pa.array(g[at]), pa.array(freq)], names=_ROW)
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(doc[at])), pa.nulls(len(at), batch.column(1).type), none, none, none, pa.array(h[at]), pa.array(g[at]), pa.array(freq)], names=_ROW)
 
     longs = [StructField(c, LongType()) for c in _ROW]
-    mapped = corpus.select("row", "doc_id", "ids").mapInArrow(run, StructType([longs[0], corpus.schema["doc_id"], *longs[2:]]))
+    mapped = rows.mapInArrow(run, StructType([longs[0], rows.schema["doc_id"], *longs[2:]]))
     # a document's own row meets no tuple, and gets a key of its own so that such rows spread
     keyed = mapped.withColumn("own", F.col("base").isNotNull()).withColumns({"h": F.coalesce("h", F.xxhash64("row")), "g": F.coalesce("g", "row")})
     met = keyed.join(valued.select(*_KEY, "gain"), _KEY, "left")
@@ -260,11 +273,13 @@ def ranked(spark: SparkSession, rows: DataFrame, percent: int = PERCENT, least_w
 
 def resample(spark: SparkSession, docs: DataFrame, target: DataFrame, n: int = WORDS, buckets: int = BUCKETS, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_features, weight, score, rank of every document; those with a rank are drawn."""
-    target = target.select(F.lit(None).cast("long").alias("doc_id"), "text")
     words = dictionary(spark, docs, target)
-    corpus, wanted = encoded(spark, docs, words, hot), encoded(spark, target, words, hot, "target")
-    found = hashed(spark, words, corpus, wanted, n, buckets)
-    return ranked(spark, weighted(spark, corpus, found, gains(found, buckets), n, hot), percent, least_words, seed).drop("row")
+    if n == 1:
+        corpus, runs, found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), _of_texts, hashed(spark, words, buckets=buckets)
+    else:
+        corpus, runs = encoded(spark, docs, words, hot), _of_ids(n)
+        found = hashed(spark, words, corpus, encoded(spark, target.select(F.lit(None).cast("long").alias("doc_id"), "text"), words, hot, "target"), n, buckets)
+    return ranked(spark, weighted(spark, corpus, runs, found, gains(found, buckets), hot), percent, least_words, seed).drop("row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
