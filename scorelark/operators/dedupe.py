@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import call_count, written
-from .components import components
+from ..session import numbered, written
 from .matching import PRECISION_RANK, SOURCE_RANK, rank_of, related_pairs
 
 MAX_HOPS = 5
+NEVER = (1 << 63) - 1
 _FILLED = ("website_url", "city", "region", "country")
 
 
@@ -30,51 +27,48 @@ def edges(events: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def fold(nodes: list[tuple], pairs: list[tuple]) -> list[tuple]:
-    """(kept, dropped) of one component, in the published order.
+def merges(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """ER3: keep, drop, in the order of ``step``: the greedy scan over all pairs in the published order (K7, K8, K13), in parallel rounds.
 
-    nodes: (id, start_date, precision rank, source rank, created_at).  Events are visited by start date; each is
-    compared with the later ones it has an edge to, as long as both are still there; the better ranked one stays.
+    The scan visits events by start date and compares each with the later ones it has an edge to, as long as both are
+    there; the better ranked one stays.  Which end of an edge would go is known beforehand, so an event goes at the
+    first edge that it loses to an event which is still there, and that depends on better ranked events only.  ``bounded`` finds
+    these moments for all events at once.
     """
-    order = {n[0]: i for i, n in enumerate(sorted(nodes, key=lambda n: (n[1], n[0])))}
-    rank = {n[0]: (*n[2:], n[0]) for n in nodes}
-    later: dict = {}
-    for a, b in pairs:
-        first, second = sorted((a, b), key=order.__getitem__)
-        later.setdefault(first, []).append(second)
-    gone, merges_ = set(), []
-    for a in sorted(later, key=order.__getitem__):
-        for b in sorted(later[a], key=order.__getitem__):
-            if a in gone:
-                break
-            if b in gone:
-                continue
-            keep, drop = sorted((a, b), key=rank.__getitem__)
-            gone.add(drop)
-            merges_.append((keep, drop))
-    return merges_
-
-
-def merges(events: DataFrame, pairs: DataFrame) -> DataFrame:
-    """ER3: keep, drop, in the order of ``step``.  Decisions only meet inside a component of the edges, so each component is one small group."""
-    kind = events.schema["id"].dataType.simpleString()
-    pairs = written(pairs, "pairs")
-    label = components(pairs)
-    calls = call_count(label)
-    ranked = events.select("id", F.col("start_date").cast("string").alias("start_date"), rank_of(PRECISION_RANK, F.col("date_precision")).alias("precision_rank"), rank_of(SOURCE_RANK, F.col("source")).alias("source_rank"), F.col("created_at").cast("string").alias("created_at"))
-    call = F.pmod(F.xxhash64("component"), F.lit(calls))
-    nodes = ranked.join(label.withColumnRenamed("node", "id"), "id").withColumn("call", call)
-    own = pairs.join(label.select(F.col("node").alias("a"), "component"), "a").select(call.alias("of"), F.col("component").alias("c"), "a", "b")
-
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        links, members = defaultdict(list), defaultdict(list)
-        for c, a, b in zip(e["c"], e["a"], e["b"], strict=True):
-            links[c].append((a, b))
-        for c, *row in zip(*(n[k] for k in ("component", "id", "start_date", "precision_rank", "source_rank", "created_at")), strict=True):
-            members[c].append(tuple(row))
-        return pd.DataFrame([(k, d, i) for c in sorted(members) for i, (k, d) in enumerate(fold(members[c], links[c]))], columns=["keep", "drop", "step"])
-
-    return nodes.groupBy("call").cogroup(own.groupBy("of")).applyInPandas(run, f"keep {kind}, drop {kind}, step int")
+    rank = F.struct(rank_of(PRECISION_RANK, F.col("date_precision")).alias("p"), rank_of(SOURCE_RANK, F.col("source")).alias("s"), F.col("created_at").cast("string").alias("c"), "id")
+    node = lambda c: events.select(F.col("id").alias(c), F.struct(F.col("start_date").cast("string").alias("d"), "id").alias(c + "_at"), rank.alias(c + "_rank"))
+    both = pairs.where("a <> b").select("a", "b").join(node("a"), "a").join(node("b"), "b")
+    better = F.col("a_rank") < F.col("b_rank")
+    edge = both.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("drop"), F.least("a_at", "b_at").alias("first"), F.greatest("a_at", "b_at").alias("second")).distinct()
+    edge = written(numbered(edge, ["first", "second"], "step", "ordered").select("keep", "drop", "step"), "edges")
+    gone = bounded(edge)
+    return edge.join(gone, ["drop", "step"]).select("keep", "drop", "step")
+
+
+def bounded(edge: DataFrame) -> DataFrame:
+    """drop, step: the moment at which each event goes, for edges (keep, drop, step) with an acyclic relation of keep to drop.
+
+    Every event has an earliest and a latest moment at which it can go.  An edge counts for the latest one if its winner can't
+    have gone before, and for the earliest one unless its winner has gone before for certain.  Both bounds close in with
+    each round, which is one join and one aggregation of the edges that aren't decided, and these get fewer: the rounds are the longest
+    chain of decisions that really depend on each other, few for any order of ranks that isn't made for it, however
+    many edges meet in an event.
+    """
+    open_, state = edge, None
+    while True:
+        if state is None:
+            state = edge.groupBy("drop").agg(F.min("step").alias("lo")).withColumn("hi", F.lit(NEVER))
+        of_winner = state.select(F.col("drop").alias("keep"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        met = open_.join(of_winner, "keep", "left").where(F.coalesce("_hi", F.lit(NEVER)) > F.col("step"))
+        sure = F.coalesce("_lo", F.lit(NEVER)) > F.col("step")
+        met = met.select("keep", "drop", "step", sure.alias("sure"))
+        seen = met.groupBy("drop").agg(F.min("step").alias("_first"), F.min(F.when(F.col("sure"), F.col("step"))).alias("_sure"))
+        hi = F.least("hi", F.coalesce("_sure", F.lit(NEVER)))
+        state = written(state.join(seen, "drop", "left").select("drop", F.least(F.coalesce("_first", F.lit(NEVER)), hi).alias("lo"), hi.alias("hi")), "bounds")
+        # an edge after the latest moment of its loser decides nothing
+        open_ = written(met.where("NOT sure").join(state.select("drop", "hi"), "drop").where("step < hi").select("keep", "drop", "step"), "open")
+        if open_.isEmpty():
+            return state.where(F.col("hi") < NEVER).select("drop", F.col("hi").alias("step"))
 
 
 def final_targets(merged: DataFrame) -> DataFrame:

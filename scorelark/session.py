@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Tables:
@@ -82,6 +83,22 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession.sparkContext, df.written_at)
 
 
+def numbered(df: DataFrame, order: list, column: str, name: str = "numbered") -> DataFrame:
+    """``df`` with ``column``, the place of each row in ``order`` (from 1), without bringing the rows into one task.
+
+    Rows are dealt out in ranges and sorted there, and the sizes of the ranges before are added: a row of offsets for each range.  ``order``
+    should be total, so that equal rows can be dealt out too.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_place": place}), name)
+    before, offsets = 0, []
+    for part, n in sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    sizes = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    return placed.join(F.broadcast(sizes), "_part").select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(column))
+
+
 def call_count(rows: DataFrame, each: int = 4096) -> int:
     """Into how many calls the small groups of ``rows`` are gathered, so that a call handles about ``each`` rows, however many there are."""
     return max(1, -(-rows.count() // each))

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from scorelark import session
 from scorelark.operators import changes, components, dedupe, filters, judges, matching, occurrences, resolver, scans
 from scorelark.sinks import snapshots, tables
 
@@ -67,23 +68,62 @@ def test_same_event_of_two_sources_is_merged_once(spark):
     assert [(r.old, r.new) for r in dedupe.chain(after).collect()] == [("b", "a")]
 
 
-def test_fold_is_the_sequential_scan():
-    """Against a plain double loop over all pairs in order."""
+def sequential_merges(nodes, edges):
+    """A plain double loop over all pairs in order; nodes: (id, start_date, precision, source, created_at)."""
+    order = [x[0] for x in sorted(nodes, key=lambda x: (x[1], x[0]))]
+    rank = {x[0]: (matching.PRECISION_RANK[x[2]], matching.SOURCE_RANK[x[3]], x[4], x[0]) for x in nodes}
+    met = set(edges) | {(b, a) for a, b in edges}
+    later = {a: [] for a in order}
+    place = {a: i for i, a in enumerate(order)}
+    for a, b in met:
+        if place[a] < place[b]:
+            later[a].append(b)
+    gone, out = set(), []
+    for a in order:
+        for b in sorted(later[a], key=place.__getitem__):
+            if a not in gone and b not in gone:
+                keep, drop = sorted((a, b), key=rank.__getitem__)
+                gone.add(drop)
+                out.append((keep, drop))
+    return out
+
+
+def merge_frames(spark, nodes, edges):
+    return spark.createDataFrame(nodes, "id long, start_date string, date_precision string, source string, created_at string"), spark.createDataFrame(edges, "a long, b long")
+
+
+def test_merges_are_the_sequential_scan(spark):
+    """Many components of several kinds at once: dense and sparse graphs, hubs that stay or go, chains."""
     rng = random.Random(4)
-    for _ in range(200):
-        n = rng.randint(2, 8)
-        nodes = [(i, str(rng.randint(1, 4)), rng.randint(0, 2), rng.randint(0, 2), str(rng.randint(1, 3))) for i in range(n)]
-        edges = [(a, b) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.4]
-        order = [x[0] for x in sorted(nodes, key=lambda x: (x[1], x[0]))]
-        rank = {x[0]: (*x[2:], x[0]) for x in nodes}
-        gone, plain = set(), []
-        for i, a in enumerate(order):
-            for b in order[i + 1 :]:
-                if a not in gone and b not in gone and ((a, b) in edges or (b, a) in edges):
-                    keep, drop = sorted((a, b), key=rank.__getitem__)
-                    gone.add(drop)
-                    plain.append((keep, drop))
-        assert dedupe.fold(nodes, edges) == plain
+    nodes, edges = [], []
+    for k in range(120):
+        n = rng.randint(2, 14)
+        at = range(1000 * k, 1000 * k + n)
+        nodes += [(i, str(rng.randint(1, 4)), rng.choice(["day", "month", "year"]), rng.choice(["calendar", "eepro", "registry"]), str(rng.randint(1, 3))) for i in at]
+        shape = rng.choice(["sparse", "dense", "hub", "chain"])
+        pairs = {"hub": [(at[0], b) for b in at[1:]], "chain": list(zip(at, at[1:], strict=False))}.get(shape) or [p for p in itertools.combinations(at, 2) if rng.random() < (0.8 if shape == "dense" else 0.3)]
+        edges += [p if rng.random() < 0.5 else p[::-1] for p in pairs]
+    hub = 10**6
+    nodes += [(hub, "9", "month", "registry", "1")] + [(hub + i, str(rng.randint(1, 9)), rng.choice(["day", "year"]), "eepro", str(i)) for i in range(1, 3000)]
+    edges += [(hub, hub + i) for i in range(1, 3000)] + [(hub + i, hub + i + 1) for i in range(1, 2000, 2)]
+    got = dedupe.merges(*merge_frames(spark, nodes, edges + edges[:50])).orderBy("step").collect()
+    expected = sequential_merges(nodes, edges)
+    assert len(got) == len(expected) and {(r.keep, r["drop"]) for r in got} == set(expected)
+    mine = [(r.keep, r["drop"]) for r in got if r.keep >= hub]
+    assert mine == [p for p in expected if p[0] >= hub]  # in the published order
+
+
+def test_merges_of_nothing(spark):
+    assert dedupe.merges(*merge_frames(spark, [], [])).count() == 0
+    assert dedupe.merges(*merge_frames(spark, [(1, "1", "day", "eepro", "1")], [(1, 1), (1, 7)])).count() == 0
+
+
+def test_rows_are_numbered_in_order(spark):
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 40), i) for i in range(500)]
+    got = session.numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), [F.desc("a"), "b"], "n").collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.n)] == sorted(rows, key=lambda r: (-r[0], r[1])) and sorted(r.n for r in got) == list(range(1, 501))
+    assert session.numbered(spark.createDataFrame([], "a int"), ["a"], "n").count() == 0
 
 
 def test_related_event_prefers_precision_then_source(spark):
