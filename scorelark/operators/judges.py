@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_compatible, normalize_text
-from ..session import call_count, written
+from ..session import numbered, written
 from .components import components
 
 REASONS = {
@@ -66,102 +65,144 @@ def candidates(names: DataFrame) -> DataFrame:
     return pairs.unionByName(lone.select("a", "b", F.lit("single").alias("kind")))
 
 
-def resolve(nodes: dict[str, tuple[int, str]], pairs: list[tuple[str, str, str]], apart: set[tuple[str, str]], forced: list[tuple[str, str]]) -> list[dict]:
-    """Identities of one component.
+ALIASES = "alias_norm string, alias_name string, judge_key string, judge_name string, method string, confidence string, reason string, candidates array<string>, panels long"
 
-    nodes: name -> (panels, display); pairs: candidates; apart: pairs (a < b) that must not meet; forced: merges by
-    hand, in order.  Merges by hand come first, then full names in order of name, then lone names.  Two clusters join
-    only if no member of one is apart from a member of the other.
-    """
-    cluster = {n: {n} for n in nodes}
-    how: dict[str, str] = {}
-    foes: dict[str, set[str]] = defaultdict(set)
-    for x, y in apart:
-        foes[x].add(y)
-        foes[y].add(x)
-
-    def clash(a: str, b: str) -> bool:
-        small, big = sorted((cluster[a], cluster[b]), key=len)
-        return any(foes[x] & big for x in small)
-
-    def join(a: str, b: str, kind: str) -> None:
-        if cluster[a] is not cluster[b]:
-            cluster[a] |= cluster[b]
-            for n in cluster[b]:
-                cluster[n] = cluster[a]
-            how.setdefault(a, kind)
-            how.setdefault(b, kind)
-
-    for a, b in forced:
-        join(a, b, "manual")
-    lone: dict[str, list[str]] = defaultdict(list)
-    for a, b, kind in sorted(pairs):
-        if kind == "single":
-            lone[b].append(a)
-        elif not clash(a, b):
-            join(a, b, kind)
-    review: dict[str, list[str]] = {}
-    for single in sorted(lone):
-        options: list[str] = []
-        for full in sorted(lone[single]):
-            if not clash(single, full) and all(cluster[full] is not cluster[o] for o in options):
-                options.append(full)
-        if len(options) == 1:
-            join(options[0], single, "single")
-        elif options:
-            review[single] = sorted(nodes[o][1] for o in options)
-    out = []
-    for name, (panels_, display) in nodes.items():
-        members = cluster[name]
-        best = max(members, key=lambda n: (n.count(" "), nodes[n][0], n))
-        kind = how.get(name) if len(members) > 1 else None
-        open_ = name in review and len(members) == 1
-        confidence, reason = REASONS[kind] if kind else ("high", None)
-        out.append({"alias_norm": name, "alias_name": display, "judge_key": best, "judge_name": nodes[best][1], "method": "needs_review" if open_ else METHODS.get(kind, "exact"), "confidence": "low" if open_ else confidence, "reason": "first name matches several judges" if open_ else reason, "candidates": review.get(name), "panels": panels_})
-    return out
 
+def _rekeyed(df: DataFrame, columns: list[str], joined: DataFrame) -> DataFrame:
+    """``df`` with the clusters in ``columns`` replaced where ``joined`` (old, new) says so."""
+    for c in columns:
+        df = df.join(joined.select(F.col("old").alias(c), F.col("new").alias("_new")), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
+    return df
 
-ALIASES = "alias_norm string, alias_name string, judge_key string, judge_name string, method string, confidence string, reason string, candidates array<string>, panels long"
+
+def _foes(apart: DataFrame, cluster: DataFrame) -> DataFrame:
+    """x, y, in both directions: clusters of which two members are apart; a cluster that is so in itself has x = y."""
+    of = lambda c: cluster.select(F.col("name").alias(c), F.col("cluster").alias("_" + c))
+    known = apart.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("x"), F.col("_b").alias("y"))
+    return known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+
+
+def stars(edge: DataFrame, foe: DataFrame) -> DataFrame:
+    """One round of merges: t, a, b, kind, old, new of edges (t, a, b, kind, ca, cb; one for each pair of clusters) that a scan in order of t would take.
+
+    Around a hub lie leaves whose first edge is the one to the hub.  The scan takes a hub's edges one by one as long as these all
+    go to leaves, no leaf has another edge before, and none of the clusters that come together are foes; up to there the
+    order doesn't matter, and all are taken at once.  The first edge of all always is.
+    """
+    ends = edge.select("t", F.col("ca").alias("node")).unionByName(edge.select("t", F.col("cb").alias("node")))
+    least = ends.groupBy("node").agg(F.min("t").alias("m1"))
+    second = ends.join(least, "node").groupBy("node").agg(F.first("m1").alias("m1"), F.min(F.when(F.col("t") > F.col("m1"), F.col("t"))).alias("m2"))
+    end = lambda c: second.select(F.col("node").alias(c), F.col("m1").alias(c + "_1"), F.col("m2").alias(c + "_2"))
+    full = edge.join(end("ca"), "ca").join(end("cb"), "cb")
+    a_first, b_first = F.col("ca_1") == F.col("t"), F.col("cb_1") == F.col("t")
+    a_hub = F.when(a_first & b_first, F.col("ca") < F.col("cb")).when(b_first, True).when(a_first, False)
+    role = full.select("t", "a", "b", "kind", "ca", "cb", F.when(a_hub, F.col("ca")).when(~a_hub, F.col("cb")).alias("hub"), F.when(a_hub, F.col("cb")).when(~a_hub, F.col("ca")).alias("leaf"), F.when(a_hub, F.col("cb_2")).when(~a_hub, F.col("ca_2")).alias("then"))
+    # a hub's run of leaves ends at its first other edge, or where a leaf of it has another one
+    bound = role.select(F.explode(F.array("ca", "cb")).alias("node"), F.col("t"), "hub", "then").groupBy("node").agg(F.least(F.min(F.when(~F.col("hub").eqNullSafe(F.col("node")), F.col("t"))), F.min(F.when(F.col("hub") == F.col("node"), F.col("then")))).alias("end"))
+    run = role.join(bound.withColumnRenamed("node", "hub"), "hub").where(F.col("end").isNull() | (F.col("t") < F.col("end")))
+    member = run.select("hub", F.col("leaf").alias("node"), "t").unionByName(run.select("hub", F.col("hub").alias("node"), F.lit(-1).cast("long").alias("t")).distinct())
+    met = member.join(foe.withColumnsRenamed({"x": "node"}), "node").select("hub", F.col("y").alias("node"), F.col("t").alias("_t")).join(member, ["hub", "node"])
+    clash = met.groupBy("hub").agg(F.min(F.greatest("t", "_t")).alias("clash"))
+    return run.join(clash, "hub", "left").where(F.col("clash").isNull() | (F.col("t") < F.col("clash"))).select("t", "a", "b", "kind", F.col("leaf").alias("old"), F.col("hub").alias("new"))
+
+
+def _once(edge: DataFrame) -> DataFrame:
+    """The first edge of each pair of clusters: a later one finds them joined, or foes as before."""
+    first = edge.where("ca <> cb").withColumns({"_l": F.least("ca", "cb"), "_g": F.greatest("ca", "cb")}).groupBy("_l", "_g").agg(F.min(F.struct("t", "a", "b", "kind", "ca", "cb")).alias("e"))
+    return first.select("e.*")
+
+
+def full_names(pairs: DataFrame, apart: DataFrame, cluster: DataFrame) -> DataFrame:
+    """t, a, b, kind of the merges that a scan over the pairs (a, b, kind), by a and b, makes; ``cluster``: name, cluster before it.
+
+    Names that candidates connect without any two of them apart become one at once; the others take ``stars`` rounds, in
+    which clusters, their edges and the table of foes are re-keyed.
+    """
+    at = lambda c, to: cluster.select(F.col("name").alias(c), F.col("cluster").alias(to))
+    edge = written(numbered(pairs, ["a", "b", "kind"], "t", "ordered").join(at("a", "ca"), "a").join(at("b", "cb"), "b").select("t", "a", "b", "kind", "ca", "cb").where("ca <> cb"), "edges")
+    group = written(components(edge.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "groups")
+    of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias("_" + c))
+    foe = _foes(apart, cluster).where("x <> y").join(of("x"), "x").join(of("y"), "y").where("_x = _y")
+    mixed = written(foe.select(F.col("_x").alias("component")).distinct(), "mixed")
+    held = edge.join(of("ca"), "ca").withColumnRenamed("_ca", "component")
+    taken = [held.join(mixed, "component", "left_anti").select("t", "a", "b", "kind")]
+    edge, foe = held.join(mixed, "component", "left_semi").select("t", "a", "b", "kind", "ca", "cb"), written(foe.select("x", "y"), "foes")
+    while True:
+        edge = written(_once(edge).join(foe.withColumnsRenamed({"x": "ca", "y": "cb"}), ["ca", "cb"], "left_anti"), "edges")
+        if edge.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+        merged = written(stars(edge, foe), "merged")
+        taken.append(merged.select("t", "a", "b", "kind"))
+        edge = _rekeyed(edge, ["ca", "cb"], merged)
+        foe = written(_rekeyed(foe, ["x", "y"], merged).where("x <> y").distinct(), "foes")
+
+
+def lone_names(pairs: DataFrame, apart: DataFrame, cluster: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b of merges, b and the options among which people have to choose) of lone first names b that may be a full name a.
+
+    A scan takes them by name: one that fits a single cluster joins it.  What it finds depends only on those before it that
+    touch one of its clusters, so in each round all those decide that are first wherever they touch.
+    """
+    at = lambda c, to: cluster.select(F.col("name").alias(c), F.col("cluster").alias(to))
+    left = written(pairs.join(at("a", "cx"), "a").join(at("b", "cs"), "b").groupBy("b", "cs", "cx").agg(F.min("a").alias("a")), "options")
+    foe = written(_foes(apart, cluster).join(left.select(F.col("cs").alias("x")).unionByName(left.select(F.col("cx").alias("x"))).distinct(), "x", "left_semi"), "foes")
+    merged, review = [], []
+    while True:
+        left = written(left.join(foe.withColumnsRenamed({"x": "cs", "y": "cx"}), ["cs", "cx"], "left_anti").groupBy("b", "cs", "cx").agg(F.min("a").alias("a")), "options")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, merged) if merged else left.select("a", "b"), reduce(DataFrame.unionByName, review) if review else left.select("b", "a")
+        touch = left.select("b", F.explode(F.array("cs", "cx")).alias("node")).distinct()
+        free = touch.join(touch.groupBy("node").agg(F.min("b").alias("first")), "node").groupBy("b").agg(F.bool_and(F.col("first") == F.col("b")).alias("free"))
+        now = written(left.join(free.where("free").select("b"), "b"), "free")
+        number = now.groupBy("b").agg(F.count("*").alias("n"))
+        one = now.join(number.where("n = 1"), "b").where("cs <> cx")
+        merged.append(one.select("a", "b"))
+        review.append(now.join(number.where("n > 1"), "b").select("b", "a"))
+        joined = written(one.select(F.col("cs").alias("old"), F.col("cx").alias("new")), "merged")
+        left = _rekeyed(left.join(now.select("b").distinct(), "b", "left_anti"), ["cs", "cx"], joined)
+        foe = written(_rekeyed(foe, ["x", "y"], joined).distinct(), "foes")
+
+
+def clusters(names: DataFrame, taken: DataFrame) -> DataFrame:
+    """name, cluster (its smallest name) of all names after the merges ``taken`` (a, b)."""
+    group = components(taken.select("a", "b")).select(F.col("node").alias("name"), "component")
+    return written(names.select("name").join(group, "name", "left").select("name", F.coalesce("component", "name").alias("cluster")), "clusters")
 
 
 def identities(names: DataFrame, pairs: DataFrame, apart: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """ER10: judge_aliases.  names (name, panels, display), pairs (a, b, kind), apart (a, b), overrides (id, action, name_a, name_b).
 
-    Only candidates and merges by hand can bring names together, so each component of those is resolved on its own;
-    names without any stay what they are.
+    Merges by hand come first, then full names in order of name, then lone names.  Two clusters join only if no member of one
+    is apart from a member of the other.  Each stage runs in rounds of joins over all names at once.
     """
+    nothing = pairs.where("false")
+    forced = nothing
     if overrides is not None:
-        o = overrides.select("id", "action", normalize_text(F.col("name_a")).alias("a"), normalize_text(F.col("name_b")).alias("b")).where("a <> b")
+        o = overrides.select("action", normalize_text(F.col("name_a")).alias("a"), normalize_text(F.col("name_b")).alias("b")).where("a <> b")
         known = names.select("name")
         o = o.join(known.withColumnRenamed("name", "a"), "a", "left_semi").join(known.withColumnRenamed("name", "b"), "b", "left_semi")
         apart = apart.unionByName(o.where("action = 'separate'").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        forced = o.where("action = 'merge'").select("a", "b", F.concat(F.lit("forced:"), F.lpad(F.col("id").cast("string"), 20, "0")).alias("kind"))
-        pairs = pairs.unionByName(forced)
-    pairs = written(pairs, "pairs")
-    label = components(pairs.select("a", "b"))
-    of = lambda c: label.select(F.col("node").alias(c), "component")
-    links = pairs.join(of("a"), "a").select("component", "a", "b", "kind")
-    links = links.unionByName(apart.join(of("a"), "a").join(of("b").withColumnRenamed("component", "_c"), "b").where("component = _c").select("component", "a", "b", F.lit("apart").alias("kind")))
-    nodes = names.join(of("name"), "name")
-
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        members, links = defaultdict(dict), defaultdict(list)
-        for c, name, count, display in zip(n["component"], n["name"], n["panels"], n["display"], strict=True):
-            members[c][name] = (int(count), display)
-        for c, a, b, kind in zip(e["c"], e["a"], e["b"], e["kind"], strict=True):
-            links[c].append((a, b, kind))
-        found = []
-        for c in sorted(members):
-            forced = [(a, b) for a, b, k in sorted(links[c], key=lambda r: r[2]) if k.startswith("forced:")]
-            plain = [r for r in links[c] if r[2] != "apart" and not r[2].startswith("forced:")]
-            found += resolve(members[c], plain, {(a, b) for a, b, k in links[c] if k == "apart"}, forced)
-        return pd.DataFrame(found, columns=[c.split()[0] for c in ALIASES.split(", ")])
-
-    call = F.pmod(F.xxhash64("component"), F.lit(call_count(label)))
-    grouped = nodes.withColumn("call", call).groupBy("call").cogroup(links.select(call.alias("of"), F.col("component").alias("c"), "a", "b", "kind").groupBy("of")).applyInPandas(run, ALIASES)
-    none = F.lit(None).cast("string")
-    alone = names.join(of("name"), "name", "left_anti").select(F.col("name").alias("alias_norm"), F.col("display").alias("alias_name"), F.col("name").alias("judge_key"), F.col("display").alias("judge_name"), F.lit("exact").alias("method"), F.lit("high").alias("confidence"), none.alias("reason"), F.lit(None).cast("array<string>").alias("candidates"), "panels")
-    return grouped.unionByName(alone)
+        forced = o.where("action = 'merge'").select("a", "b", F.lit("manual").alias("kind"))
+    pairs, apart = written(pairs, "pairs"), written(apart, "apart")
+    taken = written(forced.select(F.lit(0).alias("stage"), F.lit(0).cast("long").alias("t"), "a", "b", "kind"), "taken")
+    full = full_names(pairs.where("kind <> 'single'"), apart, clusters(names, taken))
+    taken = written(taken.unionByName(full.select(F.lit(1).alias("stage"), "t", "a", "b", "kind")), "taken")
+    lone, review = lone_names(pairs.where("kind = 'single'").select("a", "b"), apart, clusters(names, taken))
+    taken = written(taken.unionByName(lone.select(F.lit(2).alias("stage"), F.lit(0).cast("long").alias("t"), "a", "b", F.lit("single").alias("kind"))), "taken")
+    how = taken.select(F.explode(F.array("a", "b")).alias("name"), F.struct("stage", "t", "kind").alias("at")).groupBy("name").agg(F.min("at")["kind"].alias("kind"))
+    shown = names.select(F.col("name").alias("a"), "display")
+    options = review.join(shown, "a").groupBy(F.col("b").alias("name")).agg(F.array_sort(F.collect_list("display")).alias("candidates"))
+    each = names.join(clusters(names, taken), "name")
+    best = each.groupBy("cluster").agg(F.max(F.struct((F.length("name") - F.length(F.replace("name", F.lit(" "), F.lit("")))).alias("blanks"), "panels", "name", "display")).alias("best"), F.count("*").alias("members"))
+    whole = each.join(best, "cluster").join(how, "name", "left").join(options, "name", "left")
+    kind = F.when(F.col("members") > 1, F.col("kind"))
+    open_ = F.col("candidates").isNotNull() & (F.col("members") == 1)
+    of = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[kind]
+    return whole.select(
+        F.col("name").alias("alias_norm"), F.col("display").alias("alias_name"), F.col("best.name").alias("judge_key"), F.col("best.display").alias("judge_name"),
+        F.when(open_, "needs_review").otherwise(F.coalesce(of(METHODS), F.lit("exact"))).alias("method"), F.when(open_, "low").otherwise(F.coalesce(of({k: v for k, (v, _) in REASONS.items()}), F.lit("high"))).alias("confidence"),
+        F.when(open_, "first name matches several judges").otherwise(of({k: v for k, (_, v) in REASONS.items()})).alias("reason"), "candidates", "panels",
+    )
 
 
 def rebuild(marks: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

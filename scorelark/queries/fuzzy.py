@@ -186,6 +186,22 @@ def judge_list(t):
     return judges.judge_list(_judged(t)).select("judge_key", "panels", F.size("names").alias("n_names"), "needs_review")
 
 
+def seats(t):
+    """Panels of all orders: a part is a judge of one of 200 families, with one of eight first names and perhaps an initial; some go by the first name alone."""
+    key = F.col("l_partkey").cast("int")
+    first = F.get(F.array(*map(F.lit, ("Michael", "Mike", "Mick", "Christopher", "Chris", "Samantha", "Sam", "Elizabeth"))), key % 8)
+    initial = F.when(key % 3 == 0, F.char(F.lit(65) + F.expr("CAST(l_partkey div 8 AS INT)") % 26))
+    name = F.when(key % 50 == 7, first).otherwise(F.concat_ws(" ", first, initial, F.concat(F.lit("Fam"), (key % 200).cast("string"))))
+    return t["lineitem"].select(F.col("l_orderkey").alias("sheet_url"), F.lit(0).alias("section"), name.alias("judge"))
+
+
+@query("q_judge_panels")
+def judge_panels(t):
+    """No SQL: the scan is held against a plain version in the tests."""
+    a = judges.rebuild(seats(t))
+    return a.select("alias_norm", "judge_key", "method", "confidence", "panels", F.array_join("candidates", "|").alias("candidates"))
+
+
 @query("q_judge_review", "SELECT 'Chris' AS name, 'Chris Low|Chris Z' AS candidates")
 def judge_review(t):
     """A lone first name that fits two judges is left to people; every other panel has one of the two."""

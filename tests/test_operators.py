@@ -208,6 +208,97 @@ def test_judges(spark):
     assert [r.name for r in judges.review_list(judges.rebuild(judge_marks(spark))).collect()] == ["Naomi"]
 
 
+def sequential_identities(nodes, pairs, apart, forced):
+    """One name after the other.  nodes: name -> (panels, display); forced: merges by hand in order."""
+    cluster, how, review = {n: {n} for n in nodes}, {}, {}
+    foe = {frozenset(p) for p in apart}
+    clash = lambda a, b: any(frozenset((x, y)) in foe for x in cluster[a] for y in cluster[b])
+
+    def join(a, b, kind):
+        if cluster[a] is not cluster[b]:
+            both = cluster[a] | cluster[b]
+            for n in both:
+                cluster[n] = both
+            how.setdefault(a, kind)
+            how.setdefault(b, kind)
+
+    for a, b in forced:
+        join(a, b, "manual")
+    for a, b, kind in sorted(p for p in pairs if p[2] != "single"):
+        if not clash(a, b):
+            join(a, b, kind)
+    for lone in sorted({b for _, b, kind in pairs if kind == "single"}):
+        options = []
+        for full in sorted(a for a, b, kind in pairs if kind == "single" and b == lone):
+            if not clash(lone, full) and all(cluster[full] is not cluster[o] for o in options):
+                options.append(full)
+        if len(options) == 1:
+            join(options[0], lone, "single")
+        elif options:
+            review[lone] = sorted(nodes[o][1] for o in options)
+    out = {}
+    for n, (panels, display) in nodes.items():
+        best = max(cluster[n], key=lambda m: (m.count(" "), nodes[m][0], m))
+        kind = how.get(n) if len(cluster[n]) > 1 else None
+        open_ = n in review and len(cluster[n]) == 1
+        out[n] = (display, best, nodes[best][1], "needs_review" if open_ else judges.METHODS.get(kind, "exact"), "low" if open_ else judges.REASONS[kind][0] if kind else "high", review.get(n), panels)
+    return out
+
+
+def identity_rows(df):
+    return {r.alias_norm: (r.alias_name, r.judge_key, r.judge_name, r.method, r.confidence, r.candidates, r.panels) for r in df.collect()}
+
+
+def test_identities_are_the_sequential_scan(spark):
+    """Random graphs of candidates, panels and merges by hand, many at once, and a hub of 300 names."""
+    rng = random.Random(12)
+    nodes, pairs, apart, orders, number = {}, [], [], [], 0
+    for k in range(60):
+        full = [f"{chr(97 + i)}{'' if rng.random() < 0.7 else ' q'} f{k}" for i in range(rng.randint(2, 9))]
+        lone = [f"{c}{k}" for c in "xyz"[: rng.randint(0, 3)]]
+        nodes |= {n: (rng.randint(1, 4), n.title()) for n in full + lone}
+        shape = rng.choice([0.2, 0.5, 1.0])
+        pairs += [(*sorted(p), rng.choice(["same", "nickname", "prefix"])) for p in itertools.combinations(full, 2) if rng.random() < shape]
+        pairs += [(f, s, "single") for f in full for s in lone if rng.random() < 0.5]
+        apart += [tuple(sorted(p)) for p in itertools.combinations(full + lone, 2) if rng.random() < rng.choice([0, 0.1, 0.4])]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            a, b = rng.sample(full + lone, 2)
+            number += 1
+            orders.append((number, rng.choice(["merge", "separate"]), a, b))
+    hub = ["a hub", *(f"b{i:03} hub" for i in range(300))]
+    nodes |= {n: (1, n) for n in hub}
+    pairs += [("a hub", n, "prefix") for n in hub[1:]] + [(x, y, "same") for x, y in itertools.combinations(hub[1:40], 2)]
+    apart += [tuple(sorted(rng.sample(hub[1:], 2))) for _ in range(400)]
+    apart = sorted(set(apart))
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    names = df([(n, p, d) for n, (p, d) in nodes.items()], "name string, panels long, display string")
+    got = identity_rows(judges.identities(names, df(pairs, "a string, b string, kind string"), df(apart, "a string, b string"), df(orders, "id int, action string, name_a string, name_b string")))
+    parted = set(apart) | {tuple(sorted(o[2:])) for o in orders if o[1] == "separate"}
+    expected = sequential_identities(nodes, pairs, parted, [o[2:] for o in orders if o[1] == "merge"])
+    assert {n: (got[n], x) for n, x in expected.items() if got[n] != x} == {} and len(got) == len(expected)
+    assert len({x[3] for x in expected.values()}) == 7
+
+
+def test_judges_of_all_panels(spark):
+    """The registered query on all panels against the scan."""
+    import os
+
+    from scorelark.queries import fuzzy
+    from scorelark.session import Tables
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the driver's tables")
+    marks = fuzzy.seats(Tables(spark, "/root/testdata/sf0.001"))
+    shown = judges.panels(marks)
+    names = judges.judges(shown)
+    nodes = {r["name"]: (r.panels, r.display) for r in names.collect()}
+    pairs = [tuple(r) for r in judges.candidates(names).select("a", "b", "kind").collect()]
+    apart = {tuple(r) for r in judges.together(shown).collect()}
+    expected = sequential_identities(nodes, pairs, apart, [])
+    assert identity_rows(judges.rebuild(marks)) == expected
+    assert len(pairs) > 100 and any(frozenset(p[:2]) in {frozenset(x) for x in apart} for p in pairs)
+
+
 def test_no_cluster_holds_two_of_one_panel(spark):
     rng = random.Random(8)
     firsts, lasts = ["Sam", "Samantha", "Sammy", "Chris", "Christina", "Mike", "Michael"], ["Lee", "Ray"]
