@@ -185,7 +185,8 @@ def identities(names: DataFrame, pairs: DataFrame, apart: DataFrame, overrides:
         forced = o.where("action = 'merge'").select("a", "b", F.lit("manual").alias("kind"))
     pairs, apart = written(pairs, "pairs"), written(apart, "apart")
     taken = written(forced.select(F.lit(0).alias("stage"), F.lit(0).cast("long").alias("t"), "a", "b", "kind"), "taken")
-    full = full_names(pairs.where("kind <> 'single'"), apart, clusters(names, taken))
+    alone = names.select("name", F.col("name").alias("cluster"))
+    full = full_names(pairs.where("kind <> 'single'"), apart, alone if overrides is None else clusters(names, taken))
     taken = written(taken.unionByName(full.select(F.lit(1).alias("stage"), "t", "a", "b", "kind")), "taken")
     lone, review = lone_names(pairs.where("kind = 'single'").select("a", "b"), apart, clusters(names, taken))
     taken = written(taken.unionByName(lone.select(F.lit(2).alias("stage"), F.lit(0).cast("long").alias("t"), "a", "b", F.lit("single").alias("kind"))), "taken")

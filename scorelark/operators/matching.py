@@ -25,15 +25,33 @@ def first_by(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def nearest(left: DataFrame, right: DataFrame, on: list[str], left_date: str, right_date: str, days: int, key: str, tie: list) -> DataFrame:
-    """For each ``key`` of left the right row with the nearest date within ``days``; ``ambiguous`` if two are equally near.
+def nearest(left: DataFrame, right: DataFrame, on: list[str], left_date: str, right_date: str, days: int, tie: list[str]) -> DataFrame:
+    """Each row of left with the right row of the nearest date within ``days``; ``ambiguous`` if two are equally near.
 
-    An equi-join on ``on``, then a distance bound; ``tie`` makes the order total.
+    Both sides are merged in one order of dates, and every row of left takes the last right row before it and the first one after, so no pairs
+    are formed and one shuffle is enough.  A key (``on``) is cut into blocks of time; right rows stand in all blocks that
+    reach them, so a key with very many rows is many groups.  ``tie`` makes the order of right rows of one date total.
     """
-    pairs = left.join(right, on).withColumn("diff", F.abs(F.datediff(left_date, right_date))).where(F.col("diff") <= days)
-    order = W.partitionBy(key).orderBy("diff", *tie)
-    ranked = pairs.withColumns({"_n": F.row_number().over(order), "_next": F.lead("diff").over(order)})
-    return ranked.where("_n = 1").withColumn("ambiguous", F.coalesce(F.col("diff") == F.col("_next"), F.lit(False))).drop("_n", "_next")
+    width = 4 * days + 1
+    block = lambda c, n: F.floor((F.unix_date(c) + n) / width)
+    payload = [c for c in right.columns if c not in on]
+    here = left.where(F.col(left_date).isNotNull()).select(*on, block(left_date, 0).alias("_block"), F.col(left_date).alias("_date"), F.struct(*(c for c in left.columns if c not in on)).alias("_left"))
+    there = right.where(F.col(right_date).isNotNull()).select(*on, F.explode(F.sequence(block(right_date, -days), block(right_date, days))).alias("_block"), F.col(right_date).alias("_date"), F.struct(*(F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)), *payload).alias("_right"))
+    both = here.unionByName(there, allowMissingColumns=True)
+    group = ["_block", *on]
+    # all windows are over these groups, or finer ones, so they share one exchange
+    day = W.partitionBy(*group, "_date")
+    both = both.repartition(*group).withColumns({"_best": F.min("_right").over(day), "_n": F.count("_right").over(day)})
+    seen = F.when(F.col("_right").isNotNull(), F.struct("_date", "_best", "_n"))
+    up, down = (W.partitionBy(*group).orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow) for o in (F.col("_date"), F.col("_date").desc()))
+    both = both.withColumns({"_before": F.last(seen, ignorenulls=True).over(up), "_after": F.last(seen, ignorenulls=True).over(down)}).where("_left IS NOT NULL")
+    back, ahead = F.datediff("_date", "_before._date"), F.datediff("_after._date", "_date")
+    diff = F.least(back, ahead)
+    # the day itself is before and after; of two days equally far the row that comes first by ``tie``
+    take = F.when(ahead.isNull() | (back < ahead), F.col("_before._best")).when(back.isNull() | (ahead < back), F.col("_after._best")).otherwise(F.least("_before._best", "_after._best"))
+    near = F.when(back == diff, F.col("_before._n")).otherwise(0) + F.when((ahead == diff) & (ahead > 0), F.col("_after._n")).otherwise(0)
+    found = both.select(*on, "_left", take.alias("_take"), diff.alias("diff"), (near > 1).alias("ambiguous")).where(F.col("diff") <= days)
+    return found.select(*on, *(F.col(f"_left.{c}") for c in left.columns if c not in on), *(F.col(f"_take.{c}") for c in payload), "diff", "ambiguous")
 
 
 def near_in_time(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int, on: tuple[str, ...] = ()) -> DataFrame:

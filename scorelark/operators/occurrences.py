@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.jsons import opaque_id
 from ..functions.text import is_short_alias, normalize_text
-from ..session import call_count
+from ..session import written
 from .filters import compatible_countries, in_month
 from .matching import PRECISION_RANK, find_related, first_by, rank_of
 
@@ -33,48 +30,43 @@ def find_series(rows: DataFrame, series: DataFrame, aliases: DataFrame, key: str
     return out.select(*rows.columns, F.coalesce("_exact", "_alias").alias("series_id"), F.when(F.col("_exact").isNull(), F.col("n_series")).alias("n_series"))
 
 
-def fold(rows: list[tuple], candidates: list[tuple]) -> list[tuple]:
-    """(row, event, difference, ambiguous) of one series, in listing order; an event is taken once.
-
-    rows: (row_index, row_id); candidates: (row_id, diff, created_at, id).
-    """
-    mine = defaultdict(list)
-    for row, *rest in sorted(candidates):
-        mine[row].append(rest)
-    taken, out = set(), []
-    for _, row in sorted(rows):
-        free = [c for c in mine[row] if c[2] not in taken]
-        if free:
-            diff, _, event = free[0]
-            taken.add(event)
-            out.append((row, event, int(diff), bool(diff > 0 and len(free) > 1 and free[1][0] == diff)))
-    return out
-
-
 def match_occurrences(rows: DataFrame, events: DataFrame, days: int = CALENDAR_DAYS, source: str | None = None) -> DataFrame:
     """ER2: row_id, id, diff, ambiguous: each row's event, the exact or nearest date within ``days``; no event twice.
 
-    Rows: row_id, row_index, series_id, start_date, country.  Candidates are found by a join; only the order in which
-    rows take them is a fold, per series, since series don't meet.
+    Rows: row_id, row_index, series_id, start_date, country.  In listing order each row takes its nearest event that is still
+    free.  Candidates meet in blocks of ``days``, so a long series is many groups; ``assigned`` lets rows take their events in parallel.
+    ``ambiguous``: of the events that were free for the row, two are equally near and neither is exact.
     """
     open_ = events.where("merged_into IS NULL AND start_date IS NOT NULL")
     open_ = open_.where(F.col("source") == source) if source else open_
-    e = open_.select("series_id", "id", "created_at", F.col("start_date").alias("_start"), F.col("country").alias("_country"))
-    pairs = rows.join(e, "series_id").withColumn("diff", F.abs(F.datediff("start_date", "_start")))
-    pairs = pairs.where((F.col("diff") <= days) & compatible_countries(F.col("country"), F.col("_country"))).select("series_id", "row_id", "id", "diff", F.col("created_at").cast("string").alias("created_at"))
-    row, event = (f.schema[c].dataType.simpleString() for f, c in ((rows, "row_id"), (events, "id")))
-
-    def run(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        listed, found = defaultdict(list), defaultdict(list)
-        for series, *row in zip(r["s"], r["i"], r["r"], strict=True):
-            listed[series].append(tuple(row))
-        for series, *row in zip(c["series_id"], c["row_id"], c["diff"], c["created_at"], c["id"], strict=True):
-            found[series].append(tuple(row))
-        return pd.DataFrame([x for s in sorted(found) for x in fold(listed[s], found[s])], columns=["row_id", "id", "diff", "ambiguous"])
-
-    call = F.pmod(F.xxhash64("series_id"), F.lit(call_count(rows)))
-    mine = rows.select(F.col("series_id").alias("s"), F.col("row_id").alias("r"), F.col("row_index").alias("i"), call.alias("of"))
-    return mine.groupBy("of").cogroup(pairs.withColumn("call", call).groupBy("call")).applyInPandas(run, f"row_id {row}, id {event}, diff int, ambiguous boolean")
+    width = days + 1
+    block = lambda c: F.floor(F.unix_date(c) / width)
+    e = open_.select("series_id", "id", "created_at", F.col("start_date").alias("_start"), F.col("country").alias("_country"), F.explode(F.sequence(block("start_date") - 1, block("start_date") + 1)).alias("_block"))
+    pairs = rows.withColumn("_block", block("start_date")).join(e, ["series_id", "_block"]).withColumn("diff", F.abs(F.datediff("start_date", "_start")))
+    pairs = pairs.where((F.col("diff") <= days) & compatible_countries(F.col("country"), F.col("_country")))
+    pairs = written(pairs.select("row_id", "id", F.struct("row_index", "row_id").alias("turn"), F.struct("diff", F.col("created_at").cast("string").alias("created_at"), "id").alias("wish")), "pairs")
+    taken = assigned(pairs)
+    # what was free at a row's turn: events that nobody took, or somebody later
+    when = taken.select("id", F.col("turn").alias("_taken"))
+    free = pairs.join(when, "id", "left").where(F.col("_taken").isNull() | (F.col("_taken") >= F.col("turn"))).join(taken.select("row_id", F.col("wish.diff").alias("_diff")), "row_id")
+    even = free.groupBy("row_id").agg(F.count_if(F.col("wish.diff") == F.col("_diff")).alias("_even"))
+    return taken.join(even, "row_id").select("row_id", "id", F.col("wish.diff").alias("diff"), ((F.col("wish.diff") > 0) & (F.col("_even") > 1)).alias("ambiguous"))
+
+
+def assigned(pairs: DataFrame) -> DataFrame:
+    """row_id, id, turn, wish: who takes what, if in the order of ``turn`` each row takes the free event of its smallest ``wish``.
+
+    Deferred acceptance: all rows ask for their first wish, an event keeps the row whose turn is first, and whoever comes later
+    will never get it.  Rows that lost ask for the next; an event's row can only change for an earlier one.  Every round
+    settles at least the first rows of all that still compete, and removes all wishes for events that are kept by an earlier row.
+    """
+    while True:
+        asked = written(pairs.groupBy("row_id").agg(F.min(F.struct("wish", "id", "turn")).alias("a")).select("row_id", "a.*"), "asked")
+        kept = asked.groupBy("id").agg(F.min("turn").alias("_first"))
+        lost = asked.join(kept, "id").where(F.col("turn") > F.col("_first"))
+        if lost.isEmpty():
+            return asked
+        pairs = written(pairs.join(kept, "id", "left").where(F.col("_first").isNull() | (F.col("turn") <= F.col("_first"))).drop("_first"), "pairs")
 
 
 def in_series_month(rows: DataFrame, events: DataFrame) -> DataFrame:
@@ -129,4 +121,4 @@ def link_registry(rows: DataFrame, refs: DataFrame, series: DataFrame, aliases:
     return out.withColumns({"event_id": F.when(usable, F.coalesce("_id", opaque_id("evt", "series_id", "month"))), "status": F.when(~usable, "unmatched").when(F.col("_id").isNotNull(), "matched").otherwise("created")}).drop("_id")
 
 
-__all__ = ["find_series", "fold", "import_events", "in_month", "in_series_month", "link_registry", "match_occurrences"]
+__all__ = ["assigned", "find_series", "import_events", "in_month", "in_series_month", "link_registry", "match_occurrences"]

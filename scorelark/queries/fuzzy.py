@@ -19,7 +19,7 @@ SELECT row_id, event_id, CAST(diff AS INT) AS diff, coalesce(diff = next, FALSE)
 def nearest_occurrence(t):
     e = view(t, "events_view")
     left = e.select(F.col("id").alias("row_id"), "series_id", F.date_add("start_date", 9).alias("d"))
-    found = matching.nearest(left, e.select(F.col("id").alias("event_id"), "series_id", "start_date"), ["series_id"], "d", "start_date", 21, "row_id", ["event_id"])
+    found = matching.nearest(left, e.select(F.col("id").alias("event_id"), "series_id", "start_date"), ["series_id"], "d", "start_date", 21, ["event_id"])
     return found.select("row_id", "event_id", "diff", "ambiguous")
 
 

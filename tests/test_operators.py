@@ -139,6 +139,27 @@ def test_occurrences_are_taken_once_and_nearest(spark):
     assert got == {1: ("a", 7, True), 2: ("b", 13, False)}
 
 
+def test_occurrences_are_the_sequential_scan(spark):
+    """Many series at once, one with most rows and competing dates, countries that don't fit, rows and events that tie."""
+    rng = random.Random(17)
+    start = d("2026-01-01")
+    day = lambda: start + datetime.timedelta(days=rng.randint(0, 300))
+    country = lambda: rng.choice([None, None, "USA", "CAN"])
+    series = lambda: "s0" if rng.random() < 0.4 else f"s{rng.randint(1, 30)}"
+    held = [(f"e{i}", series(), day(), rng.randint(1, 5), country()) for i in range(300)]
+    listed = [(i, rng.randint(1, 300), series(), day(), country()) for i in range(500)]
+    e = spark.createDataFrame([(i, s, "n", "calendar", a, a, "day", c, None, k, None, None, None, True, 2026) for i, s, a, c, k in held], EVENTS)
+    rows = spark.createDataFrame(listed, "row_id int, row_index int, series_id string, start_date date, country string")
+    expected, taken = {}, set()
+    for row, _, s, a, k in sorted(listed, key=lambda r: (r[1], r[0])):
+        free = sorted((abs((a - b).days), str(c), i) for i, t, b, c, l in held if t == s and i not in taken and abs((a - b).days) <= 21 and (k is None or l is None or k == l))  # noqa: E741
+        if free:
+            taken.add(free[0][2])
+            expected[row] = (free[0][2], free[0][0], free[0][0] > 0 and len(free) > 1 and free[1][0] == free[0][0])
+    got = {r.row_id: (r.id, r["diff"], r.ambiguous) for r in occurrences.match_occurrences(rows, e).collect()}
+    assert got == expected and len(got) > 150
+
+
 def test_series_short_alias_is_not_enough(spark):
     series = spark.createDataFrame([("s1", "the after party", 1), ("s2", "long name fest", 2)], "id string, normalized_name string, created_at int")
     aliases = spark.createDataFrame([("s1", "tap"), ("s2", "lnf festival")], "series_id string, normalized_alias string")
@@ -313,10 +334,29 @@ def test_no_cluster_holds_two_of_one_panel(spark):
 def test_nearest_tells_ties(spark):
     left = spark.createDataFrame([(1, "s", d("2026-01-10"))], "k int, s string, x date")
     right = spark.createDataFrame([("a", "s", d("2026-01-08")), ("b", "s", d("2026-01-12")), ("c", "s", d("2026-03-01"))], "id string, s string, y date")
-    r = matching.nearest(left, right, ["s"], "x", "y", 21, "k", ["id"]).first()
+    r = matching.nearest(left, right, ["s"], "x", "y", 21, ["id"]).first()
     assert (r.id, r["diff"], r.ambiguous) == ("a", 2, True)
 
 
+def test_nearest_is_the_best_of_all_pairs(spark):
+    """Days that repeat on both sides, rows without a date, keys on one side only, several widths, one key with most rows."""
+    rng = random.Random(3)
+    day = lambda: None if rng.random() < 0.05 else d("2026-01-01") + datetime.timedelta(days=rng.randint(-40, 700))
+    left = [(i, rng.choice("hhhhabx"), day()) for i in range(400)]
+    right = [(rng.randint(1, 300), rng.choice("hhhhaby"), day(), i) for i in range(150)]
+    frames = spark.createDataFrame(left, "k int, s string, x date"), spark.createDataFrame(right, "id int, s string, y date, n int")
+    for days in (0, 1, 7, 21):
+        expected = []
+        for k, s, x in left:
+            near = sorted((abs((x - y).days), i, n) for i, t, y, n in right if s == t and x and y and abs((x - y).days) <= days)
+            if near:
+                expected.append((k, near[0][0], near[0][1], near[0][2], len(near) > 1 and near[1][0] == near[0][0]))
+        got = matching.nearest(*frames, ["s"], "x", "y", days, ["id", "n"])
+        assert sorted((r.k, r["diff"], r.id, r.n, r.ambiguous) for r in got.collect()) == sorted(expected)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_pages_for_events(spark):
     e = spark.createDataFrame([("e1", d("2026-05-02")), ("e2", d("2026-05-02"))], "id string, start_date date")
     names = spark.createDataFrame([("e1", "x"), ("e2", "river nights open")], "id string, name_norm string")
