@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.jsons import changed_fields, content_hash
@@ -64,6 +65,26 @@ def observations(changes: DataFrame, rows: DataFrame, run_id: int, now: Column,
     return wanted.join(rows, key).select(F.col(key).alias("event_id"), F.lit(run_id).alias("sync_run_id"), now.alias("observed_at"), content_hash(*[c for c in rows.columns if c != key]).alias("content_hash"), previous.alias("previous_values"))
 
 
+def as_of(current: DataFrame, history: DataFrame, moments: list, tracked: list[str] = TRACKED, key: str = "id") -> DataFrame:
+    """The catalog as it was at each of the ``moments``: as_of, and the columns of ``current``.
+
+    ``history`` has event_id, observed_at, sync_run_id and previous_values, the old values of what changed (null: the event
+    was new).  A field had the value that its first change after the moment replaced, and if there is none, the value
+    of today; an event that was new later wasn't there.  All moments are answered in one pass: each change knows from its predecessor
+    for which moments it holds.  Fields that aren't tracked have today's values.
+    """
+    times = F.array(*(F.lit(m) for m in moments)).cast("array<timestamp>")
+    steps = history.where("previous_values IS NOT NULL").select(F.col("event_id").alias(key), "observed_at", "sync_run_id", F.explode("previous_values").alias("field", "old"))
+    before = F.lag("observed_at").over(W.partitionBy(key, "field").orderBy("observed_at", "sync_run_id"))
+    ranged = steps.withColumn("_before", before)
+    holds = ranged.withColumn("as_of", F.explode(F.filter(times, lambda m: (m < F.col("observed_at")) & (F.col("_before").isNull() | (m >= F.col("_before"))))))
+    patch = holds.groupBy(key, "as_of").agg(F.map_from_entries(F.collect_list(F.struct("field", "old"))).alias("_patch"))  # an entry for each field at most
+    born = history.where("previous_values IS NULL").groupBy(F.col("event_id").alias(key)).agg(F.min("observed_at").alias("_born"))
+    there = current.join(born, key, "left").withColumn("as_of", F.explode(times)).where(F.col("_born").isNull() | (F.col("_born") <= F.col("as_of")))
+    old = there.join(patch, [key, "as_of"], "left")
+    return old.select("as_of", *(F.when(F.map_contains_key("_patch", F.lit(c)), F.col("_patch")[c].cast(current.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in tracked else c for c in current.columns))
+
+
 def counters(changes: DataFrame) -> DataFrame:
     """One row with the number of rows per action."""
     return changes.agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("added", "updated", "reactivated", "unchanged", "unseen")))

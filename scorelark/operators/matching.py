@@ -63,18 +63,36 @@ def near_in_time(left: DataFrame, right: DataFrame, left_date: str, right_date:
     return left.withColumn("_day", F.col(left_date)).join(spread, ["_day", *on]).drop("_day")
 
 
+def similar_names(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
+    """Pairs of rows, equal in ``on``, whose word sets (a_words, b_words) have a Jaccard similarity of ``least`` or more.
+
+    A prefix-filtered join: words are ordered by how many names have them, the rarest first.  Sets that are similar enough
+    share one of the first words of both, so only these meet; their number follows from the size and ``least``.  A word of
+    very many names is in no prefix unless a name has little else.  Sizes that can't agree are dropped before the sets are compared, and
+    a pair counts where its first common prefix word is.
+    """
+    names = left.select(F.col("a_words").alias("words")).unionByName(right.select(F.col("b_words").alias("words"))).where("size(words) > 0").distinct()
+    each = names.select("words", F.explode("words").alias("word"))
+    count = each.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = each.join(count, "word").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))  # one name's own words
+    # of a set of m words the first m - ceil(least m) + 1; the small amount is against rounding of the product
+    prefix = ranked.select("words", F.transform(F.slice("ranked", 1, (F.size("words") - F.ceil(F.size("words") * least - 1e-9) + 1).cast("int")), lambda x: x["word"]).alias("prefix"))
+    side = lambda df, p: df.join(prefix.withColumnsRenamed({"words": p + "_words", "prefix": p + "_prefix"}), p + "_words").withColumn("_word", F.explode(p + "_prefix"))
+    met = side(left, "a").join(side(right, "b"), [*on, "_word"])
+    sizes = (F.size("a_words") >= least * F.size("b_words")) & (F.size("b_words") >= least * F.size("a_words"))
+    met = met.where(sizes & (F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("_word")))
+    return met.where(jaccard(F.col("a_words"), F.col("b_words")) >= least).drop("_word", "a_prefix", "b_prefix")
+
+
 def pages_for_events(events: DataFrame, names: DataFrame, provider_events: DataFrame) -> DataFrame:
     """Id, provider, provider_key: linked pages, else those within three days whose name is half the same as any of the event's names.
 
     ``names`` has id and normalised name of every name an event goes by (S1).
     """
     linked = provider_events.where("event_id IS NOT NULL").select(F.col("event_id").alias("id"), "provider", "provider_key")
-    open_ = events.join(linked.select("id").distinct(), "id", "left_anti").where("start_date IS NOT NULL").select("id", "start_date").join(names, "id")
-    pages = provider_events.select("provider", "provider_key", F.col("start_date").alias("page_date"), normalize_text(F.col("name")).alias("page_name")).where("page_date IS NOT NULL")
-    # names that are half the same share a word
-    word = lambda df, c: df.withColumn("_word", F.explode(tokens(F.col(c))))
-    close = near_in_time(word(open_, "name_norm"), word(pages, "page_name"), "start_date", "page_date", PAGE_DAYS, ("_word",))
-    similar = close.drop("_word").distinct().where(jaccard(tokens(F.col("name_norm")), tokens(F.col("page_name"))) >= PAGE_SIMILARITY)
+    open_ = events.join(linked.select("id").distinct(), "id", "left_anti").where("start_date IS NOT NULL").select("id", F.col("start_date").alias("_day")).join(names, "id")
+    pages = provider_events.where("start_date IS NOT NULL").select("provider", "provider_key", tokens(normalize_text(F.col("name"))).alias("b_words"), F.explode(F.sequence(F.date_sub("start_date", PAGE_DAYS), F.date_add("start_date", PAGE_DAYS))).alias("_day"))
+    similar = similar_names(open_.select("id", "_day", tokens(F.col("name_norm")).alias("a_words")), pages, ["_day"], PAGE_SIMILARITY)
     return linked.unionByName(similar.select("id", "provider", "provider_key").distinct())
 
 

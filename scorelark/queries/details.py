@@ -204,13 +204,29 @@ UNION
 SELECT e.id, w.provider_key FROM events_view e JOIN w ON w.name = e.name AND abs(date_diff('day', e.start_date, w.d)) <= 3 WHERE e.id % 4 <> 0""")
 def pages_for_events(t):
     e = view(t, "events_view")
-    # customers' names differ in one word of two, which is a third of all words; doubling the other keeps strangers below one half
-    named = F.concat_ws(" ", F.regexp_replace("name", "#", " x"))
+    named = F.col("name")
     own = e.select("id", "start_date")
     site = e.select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("event_id"), F.lit("p").alias("provider"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("provider_key"), F.date_add("start_date", (F.col("id") % 6).cast("int")).alias("start_date"), named.alias("name"))
     return matching.pages_for_events(own, e.select("id", text.normalize_text(named).alias("name_norm")), site).select("id", "provider_key")
 
 
+_WORDS_SQL = "list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))"
+
+
+@query("q_pages_half_alike", f"""
+WITH e AS (SELECT p_partkey AS id, DATE '2026-01-01' + CAST(p_partkey % 300 AS INT) AS d, {_WORDS_SQL.format("p_name || ' ' || p_type")} AS w FROM part),
+p AS (SELECT p_partkey AS key, DATE '2026-01-01' + CAST((p_partkey * 7) % 300 AS INT) AS d, {_WORDS_SQL.format("p_brand || ' the ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_type END")} AS w FROM part)
+SELECT e.id, p.key AS page FROM e JOIN p ON abs(date_diff('day', e.d, p.d)) <= 3 WHERE 2 * len(list_intersect(e.w, p.w)) >= len(list_distinct(list_concat(e.w, p.w)))""")
+def pages_half_alike(t):
+    """Names as they are: parts' names share their words with very many others."""
+    p, k = t["part"], F.col("p_partkey")
+    day = lambda n: F.date_add(F.lit("2026-01-01").cast("date"), (n % 300).cast("int"))
+    own = p.select(k.alias("id"), day(k).alias("start_date"))
+    names = p.select(k.alias("id"), text.normalize_text(F.concat_ws(" ", "p_name", "p_type")).alias("name_norm"))
+    pages = p.select(F.lit(None).cast("long").alias("event_id"), F.lit("p").alias("provider"), k.alias("provider_key"), F.concat_ws(" ", "p_brand", F.lit("the"), "p_name", F.when(k % 3 != 0, F.col("p_type"))).alias("name"), day(k * 7).alias("start_date"))
+    return matching.pages_for_events(own, names, pages).select("id", F.col("provider_key").alias("page"))
+
+
 @query("q_search_sheets", """
 SELECT l_orderkey AS event_id, l_linenumber AS line, c_name AS event_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_suppkey = 3 AND year(o_orderdate) = 1999""")
 def search_sheets(t):

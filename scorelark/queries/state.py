@@ -101,6 +101,26 @@ def scd2(t):
     return view(t, "events_view").select("series_id", "id", "start_date", F.lead("start_date").over(w).alias("valid_to"), F.lag("id").over(w).alias("previous"))
 
 
+_DAYS = ["2024-01-01 12:00:00", "2024-01-05 00:00:00", "2024-01-10 06:30:00", "2024-01-20 00:00:00", "2024-02-10 00:00:00"]
+
+
+@query("q_as_of", f"""
+WITH d AS (SELECT unnest([{", ".join(f"TIMESTAMP '{x}'" for x in _DAYS)}]) AS as_of)
+SELECT as_of, user_id AS id, arg_max(event_type, (ts, event_id)) AS kind, CAST(arg_max(CAST(floor(value) AS BIGINT), (ts, event_id)) AS BIGINT) AS points, arg_max(coalesce(props, 'none'), (ts, event_id)) AS props
+FROM d JOIN events ON ts <= as_of GROUP BY ALL""")
+def as_of(t):
+    """A user's events are the changes of one record; its history keeps what each of them replaced."""
+    fields = ["kind", "points", "props"]
+    rows = t["events"].select(F.col("user_id").alias("id"), "ts", "event_id", F.col("event_type").alias("kind"), F.floor("value").cast("long").alias("points"), F.coalesce("props", F.lit("none")).alias("props"))
+    w = W.partitionBy("id").orderBy("ts", "event_id")
+    old = {c: F.lag(F.col(c).cast("string")).over(w) for c in fields}
+    changed = F.array_compact(F.array(*(F.when(~old[c].eqNullSafe(F.col(c).cast("string")), F.struct(F.lit(c).alias("key"), old[c].alias("value"))) for c in fields)))
+    first = F.row_number().over(w) == 1
+    history = rows.select(F.col("id").alias("event_id"), F.col("ts").alias("observed_at"), F.col("event_id").alias("sync_run_id"), F.when(~first, F.map_from_entries(changed)).alias("previous_values"))
+    current = rows.groupBy("id").agg(*(F.max_by(c, F.struct("ts", "event_id")).alias(c) for c in fields))
+    return changes.as_of(current, history, _DAYS, fields)
+
+
 @query("q_confirmed", """
 SELECT id, CASE WHEN lifecycle_status = 'listed' THEN 'confirmed' ELSE 'unconfirmed' END AS confirmation_status FROM events_view""")
 def confirmed(t):

@@ -364,6 +364,51 @@ def test_pages_for_events(spark):
     assert sorted((r.id, r.provider_key) for r in matching.pages_for_events(e, names, pe).collect()) == [("e1", "1"), ("e2", "2")]
 
 
+@pytest.mark.parametrize("least", [0.5, 0.7, 1.0])
+def test_similar_names_are_those_of_all_pairs(spark, least):
+    """Sets of all sizes, words that nearly all names have, equal and empty sets, several days."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(12)]
+    name = lambda: [*rng.sample(words, rng.choice([0, 1, 2, 3, 4, 6])), *(["open"] if rng.random() < 0.8 else [])]
+    a, b = ([(i, rng.randint(1, 3), rng.sample(n := name(), len(n))) for i in range(m)] for m in (150, 120))
+    got = matching.similar_names(spark.createDataFrame(a, "i int, day int, a_words array<string>"), spark.createDataFrame(b, "j int, day int, b_words array<string>"), ["day"], least)
+    near = lambda x, y: len(x | y) > 0 and len(x & y) / len(x | y) >= least
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i, s, x in a for j, t, y in b if s == t and near(set(x), set(y)))
+
+
+def test_a_word_of_all_names_brings_nothing_together(spark):
+    names = [(i, 1, ["open", "the", f"a{i}", f"b{i}", f"c{i}"]) for i in range(2000)]
+    left = spark.createDataFrame(names, "i int, day int, a_words array<string>")
+    right = spark.createDataFrame([(j, d_, x) for j, d_, x in names], "j int, day int, b_words array<string>")
+    found = matching.similar_names(left, right, ["day"], 0.5)
+    assert found.count() == 2000
+
+
+def test_state_as_of_moments(spark):
+    """Against a replay of a random history, with changes at one moment, nulls and events that are new later."""
+    rng = random.Random(31)
+    at = lambda n: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=n)
+    state, log, replay = {}, [], []
+    for run, hour in enumerate(sorted(rng.choice(range(40)) for _ in range(120))):
+        i = rng.randint(1, 8)
+        new = {"name": rng.choice(["a", "b", None]), "year": rng.choice([2025, 2026, None])}
+        old = state.get(i)
+        if old != new:
+            text = lambda v: None if v is None else str(v)
+            log.append((i, run, at(hour), None if old is None else {k: text(old[k]) for k in new if old[k] != new[k]}))
+            state[i] = new
+        replay.append((hour, {k: dict(v) for k, v in state.items()}))
+    moments = [-1, 0, 7, 20, 33, 100]
+    current = spark.createDataFrame([(i, v["name"], v["year"], "now") for i, v in state.items()] + [(99, "old", 1999, "now")], "id int, name string, year int, other string")
+    history = spark.createDataFrame(log, "event_id int, sync_run_id int, observed_at timestamp, previous_values map<string,string>")
+    got = sorted((r.as_of, r.id, r.name or "", r.year or 0) for r in changes.as_of(current, history, [at(m) for m in moments], ["name", "year"]).collect())
+    expected = []
+    for m in moments:
+        seen = next((s for hour, s in reversed(replay) if hour <= m), {})
+        expected += [(at(m), i, v["name"] or "", v["year"] or 0) for i, v in seen.items()] + [(at(m), 99, "old", 1999)]
+    assert got == sorted(expected)
+
+
 def test_finals_and_registry_meet_once(spark):
     s = spark.createDataFrame([("e", "leader", "Novice", 1, 1, "finals"), ("e", "leader", "Novice", 2, 2, "finals"), (None, "leader", "Novice", 3, 3, "finals")], "event_id string, role string, division string, place int, seq int, round string")
     r = spark.createDataFrame([("e", "leader", "NOVICE", 9, "1", 1), ("e", "follower", "Novice", 4, "F", 2)], "event_id string, role string, division string, points int, result string, seq int")
