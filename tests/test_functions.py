@@ -103,12 +103,29 @@ def test_month_patterns_know_every_month(day):
     assert day.strftime("%b").lower() in dates.MONTHS
 
 
+def test_locations(spark):
+    cases = {
+        "Atlanta, GA USA": ("Atlanta", "GA", "USA", "USA"),
+        "Paris, France, france, N/A": ("Paris", None, "France", "FRA"),
+        "Tbilisi, Georgia": ("Tbilisi", "Georgia", None, None),
+        "USA": ("USA", None, None, None),
+        None: (None, None, None, None),
+        " , n/a, - ": (None, None, None, None),
+        "Town,  Old\u00a0 Part , Germany": ("Town", "Old Part", "Germany", "DEU"),
+        "Town, USA, GA, United States": ("Town", "GA", "United States", "USA"),
+        "Town, France, Ontario Canada": ("Town", "France, Ontario", "Canada", "CAN"),
+        "Town, GA USA, USA": ("Town", "GA USA", "USA", "USA"),
+        "Town, USA, GA USA": ("Town", "GA", "USA", "USA"),
+        "Town, South Africa, East": ("Town", "East", "South Africa", "ZAF"),
+        "Town, Region, East End": ("Town", "Region, East End", None, None),
+        "Germany, Germany, usa": ("Germany", None, "usa", "USA"),
+        "Town, New South Wales Australia": ("Town", "New South Wales", "Australia", "AUS"),
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", places.parse_location(F.col("raw")).alias("l")).collect()
+    assert {r.raw: tuple(r.l) for r in got} == cases
+
+
 def test_places():
-    assert places.read_location("Atlanta, GA USA") == ("Atlanta", "GA", "USA", "USA")
-    assert places.read_location("Paris, France, france, N/A") == ("Paris", None, "France", "FRA")
-    assert places.read_location("Tbilisi, Georgia") == ("Tbilisi", "Georgia", None, None)
-    assert places.read_location("USA") == ("USA", None, None, None)
-    assert places.read_location(None) == (None, None, None, None)
     assert places.country_filter("united states") == "USA" and places.country_filter("xyz") == "XYZ" and places.country_filter("") is None
 
 
