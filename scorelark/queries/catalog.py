@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, names_related, normalize_text, tokens
-from ..operators import dedupe, filters
+from ..operators import dedupe, filters, trigrams
 from ..views import Registry, view
 
 query = Registry()
@@ -51,6 +51,27 @@ def events_search(t):
     return named.select("id", "name").unionByName(by_alias.select("id", "name")).distinct()
 
 
+@query("q_events_search_indexed", """
+SELECT id, name FROM parts_view p
+WHERE contains(name_norm, 'widget') OR EXISTS (SELECT 1 FROM parts_view a WHERE a.name = p.name AND contains(lower(a.alias), 'brand#7'))""")
+def events_search_indexed(t):
+    """The rows of q_events_search through postings."""
+    p = view(t, "parts_view")
+    e = p.select("id", "name", F.col("name").alias("series_id"), F.col("name_norm").alias("normalized_name"), F.col("name_norm").alias("series_norm"))
+    postings = trigrams.build(trigrams.event_texts(e, p.select(F.col("name").alias("series_id"), F.lower("alias").alias("normalized_alias"))))
+    return trigrams.search(e, postings, "widget").unionByName(trigrams.search(e, postings, "brand#7", ("alias",))).select("id", "name").distinct()
+
+
+@query("q_substring_lines", """
+SELECT doc_id, contains(text, 'e ') AS short, contains(text, 'ation') AS five FROM documents WHERE contains(text, 'e ') OR contains(text, 'ation')""")
+def substring_lines(t):
+    """Terms shorter than a run, and longer ones, in whole texts."""
+    postings = trigrams.build(t["documents"].select(F.lit("text").alias("kind"), F.col("doc_id").alias("key"), "text"))
+    hit = lambda term, c: trigrams.find(postings, term).select(F.col("key").cast("long").alias("doc_id"), F.lit(True).alias(c))
+    both = hit("e ", "short").join(hit("ation", "five"), "doc_id", "full")
+    return both.select("doc_id", F.coalesce("short", F.lit(False)).alias("short"), F.coalesce("five", F.lit(False)).alias("five"))
+
+
 @query("q_results_available", "SELECT id FROM events_view e WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = e.id AND l_returnflag = 'R')")
 def results_available(t):
     pe = t["lineitem"].where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("event_id"))

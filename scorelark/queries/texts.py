@@ -21,6 +21,12 @@ def _section(c):
     return out
 
 
+@query("q_decomposed", "SELECT doc_id, sha256(strip_accents(text)) AS plain_sha256 FROM documents")
+def decomposed(t):
+    """X1 for whole texts of any script."""
+    return t["documents"].select("doc_id", F.sha2(text.strip_accents_exact(F.col("text")).cast("binary"), 256).alias("plain_sha256"))
+
+
 @query("q_normalize_text", f"SELECT doc_id, md5({_NORM.format('text')}) AS norm FROM documents")
 def normalize_text(t):
     return t["documents"].select("doc_id", F.md5(text.normalize_text(F.col("text")).cast("binary")).alias("norm"))

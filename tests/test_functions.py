@@ -103,6 +103,20 @@ def test_month_patterns_know_every_month(day):
     assert day.strftime("%b").lower() in dates.MONTHS
 
 
+def test_every_character_is_decomposed(spark):
+    """All code points, alone and inside texts, against the full decomposition; and no Python worker."""
+    import unicodedata
+
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    points = [chr(p) for p in range(1, 0x110000) if not 0xD800 <= p <= 0xDFFF]
+    texts = ["".join(points[i : i + 16]) for i in range(0, len(points), 16) if plain("".join(points[i : i + 16])) != "".join(points[i : i + 16])]
+    texts += points[:: 97] + ["e\u0301\u0327x", "\u0327\u0301", "각각 ﬁn ½ 😀é", "", "\U0001d400\U0001f100"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", text.strip_accents_exact(F.col("t")).alias("u"))
+    wrong = [(r.t, r.u) for r in df.collect() if r.u != plain(r.t)]
+    assert wrong == []
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_locations(spark):
     cases = {
         "Atlanta, GA USA": ("Atlanta", "GA", "USA", "USA"),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelark import session
-from scorelark.operators import changes, components, dedupe, filters, judges, matching, occurrences, resolver, scans
+from scorelark.operators import changes, components, dedupe, filters, judges, matching, occurrences, resolver, scans, trigrams
 from scorelark.sinks import snapshots, tables
 
 
@@ -384,6 +384,27 @@ def test_a_word_of_all_names_brings_nothing_together(spark):
     assert found.count() == 2000
 
 
+def test_substrings_by_postings(spark):
+    """Terms of all lengths, repeated characters and runs, ends of texts, several texts of one key, other characters."""
+    rng = random.Random(41)
+    texts = [("k" if i % 3 else "l", str(i % 50), "".join(rng.choice("abé ") for _ in range(rng.randint(0, 30)))) for i in range(90)] + [("k", "99", None), ("k", "98", "aaaaaaaa"), ("l", "97", "the galactic open")]
+    postings = trigrams.build(spark.createDataFrame(texts, "kind string, key string, text string"))
+    terms = ["a", "é", "ab", "aaa", "aaaa", "aaaaaaaa", "aaaaaaaaa", "galactic", "the galactic open", "n", "en", "zz", "abab", " a ", "z"] + ["".join(rng.choice("abé ") for _ in range(rng.randint(1, 6))) for _ in range(10)]
+    for term in terms:
+        got = sorted(tuple(r) for r in trigrams.find(postings, term).collect())
+        assert got == sorted({(k, i) for k, i, t in texts if t and term in t}), term
+    plan = trigrams.find(postings, "galactic")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in plan
+
+
+def test_indexed_search_is_the_search(spark):
+    e = spark.createDataFrame([(1, "s1", "river nights", "river"), (2, "s2", "lake open", "lake"), (3, "s3", "hill", "hill"), (4, None, "alone night", None)], "id int, series_id string, normalized_name string, series_norm string")
+    aliases = spark.createDataFrame([("s3", "night hike"), ("s2", "loch")], "series_id string, normalized_alias string")
+    postings = trigrams.build(trigrams.event_texts(e, aliases))
+    for term in ("night", "lake", "loch", "ill", "zzz", "r", ""):
+        assert sorted(r.id for r in trigrams.search(e, postings, term).collect()) == sorted(r.id for r in filters.search(e, aliases, term).collect()), term
+
+
 def test_state_as_of_moments(spark):
     """Against a replay of a random history, with changes at one moment, nulls and events that are new later."""
     rng = random.Random(31)
