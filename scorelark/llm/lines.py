@@ -6,13 +6,12 @@ so a line that a third of all rows share costs one small sketch per task.  Estim
 decide; lines near it, within BAND standard errors, get an exact distinct count.  Of a boilerplate line the first
 occurrence (smallest doc_id, then line number) stays and all others are removed.
 
-Lines are compared without surrounding blanks.  In the pipeline all lines count that aren't blank; the query, like its
-SQL, counts those of MIN_CHARS characters or more.  A text of any length is split in one row's array.  Of occurrences
-that tie in doc_id the smaller hashes of the row, then the line number decide.
+Lines are compared without surrounding blanks, and all count that aren't blank, however short.  A text of any length is split in
+one row's array.  Of occurrences that tie in doc_id the smaller hashes of the row, then the line number decide.
 
 A line is known by two 64-bit hashes (xxhash64 with two seeds), a row too.  The HOT most frequent boilerplate lines, a
-proven bound, are broadcast; of any other line there is at most one in HOT of all, so joins on the hashes are even
-without salts, however frequent a line is.
+proven bound, are broadcast; of any other boilerplate line there is at most one in HOT of all.  A frequent line that isn't boilerplate
+only stands on the left of semi-joins, whose large partitions adaptive execution splits.
 
 Defined results: a null text stays null and has no lines; a null source is one site of its own; rows equal in
 doc_id, source and text are the same document and keep the same lines; an empty table gives an empty result.
@@ -26,8 +25,9 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .storage import written
 
-MIN_SITES, MIN_CHARS, LG_K, BAND, HOT = 10, 12, 10, 3, 1000
+MIN_SITES, LG_K, BAND, HOT = 10, 10, 3, 1000
 _LINE, _ROW = ["h", "g"], ["row", "row2"]
+_SEEN = r"[^\x20\x09-\x0D]"
 
 
 def _split(text: str | Column) -> Column:
@@ -39,12 +39,11 @@ def _row() -> dict[str, Column]:
     return {"row": F.xxhash64("doc_id", "source", "text"), "row2": F.xxhash64(F.lit(7), "doc_id", "source", "text")}
 
 
-def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, row, row2, site, pos and the line's hashes h, g of each line that counts; without ``min_chars`` these are all but blank lines."""
+def site_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, row, row2, site, pos and the line's hashes h, g of each line that isn't blank."""
     each = docs.select("doc_id", *(c.alias(k) for k, c in _row().items()), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(_split("text")).alias("pos", "line"))
     line = F.trim("line")
-    counts = F.char_length(line) >= min_chars if min_chars else F.col("line").rlike(r"\S")
-    return each.where(counts).select("doc_id", *_ROW, "site", "pos", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(7), line).alias("g"))
+    return each.where(F.col("line").rlike(_SEEN)).select("doc_id", *_ROW, "site", "pos", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(7), line).alias("g"))
 
 
 def _of(lines: DataFrame, known: DataFrame) -> DataFrame:
@@ -54,9 +53,9 @@ def _of(lines: DataFrame, known: DataFrame) -> DataFrame:
     return lines.join(hot, _LINE, "left_semi").unionByName(rest)
 
 
-def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes h, g of the lines on ``min_sites`` sites or more, and how often each stands there (n)."""
-    lines = long_lines(docs, min_chars)
+    lines = site_lines(docs)
     error = BAND * 1.04 / 2 ** (LG_K / 2)
     sketched = lines.groupBy(*_LINE).agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count("*").alias("n")).select(*_LINE, "n", F.hll_sketch_estimate("sketch").alias("sites"))
     near = written(spark, sketched.where(F.col("sites") >= min_sites * (1 - error) - 1), "lines")
@@ -67,10 +66,10 @@ def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES
     return near.where(sure).select(*_LINE, "n").unionByName(unsure.join(exact, _LINE, "left_semi").select(*_LINE, "n"))
 
 
-def removals(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """row, row2 and the sorted numbers of its removed lines, for documents that lose any."""
-    known = written(spark, boilerplate(spark, docs, min_sites, min_chars), "boilerplate")
-    lines = long_lines(docs, min_chars).select(*_LINE, F.struct("doc_id", *_ROW, "pos").alias("at"))
+    known = written(spark, boilerplate(spark, docs, min_sites), "boilerplate")
+    lines = site_lines(docs).select(*_LINE, F.struct("doc_id", *_ROW, "pos").alias("at"))
     found = written(spark, _of(lines, known), "occurrences")
     first = found.groupBy(*_LINE).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     hot = F.broadcast(known.orderBy(F.desc("n"), *_LINE).limit(HOT).select(*_LINE))
@@ -80,11 +79,11 @@ def removals(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, m
     return gone.groupBy(*(F.col(f"at.{c}").alias(c) for c in _ROW)).agg(F.array_sort(F.collect_set("at.pos")).alias("gone"))
 
 
-def dedup(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, source, text (and ``_doc``, if there) of all documents with ``kept`` (the remaining text), ``n_lines`` and ``n_removed``."""
     docs = docs.select(*(c for c in ("_doc", "doc_id", "source", "text") if c in docs.columns))
     marked = docs.withColumns({"_" + k: c for k, c in _row().items()})
-    gone = removals(spark, docs, min_sites, min_chars).withColumnsRenamed({"row": "_row", "row2": "_row2", "gone": "_gone"})
+    gone = removals(spark, docs, min_sites).withColumnsRenamed({"row": "_row", "row2": "_row2", "gone": "_gone"})
     joined = marked.join(gone, ["_row", "_row2"], "left")
     split = _split("text")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
@@ -100,7 +99,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: boilerplate lines are gone; a document that consisted of nothing else goes too."""
-    out = dedup(spark, tk.whole(docs), min_chars=0).where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
+    out = dedup(spark, tk.whole(docs)).where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
     lost = F.col("n_removed") > 0
     new = {"text": F.col("kept"), "n_chars": F.when(lost, F.length("kept").cast("long")).otherwise(F.col("_doc.n_chars") if "n_chars" in docs.columns else None)}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns))
@@ -110,7 +109,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 KEPT_SQL = f"""
 l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line
       FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM docs WHERE text IS NOT NULL)),
-b AS (SELECT trim(line, ' ') AS k FROM l WHERE length(trim(line, ' ')) >= {MIN_CHARS} GROUP BY 1 HAVING count(DISTINCT site) >= {MIN_SITES}),
+b AS (SELECT trim(line, ' ') AS k FROM l WHERE regexp_matches(line, '{_SEEN}') GROUP BY 1 HAVING count(DISTINCT site) >= {MIN_SITES}),
 o AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY doc_id, pos) > 1 AS gone FROM l WHERE trim(line, ' ') IN (SELECT k FROM b)),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT coalesce(gone, false)), '') AS kept
          FROM l LEFT JOIN o USING (doc_id, pos) GROUP BY doc_id)"""
