@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, names_related, normalize_text, tokens
-from ..operators import dedupe, filters, trigrams
+from ..operators import dedupe, filters, paging, trigrams
 from ..views import Registry, view
 
 query = Registry()
@@ -72,6 +72,21 @@ def substring_lines(t):
     return both.select("doc_id", F.coalesce("short", F.lit(False)).alias("short"), F.coalesce("five", F.lit(False)).alias("five"))
 
 
+@query("q_events_deep_page", "SELECT id, name, start_date FROM events_view ORDER BY start_date, name, id LIMIT 50 OFFSET 1200")
+def events_deep_page(t):
+    path = paging.cluster(view(t, "events_view").select("id", "name", "start_date"), ["start_date", "name", "id"], range_rows=1000)
+    return paging.page(t.spark, path, 50, 1200)
+
+
+@query("q_events_next_page", """
+SELECT id, name, start_date FROM events_view WHERE (start_date, name, id) > (SELECT (start_date, name, id) FROM events_view ORDER BY start_date, name, id LIMIT 1 OFFSET 777) ORDER BY start_date, name, id LIMIT 50""")
+def events_next_page(t):
+    order = ["start_date", "name", "id"]
+    path = paging.cluster(view(t, "events_view").select("id", "name", "start_date"), order, range_rows=1000)
+    last = paging.page(t.spark, path, 1, 777).first()
+    return paging.page_after(t.spark, path, order, tuple(last[c] for c in order), 50)
+
+
 @query("q_results_available", "SELECT id FROM events_view e WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = e.id AND l_returnflag = 'R')")
 def results_available(t):
     pe = t["lineitem"].where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("event_id"))

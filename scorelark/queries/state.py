@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import provider_of
-from ..operators import changes, matching, scans
+from ..operators import changes, increments, matching, scans
+from ..session import written
 from ..sinks import snapshots, tables
 from ..sources import pages as pg
 from ..sources import registry as rg
@@ -121,6 +122,23 @@ def as_of(t):
     return changes.as_of(current, history, _DAYS, fields)
 
 
+@query("q_kept_up_to_date", """
+SELECT l_suppkey, l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sum_points, min(CAST(l_quantity AS BIGINT)) AS least_points, max(CAST(l_quantity AS BIGINT)) AS most_points
+FROM lineitem WHERE NOT (l_orderkey % 10 < 9 AND (l_quantity > 48 OR l_linenumber = 1)) GROUP BY ALL""")
+def kept_up_to_date(t):
+    """Marks come in ten batches; each batch also takes back some of the one before, among them the largest."""
+    k, keys = F.col("l_orderkey") % 10, ["l_suppkey", "l_returnflag"]
+    back = (F.col("l_quantity") > 48) | (F.col("l_linenumber") == 1)
+    marks = t["lineitem"].select(*keys, F.col("l_quantity").cast("long").alias("points"), k.alias("batch"), back.alias("back"))
+    state = increments.summary(marks.where("false"), keys, ["points"])
+    for b in range(10):
+        come, go = marks.where(F.col("batch") == b), marks.where((F.col("batch") == b - 1) & F.col("back"))
+        changes_ = come.withColumn("weight", F.lit(1)).unionByName(go.withColumn("weight", F.lit(-1)))
+        there = marks.where((F.col("batch") == b) | ((F.col("batch") < b) & ~F.col("back")))
+        state = written(increments.merged(state, changes_, there, keys, ["points"]), "summary")
+    return state
+
+
 @query("q_confirmed", """
 SELECT id, CASE WHEN lifecycle_status = 'listed' THEN 'confirmed' ELSE 'unconfirmed' END AS confirmation_status FROM events_view""")
 def confirmed(t):

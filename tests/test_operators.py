@@ -3,12 +3,13 @@
 import datetime
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from scorelark import session
-from scorelark.operators import changes, components, dedupe, filters, judges, matching, occurrences, resolver, scans, trigrams
+from scorelark.operators import changes, components, dedupe, filters, increments, judges, matching, occurrences, paging, resolver, scans, trigrams
 from scorelark.sinks import snapshots, tables
 
 
@@ -405,6 +406,50 @@ def test_indexed_search_is_the_search(spark):
         assert sorted(r.id for r in trigrams.search(e, postings, term).collect()) == sorted(r.id for r in filters.search(e, aliases, term).collect()), term
 
 
+def test_pages_of_a_clustered_table(spark):
+    """Any page and any cursor, with dates that are missing or shared, reads few files and gives the rows of sort and offset."""
+    rng = random.Random(5)
+    order = ["start_date", "name", "id"]
+    rows = [(i, rng.choice(["x", "y", None]), None if rng.random() < 0.1 else d("2026-01-01") + datetime.timedelta(days=rng.randint(0, 20))) for i in range(1000)]
+    table = spark.createDataFrame(rows, "id int, name string, start_date date")
+    path = paging.cluster(table, order, range_rows=50)
+    files = spark.read.parquet(f"{path}/rows").select("_metadata.file_path").distinct().count()
+    assert files >= 10
+    everything = [r.id for r in table.orderBy(*order).collect()]
+    for offset, limit in ((0, 10), (37, 30), (500, 100), (990, 50), (2000, 5)):
+        got = paging.page(spark, path, limit, offset)
+        assert [r.id for r in got.collect()] == everything[offset : offset + limit]
+        assert re.search(r"PartitionFilters: \[[^\]]*_range", got._jdf.queryExecution().executedPlan().toString())
+    seen, cursor = [], None
+    while found := paging.page_after(spark, path, order, cursor, 170).collect():
+        seen += [r.id for r in found]
+        cursor = tuple(found[-1][c] for c in order)
+    assert seen == everything
+    assert paging.page(spark, paging.cluster(table.where("false"), order)).count() == 0
+
+
+def test_summaries_after_changes_are_those_of_all_rows(spark):
+    """Random changes: values that repeat, nulls, keys that empty and return, rows that come and go in one batch."""
+    rng = random.Random(19)
+    schema = "k int, x long, y long"
+    row = lambda: (rng.randint(1, 6), rng.choice([None, *range(8)]), rng.randint(0, 100))
+    rows = [row() for _ in range(20)]
+    state = increments.summary(spark.createDataFrame(rows, schema), ["k"], ["x", "y"])
+    for _ in range(8):
+        gone = rng.sample(rows, rng.randint(0, len(rows)))
+        for r in gone:
+            rows.remove(r)
+        come = [row() for _ in range(rng.randint(0, 12))]
+        brief = [row() for _ in range(rng.randint(0, 3))]
+        rows += come
+        changes_ = [(*r, 1) for r in come + brief] + [(*r, -1) for r in gone + brief]
+        after = spark.createDataFrame(rows, schema)
+        state = session.written(increments.merged(state, spark.createDataFrame(changes_, schema + ", weight int"), after, ["k"], ["x", "y"]), "state")
+        expected = increments.summary(after, ["k"], ["x", "y"]).collect()
+        key = lambda r: (r.k, r.n, r.least_x, r.most_x, r.sum_x or 0, r.sum_y, r.least_y, r.most_y)
+        assert sorted(map(key, state.collect()), key=repr) == sorted(map(key, expected), key=repr)
+
+
 def test_state_as_of_moments(spark):
     """Against a replay of a random history, with changes at one moment, nulls and events that are new later."""
     rng = random.Random(31)
