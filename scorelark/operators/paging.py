@@ -18,10 +18,12 @@ RANGE_ROWS = 100_000
 def cluster(rows: DataFrame, order: list[str], path: str | None = None, range_rows: int = RANGE_ROWS) -> str:
     """Write ``rows`` in ranges of about ``range_rows`` rows of ``order``, which must be total; where they lie."""
     path = path or new_folder(rows.sparkSession, "clustered")
-    n = max(1, -(-rows.count() // range_rows))
+    total = rows.count()
+    n = max(1, -(-total // range_rows))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_place": place})
-    placed.write.partitionBy("_range").parquet(f"{path}/rows")
+    # without rows there would be no range and so no file that tells the columns
+    (placed.write.partitionBy("_range") if total else placed.write).parquet(f"{path}/rows")
     ends = rows.sparkSession.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"), F.max(F.struct(*order)).alias("last"))
     ends.coalesce(1).write.parquet(f"{path}/ranges")
     return path

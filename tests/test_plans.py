@@ -195,3 +195,55 @@ def test_stored_runs_outlive_the_program(spark, tmp_path):
     again = jobs.StoredRuns(spark, f"{tmp_path}/runs")
     assert [r["status"] for r in again.rows] == ["failed", "failed", "success"]
     again.end(again.begin("index", t(2026, 1, 2, 1)), t(2026, 1, 2, 2), "success")
+
+
+def test_rechecks_as_a_stream(spark, tmp_path):
+    """In several batches with restarts between them: what has been sent out since its last check is what the batch rule chose at that moment, and all
+    that it chooses now is among it; a late correction of an event's end moves its timer."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from scorelark.operators import scans
+    from scorelark.streaming import rechecks
+
+    rng = random.Random(23)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "key string, checked_at timestamp, end_date date"
+    start, land = datetime.datetime(2026, 3, 1, 12), str(tmp_path / "land")
+    ends = {f"k{i}": start.date() + datetime.timedelta(days=rng.randint(-60, 10)) for i in range(25)} | {"none": None}
+    told, log = {}, []
+    for batch in range(4):
+        now = start + datetime.timedelta(days=3 * batch)
+        if batch == 2:
+            ends["k0"] = now.date()  # a correction: the event is later than was thought
+        rows = [(k, now + datetime.timedelta(minutes=rng.randint(-600, 0)), ends[k]) for k in ends if batch == 0 or k == "k0" and batch == 2 or rng.random() < 0.3]
+        rows.append(("clock", now, None))
+        log += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(land)
+        stream = rechecks.rechecks(spark.readStream.schema(schema).parquet(land))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+    now = start + datetime.timedelta(days=9)
+    checked, end = {}, {}
+    for k, at, e in log:
+        if k not in checked or at >= checked[k]:
+            checked[k], end[k] = at, e
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        told.setdefault(r.key, []).append((r.due_at, r.checked_at))
+    sent = {k for k, v in told.items() if any(c == checked[k] for _, c in v)}
+    events = spark.createDataFrame([(k, "http://x.example/" + k, None, datetime.date(2000, 1, 1), e) for k, e in end.items()], "id string, website_url string, merged_into string, start_date date, end_date date")
+    # an event without an end counts by its start in the batch rule, long ago here
+    due = scans.websites_due(events, spark.createDataFrame([(k, at) for k, at in checked.items()], "event_id string, checked_at timestamp"), F.lit(now).cast("timestamp"), 1000)
+    due = {r.id for r in due.collect()}
+    assert due <= sent and 3 < len(due) and len(sent) < len(checked)
+
+    def chosen(k, at):
+        """The batch rule at that moment."""
+        recent = (end[k] or datetime.date(2000, 1, 1)) >= at.date() - datetime.timedelta(days=21)
+        return checked[k] < at - (datetime.timedelta(hours=20) if recent else datetime.timedelta(days=7))
+
+    # what is no longer due by now was so when it was sent out
+    assert all(chosen(k, at + datetime.timedelta(milliseconds=1)) for k in sent for at, c in told[k] if c == checked[k])
+    assert not any(chosen(k, now) for k in checked if k not in sent)
+    assert any(len(v) > 1 for v in told.values())  # sent out again while nobody looked
+    assert rechecks.due_at(0, None) == rechecks.RECHECK_MS and rechecks.due_at(0, 0) == rechecks.RECENT_MS
