@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from ..session import put_file
+
 STALE = {"calendar": timedelta(hours=2), "index": timedelta(hours=3), "daily": timedelta(hours=12)}
 MAX_ERRORS = 200
 
@@ -61,53 +61,53 @@ _TIMES = ("started_at", "finished_at")
 class StoredRuns(Runs):
     """Run records and locks in a folder that all programs share, so they outlive the program (U10, ST10).
 
-    A lock is a file that only one program can create.  A stale one is taken over by whoever manages to move it away.
+    A lock is the last of a source's numbered files; it is free once a file beside it says so.  Whoever finds it free or stale publishes
+    the next number, which only one program can, so nothing is moved and no fresh lock is taken for a stale one.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         super().__init__()
-        self.path, self._jvm = path.rstrip("/"), spark.sparkContext._jvm
+        self.spark, self.path, self._jvm = spark, path.rstrip("/"), spark.sparkContext._jvm
+        self.held: dict[str, int] = {}
         self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.load()
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _read(self, name: str) -> dict | None:
+    def _read(self, name: str) -> dict:
         stream = self.fs.open(self._at(name))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        except ValueError:  # its writer stopped while writing it
-            return None
         finally:
             stream.close()
 
     def _write(self, name: str, value: dict, replace: bool) -> bool:
-        try:
-            out = self.fs.create(self._at(name), replace)
-        except Py4JJavaError:
-            return False
-        out.write(bytearray(json.dumps(value, default=lambda t: t.isoformat()).encode()))
-        out.close()
-        return True
+        return put_file(self.spark, f"{self.path}/{name}", json.dumps(value, default=lambda t: t.isoformat()), replace)
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(folder)
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(at) if not f.getPath().getName().startswith(".")) if self.fs.exists(at) else []
 
     def load(self) -> None:
         """The records of all programs, oldest first."""
-        folder = self._at("runs")
-        names = [f.getPath().getName() for f in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
-        rows = [r for n in names if (r := self._read(f"runs/{n}"))]
+        rows = [self._read(f"runs/{n}") for n in self._names("runs")]
         self.rows = sorted((r | {c: r[c] and datetime.fromisoformat(r[c]) for c in _TIMES} for r in rows), key=lambda r: r["id"])
 
     def begin(self, source: str, now: datetime, stale: timedelta | None = None) -> dict:
-        lock = f"locks/{source}"
-        if not self._write(lock, {"at": now}, False):
-            held = self._read(lock)
-            if held and now - datetime.fromisoformat(held["at"]) < (stale or STALE.get(source, STALE["daily"])):
+        folder = f"locks/{source}"
+        names = self._names(folder)
+        last = max((int(n) for n in names if n.isdigit()), default=0)
+        if last and f"{last:012d}.free" not in names:
+            held = self._read(f"{folder}/{last:012d}")
+            if now - datetime.fromisoformat(held["at"]) < (stale or STALE.get(source, STALE["daily"])):
                 raise AlreadyRunning(source)
-            away = self._at(f"stale-{uuid.uuid4().hex}")
-            if not self.fs.rename(self._at(lock), away) or not self._write(lock, {"at": now}, False):
-                raise AlreadyRunning(source)  # another program was quicker
-            self.fs.delete(away, False)
+        if not self._write(f"{folder}/{last + 1:012d}", {"at": now}, False):
+            raise AlreadyRunning(source)  # another program was quicker
+        self.held[source] = last + 1
+        for name in names:
+            if int(name[:12]) < last:
+                self.fs.delete(self._at(f"{folder}/{name}"), False)
         self.load()
         for row in self.rows:
             if row["source"] == source and row["status"] == "running":
@@ -123,7 +123,8 @@ class StoredRuns(Runs):
 
     def end(self, row: dict, now: datetime, status: str, **fields) -> dict:
         self._save(super().end(row, now, status, **fields))
-        self.fs.delete(self._at(f"locks/{row['source']}"), False)
+        if number := self.held.pop(row["source"], None):
+            self._write(f"locks/{row['source']}/{number:012d}.free", {"at": now}, True)
         return row
 
 

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,28 @@ def numbered(df: DataFrame, order: list, column: str, name: str = "numbered") ->
     return placed.join(F.broadcast(sizes), "_part").select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(column))
 
 
-def call_count(rows: DataFrame, each: int = 4096) -> int:
-    """Into how many calls the small groups of ``rows`` are gathered, so that a call handles about ``each`` rows, however many there are."""
-    return max(1, -(-rows.count() // each))
+def put_file(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Publish a small file whole: it is written and closed under another name and then gets its own, which is one step of the file system.
+
+    Readers never see half of it.  Without ``replace`` only one of several programs succeeds; the others get False.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = at.getFileSystem(conf)
+    draft = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{uuid.uuid4().hex}.new")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    modes = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    wanted = gateway.new_array(modes, 1)
+    wanted[0] = modes.OVERWRITE if replace else modes.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(draft), fs.makeQualified(at), wanted)
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception):
+            raise
+        return False
+    finally:
+        fs.delete(draft, False)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from datetime import timedelta
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import put_file
+
 
 def upsert(current: DataFrame, new: DataFrame, key: list[str], newest: str | None = None, keep_if_null: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``new`` replace those with the same key; columns in ``keep_if_null`` keep the old value where the new is null.
@@ -44,9 +47,9 @@ class Snapshots:
     """A table as versions (U14): readers see the old or the new state, never half, and never none.
 
     Data go to a folder of their own.  A version is a numbered file in ``_log`` that lists the folders it consists of, and
-    the highest readable one is the table.  Nothing that a version needs is moved or deleted when the next one is
-    published, so a writer may stop at any point.  The file is created only if there is none of its number: of two
-    writers one gets a Conflict.  ``merge`` deals rows to a fixed number of buckets by key and rewrites only the buckets
+    the highest one is the table.  Nothing that a version needs is moved or deleted when the next one is
+    published, so a writer may stop at any point.  A writer's number is one more than that of the version it has read, and its file
+    appears whole and only if there is none of that number: of two writers that read the same version one gets a Conflict.  ``merge`` deals rows to a fixed number of buckets by key and rewrites only the buckets
     that new rows fall into; the other folders stay part of the table.
     """
 
@@ -59,19 +62,20 @@ class Snapshots:
         at = self._path(folder)
         return sorted(f.getPath().getName() for f in self.fs.listStatus(at)) if self.fs.exists(at) else []
 
-    def _version(self, name: str) -> dict | None:
+    def _versions(self) -> list[str]:
+        return [n for n in self._names(f"{self.path}/_log") if n.isdigit()]
+
+    def _version(self, name: str) -> dict:
         stream = self.fs.open(self._path(f"{self.path}/_log/{name}"))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        except ValueError:  # its writer stopped while writing it
-            return None
         finally:
             stream.close()
 
     def current(self) -> dict | None:
         """The newest version: number, schema and folders by bucket."""
-        versions = (self._version(name) for name in reversed(self._names(f"{self.path}/_log")))
-        return next((v for v in versions if v), None)
+        names = self._versions()
+        return self._version(names[-1]) if names else None
 
     def read(self) -> DataFrame | None:
         version = self.current()
@@ -83,13 +87,13 @@ class Snapshots:
 
     def commit(self, df: DataFrame) -> int:
         """The table is ``df`` from now on."""
-        number, folder = self._next(), f"v-{uuid.uuid4().hex}"
+        number, folder = self._after(self.current()), f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}")
         return self._publish(number, df.schema, {"all": folder})
 
     def merge(self, new: DataFrame, key: list[str], newest: str | None = None, keep_if_null: tuple[str, ...] = ()) -> int:
         """Upsert ``new``; only buckets that it has rows for are read and written."""
-        number, version = self._next(), self.current()
+        version = self.current()
         bucket = F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
         touched = [str(r[0]) for r in new.select(bucket).distinct().collect()]  # at most ``buckets``
         folders = version["folders"] if version else {}
@@ -100,33 +104,30 @@ class Snapshots:
         # one task per bucket; what a whole-table commit left is dealt to buckets now
         rows.withColumn("_bucket", bucket).repartition(self.buckets, "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         made = {n.partition("=")[2]: f"{folder}/{n}" for n in self._names(f"{self.path}/{folder}") if n.startswith("_bucket=")}
-        return self._publish(number, old.schema, {b: f for b, f in folders.items() if b != "all"} | made)
+        return self._publish(self._after(version), old.schema, {b: f for b, f in folders.items() if b != "all"} | made)
 
-    def _next(self) -> int:
-        return max((int(n) for n in self._names(f"{self.path}/_log")), default=0) + 1
+    @staticmethod
+    def _after(version: dict | None) -> int:
+        return version["number"] + 1 if version else 1
 
     def _publish(self, number: int, schema: StructType, folders: dict[str, str]) -> int:
-        try:
-            out = self.fs.create(self._path(f"{self.path}/_log/{number:012d}"), False)
-        except Py4JJavaError as e:
-            raise Conflict(f"version {number} of {self.path}") from e
-        out.write(bytearray(json.dumps({"number": number, "schema": json.loads(schema.json()), "folders": folders}).encode()))
-        out.close()
+        if not put_file(self.spark, f"{self.path}/_log/{number:012d}", json.dumps({"number": number, "schema": json.loads(schema.json()), "folders": folders})):
+            raise Conflict(f"version {number} of {self.path}")
         return number
 
-    def vacuum(self) -> list[str]:
-        """Delete all but the newest ``kept`` versions and the folders that none of those needs; returns these folders."""
-        names = self._names(f"{self.path}/_log")
-        stay = names[-self.kept :]
-        needed = {f.partition("/")[0] for v in map(self._version, stay) if v for f in v["folders"].values()}
-        newest = self.current()
-        if newest:
-            needed |= {f.partition("/")[0] for f in newest["folders"].values()}
-            stay.append(f"{newest['number']:012d}")
-        gone = [n for v in names if v not in stay and (old := self._version(v)) for n in {f.partition("/")[0] for f in old["folders"].values()} if n not in needed]
-        for folder in dict.fromkeys(gone):
+    def vacuum(self, orphan: timedelta = timedelta(days=1)) -> list[str]:
+        """Delete all but the newest ``kept`` versions, the folders that none of those needs, and folders older than ``orphan`` of writers that
+        stopped before they published; returns these folders."""
+        names = self._versions()
+        stay, old = names[-self.kept :], names[: -self.kept]
+        folders = lambda versions: {f.partition("/")[0] for v in map(self._version, versions) for f in v["folders"].values()}
+        needed, known = folders(stay), folders(old)
+        at = self._path(self.path)
+        now = time.time() * 1000
+        found = {f.getPath().getName(): f.getModificationTime() for f in self.fs.listStatus(at)} if self.fs.exists(at) else {}
+        gone = sorted(n for n, changed in found.items() if n.startswith("v-") and n not in needed and (n in known or now - changed > orphan.total_seconds() * 1000))
+        for folder in gone:
             self.fs.delete(self._path(f"{self.path}/{folder}"), True)
-        for name in names:
-            if name not in stay:
-                self.fs.delete(self._path(f"{self.path}/_log/{name}"), False)
-        return list(dict.fromkeys(gone))
+        for name in old:
+            self.fs.delete(self._path(f"{self.path}/_log/{name}"), False)
+        return gone

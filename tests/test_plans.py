@@ -197,6 +197,27 @@ def test_stored_runs_outlive_the_program(spark, tmp_path):
     again.end(again.begin("index", t(2026, 1, 2, 1)), t(2026, 1, 2, 2), "success")
 
 
+def test_a_stale_lock_is_taken_over_once(spark, tmp_path):
+    """One program takes the lock over between the other's reading and writing."""
+    t = datetime.datetime
+    one, two, three = (jobs.StoredRuns(spark, f"{tmp_path}/runs") for _ in range(3))
+    one.begin("calendar", t(2026, 1, 1, 8))
+    write, ran = three._write, []
+
+    def late(*args):
+        if not ran:
+            ran.append(two.begin("calendar", t(2026, 1, 1, 11)))
+        return write(*args)
+
+    three._write = late
+    with pytest.raises(jobs.AlreadyRunning):
+        three.begin("calendar", t(2026, 1, 1, 11))
+    with pytest.raises(jobs.AlreadyRunning):
+        one.begin("calendar", t(2026, 1, 1, 11, 5))
+    two.end(ran[0], t(2026, 1, 1, 11, 30), "success")
+    one.end(one.begin("calendar", t(2026, 1, 1, 11, 31)), t(2026, 1, 1, 11, 32), "success")
+
+
 def test_rechecks_as_a_stream(spark, tmp_path):
     """In several batches with restarts between them: what has been sent out since its last check is what the batch rule chose at that moment, and all
     that it chooses now is among it; a late correction of an event's end moves its timer."""
