@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import first_compatible, normalize_text
 from ..session import numbered, written
 from .components import components
+from .matching import even_join
 
 REASONS = {
     "manual": ("manual", "merged by an admin"),
@@ -45,7 +46,7 @@ def together(shown: DataFrame) -> DataFrame:
 def candidates(names: DataFrame) -> DataFrame:
     """Pairs a, b that may be one person, with kind: both full (same last name), or b a lone first name of a full name a.
 
-    Full names meet on the last name.  Lone names meet full ones on first names, which are few, so compatible first
+    Full names meet on the last name, frequent ones in slots.  Lone names meet full ones on first names, which are few, so compatible first
     names are found first and joined to both sides.
     """
     parts = names.select("name", F.split("name", " ").alias("p")).withColumns({"first": F.get("p", F.lit(0)), "last": F.element_at("p", -1), "n": F.size("p")})
@@ -53,7 +54,7 @@ def candidates(names: DataFrame) -> DataFrame:
     kind = first_compatible(F.col("fa"), F.col("fb"))
     a = full.select(F.col("name").alias("a"), F.col("first").alias("fa"), "last")
     b = full.select(F.col("name").alias("b"), F.col("first").alias("fb"), "last")
-    pairs = a.join(b, "last").where("a < b").withColumn("kind", kind).where("kind IS NOT NULL").select("a", "b", "kind")
+    pairs = even_join(a, b, ["last"]).where("a < b").withColumn("kind", kind).where("kind IS NOT NULL").select("a", "b", "kind")
     # lone first names: blocks by the first three letters, by the whole name and by nickname group hold all compatible ones
     from ..functions.text import nickname_groups
 

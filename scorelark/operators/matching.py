@@ -101,11 +101,26 @@ def dates_agree(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(F.datediff(a, b)) <= AGREE_DAYS, F.lit(False))
 
 
+def even_join(left: DataFrame, right: DataFrame, on: list[str], most: int = 1 << 20) -> DataFrame:
+    """An inner join of which no key makes more than about ``most`` pairs in one place.
+
+    Keys are counted on both sides.  A key with more pairs is cut into slots: its left rows are dealt out by a hash of the row,
+    its right rows stand in every slot.  Other keys have one slot, so nothing is copied for them.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("_l")).join(right.groupBy(*on).agg(F.count("*").alias("_r")), on)
+    hot = counts.select(*on, F.ceil(F.least(F.col("_l"), F.col("_l") * F.col("_r") / most)).cast("int").alias("_k")).where("_k > 1")
+    slots = lambda df: df.join(hot, on, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    dealt = slots(left).withColumn("_slot", F.pmod(F.xxhash64(*left.columns), F.col("_k")).cast("int")).drop("_k")
+    copied = slots(right).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+    return dealt.join(copied, [*on, "_slot"]).drop("_slot")
+
+
 def related_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of events of different sources in one year whose names are related and whose dates fit.
 
-    Both sides: id, name, source, start_date, end_date, date_precision.  A smaller word set can only lie in a
-    larger one that has its rarest word, so pairs meet on (year, that word) instead of all against all.
+    Both sides: id, name, source, start_date, end_date, date_precision, each id and name once.  A smaller word set can only lie in a
+    larger one that has its rarest word, so pairs meet on (year, that word) instead of all against all; years and
+    words that very many names have are cut into slots.
     """
 
     def prepared(df: DataFrame, p: str) -> DataFrame:
@@ -118,10 +133,11 @@ def related_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     def lead(df: DataFrame, p: str) -> DataFrame:
         return word(df, p).join(count, "word").groupBy(*df.columns).agg(F.min_by("word", F.struct("_n", "word")).alias("word"))
 
-    met = lead(left, "a_").join(word(right, "b_"), ["year", "word"]).unionByName(word(left, "a_").join(lead(right, "b_"), ["year", "word"])).drop("word")
+    # the side with fewer words, or the left one of two with as many, brings its rarest word
+    size = F.size("a_words") <= F.size("b_words")
+    fewer, more = even_join(lead(left, "a_"), word(right, "b_"), ["year", "word"]).where(size), even_join(lead(right, "b_"), word(left, "a_"), ["year", "word"]).where(~size)
     fits = dates_compatible(*(F.col(f"{p}_{c}") for p in "ab" for c in ("start_date", "end_date", "date_precision")))
-    pairs = met.where((F.col("a_id") != F.col("b_id")) & (F.col("a_source") != F.col("b_source")) & fits & subset_either_way(F.col("a_words"), F.col("b_words")))
-    return pairs.dropDuplicates(["a_id", "b_id", "a_name", "b_name"])
+    return fewer.unionByName(more).drop("word").where((F.col("a_id") != F.col("b_id")) & (F.col("a_source") != F.col("b_source")) & fits & subset_either_way(F.col("a_words"), F.col("b_words")))
 
 
 def find_related(wanted: DataFrame, events: DataFrame) -> DataFrame:

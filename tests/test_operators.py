@@ -127,6 +127,34 @@ def test_rows_are_numbered_in_order(spark):
     assert session.numbered(spark.createDataFrame([], "a int"), ["a"], "n").count() == 0
 
 
+def test_a_frequent_key_is_cut_into_slots(spark):
+    """A key with a third of all rows on both sides: the same pairs, and no place with more than a few times the pairs of the others."""
+    rng = random.Random(2)
+    key = lambda: "hot" if rng.random() < 0.33 else f"k{rng.randint(1, 60)}"
+    left, right = ([(key(), i) for i in range(n)] for n in (900, 700))
+    frames = spark.createDataFrame(left, "k string, a int"), spark.createDataFrame(right, "k string, b int")
+    got = matching.even_join(*frames, ["k"], most=500)
+    assert sorted(map(tuple, got.select("k", "a", "b").collect())) == sorted((k, a, b) for k, a in left for j, b in right if j == k)
+    per = frames[0].groupBy("k").count().where("k = 'hot'").first()["count"] * frames[1].groupBy("k").count().where("k = 'hot'").first()["count"]
+    assert per > 100 * 500  # so the hot key has more than a hundred slots, each of about 500 pairs
+
+
+def test_related_pairs_of_names_with_a_word_that_a_third_have(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(240):
+        words = [*(["gala"] if i % 3 == 0 else []), *rng.sample([f"w{k}" for k in range(30)], rng.randint(0 if i % 3 == 0 else 1, 2))]
+        rows.append((f"e{i}", "s", " ".join(words).title(), rng.choice(["eepro", "wdr", "calendar"]), f"2026-0{rng.randint(1, 3)}-0{rng.randint(1, 9)}", "2026-04-01", rng.choice(["day", "month", "year"]), i, None))
+    e = events(spark, rows)
+    found = matching.related_pairs(e, e).select("a_id", "b_id")
+    both = e.select(F.col("id").alias("a"), *(F.col(c).alias("a_" + c) for c in ("name", "source", "start_date", "end_date", "date_precision"))).crossJoin(e.select(F.col("id").alias("b"), *(F.col(c).alias("b_" + c) for c in ("name", "source", "start_date", "end_date", "date_precision"))))
+    from scorelark.functions.dates import dates_compatible
+    from scorelark.functions.text import names_related
+
+    plain = both.where((F.col("a") != F.col("b")) & (F.col("a_source") != F.col("b_source")) & names_related(F.col("a_name"), F.col("b_name")) & dates_compatible(*(F.col(f"{p}_{c}") for p in "ab" for c in ("start_date", "end_date", "date_precision"))))
+    assert sorted(map(tuple, found.collect())) == sorted((r.a, r.b) for r in plain.select("a", "b").collect()) and found.count() > 200
+
+
 def test_related_event_prefers_precision_then_source(spark):
     e = events(spark, [("m", "s1", "River Nights", "registry", "2026-05-01", "2026-05-01", "month", 1, None), ("x", "s2", "River Nights Open", "eepro", "2026-05-08", "2026-05-10", "day", 3, None), ("y", "s3", "The River Nights", "calendar", "2026-05-09", "2026-05-10", "day", 4, None)])
     wanted = events(spark, [("w", "s", "River Nights", "manual", "2026-05-07", "2026-05-07", "day", 1, None)])
