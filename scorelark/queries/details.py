@@ -353,10 +353,15 @@ def pending_numbers(t):
 
 
 # ---------------------------------------------------------------- tables
-@query("q_cache_upsert", "SELECT user_id, max(ts) AS fetched_at, arg_max(event_id, ts) AS payload FROM events GROUP BY user_id")
+@query("q_cache_upsert", """
+WITH o AS (SELECT user_id, max(ts) AS fetched_at, arg_max(event_id, ts) AS payload FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
+n AS (SELECT user_id, max(ts) AS fetched_at, arg_max(event_id, ts) AS payload FROM events WHERE event_id % 2 = 1 AND user_id % 3 <> 0 GROUP BY user_id)
+SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.fetched_at, o.fetched_at) AS fetched_at, coalesce(n.payload, o.payload) AS payload FROM o FULL JOIN n ON n.user_id = o.user_id""")
 def cache_upsert(t):
+    """A cache of some of the events, into which others are put; a third of the users only stand in the old one."""
     rows = t["events"].select("user_id", F.col("ts").alias("fetched_at"), F.col("event_id").alias("payload"))
-    return tables.upsert(rows.where("payload % 2 = 0 AND payload < 0"), rows, ["user_id"], "fetched_at")
+    held = rows.where("payload % 2 = 0").groupBy("user_id").agg(F.max("fetched_at").alias("fetched_at"), F.max_by("payload", "fetched_at").alias("payload"))
+    return tables.upsert(held, rows.where("payload % 2 = 1 AND user_id % 3 <> 0"), ["user_id"], "fetched_at")
 
 
 @query("q_versions", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders")

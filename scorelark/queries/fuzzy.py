@@ -202,11 +202,17 @@ def judge_panels(t):
     return a.select("alias_norm", "judge_key", "method", "confidence", "panels", F.array_join("candidates", "|").alias("candidates"))
 
 
-@query("q_judge_review", "SELECT 'Chris' AS name, 'Chris Low|Chris Z' AS candidates")
+_LONE = "translate(reverse(lpad(CAST(c_custkey AS STRING), 8, '0')), '0123456789', 'abcdefghij')"
+
+
+@query("q_judge_review", f"SELECT n AS name, n || ' Low|' || n || ' Z' AS candidates FROM (SELECT {_LONE} AS n FROM customer WHERE c_custkey % 3 <> 0)")
 def judge_review(t):
-    """A lone first name that fits two judges is left to people; every other panel has one of the two."""
-    low, z = F.lit("Chris Low"), F.lit("Chris Z")
-    marks = t["customer"].select(F.col("c_custkey").cast("string").alias("sheet_url"), F.lit(0).alias("section"), F.when(F.col("c_custkey") % 3 == 0, low).when(F.col("c_custkey") % 3 == 1, z).otherwise("Chris").alias("judge"))
+    """A lone first name that fits two judges is left to people; of every third customer it has sat beside one of the two, and is the other."""
+    name = F.expr(_LONE)
+    seat = lambda sheet, who: F.struct(F.concat(F.lit(sheet), F.col("c_custkey").cast("string")).alias("sheet_url"), F.lit(0).alias("section"), who.alias("judge"))
+    low, z = F.concat(name, F.lit(" Low")), F.concat(name, F.lit(" Z"))
+    seats = F.array(seat("a", low), seat("b", z), seat("c", name))
+    marks = t["customer"].select(F.inline(F.when(F.col("c_custkey") % 3 == 0, F.array_append(seats, seat("a", name))).otherwise(seats)))
     return judges.review_list(judges.rebuild(marks)).select("name", F.array_join("candidates", "|").alias("candidates"))
 
 

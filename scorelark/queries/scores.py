@@ -9,7 +9,7 @@ from ..functions import marks as mk
 from ..functions.numbers import half_even_div
 from ..functions.text import result_label
 from ..operators import judges as jd
-from ..plans import dancer
+from ..plans import dancer, service
 from ..views import Registry, view
 
 query = Registry()
@@ -163,6 +163,19 @@ def roles_primary(t):
     return r.select("competitor", "primary_role", "secondary_role", F.array_join("competed_roles", ",").alias("competed_roles"))
 
 
+@query("q_roles_points", """
+WITH c AS (SELECT competitor, role, count(*) AS n FROM (SELECT DISTINCT competitor, role, event_key, round FROM marks_view) GROUP BY ALL),
+w AS (SELECT competitor, role, CAST(sum(points) AS BIGINT) AS points FROM awards_view GROUP BY ALL),
+k AS (SELECT coalesce(c.competitor, w.competitor) AS competitor, coalesce(c.role, w.role) AS role, coalesce(points, 0) AS points, row_number() OVER (PARTITION BY coalesce(c.competitor, w.competitor) ORDER BY coalesce(n, 0) DESC, coalesce(c.role, w.role)) AS k
+      FROM c FULL JOIN w ON w.competitor = c.competitor AND w.role = c.role)
+SELECT competitor, max(role) FILTER (k = 1) AS primary_role, max(points) FILTER (k = 1) AS primary_points, max(role) FILTER (k = 2) AS secondary_role, max(points) FILTER (k = 2) AS secondary_points, string_agg(role, ',' ORDER BY role) AS competed_roles FROM k GROUP BY competitor""")
+def roles_points(t):
+    """Roles with the registry's points: of people who only danced, who only won points, and both."""
+    rounds = view(t, "marks_view").select("competitor", "role", "event_key", "round").distinct()
+    r = dancer.roles(rounds, view(t, "awards_view").select("competitor", "role", "points"), ["competitor"])
+    return r.select("competitor", "primary_role", F.col("primary_points").cast("long").alias("primary_points"), "secondary_role", F.col("secondary_points").cast("long").alias("secondary_points"), F.array_join("competed_roles", ",").alias("competed_roles"))
+
+
 @query("q_result_label", """
 SELECT l_orderkey, l_partkey, CASE WHEN n % 100 BETWEEN 10 AND 20 THEN n || 'th' WHEN n % 10 = 1 THEN n || 'st' WHEN n % 10 = 2 THEN n || 'nd' WHEN n % 10 = 3 THEN n || 'rd' ELSE n || 'th' END AS label, count(*) AS c
 FROM (SELECT l_orderkey, l_partkey, l_partkey % 130 AS n FROM lineitem) GROUP BY ALL""")
@@ -222,7 +235,9 @@ def _coverage(t):
 
 @query("q_providers", "SELECT DISTINCT o_orderpriority AS provider FROM orders ORDER BY 1")
 def providers(t):
-    return t["orders"].select(F.col("o_orderpriority").alias("provider")).distinct().orderBy("provider")
+    pages = t["orders"].select(F.col("o_orderpriority").alias("provider"), F.col("o_orderkey").alias("provider_key"), F.to_date("o_orderdate").alias("start_date"))
+    none = pages.select("provider", F.col("provider_key").alias("provider_event_key"), F.lit("parsed").alias("status"), F.lit("").alias("url"), F.col("start_date").alias("fetched_at")).where("false")
+    return service.coverage(pages, none)["providers"].select("provider")
 
 
 @query("q_round_ranks", """
