@@ -62,3 +62,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["q_find_related", "q_dedupe", "q_dedupe_events"])
+def test_customers_with_keys_like_years(spark, tmp_path, name):
+    """Customers 1950 to 1999 and 2000 to 2049 are as different as any others."""
+    c = duckdb.connect()
+    shifted = {"orders": "o_custkey + 1950 AS o_custkey", "customer": "c_custkey + 1950 AS c_custkey"}
+    for table, key in shifted.items():
+        c.sql(f"COPY (SELECT * REPLACE ({key}) FROM '{LARGER}/{table}.parquet' WHERE {key.split()[0]} < 100) TO '{tmp_path}/{table}.parquet'")
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    c.sql(f"COPY (SELECT * FROM '{LARGER}/nation.parquet') TO '{tmp_path}/nation.parquet'")
+    c.sql(f"CREATE VIEW nation AS SELECT * FROM '{LARGER}/nation.parquet'")
+    same_rows(spark, c, name, str(tmp_path))
