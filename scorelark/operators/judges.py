@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_compatible, normalize_text
+from ..functions.text import MIN_PREFIX, first_compatible, nickname_groups, normalize_text
 from ..session import numbered, written
 from .components import components
 from .matching import even_join
@@ -43,26 +43,37 @@ def together(shown: DataFrame) -> DataFrame:
     return seat.withColumnRenamed("name", "a").join(other, ["sheet_url", "section"]).where("a < b").select("a", "b").distinct()
 
 
+def first_keys(first: Column, begins: bool) -> Column:
+    """Keys on which compatible first names (X11) meet, and no others do: one name brings all its beginnings (``begins``), the other itself whole.
+
+    A name too short to begin others meets only the same one; nickname groups are keys of both sides.
+    """
+    whole = F.concat(F.lit("="), first)
+    parts = F.transform(F.sequence(F.lit(MIN_PREFIX), F.length(first)), lambda n: F.concat(F.lit("="), F.substring(first, F.lit(1), n))) if begins else F.array(whole)
+    return F.concat(F.when(F.length(first) < MIN_PREFIX, F.array(whole)).otherwise(parts), F.transform(nickname_groups(first), lambda g: F.concat(F.lit("#"), g.cast("string"))))
+
+
 def candidates(names: DataFrame) -> DataFrame:
     """Pairs a, b that may be one person, with kind: both full (same last name), or b a lone first name of a full name a.
 
-    Full names meet on the last name, frequent ones in slots.  Lone names meet full ones on first names, which are few, so compatible first
-    names are found first and joined to both sides.
+    Full names meet on the last name and ``first_keys``, frequent ones in slots, so only compatible ones meet however many share a last name.  Lone names
+    meet full ones on first names: compatible first names are found once, by the same keys, and joined to both sides.
     """
     parts = names.select("name", F.split("name", " ").alias("p")).withColumns({"first": F.get("p", F.lit(0)), "last": F.element_at("p", -1), "n": F.size("p")})
     full, single = parts.where("n >= 2"), parts.where("n = 1")
-    kind = first_compatible(F.col("fa"), F.col("fb"))
-    a = full.select(F.col("name").alias("a"), F.col("first").alias("fa"), "last")
-    b = full.select(F.col("name").alias("b"), F.col("first").alias("fb"), "last")
-    pairs = even_join(a, b, ["last"]).where("a < b").withColumn("kind", kind).where("kind IS NOT NULL").select("a", "b", "kind")
-    # lone first names: blocks by the first three letters, by the whole name and by nickname group hold all compatible ones
-    from ..functions.text import nickname_groups
-
-    def blocks(df: DataFrame, first: str) -> DataFrame:
-        return df.withColumn("block", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.col(first)), F.concat(F.lit("^"), F.substring(first, 1, 3))), F.transform(nickname_groups(F.col(first)), lambda g: F.concat(F.lit("#"), g.cast("string")))))))
-
-    firsts = blocks(full.select(F.col("first").alias("fa")).distinct(), "fa").join(blocks(single.select(F.col("first").alias("fb")).distinct(), "fb"), "block").select("fa", "fb").distinct().where(kind.isNotNull())
-    lone = firsts.join(full.select(F.col("name").alias("a"), F.col("first").alias("fa")), "fa").join(single.select(F.col("name").alias("b"), F.col("first").alias("fb")), "fb")
+    keyed = lambda df, keys, *columns: df.select(*columns, F.explode(keys).alias("key"))
+    long_ = keyed(full, first_keys(F.col("first"), True), F.col("name").alias("x"), F.col("first").alias("fx"), "last")
+    short = keyed(full, first_keys(F.col("first"), False), F.col("name").alias("y"), F.col("first").alias("fy"), "last")
+    met = even_join(long_, short, ["last", "key"]).where("x <> y")
+    swapped = F.col("x") > F.col("y")
+    pick = lambda a, b: F.when(swapped, F.col(b)).otherwise(F.col(a))
+    once = met.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("fx", "fy").alias("fa"), pick("fy", "fx").alias("fb")).distinct()
+    pairs = once.select("a", "b", first_compatible(F.col("fa"), F.col("fb")).alias("kind"))
+    firsts = full.select(F.col("first").alias("fa")).distinct(), single.select(F.col("first").alias("fb")).distinct()
+    sides = ([keyed(df, first_keys(F.col(c), begins), c) for df, c in zip(firsts, ("fa", "fb"), strict=True)] for begins in (True, False))
+    (fa_begins, fb_begins), (fa_whole, fb_whole) = sides
+    fits = fa_begins.join(fb_whole, "key").select("fa", "fb").unionByName(fa_whole.join(fb_begins, "key").select("fa", "fb")).distinct()
+    lone = fits.join(full.select(F.col("name").alias("a"), F.col("first").alias("fa")), "fa").join(single.select(F.col("name").alias("b"), F.col("first").alias("fb")), "fb")
     return pairs.unionByName(lone.select("a", "b", F.lit("single").alias("kind")))
 
 

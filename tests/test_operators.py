@@ -636,3 +636,24 @@ def test_rechecks(spark):
     known = spark.createDataFrame([(10, d("2026-06-20")), (11, d("2025-01-01")), (100, d("2026-06-25"))], "n long, start_date date")
     pending = spark.createDataFrame([(12, "no_results", ts(days=10), ts(hours=30)), (13, "no_results", ts(days=10), ts(hours=2)), (14, "no_results", ts(days=500), ts(days=9)), (15, "registered", ts(days=1), ts(days=1))], "n long, status string, first_seen_at timestamp, last_checked_at timestamp")
     assert sorted(r.n for r in scans.numbers_to_recheck(known, pending, F.lit(now)).collect()) == [10, 12]
+
+
+def test_names_meet_only_compatible_ones(spark, monkeypatch):
+    """Thousands of judges with one last name make no pairs unless their first names fit."""
+    firsts = ["ann", "anna", "annabel", "al", "alan", "al", "mike", "michael", "mick", "chris", "tina", "topher", "christina", "bo", "bob"]
+    names = sorted({f"{f}{m} {last}" for f in firsts for m in ("", " x") for last in ("low", "z")} | {"ann", "bo", "chris", "mich", "al"})
+    met = []
+    real = judges.even_join
+    monkeypatch.setattr(judges, "even_join", lambda *a: met.append(real(*a)) or met[-1])
+    got = {(r.a, r.b, r.kind) for r in judges.candidates(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    from scorelark.functions.text import first_compatible
+
+    pairs = spark.createDataFrame([(a, b, a.split()[0], b.split()[0]) for a in names for b in names], "a string, b string, fa string, fb string")
+    kind = {(r.a, r.b): r.kind for r in pairs.select("a", "b", first_compatible(F.col("fa"), F.col("fb")).alias("kind")).collect()}
+    full = {n for n in names if " " in n}
+    expected = {(a, b, kind[a, b]) for a in full for b in full if a < b and a.split()[-1] == b.split()[-1] and kind[a, b]}
+    expected |= {(a, b, "single") for a in full for b in set(names) - full if kind[a, b]}
+    assert got == expected
+    many = spark.range(3000).select(F.concat(F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("q low")).alias("name"))
+    met.clear()
+    assert judges.candidates(many).count() == 0 and met[0].count() == 3000  # each name with itself
