@@ -25,23 +25,22 @@ def _joined(order: str, text):
 
 
 @query("q_calendar", """
-SELECT c_custkey AS run_id, o_orderkey AS listed, CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + 2 AS end_date, 'Event ' || n AS canonical_name, 'Event ' || n || ' (' || 'EV' || n || ')|EV' || n AS aliases,
+SELECT c_custkey AS run_id, o_orderkey AS listed, CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + 2 AS end_date, 'Event' || n AS canonical_name, CASE WHEN n = '' THEN 'Event (EV )|EV' ELSE 'Event' || n || ' (EV' || trim(n) || ')|EV' || trim(n) END AS aliases,
        CASE WHEN o_orderkey % 2 = 0 THEN 'trial' ELSE 'unknown' END AS event_status, CASE o_orderkey % 3 WHEN 0 THEN 'DEU' WHEN 1 THEN 'FRA' ELSE 'USA' END AS country, o_orderkey % 3 = 0 AS warned,
        CASE WHEN o_orderkey % 5 = 0 THEN 'http://e' || o_orderkey || '.example' END AS website_url
-FROM (SELECT *, o_orderkey + 10000000 AS n FROM orders) JOIN customer ON c_custkey = o_custkey""")
+FROM (SELECT *, CASE WHEN o_orderkey BETWEEN 1900 AND 2099 THEN '' ELSE ' ' || o_orderkey END AS n FROM orders) JOIN customer ON c_custkey = o_custkey""")
 def calendar(t):
-    """One calendar page per customer, with an event per order and a table of something else before."""
+    """One calendar page per customer, with an event per order and a table of something else before; a number that looks like a year is no part of an event's names."""
     k = F.col("o_orderkey")
-    n = k + 10_000_000  # no number that looks like a year, which event names lose
     d = F.to_date("o_orderdate")
     when = F.concat(F.date_format(d, "MMM d, yyyy"), F.lit(" - "), F.date_format(F.date_add(d, 2), "MMM d, yyyy"))
-    link = F.when(k % 5 == 0, _fmt('<a href="http://http://e%s.example">Event %s (EV%s)</a>', k, n, n)).otherwise(_fmt("Event %s (EV%s)", n, n))
+    link = F.when(k % 5 == 0, _fmt('<a href="http://http://e%s.example">Event %s (EV%s)</a>', k, k, k)).otherwise(_fmt("Event %s (EV%s)", k, k))
     place = F.when(k % 3 == 0, "Town, Germany").when(k % 3 == 1, "Ville, France").otherwise("City, GA")
     row = F.concat(F.lit("<tr><td>"), when, F.lit("<td>"), link, F.when(k % 2 == 0, " Trial Event").otherwise(""), F.lit("</td><td>"), place, F.when(k % 3 == 1, '<td><img src="/flags/FRA.png">').otherwise('<td><a href="?country=USA">x</a>'))
     head = "<table><tr><td>menu</td></tr></table><table><tr><th>Date</th><th>Event Name</th><th>Location</th><th>Country</th></tr>"
     page = t["orders"].groupBy(F.col("o_custkey").alias("run_id")).agg(F.concat(F.lit(head), _joined("o_orderkey", row), F.lit("</table>")).alias("html"))
     found = html.calendar_events(html.calendar_cells(page))
-    return found.where("error IS NULL").select("run_id", (F.regexp_extract("canonical_name", r"(\d+)$", 1).try_cast("long") - 10_000_000).alias("listed"), "start_date", "end_date", "canonical_name", F.array_join("aliases", "|").alias("aliases"), "event_status", "country", F.col("warning").isNotNull().alias("warned"), "website_url")
+    return found.where("error IS NULL").select("run_id", F.regexp_extract("name", r"\(EV(\d+)\)", 1).try_cast("long").alias("listed"), "start_date", "end_date", "canonical_name", F.array_join("aliases", "|").alias("aliases"), "event_status", "country", F.col("warning").isNotNull().alias("warned"), "website_url")
 
 
 @query("q_calendar_errors", "SELECT o_custkey AS run_id, count(*) AS bad FROM orders WHERE o_orderstatus = 'P' GROUP BY 1")

@@ -76,3 +76,11 @@ def test_customers_with_keys_like_years(spark, tmp_path, name):
     c.sql(f"COPY (SELECT * FROM '{LARGER}/nation.parquet') TO '{tmp_path}/nation.parquet'")
     c.sql(f"CREATE VIEW nation AS SELECT * FROM '{LARGER}/nation.parquet'")
     same_rows(spark, c, name, str(tmp_path))
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the driver's tables")
+def test_calendar_with_numbers_like_years(spark):
+    """Orders 1900 to 2099 are events too, under the names that calendars give them."""
+    rows = catalogue.QUERIES["q_calendar"](spark, LARGER).where("listed BETWEEN 1899 AND 2100").select("listed", "canonical_name", "aliases").collect()
+    names = {r.listed: (r.canonical_name, r.aliases) for r in rows}
+    assert len(rows) == 202 and names[1950] == ("Event", "Event (EV )|EV") and names[2100] == ("Event 2100", "Event 2100 (EV2100)|EV2100")
