@@ -66,22 +66,35 @@ def near_in_time(left: DataFrame, right: DataFrame, left_date: str, right_date:
 def similar_names(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
     """Pairs of rows, equal in ``on``, whose word sets (a_words, b_words) have a Jaccard similarity of ``least`` or more.
 
-    A prefix-filtered join: words are ordered by how many names have them, the rarest first.  Sets that are similar enough
-    share one of the first words of both, so only these meet; their number follows from the size and ``least``.  A word of
-    very many names is in no prefix unless a name has little else.  Sizes that can't agree are dropped before the sets are compared, and
-    a pair counts where its first common prefix word is.
+    A prefix-filtered join of the different sets: words are ordered by how many names have them, the rarest first.  Sets of m and n words that
+    are similar enough have at least ``common`` words in common, so they share one of the first m - common + 1 words of the one
+    and n - common + 1 of the other.  Sets meet on their sizes too, so this number is exact for each pair of sizes: of two names of two words only
+    the rarer word counts.  A pair counts where its first common prefix word is.  Rows follow their sets at the end, so copies
+    of a name are compared once and only rows of similar names meet.
     """
-    names = left.select(F.col("a_words").alias("words")).unionByName(right.select(F.col("b_words").alias("words"))).where("size(words) > 0").distinct()
+    def sets(df: DataFrame, p: str) -> DataFrame:
+        return df.where(F.size(p + "_words") > 0).select(*on, F.array_sort(p + "_words").alias("words")).distinct()
+
+    a, b = sets(left, "a"), sets(right, "b")
+    names = a.select("words").unionByName(b.select("words")).distinct()
     each = names.select("words", F.explode("words").alias("word"))
     count = each.groupBy("word").agg(F.count("*").alias("n"))
     ranked = each.join(count, "word").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))  # one name's own words
-    # of a set of m words the first m - ceil(least m) + 1; the small amount is against rounding of the product
-    prefix = ranked.select("words", F.transform(F.slice("ranked", 1, (F.size("words") - F.ceil(F.size("words") * least - 1e-9) + 1).cast("int")), lambda x: x["word"]).alias("prefix"))
-    side = lambda df, p: df.join(prefix.withColumnsRenamed({"words": p + "_words", "prefix": p + "_prefix"}), p + "_words").withColumn("_word", F.explode(p + "_prefix"))
-    met = side(left, "a").join(side(right, "b"), [*on, "_word"])
-    sizes = (F.size("a_words") >= least * F.size("b_words")) & (F.size("b_words") >= least * F.size("a_words"))
-    met = met.where(sizes & (F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("_word")))
-    return met.where(jaccard(F.col("a_words"), F.col("b_words")) >= least).drop("_word", "a_prefix", "b_prefix")
+
+    def keyed(df: DataFrame, p: str, q: str, others: DataFrame) -> DataFrame:
+        """A row for each size that a similar set of the other side can have, as far as there is one, and each word of that prefix."""
+        sizes = others.agg(F.collect_set(F.size("words")).alias("sizes"))  # one row, a number for each length of names
+        own = df.join(ranked, "words").crossJoin(F.broadcast(sizes)).withColumn("m", F.size("words"))
+        own = own.withColumn("o", F.explode(F.filter("sizes", lambda o: (o >= least * F.col("m")) & (F.col("m") >= least * o))))
+        common = F.ceil((F.col("m") + F.col("o")) * (least / (1 + least)) - 1e-9)  # the small amount is against rounding of the product
+        prefix = F.transform(F.slice("ranked", 1, (F.col("m") - common + 1).cast("int")), lambda x: x["word"])
+        return own.select(*on, F.col("words").alias(p + "_words"), prefix.alias(p + "_prefix"), F.col("m").alias(p + "_size"), F.col("o").alias(q + "_size")).withColumn("_word", F.explode(p + "_prefix"))
+
+    met = keyed(a, "a", "b", b).join(keyed(b, "b", "a", a), [*on, "_word", "a_size", "b_size"])
+    met = met.where((F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("_word")) & (jaccard(F.col("a_words"), F.col("b_words")) >= least))
+    pairs = met.select(*on, F.col("a_words").alias("_a"), F.col("b_words").alias("_b"))
+    mine, theirs = left.withColumn("_a", F.array_sort("a_words")), right.withColumn("_b", F.array_sort("b_words"))
+    return mine.join(pairs, [*on, "_a"]).join(theirs, [*on, "_b"]).drop("_a", "_b")
 
 
 def pages_for_events(events: DataFrame, names: DataFrame, provider_events: DataFrame) -> DataFrame:

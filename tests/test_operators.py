@@ -689,3 +689,20 @@ def test_scan_finds_what_postings_find(spark):
     postings = trigrams.build(texts)
     assert {r.key for term in ("e ", "ation") for r in trigrams.find(postings, term).collect()} == {"1", "2", "3"}
     assert [r.key for r in trigrams.scan(texts, {"one": "end"}).collect()] == ["2"]
+
+
+def test_names_of_two_words_meet_on_the_rarer_one(spark):
+    """3,000 names with a word in common, and ten times the same name, on one day."""
+    import time
+
+    n = 20_000
+    name = lambda word, copies: F.array(F.lit(word), F.concat(F.lit("no"), (F.col("id") % copies).cast("string")))
+    left = spark.range(n).select("id", F.lit(1).alias("day"), name("customer", n).alias("a_words"))
+    right = spark.range(n).select(F.col("id").alias("key"), F.lit(1).alias("day"), name("customer", n // 10).alias("b_words"))
+    start = time.time()
+    assert matching.similar_names(left, right, ["day"], 0.5).select("id", "key").distinct().count() == n and time.time() - start < 60
+    words = [["x"], ["x", "y"], ["y", "x"], ["x", "y", "z"], ["u", "v", "x", "y"], []]
+    a = spark.createDataFrame([(i, 1, w) for i, w in enumerate(words)], "id int, day int, a_words array<string>")
+    b = a.select(F.col("id").alias("key"), "day", F.col("a_words").alias("b_words"))
+    got = sorted((r.id, r.key) for r in matching.similar_names(a, b, ["day"], 0.5).collect())
+    assert got == [(i, j) for i, x in enumerate(words) for j, y in enumerate(words) if x and y and 2 * len({*x} & {*y}) >= len({*x} | {*y})]
