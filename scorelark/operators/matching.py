@@ -63,6 +63,14 @@ def near_in_time(left: DataFrame, right: DataFrame, left_date: str, right_date:
     return left.withColumn("_day", F.col(left_date)).join(spread, ["_day", *on]).drop("_day")
 
 
+def met_in_time(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int, by: list[str], first: str) -> DataFrame:
+    """By ``by`` of the right side, how many pairs ``near_in_time`` has (pairs) and the smallest ``first`` in them, without forming them: days meet, not rows."""
+    here = left.where(F.col(left_date).isNotNull()).groupBy(F.col(left_date).alias("_day")).agg(F.count("*").alias("_l"))
+    there = right.where(F.col(right_date).isNotNull()).groupBy(*by, F.col(right_date).alias("_at")).agg(F.count("*").alias("_r"), F.min(first).alias("_first"))
+    spread = there.withColumn("_day", F.explode(F.sequence(F.date_sub("_at", days), F.date_add("_at", days))))
+    return spread.join(here, "_day").groupBy(*by).agg(F.sum(F.col("_l") * F.col("_r")).alias("pairs"), F.min("_first").alias("first"))
+
+
 def similar_names(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
     """Pairs of rows, equal in ``on``, whose word sets (a_words, b_words) have a Jaccard similarity of ``least`` or more.
 

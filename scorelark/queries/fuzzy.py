@@ -30,7 +30,7 @@ def range_similarity(t):
     e = view(t, "events_view")
     a = e.where("lifecycle_status = 'past'").select("id", "start_date")
     b = e.where("lifecycle_status = 'listed'").select(F.col("id").alias("other"), F.col("start_date").alias("d"), "source")
-    return matching.near_in_time(a, b, "start_date", "d", 3).groupBy("source").agg(F.count("*").alias("pairs"), F.min("other").alias("first"))
+    return matching.met_in_time(a, b, "start_date", "d", 3, ["source"], "other")
 
 
 _EDGE_SQL = """

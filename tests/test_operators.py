@@ -706,3 +706,16 @@ def test_names_of_two_words_meet_on_the_rarer_one(spark):
     b = a.select(F.col("id").alias("key"), "day", F.col("a_words").alias("b_words"))
     got = sorted((r.id, r.key) for r in matching.similar_names(a, b, ["day"], 0.5).collect())
     assert got == [(i, j) for i, x in enumerate(words) for j, y in enumerate(words) if x and y and 2 * len({*x} & {*y}) >= len({*x} | {*y})]
+
+
+def test_pairs_in_time_are_counted_by_days(spark):
+    import time
+
+    a = spark.createDataFrame([(1, d("2026-01-01")), (2, d("2026-01-01")), (3, d("2026-01-05")), (4, None)], "id int, day date")
+    b = spark.createDataFrame([(9, d("2026-01-02"), "x"), (8, d("2026-01-04"), "x"), (7, d("2026-01-09"), "y"), (6, None, "x"), (5, d("2026-01-02"), "y")], "other int, at date, source string")
+    got = {r.source: (r.pairs, r["first"]) for r in matching.met_in_time(a, b, "day", "at", 3, ["source"], "other").collect()}
+    pairs = matching.near_in_time(a, b, "day", "at", 3).collect()
+    assert got == {s: (sum(p.source == s for p in pairs), min(p.other for p in pairs if p.source == s)) for s in {p.source for p in pairs}}
+    n, start = 200_000, time.time()
+    many = spark.range(n).select(F.col("id").alias("other"), F.lit(d("2026-01-01")).alias("day"), F.lit("x").alias("source"))
+    assert matching.met_in_time(many, many.withColumnRenamed("day", "at"), "day", "at", 3, ["source"], "other").first().pairs == n * n and time.time() - start < 30
