@@ -13,22 +13,35 @@ from ..session import new_folder
 from .filters import PAGE_DEFAULT, PAGE_MAX, as_int
 
 RANGE_ROWS = 100_000
+#: Rows of one task that writes ranges, if they are smaller.
+TASK_ROWS = 250_000
 
 
 def cluster(rows: DataFrame, order: list[str], path: str | None = None, range_rows: int = RANGE_ROWS) -> str:
     """Write ``rows`` in ranges of about ``range_rows`` rows of ``order``, which must be total; where they lie."""
     path = path or new_folder(rows.sparkSession, "clustered")
     total = rows.count()
-    n = max(1, -(-total // range_rows))
+    # tasks hold many ranges, so what Spark samples and tells the driver for each task doesn't grow with the number of ranges
+    n = max(1, -(-total // max(range_rows, TASK_ROWS)))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_place": place})
-    # without rows there would be no range and so no file that tells the columns
-    (placed.write.partitionBy("_range") if total else placed.write).parquet(f"{path}/rows")
-    ends = rows.sparkSession.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"), F.max(F.struct(*order)).alias("last"))
-    ends.coalesce(1).write.parquet(f"{path}/ranges")
+    sorted_ = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id().cast("long"), "_place": place})
+    number = F.col("_part") * (1 << 33) + F.floor(F.col("_place") / range_rows)
+    placed = sorted_.withColumns({"_range": number, "_place": F.col("_place") % range_rows}).drop("_part")
+    placed.write.parquet(f"{path}/sorted")  # few files; the many ranges are never listed whole
+    placed = rows.sparkSession.read.schema(placed.schema).parquet(f"{path}/sorted")
+    placed.groupBy("_range").agg(F.count("*").alias("n"), F.max(F.struct(*order)).alias("last")).coalesce(1).write.parquet(f"{path}/ranges")
+    placed.write.partitionBy("_range").parquet(f"{path}/rows")
     return path
 
 
+def _rows(spark: SparkSession, path: str, ranges: list[int]) -> DataFrame:
+    """The rows of some ranges, with _range and _place; only their folders are listed."""
+    if not ranges:
+        return spark.read.parquet(f"{path}/sorted").where("false")
+    table = spark.read.option("basePath", f"{path}/rows").parquet(*(f"{path}/rows/_range={k}" for k in ranges))
+    return table.where(F.col("_range").isin(ranges))
+
+
 def _ranges(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
     """(range, rows before it, its rows) in order: one entry for every ``range_rows`` rows of the table."""
     out, before = [], 0
@@ -46,7 +59,7 @@ def page(spark: SparkSession, path: str, limit=PAGE_DEFAULT, offset=0) -> DataFr
     """O1 by offset: as ``filters.page``, from the ranges that hold the page."""
     limit, offset = _limit(limit), max(0, as_int(offset, "offset"))
     hit = [(k, before) for k, before, n in _ranges(spark, path) if before < offset + limit and before + n > offset]
-    table = spark.read.parquet(f"{path}/rows").where(F.col("_range").isin([k for k, _ in hit]))
+    table = _rows(spark, path, [k for k, _ in hit])
     starts = F.create_map(*(F.lit(x) for pair in hit for x in pair)) if hit else F.create_map(F.lit(0), F.lit(0))
     at = starts[F.col("_range")] + F.col("_place")
     return table.withColumn("_at", at).where((F.col("_at") >= offset) & (F.col("_at") < offset + limit)).orderBy("_at").drop("_at", "_range", "_place")
@@ -55,18 +68,18 @@ def page(spark: SparkSession, path: str, limit=PAGE_DEFAULT, offset=0) -> DataFr
 def page_after(spark: SparkSession, path: str, order: list[str], cursor: tuple | None = None, limit=PAGE_DEFAULT) -> DataFrame:
     """O1 by cursor: the rows that follow the one with these values of ``order`` (none: the first page)."""
     limit = _limit(limit)
-    ranges = _ranges(spark, path)
-    table = spark.read.parquet(f"{path}/rows")
+    ranges, after = _ranges(spark, path), F.lit(True)
     if cursor is not None:
-        types = [table.schema[c].dataType for c in order]
+        schema = spark.read.parquet(f"{path}/sorted").schema
+        types = [schema[c].dataType for c in order]
         mark = lambda names: F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(cursor, types, names, strict=True)))
         past = {r["_range"] for r in spark.read.parquet(f"{path}/ranges").where(F.col("last") <= mark(order)).select("_range").collect()}
         ranges = [r for r in ranges if r[0] not in past]
-        table = table.where(F.struct(*order) > mark(order))
+        after = F.struct(*order) > mark(order)
     wanted, held = [], 0
     for i, (k, _, n) in enumerate(ranges):
         if held >= limit:
             break
         wanted.append(k)
         held += n if i or cursor is None else 0  # of the first range only some rows follow
-    return table.where(F.col("_range").isin(wanted)).orderBy(*order).limit(limit).drop("_range", "_place")
+    return _rows(spark, path, wanted).where(after).orderBy(*order).limit(limit).drop("_range", "_place")

@@ -719,3 +719,14 @@ def test_pairs_in_time_are_counted_by_days(spark):
     n, start = 200_000, time.time()
     many = spark.range(n).select(F.col("id").alias("other"), F.lit(d("2026-01-01")).alias("day"), F.lit("x").alias("source"))
     assert matching.met_in_time(many, many.withColumnRenamed("day", "at"), "day", "at", 3, ["source"], "other").first().pairs == n * n and time.time() - start < 30
+
+
+def test_clustering_takes_few_tasks_however_many_ranges(spark):
+    table = spark.range(4000).select("id", (F.col("id") % 7).alias("name"))
+    tracker, group = spark.sparkContext.statusTracker(), "clustering"
+    spark.sparkContext.setJobGroup(group, group)
+    path = paging.cluster(table, ["name", "id"], range_rows=10)
+    got = [r.id for r in paging.page(spark, path, 20, 1995).collect()]
+    tasks = sum(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [i for _, i in sorted((i % 7, i) for i in range(4000))][1995:2015] and tasks < 100  # 400 ranges
