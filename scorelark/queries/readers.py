@@ -65,11 +65,14 @@ def year_index(t):
 _LINE = "l_orderkey AS event, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem"
 
 
-def _lines(t, provider: int | None = None):
+def _lines(t):
+    """Rows are dealt out once, for their numbers and their pages, into as many tasks as Spark shuffles into: reading pages takes long for few bytes."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return t["lineitem"].select(F.col("l_orderkey").alias("event"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.row_number().over(w).alias("n"))
+    w = W.partitionBy("event").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    l = t["lineitem"].select(F.col("l_orderkey").alias("event"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")  # noqa: E741
+    l = l.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "event")  # noqa: E741
+    return l.select("event", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.row_number().over(w).alias("n"))
 
 
 def _pages(t, row, head: str, tail: str, provider: str, title=None):

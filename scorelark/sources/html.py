@@ -22,7 +22,7 @@ class HtmlRows:
     """table_no, row_no, cells (text), links (first link of each cell), images, classes, header."""
 
     def eval(self, html: str):
-        for t, table in enumerate(parse(html).all("table")):
+        for t, table in enumerate(parse(html, shared=True).all("table")):
             rows = [r for r in table.all("tr") if r.up("table") is table]
             for r, row in enumerate(rows):
                 cells = row.own("td", "th")
@@ -36,7 +36,7 @@ class HtmlLinks:
 
     def eval(self, html: str, base: str):
         n = 0
-        for a in parse(html).all("a"):
+        for a in parse(html, shared=True).all("a"):
             href = (a.attrs.get("href") or "").strip()
             if "href" not in a.attrs or href.startswith(_SKIPPED):
                 continue
@@ -49,7 +49,7 @@ class HtmlOutline:
 
     def eval(self, html: str, base: str):
         n = 0
-        for node in parse(html).walk():
+        for node in parse(html, shared=True).walk():
             if isinstance(node, Node):
                 if node.tag == "a" and node.attrs.get("href"):
                     yield n, "link", node.text(), urljoin(base or "", node.attrs["href"])
@@ -74,12 +74,69 @@ def register(spark: SparkSession) -> None:
         spark.udtf.register(name, udtf(handler, returnType=schema))
 
 
+#: Rows that leave a table function together.
+_ROWS = 8192
+
+
+def _column(values: list, kind):
+    """An Arrow column; a number that its type can't hold is null."""
+    import pyarrow as pa
+
+    if pa.types.is_map(kind):
+        values = [v if v is None else list(v.items()) for v in values]
+    try:
+        return pa.array(values, kind)
+    except (OverflowError, pa.ArrowInvalid):
+        if not pa.types.is_integer(kind):
+            raise
+        top = 1 << kind.bit_width - 1
+        return pa.array([v if v is not None and -top <= v < top else None for v in values], kind)
+
+
+def _table_rows(handler, n_kept: int, schema):
+    """What a task does: rows of a handler for each row of Arrow batches, with the columns that are kept beside them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        read = handler().eval
+        for batch in batches:
+            kept, given = batch.columns[:n_kept], zip(*(c.to_pylist() for c in batch.columns[n_kept:]), strict=True)
+            at, rows = [], []
+
+            def out(kept=kept):
+                columns = [_column(list(c), f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[n_kept:], strict=True)]
+                index = pa.array(at, pa.int32())
+                return pa.RecordBatch.from_arrays([*(c.take(index).cast(f.type) for c, f in zip(kept, schema, strict=False)), *columns], schema=schema)
+
+            for i, row in enumerate(given):
+                for found in read(*row):
+                    at.append(i)
+                    rows.append(found)
+                    if len(rows) == _ROWS:
+                        yield out()
+                        at, rows = [], []
+            if rows:
+                yield out()
+
+    return run
+
+
 def lateral(df: DataFrame, function: str, *args: str, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``df`` joined to the rows that a table function makes of each of its rows."""
-    spark = df.sparkSession
-    register(spark)
-    columns = ", ".join(f"d.`{c}`" for c in (keep if keep is not None else df.columns))
-    return spark.sql(f"SELECT {columns}{', ' if columns else ''}f.* FROM {{d}} d, LATERAL {function}({', '.join('d.' + a for a in args)}) f", d=df)
+    """``keep`` columns of ``df`` joined to the rows that a table function makes of each of its rows.
+
+    The same as LATERAL with the registered function, but rows travel in Arrow batches: a row at a time costs more than reading its page.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from . import sheets
+
+    handler, made = (_TABLE_FUNCTIONS | sheets.TABLE_FUNCTIONS)[function]
+    rows = df.select(*(F.col(c) for c in (keep if keep is not None else df.columns)), *(F.col(a).alias(f"_{i}") for i, a in enumerate(args)))
+    kept = len(rows.columns) - len(args)
+    schema = StructType(rows.schema.fields[:kept] + StructType.fromDDL(made).fields)
+    return rows.mapInArrow(_table_rows(handler, kept, to_arrow_schema(schema)), schema)
 
 
 # Header labels of the calendar's table.

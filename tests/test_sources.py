@@ -169,3 +169,36 @@ def test_fetching(spark):
         assert [(r.provider, r.key) for r in fetch.crawl(spark.createDataFrame([(f"{base}/",)], "url string"), timeout=5, pauses=()).collect()] == [("eepro", "x26")]
     finally:
         server.shutdown()
+
+
+def test_pages_share_tags_but_not_texts():
+    """Trees of plain pages come from one split, and shared ones only get new texts."""
+    plain = "<table><tr><td>%s</td><td class='x'>%s &amp; b</td></tr></table>"
+    first = [[c.text() for c in r.own("td")] for r in dom.parse(plain % (1, "a"), shared=True).all("tr")]
+    second = [[c.text() for c in r.own("td")] for r in dom.parse(plain % (2, "c"), shared=True).all("tr")]
+    assert (first, second) == ([["1", "a & b"]], [["2", "c & b"]])
+    odd = ["<td title='a>b'>x", "<p>1 < 2", "<script>if (a<b) c()</script><p>x", "<title>a &amp; b</title>", "<td a/ b>x", "<!-- <td>y --><td>z", "x &#65", "</p x>y"]
+    for page in [plain % (3, "d"), *odd]:
+        tree, builder = dom._Tree(), None
+        builder = dom._Builder(tree)
+        builder.feed(page)
+        builder.close()
+        shown = lambda n: [c if isinstance(c, str) else (c.tag, c.attrs, shown(c)) for c in n.children]  # noqa: E731, B023
+        assert shown(dom.parse(page)) == shown(dom.parse(page, shared=True)) == shown(tree.root)
+
+
+def test_table_functions_take_batches(spark):
+    """Rows travel in Arrow batches, numbers too large for their column are null, and pages of one event need one exchange."""
+    import os
+
+    import pytest
+
+    from scorelark import catalogue
+
+    big = SHEET_2.replace("17901", "9" * 30)
+    got = sheets.sheet_entries(spark.createDataFrame([("scoring_dance", "2", None, None, big)], "provider string, url string, title string, siblings array<string>, html string"))
+    assert [r.registry_id for r in got.orderBy("section_no", "entry_no").collect()] == [None, None, None]
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the driver's tables")
+    plan = catalogue.QUERIES["q_sheet_prelims_3"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "BatchEvalPythonUDTF" not in plan and plan.count("Exchange hashpartitioning") == 1
