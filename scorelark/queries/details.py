@@ -377,7 +377,9 @@ def versions(t):
 @query("q_replay", "SELECT md5(html) AS page FROM pages")
 def replay(t):
     path = new_folder(t.spark, "saved")
-    t["pages"].select("page_id", F.col("html").alias("value")).repartition("page_id").write.option("lineSep", "\u0001").option("maxRecordsPerFile", 1).partitionBy("page_id").text(path)
+    # a file per page, but no folder per page: making, moving and listing folders is done one by one on the driver
+    dealt = t["pages"].repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    dealt.select(F.col("html").alias("value")).write.option("lineSep", "\u0001").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
     return pages.replay(t.spark, path).select(F.md5(F.rtrim("html", F.lit("\u0001")).cast("binary")).alias("page"))
 
 

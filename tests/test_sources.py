@@ -202,3 +202,16 @@ def test_table_functions_take_batches(spark):
         pytest.skip("needs the driver's tables")
     plan = catalogue.QUERIES["q_sheet_prelims_3"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "BatchEvalPythonUDTF" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_replayed_pages_are_files_of_few_folders(spark, tmp_path, monkeypatch):
+    """A file per page, and no folder per page."""
+    import os
+
+    from scorelark import catalogue
+    from scorelark.queries import details
+
+    spark.createDataFrame([(i, f"<p>{i}\n</p>") for i in range(30)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(details, "new_folder", lambda *_: str(tmp_path / "saved"))
+    assert catalogue.QUERIES["q_replay"](spark, str(tmp_path)).distinct().count() == 30
+    assert len([f for f in os.listdir(tmp_path / "saved") if f.endswith(".txt")]) == 30
