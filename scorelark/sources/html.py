@@ -7,15 +7,37 @@ Each is registered under its name and used with LATERAL:
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
 from urllib.parse import urljoin, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..session import computed
 from .dom import Node, parse
 
 _SKIPPED = ("mailto:", "tel:", "javascript:", "#")
+#: Header labels of the calendar's table.
+CALENDAR_HEADERS = {"date": ["date"], "name": ["event name", "event"], "location": ["event location", "location"], "country": ["country"]}
+#: A path from a site's root without steps up, empty steps, parameters or a query.
+_PATH = re.compile(r"(?:/[A-Za-z0-9_~-][A-Za-z0-9_.~-]*)+/?")
+
+
+@lru_cache(maxsize=1024)
+def _site(base: str) -> str | None:
+    at = urlparse(base)
+    return f"{at.scheme}://{at.netloc}" if at.scheme in ("http", "https") and at.netloc else None
+
+
+def absolute(base: str, href: str) -> str:
+    """``urljoin``; plain paths, which most links are, need no parsing."""
+    if _PATH.fullmatch(href):
+        site = _site(base)
+        if site is not None:
+            return site + href
+    return urljoin(base, href)
 
 
 class HtmlRows:
@@ -31,6 +53,25 @@ class HtmlRows:
                 yield t, r, [c.text() for c in cells], [a.attrs.get("href") if a else None for a in link], [a.text() if a else None for a in link], [i.attrs.get("src") if i else None for i in image], row.attrs.get("class", "").lower(), bool(cells) and all(c.tag == "th" for c in cells)
 
 
+class CalendarRows(HtmlRows):
+    """row_no and raw cells of the rows below the calendar's header in its table; what a ragged row hasn't got is null."""
+
+    def eval(self, html: str):
+        table = at = None
+        for t, r, cells, hrefs, link_texts, images, classes, header in super().eval(html):
+            if table is None:
+                lower = [c.lower() for c in cells]
+                at = {k: next((lower.index(label) for label in labels if label in lower), len(cells)) for k, labels in CALENDAR_HEADERS.items()}
+                if at["date"] < len(cells) and at["name"] < len(cells):
+                    # what the header hasn't got is in no row
+                    table, at = t, {k: i if i < len(cells) else None for k, i in at.items()}
+            elif t != table:
+                return
+            elif not header:
+                get = lambda values, k: values[at[k]] if at[k] is not None and at[k] < len(values) else None
+                yield r, get(cells, "date"), get(cells, "name"), get(link_texts, "name"), get(hrefs, "name"), get(cells, "location"), get(hrefs, "country"), get(images, "country"), get(cells, "country"), classes
+
+
 class HtmlLinks:
     """ord, text, href (absolute) of the links that lead to a page."""
 
@@ -40,7 +81,7 @@ class HtmlLinks:
             href = (a.attrs.get("href") or "").strip()
             if "href" not in a.attrs or href.startswith(_SKIPPED):
                 continue
-            yield n, a.text(), urljoin(base or "", href)
+            yield n, a.text(), absolute(base or "", href)
             n += 1
 
 
@@ -52,7 +93,7 @@ class HtmlOutline:
         for node in parse(html, shared=True).walk():
             if isinstance(node, Node):
                 if node.tag == "a" and node.attrs.get("href"):
-                    yield n, "link", node.text(), urljoin(base or "", node.attrs["href"])
+                    yield n, "link", node.text(), absolute(base or "", node.attrs["href"])
                     n += 1
             elif node.strip():
                 yield n, "text", " ".join(node.split()), None
@@ -61,6 +102,7 @@ class HtmlOutline:
 
 _TABLE_FUNCTIONS = {
     "html_rows": (HtmlRows, "table_no int, row_no int, cells array<string>, hrefs array<string>, link_texts array<string>, images array<string>, classes string, header boolean"),
+    "calendar_rows": (CalendarRows, "row_index int, date_raw string, name_cell string, link_text string, href string, location_raw string, flag_href string, flag_image string, flag_text string, classes string"),
     "html_links": (HtmlLinks, "ord int, text string, href string"),
     "html_outline": (HtmlOutline, "ord int, kind string, text string, href string"),
 }
@@ -139,8 +181,6 @@ def lateral(df: DataFrame, function: str, *args: str, keep: list[str] | None = N
     return rows.mapInArrow(_table_rows(handler, kept, to_arrow_schema(schema)), schema)
 
 
-# Header labels of the calendar's table.
-CALENDAR_HEADERS = {"date": ["date"], "name": ["event name", "event"], "location": ["event location", "location"], "country": ["country"]}
 STATUS = r"(?i)\b(registry|trial)\s+event\b"
 
 
@@ -149,17 +189,7 @@ def calendar_cells(pages: DataFrame, key: str = "run_id") -> DataFrame:
 
     ``pages`` has ``key`` and html; one row per table row below the header.  A page without such a table has no row.
     """
-    rows = lateral(pages, "html_rows", "html", keep=[key])
-    lower = F.transform("cells", lambda c: F.lower(c))
-    place = lambda labels: F.coalesce(*(F.nullif(F.array_position(lower, label), F.lit(0)) for label in labels)).cast("int") - 1
-    heads = rows.withColumns({k: place(v) for k, v in CALENDAR_HEADERS.items()}).where("date IS NOT NULL AND name IS NOT NULL")
-    first = heads.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("table_no", "row_no", "date", "name", "location", "country")).alias("head"))
-    body = rows.join(first, rows[key].eqNullSafe(F.col("_key"))).where((F.col("table_no") == F.col("head.table_no")) & (F.col("row_no") > F.col("head.row_no")) & ~F.col("header"))
-    cell = lambda array, k: F.get(F.col(array), F.col(f"head.{k}"))
-    return body.select(
-        key, F.col("row_no").alias("row_index"), cell("cells", "date").alias("date_raw"), cell("cells", "name").alias("name_cell"), cell("link_texts", "name").alias("link_text"),
-        cell("hrefs", "name").alias("href"), cell("cells", "location").alias("location_raw"), cell("hrefs", "country").alias("flag_href"), cell("images", "country").alias("flag_image"), cell("cells", "country").alias("flag_text"), "classes",
-    )
+    return lateral(pages, "calendar_rows", "html", keep=[key])
 
 
 def year_index(pages: DataFrame) -> DataFrame:
@@ -175,13 +205,12 @@ def year_index(pages: DataFrame) -> DataFrame:
     header = r"^\s*([A-Z][a-z]{2,8}\.?\s+\d{1,2}(?:\s*[-–]\s*(?:[A-Z][a-z]{2,8}\.?\s+)?\d{1,2})?,?\s+\d{4})\s*[-–—]\s*(.+?)\s*$"
     items = lateral(pages, "html_outline", "html", "url", keep=["url"])
     heads = F.when((F.col("kind") == "text") & F.col("text").rlike(header), F.struct(F.regexp_extract("text", header, 1).alias("date_raw"), F.regexp_extract("text", header, 2).alias("name")))
-    carried = items.withColumn("head", F.last(heads, ignorenulls=True).over(W.partitionBy("url").orderBy("ord")))
-    slug = F.regexp_extract(F.try_parse_url("href", F.lit("PATH")), PROVIDER_1_SHEET, 1)
-    links = carried.where("kind = 'link' AND head IS NOT NULL").withColumn("slug", slug).where("slug <> ''")
-    own = links.groupBy("url", "slug").agg(F.min_by("head", "ord").alias("head"), F.min("ord").alias("first"))
-    once = links.groupBy("url", "slug", "text", "href").agg(F.min("ord").alias("ord"))
-    listed = once.groupBy("url", "slug").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("text").alias("title"), F.col("href").alias("url")))).alias("links"))
-    return own.join(listed, ["url", "slug"]).select("url", F.col("slug").alias("provider_key"), "head.name", "head.date_raw", F.transform("links", lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"))).alias("links"))
+    slug = F.when(F.col("kind") == "link", F.regexp_extract(F.try_parse_url("href", F.lit("PATH")), PROVIDER_1_SHEET, 1))
+    items = computed(items.select("url", "ord", "text", "href", heads.alias("head"), F.nullif(slug, F.lit("")).alias("slug")), "head", "slug").where("head IS NOT NULL OR slug IS NOT NULL")
+    links = items.withColumn("head", F.last("head", ignorenulls=True).over(W.partitionBy("url").orderBy("ord"))).where("slug IS NOT NULL AND head IS NOT NULL")
+    once = links.groupBy("url", "slug", "text", "href").agg(F.min_by("head", "ord").alias("head"), F.min("ord").alias("ord"))
+    listed = once.groupBy("url", "slug").agg(F.min_by("head", "ord").alias("head"), F.array_sort(F.collect_list(F.struct("ord", F.col("text").alias("title"), F.col("href").alias("url")))).alias("links"))
+    return listed.select("url", F.col("slug").alias("provider_key"), "head.name", "head.date_raw", F.transform("links", lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"))).alias("links"))
 
 
 def host(url: str) -> str:
@@ -198,6 +227,7 @@ def calendar_events(cells: DataFrame, key: str = "run_id") -> DataFrame:
     name = F.coalesce(F.nullif("link_text", F.lit("")), F.trim(F.regexp_replace("name_cell", STATUS, "")))
     flag = text.flag_code(F.col("flag_href"), F.col("flag_image"), F.col("flag_text"))
     d = cells.withColumns({"name": name, "flag": flag, "range": dates.parse_date_range(F.col("date_raw")), "loc": places.parse_location(F.col("location_raw"))})
+    d = computed(d, "name", "range")
     d = d.withColumn("split", text.split_event_name(F.col("name"))).withColumn("land", places.country_of(F.col("loc.country_code"), F.col("flag")))
     error = F.when(F.coalesce("name", F.lit("")) == "", "empty event name").when(F.col("range").isNull(), F.concat(F.lit("unrecognized date "), F.coalesce("date_raw", F.lit(""))))
     hint = F.when(F.contains(F.coalesce("classes", F.lit("")), F.lit("unconfirmed")) | F.contains(F.lower("name_cell"), F.lit("unconfirmed")), True)

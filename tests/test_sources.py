@@ -215,3 +215,34 @@ def test_replayed_pages_are_files_of_few_folders(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(details, "new_folder", lambda *_: str(tmp_path / "saved"))
     assert catalogue.QUERIES["q_replay"](spark, str(tmp_path)).distinct().count() == 30
     assert len([f for f in os.listdir(tmp_path / "saved") if f.endswith(".txt")]) == 30
+
+
+def test_calendar_pages_are_read_once_and_ranges_parsed_once(spark):
+    """A join of the pages with their own header reads all of them twice, and a filter that is moved below the range parses it for each time it is named."""
+    pages = spark.createDataFrame([(k, CALENDAR) for k in range(3)] + [(None, CALENDAR)], "run_id int, html string")
+    found = html.calendar_events(html.calendar_cells(pages)).where("error IS NULL")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert not any("yyyy-M-d" in line for line in plan.split("\n") if "Filter" in line)
+    assert sorted((r.run_id is None, r.name) for r in found.collect()) == sorted((k is None, n) for k in (0, 1, 2, None) for n in ("River Nights", "Lake Open aka LO", "Short row"))
+
+
+def test_calendar_tables_inside_cells_and_columns_that_are_missing(spark):
+    page = "<table><tr><td>menu<table><tr><td>x</table></table><table><tr><td>Event<td>DATE<tr><td>A<table><tr><td>Date<td>Event<tr><td>no<td>no</table><td>May 1, 2026<tr><th>Event<th>Date<tr><td>B</table><table><tr><th>Date<th>Event<tr><td>late<td>late</table>"
+    rows = html.calendar_cells(one(spark, "string", run_id="r", html=page)).orderBy("row_index").collect()
+    assert [(r.row_index, r.name_cell.split()[0], r.date_raw, r.location_raw, r.flag_text) for r in rows] == [(1, "A", "May 1, 2026", None, None), (3, "B", None, None, None)]
+
+
+def test_year_index_reads_pages_once(spark):
+    pages = spark.createDataFrame([("https://eepro.com/results/2026/", YEAR)], "url string, html string")
+    found = html.year_index(pages)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_plain_links_are_joined_like_others():
+    from urllib.parse import urljoin
+
+    for base in ("https://a.example/x/y?z#f", "http://a.example", "ftp://a.example/x", "HTTP://A.example:80/", "", "//a.example/x", "file:///x"):
+        for href in ("/results/s1/a.html", "/a/", "/", "/a//b", "/a/./b", "/a/../b", "/.a", "/a.", "/a?b", "/a;b", "/a#c", "//b.example/c", "x/y", "", "/ä", "/a\n"):
+            assert html.absolute(base, href) == urljoin(base, href)
