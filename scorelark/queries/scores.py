@@ -188,7 +188,7 @@ WITH s AS (SELECT DISTINCT l_orderkey, lower(s_name) AS n FROM lineitem JOIN sup
 n AS (SELECT l_orderkey, regexp_replace(n, '[^a-z0-9]+', ' ', 'g') AS n FROM s)
 SELECT DISTINCT x.n AS a, y.n AS b FROM n x JOIN n y ON x.l_orderkey = y.l_orderkey AND x.n < y.n""")
 def panel_pairs(t):
-    return jd.together(jd.panels(_panel(t)))
+    return jd.together(jd.panels(_panel(t)), t["lineitem"].count())
 
 
 def _panel(t):

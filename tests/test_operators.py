@@ -730,3 +730,23 @@ def test_clustering_takes_few_tasks_however_many_ranges(spark):
     tasks = sum(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == [i for _, i in sorted((i % 7, i) for i in range(4000))][1995:2015] and tasks < 100  # 400 ranges
+
+
+def test_large_tables_are_dealt_out_by_their_rows(spark, monkeypatch):
+    """Tasks of marks and panels hold a number of rows, not a share of the table."""
+    import os
+
+    from scorelark import catalogue, session
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("needs the driver's tables")
+    names = ["q_callback_summary", "q_round_ranks", "q_panel_pairs"]
+    rows = lambda df: sorted(map(repr, df.collect()))
+    before = {n: rows(catalogue.QUERIES[n](spark, data)) for n in names}
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    for n in names:
+        df = catalogue.QUERIES[n](spark, data)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        tasks = [int(x) for x in re.findall(r"hashpartitioning\([lo]_orderkey#\w+, (\d+)\), REPARTITION_BY_NUM", plan)] + [int(x) for x in re.findall(r"hashpartitioning\(sheet_url#\w+, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert len(set(tasks)) == 1 and tasks[0] >= 55 and rows(df) == before[n]
