@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MIN_PREFIX, first_compatible, nickname_groups, normalize_text
-from ..session import dealt, numbered, written
+from ..session import numbered, written
 from .components import components
 from .matching import even_join
 
@@ -36,11 +36,11 @@ def judges(shown: DataFrame) -> DataFrame:
     return display.join(count, "name")
 
 
-def together(shown: DataFrame, seats: int = 0) -> DataFrame:
-    """Pairs a < b of names that stood on one panel, and so are two people.  Panels are dealt out by how many ``seats`` there are, if that is known."""
-    seat = dealt(shown.select("sheet_url", "section", "name"), seats, "sheet_url").distinct()
-    other = seat.withColumnRenamed("name", "b")
-    return seat.withColumnRenamed("name", "a").join(other, ["sheet_url", "section"]).where("a < b").select("a", "b").distinct()
+def together(shown: DataFrame) -> DataFrame:
+    """Pairs a < b of names that stood on one panel, and so are two people."""
+    panel = shown.where("sheet_url IS NOT NULL AND section IS NOT NULL").groupBy("sheet_url", "section").agg(F.collect_set("name").alias("names"))
+    each = panel.select("names", F.explode("names").alias("a"))
+    return each.select("a", F.explode(F.filter("names", lambda b: b > F.col("a"))).alias("b")).distinct()
 
 
 def first_keys(first: Column, begins: bool) -> Column:

@@ -10,6 +10,7 @@ from ..functions.numbers import half_even_div
 from ..functions.text import result_label
 from ..operators import judges as jd
 from ..plans import dancer, service
+from ..session import dealt
 from ..views import Registry, view
 
 query = Registry()
@@ -188,11 +189,12 @@ WITH s AS (SELECT DISTINCT l_orderkey, lower(s_name) AS n FROM lineitem JOIN sup
 n AS (SELECT l_orderkey, regexp_replace(n, '[^a-z0-9]+', ' ', 'g') AS n FROM s)
 SELECT DISTINCT x.n AS a, y.n AS b FROM n x JOIN n y ON x.l_orderkey = y.l_orderkey AND x.n < y.n""")
 def panel_pairs(t):
-    return jd.together(jd.panels(_panel(t)), t["lineitem"].count())
+    return jd.together(jd.panels(_panel(t)))
 
 
 def _panel(t):
-    l = t["lineitem"].join(t["supplier"], F.col("s_suppkey") == F.col("l_suppkey"))  # noqa: E741
+    lines = t["lineitem"]
+    l = dealt(lines, lines.count(), "l_orderkey").join(t["supplier"], F.col("s_suppkey") == F.col("l_suppkey"))  # noqa: E741
     return l.select(F.col("l_orderkey").alias("sheet_url"), F.lit("all").alias("section"), F.col("s_name").alias("judge"))
 
 
