@@ -71,6 +71,11 @@ def met_in_time(left: DataFrame, right: DataFrame, left_date: str, right_date: s
     return spread.join(here, "_day").groupBy(*by).agg(F.sum(F.col("_l") * F.col("_r")).alias("pairs"), F.min("_first").alias("first"))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast: Spark's own choice goes by the size of compressed files, before words and days become rows, and a broadcast passes whole through the driver."""
+    return df.hint("merge")
+
+
 def similar_names(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
     """Pairs of rows, equal in ``on``, whose word sets (a_words, b_words) have a Jaccard similarity of ``least`` or more.
 
@@ -87,22 +92,22 @@ def similar_names(left: DataFrame, right: DataFrame, on: list[str], least: float
     names = a.select("words").unionByName(b.select("words")).distinct()
     each = names.select("words", F.explode("words").alias("word"))
     count = each.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = each.join(count, "word").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))  # one name's own words
+    ranked = each.join(shuffled(count), "word").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))  # one name's own words
 
     def keyed(df: DataFrame, p: str, q: str, others: DataFrame) -> DataFrame:
         """A row for each size that a similar set of the other side can have, as far as there is one, and each word of that prefix."""
         sizes = others.agg(F.collect_set(F.size("words")).alias("sizes"))  # one row, a number for each length of names
-        own = df.join(ranked, "words").crossJoin(F.broadcast(sizes)).withColumn("m", F.size("words"))
+        own = df.join(shuffled(ranked), "words").crossJoin(F.broadcast(sizes)).withColumn("m", F.size("words"))
         own = own.withColumn("o", F.explode(F.filter("sizes", lambda o: (o >= least * F.col("m")) & (F.col("m") >= least * o))))
         common = F.ceil((F.col("m") + F.col("o")) * (least / (1 + least)) - 1e-9)  # the small amount is against rounding of the product
         prefix = F.transform(F.slice("ranked", 1, (F.col("m") - common + 1).cast("int")), lambda x: x["word"])
         return own.select(*on, F.col("words").alias(p + "_words"), prefix.alias(p + "_prefix"), F.col("m").alias(p + "_size"), F.col("o").alias(q + "_size")).withColumn("_word", F.explode(p + "_prefix"))
 
-    met = keyed(a, "a", "b", b).join(keyed(b, "b", "a", a), [*on, "_word", "a_size", "b_size"])
+    met = keyed(a, "a", "b", b).join(shuffled(keyed(b, "b", "a", a)), [*on, "_word", "a_size", "b_size"])
     met = met.where((F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("_word")) & (jaccard(F.col("a_words"), F.col("b_words")) >= least))
     pairs = met.select(*on, F.col("a_words").alias("_a"), F.col("b_words").alias("_b"))
     mine, theirs = left.withColumn("_a", F.array_sort("a_words")), right.withColumn("_b", F.array_sort("b_words"))
-    return mine.join(pairs, [*on, "_a"]).join(theirs, [*on, "_b"]).drop("_a", "_b")
+    return mine.join(shuffled(pairs), [*on, "_a"]).join(shuffled(theirs), [*on, "_b"]).drop("_a", "_b")
 
 
 def pages_for_events(events: DataFrame, names: DataFrame, provider_events: DataFrame) -> DataFrame:
@@ -111,7 +116,7 @@ def pages_for_events(events: DataFrame, names: DataFrame, provider_events: DataF
     ``names`` has id and normalised name of every name an event goes by (S1).
     """
     linked = provider_events.where("event_id IS NOT NULL").select(F.col("event_id").alias("id"), "provider", "provider_key")
-    open_ = events.join(linked.select("id").distinct(), "id", "left_anti").where("start_date IS NOT NULL").select("id", F.col("start_date").alias("_day")).join(names, "id")
+    open_ = events.join(shuffled(linked.select("id").distinct()), "id", "left_anti").where("start_date IS NOT NULL").select("id", F.col("start_date").alias("_day")).join(shuffled(names), "id")
     pages = provider_events.where("start_date IS NOT NULL").select("provider", "provider_key", tokens(normalize_text(F.col("name"))).alias("b_words"), F.explode(F.sequence(F.date_sub("start_date", PAGE_DAYS), F.date_add("start_date", PAGE_DAYS))).alias("_day"))
     similar = similar_names(open_.select("id", "_day", tokens(F.col("name_norm")).alias("a_words")), pages, ["_day"], PAGE_SIMILARITY)
     return linked.unionByName(similar.select("id", "provider", "provider_key").distinct())

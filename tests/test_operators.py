@@ -393,6 +393,24 @@ def test_pages_for_events(spark):
     assert sorted((r.id, r.provider_key) for r in matching.pages_for_events(e, names, pe).collect()) == [("e1", "1"), ("e2", "2")]
 
 
+def test_rows_of_pages_for_events_never_pass_through_the_driver(spark):
+    """Small tables too are joined without a broadcast, but for one row of sizes on each side: plans don't know how many rows names and days become."""
+    n, first = 300, datetime.date(2026, 1, 1)
+    day = lambda c: F.date_add(F.lit(first), (c % 40).cast("int"))
+    name = lambda c: F.concat_ws(" ", F.concat(F.lit("a"), c % 5), F.concat(F.lit("b"), c % 7), F.when(c % 3 == 0, "open"))
+    i = F.col("id")
+    e = spark.range(n).select("id", day(i).alias("start_date"))
+    names = spark.range(n).select("id", name(i).alias("name_norm"))
+    pages = spark.range(n).select(F.when(i % 50 == 0, i).alias("event_id"), F.lit("p").alias("provider"), i.alias("provider_key"), name(i * 3 + 1).alias("name"), day(i * 7).alias("start_date"))
+    found = matching.pages_for_events(e, names, pages)
+    words = lambda k: {f"a{k % 5}", f"b{k % 7}", *(["open"] if k % 3 == 0 else [])}
+    near = [(x, y) for x in range(n) if x % 50 for y in range(n) if abs(x % 40 - y * 7 % 40) <= 3 and 2 * len(words(x) & words(y * 3 + 1)) >= len(words(x) | words(y * 3 + 1))]
+    assert sorted((r.id, r.provider_key) for r in found.collect()) == sorted([*((x, x) for x in range(0, n, 50)), *near])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sent = re.findall(r"BroadcastExchange (\w+)", plan)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and set(sent) == {"IdentityBroadcastMode"}
+
+
 @pytest.mark.parametrize("least", [0.5, 0.7, 1.0])
 def test_similar_names_are_those_of_all_pairs(spark, least):
     """Sets of all sizes, words that nearly all names have, equal and empty sets, several days."""
