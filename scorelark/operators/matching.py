@@ -11,6 +11,8 @@ from ..functions.text import jaccard, key_words, normalize_text, subset_either_w
 
 PAGE_DAYS, PAGE_SIMILARITY = 3, 0.5
 AGREE_DAYS = 10
+#: Different names with one word that meet its count in one place, about.
+COMMON = 1000
 # Which source and which precision is trusted before others.
 SOURCE_RANK = {"calendar": 0, "eepro": 1, "scoring_dance": 1, "wdr": 1, "manual": 2, "registry": 3}
 PRECISION_RANK = {"day": 0, "month": 1, "year": 2}
@@ -92,7 +94,11 @@ def similar_names(left: DataFrame, right: DataFrame, on: list[str], least: float
     names = a.select("words").unionByName(b.select("words")).distinct()
     each = names.select("words", F.explode("words").alias("word"))
     count = each.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = each.join(shuffled(count), "word").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))  # one name's own words
+    # a word of very many names is cut into slots, so that their rows don't end in one task; of all rows such words are a COMMON-th part at most, so few are broadcast
+    slots = F.ceil(F.col("n") / COMMON).cast("int")
+    dealt = each.join(F.broadcast(count.where(F.col("n") > COMMON).select("word", slots.alias("_k"))), "word", "left").withColumn("_slot", F.pmod(F.xxhash64("words"), F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
+    counted = count.withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1)))
+    ranked = dealt.join(shuffled(counted), ["word", "_slot"]).groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))  # one name's own words
 
     def keyed(df: DataFrame, p: str, q: str, others: DataFrame) -> DataFrame:
         """A row for each size that a similar set of the other side can have, as far as there is one, and each word of that prefix."""

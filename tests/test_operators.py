@@ -406,7 +406,7 @@ def test_rows_of_pages_for_events_never_pass_through_the_driver(spark):
     words = lambda k: {f"a{k % 5}", f"b{k % 7}", *(["open"] if k % 3 == 0 else [])}
     near = [(x, y) for x in range(n) if x % 50 for y in range(n) if abs(x % 40 - y * 7 % 40) <= 3 and 2 * len(words(x) & words(y * 3 + 1)) >= len(words(x) | words(y * 3 + 1))]
     assert sorted((r.id, r.provider_key) for r in found.collect()) == sorted([*((x, x) for x in range(0, n, 50)), *near])
-    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     sent = re.findall(r"BroadcastExchange (\w+)", plan)
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and set(sent) == {"IdentityBroadcastMode"}
 
@@ -423,6 +423,16 @@ def test_similar_names_are_those_of_all_pairs(spark, least):
     assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i, s, x in a for j, t, y in b if s == t and near(set(x), set(y)))
 
 
+def test_names_of_a_common_word_are_dealt_out(spark, monkeypatch):
+    """The word of all names is cut into slots where names meet the counts of their words."""
+    monkeypatch.setattr(matching, "COMMON", 10)
+    names = [(i, 1, ["open", f"a{i // 2}", f"b{i}"]) for i in range(200)]
+    left, right = (spark.createDataFrame(names, f"{i} int, day int, {w} array<string>") for i, w in (("i", "a_words"), ("j", "b_words")))
+    found = matching.similar_names(left, right, ["day"], 0.5)
+    assert sorted((r.i, r.j) for r in found.collect()) == sorted((i, j) for i in range(200) for j in range(200) if i // 2 == j // 2)
+    assert re.search(r"hashpartitioning\(word#\d+, _slot#\d+, \d+\)", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_a_word_of_all_names_brings_nothing_together(spark):
     names = [(i, 1, ["open", "the", f"a{i}", f"b{i}", f"c{i}"]) for i in range(2000)]
     left = spark.createDataFrame(names, "i int, day int, a_words array<string>")
